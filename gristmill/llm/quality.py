@@ -12,6 +12,9 @@ All of it is built-in Spark expressions over whole texts, without a shuffle.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,19 +37,28 @@ SENTENCE_END = r"[.!?…。！？:;][\"'”’»)\]]*\s*$"
 SYMBOLS = r"[#*$%&|<>{}=\\^~]|!!|\?\?"
 
 
+def words_of(text: Column) -> Column:
+    """The words of ``text``, in order."""
+    bare = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE))
+
+
 def line_fault(line: Column, *, max_menu_words: int = 12, max_separator_share: float = 0.3, max_symbol_share: float = 0.08) -> Column:
-    """Name of the first rule that ``line`` fails; null if it fails none. Blank lines fail none."""
-    words = F.size(F.regexp_extract_all(line, F.lit(WORD), F.lit(0)))
-    chars = F.greatest(F.length(F.regexp_replace(line, SPACE, "")), F.lit(1))
-    low = F.lower(line)
-    separators = F.regexp_count(line, F.lit(SEPARATORS))
-    menu = F.regexp_count(low, F.lit(r"\b(?:" + "|".join(MENU) + r")\b"))
-    stock = low.rlike("|".join(p.replace("(", r"\(").replace(")", r"\)") for p in BOILERPLATE))
+    """Name of the first rule that ``line`` fails; null if it fails none. Blank lines fail none.
+
+    Cheap tests stand first, so that the regular expressions run only over the lines that need them.
+    """
+    stock = let(F.lower(line), lambda low: reduce(or_, [F.contains(low, F.lit(phrase)) for phrase in BOILERPLATE]))
+    n_words = F.size(F.split(line, SPACE))
+    separators = F.when(line.rlike(r"[|»«›‹>•·→/\\~*=_-]"), F.regexp_count(line, F.lit(SEPARATORS))).otherwise(0)
+    menu = F.when(F.length(line) <= 200, F.regexp_count(F.lower(line), F.lit(r"\b(?:" + "|".join(MENU) + r")\b"))).otherwise(0)
+    menu_only = (F.length(line) <= 200) & let(n_words, lambda n: (n <= max_menu_words) & (menu * 2 > n))
     return (
-        F.when(~line.rlike(WORD), F.lit(None).cast("string"))
-        .when(stock, F.lit("boilerplate"))
-        .when((separators > words * max_separator_share) | ((words <= max_menu_words) & (menu * 2 > words)), F.lit("navigation"))
-        .when(~line.rlike(SENTENCE_END) | (F.regexp_count(line, F.lit(SYMBOLS)) > chars * max_symbol_share), F.lit("punctuation"))
+        F.when(stock, F.lit("boilerplate"))
+        .when((separators > 0) & (separators > n_words * max_separator_share), F.lit("navigation"))
+        .when(menu_only, F.lit("navigation"))
+        .when(~F.substring(line, -24, 24).rlike(SENTENCE_END), F.lit("punctuation"))
+        .when(F.regexp_count(line, F.lit(SYMBOLS)) > F.length(line) * max_symbol_share, F.lit("punctuation"))
     )
 
 
@@ -88,7 +100,7 @@ def clean_lines(docs: DataFrame, text: str = "text", *, span: int = 5, min_words
     """
     body = F.coalesce(F.col(text), F.lit(""))
     step = docs.withColumn("__text", body)
-    step = step.withColumn("__words", F.regexp_extract_all(F.col("__text"), F.lit(WORD), F.lit(0))).withColumn(
+    step = step.withColumn("__words", words_of(F.col("__text"))).withColumn(
         "__lines", F.filter(F.split(F.col("__text"), "\n", -1), lambda line: line.rlike(WORD))
     )
     step = step.withColumn("__n", F.size("__words").cast("bigint")).withColumn(
@@ -98,15 +110,16 @@ def clean_lines(docs: DataFrame, text: str = "text", *, span: int = 5, min_words
         "__passed", F.transform(F.filter("__judged", lambda j: j["fault"].isNull()), lambda j: j["line"])
     )
     removed = lambda fault: F.size(F.filter("__judged", lambda j: j["fault"] == fault)).cast("bigint")
-    letters = lambda t: F.length(F.regexp_replace(t, SPACE, "")).cast("bigint")
+    letters = lambda words: F.aggregate(words, F.lit(0).cast("bigint"), lambda n, w: n + F.length(w))
     step = step.withColumns(
         {
-            "__chars": letters(F.col("__text")),
+            "__chars": letters(F.col("__words")),
+            "__lost": F.aggregate(F.filter("__judged", lambda j: j["fault"].isNotNull()), F.lit(0).cast("bigint"), lambda n, j: n + letters(words_of(j["line"]))),
             "__clean": F.array_join("__passed", "\n"),
             "__base": (F.col("__n") < min_words) | (F.col("__repeat") * 100 > F.col("__n") * int(round(max_repeat_share * 100))),
         }
     )
-    share = F.when(F.col("__chars") > 0, letters(F.col("__clean")) / F.col("__chars")).otherwise(F.lit(0.0))
+    share = F.when(F.col("__chars") > 0, (F.col("__chars") - F.col("__lost")) / F.col("__chars")).otherwise(F.lit(0.0))
     quality = F.struct(
         F.col("__n").alias("n_words"),
         F.col("__chars").alias("word_chars"),
@@ -121,4 +134,4 @@ def clean_lines(docs: DataFrame, text: str = "text", *, span: int = 5, min_words
         share.alias("kept_share"),
         (~F.col("__base") & (share >= min_kept_share)).alias("kept"),
     )
-    return step.withColumn("quality", quality).drop("__text", "__words", "__lines", "__n", "__judged", "__repeat", "__passed", "__chars", "__clean", "__base")
+    return step.withColumn("quality", quality).drop("__text", "__words", "__lines", "__n", "__judged", "__repeat", "__passed", "__chars", "__lost", "__clean", "__base")
