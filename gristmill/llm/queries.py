@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gristmill.llm import quality
+from gristmill.llm import packing, quality, sharding, tokens
 from gristmill.llm._shared import documents
 
 
@@ -14,7 +16,36 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[f"quality.{n}" for n in names])
 
 
+def op2_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign_shards(documents(spark, sf_dir), 40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def word_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = tokens.token_output(documents(spark, sf_dir).select("doc_id", "text"), word_bpe(), end_id=2)
+
+    def digest(batches):
+        for b in batches:
+            crc = pa.array([tokens.crc(x) for x in b.column(3).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), crc], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return back.mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def op9_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), word_bpe(), length=4096, end_id=2, with_ids=False)
+
+
 QUERIES = {
+    "op2_best_fit_shards": op2_best_fit_shards,
+    "op5_token_files": op5_token_files,
+    "op9_sum_of_squares_packing": op9_sum_of_squares_packing,
     "op3_quality_rules": op3_quality_rules,
 }
 
