@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import packing, quality, sharding, tokens
+from gristmill.llm import language, packing, quality, sharding, tokens
 from gristmill.llm._shared import documents
 
 
@@ -16,6 +16,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[f"quality.{n}" for n in names])
 
 
+def op1_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = language.identify(docs.select("doc_id", "text"), language.learn(docs))
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op2_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign_shards(documents(spark, sf_dir), 40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -43,6 +49,7 @@ def op9_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_profiles": op1_language_profiles,
     "op2_best_fit_shards": op2_best_fit_shards,
     "op5_token_files": op5_token_files,
     "op9_sum_of_squares_packing": op9_sum_of_squares_packing,
