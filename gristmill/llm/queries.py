@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import language, packing, quality, sharding, tokens
+from gristmill.llm import language, ngram_join, packing, quality, sharding, tokens
 from gristmill.llm._shared import documents
 
 
@@ -44,6 +44,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(documents(spark, sf_dir), n=3, percent=90)
+
+
 def op9_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), word_bpe(), length=4096, end_id=2, with_ids=False)
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op1_language_profiles": op1_language_profiles,
     "op2_best_fit_shards": op2_best_fit_shards,
     "op5_token_files": op5_token_files,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op9_sum_of_squares_packing": op9_sum_of_squares_packing,
     "op3_quality_rules": op3_quality_rules,
 }
