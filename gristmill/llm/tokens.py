@@ -28,15 +28,21 @@ HEAD = struct.Struct("<8sIIQQQ")
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
+#: Marks that may end a word as a token run of their own; no apostrophe, which the tokenizers' contractions begin with.
+TAIL = ".,!?;:#%&*$)|\"…"
+
+
 class Encoder:
     """Ids of texts by a word-level tokenizer file, with a bounded memory of words already encoded.
 
-    The tokenizers this serves drop white space and never join characters across it, so a text's ids are those of
-    its white-space runs one after the other; ``tests/llm`` holds this against encoding whole texts. A text with one of
-    the separators that Python, but not the tokenizer, takes for white space is encoded as a whole.
+    The tokenizers this serves drop white space, never join characters across it, and keep runs of letters and of marks
+    apart; a text's ids are those of its words one after the other, and a word's those of its stem and of the marks
+    after it. ``tests/llm`` holds this against encoding whole texts. Texts with a separator that Python, but not the
+    tokenizer, takes for white space are encoded as a whole. The memory has two generations: words not met while the younger
+    one fills up are forgotten.
     """
 
-    def __init__(self, path: str, end_id: int | None = None, max_words: int = 300_000):
+    def __init__(self, path: str, end_id: int | None = None, max_words: int = 350_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -45,25 +51,67 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.end = b"" if end_id is None else struct.pack("<I", end_id)
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.max_words = max_words
+        self.closes = np.zeros(self.vocabulary, dtype=bool)  # ids that end a run of letters
+        for token, at in self.tokenizer.get_vocab().items():
+            self.closes[at] = token.endswith("</w>")
+
+    def _each(self, words: list[str]) -> None:
+        for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            self.young[word] = struct.pack(f"<{len(found.ids)}I", *found.ids)
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode words not yet known: runs of letters many at a time, told apart by the ids that close a run."""
+        self._each([w for w in words if not w.isalpha()])
+        letters = [w for w in words if w.isalpha()]
+        groups = [letters[k : k + 200] for k in range(0, len(letters), 200)]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, dtype="<u4")
+            stops = np.flatnonzero(self.closes[ids]) + 1
+            if len(stops) != len(group) or stops[-1] != len(ids):
+                self._each(group)
+                continue
+            raw, at = ids.tobytes(), 0
+            for word, stop in zip(group, (stops * 4).tolist(), strict=True):
+                self.young[word] = raw[at:stop]
+                at = stop
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, the end id last. Null counts as empty."""
         whole = [t is not None and any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
         words = [[] if t is None or w else t.split() for t, w in zip(texts, whole, strict=True)]
-        if len(self.known) > self.max_words:
-            self.known.clear()
-        known = self.known
-        missing = list(set().union(*words).difference(known))
-        for word, found in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            known[word] = struct.pack(f"<{len(found.ids)}I", *found.ids)
+        if len(self.young) > self.max_words:
+            self.young, self.old = {}, self.young
+        parts, wanted, young, old = {}, set(), self.young, self.old
+        for word in set().union(*words):
+            stem = word.rstrip(TAIL)
+            if len(stem) < len(word) and stem and stem[-1].isalpha() and "<" not in word:
+                tail = word[len(stem) :]
+                stem = stem.lower() if stem.isascii() else stem
+            else:
+                stem, tail = (word.lower() if word.isascii() and "<" not in word else word), ""
+            parts[word] = (stem, tail)
+            wanted.add(stem)
+            wanted.add(tail)
+        wanted.discard("")
+        missing = []
+        for word in wanted:
+            if word not in young:
+                if (known := old.get(word)) is not None:
+                    young[word] = known
+                else:
+                    missing.append(word)
+        if missing:
+            self._learn(missing)
+        ids = {word: young[stem] + young[tail] if tail else young[stem] for word, (stem, tail) in parts.items()}
         end = self.end
-        out = [b"".join([known[w] for w in ws]) + end for ws in words]
+        out = [b"".join([ids[w] for w in ws]) + end for ws in words]
         for k, is_whole in enumerate(whole):
             if is_whole:
-                ids = self.tokenizer.encode(texts[k], add_special_tokens=False).ids
-                out[k] = struct.pack(f"<{len(ids)}I", *ids) + end
+                found = self.tokenizer.encode(texts[k], add_special_tokens=False).ids
+                out[k] = struct.pack(f"<{len(found)}I", *found) + end
         return out
 
 
