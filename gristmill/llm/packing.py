@@ -133,8 +133,8 @@ def pack(docs: DataFrame, tokenizer: str, *, length: int = 4096, end_id: int = 2
             return pa.RecordBatch.from_pydict(cols)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some, rows = batch.slice(at, 256), []
+            for at in range(0, batch.num_rows, 1_024):
+                some, rows = batch.slice(at, 1_024), []
                 for key, raw in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist()), strict=True):
                     rows += packer.place(key, raw)
                 if rows:

@@ -38,11 +38,10 @@ class Encoder:
     The tokenizers this serves drop white space, never join characters across it, and keep runs of letters and of marks
     apart; a text's ids are those of its words one after the other, and a word's those of its stem and of the marks
     after it. ``tests/llm`` holds this against encoding whole texts. Texts with a separator that Python, but not the
-    tokenizer, takes for white space are encoded as a whole. The memory has two generations: words not met while the younger
-    one fills up are forgotten.
+    tokenizer, takes for white space are encoded as a whole. When the memory is full, only the words of the latest batch stay.
     """
 
-    def __init__(self, path: str, end_id: int | None = None, max_words: int = 350_000):
+    def __init__(self, path: str, end_id: int | None = None, max_words: int = 500_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -51,8 +50,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.end = b"" if end_id is None else struct.pack("<I", end_id)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
         self.max_words = max_words
         self.closes = np.zeros(self.vocabulary, dtype=bool)  # ids that end a run of letters
         for token, at in self.tokenizer.get_vocab().items():
@@ -60,7 +59,7 @@ class Encoder:
 
     def _each(self, words: list[str]) -> None:
         for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.young[word] = struct.pack(f"<{len(found.ids)}I", *found.ids)
+            self.stems[word] = struct.pack(f"<{len(found.ids)}I", *found.ids)
 
     def _learn(self, words: list[str]) -> None:
         """Encode words not yet known: runs of letters many at a time, told apart by the ids that close a run."""
@@ -75,39 +74,39 @@ class Encoder:
                 continue
             raw, at = ids.tobytes(), 0
             for word, stop in zip(group, (stops * 4).tolist(), strict=True):
-                self.young[word] = raw[at:stop]
+                self.stems[word] = raw[at:stop]
                 at = stop
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, the end id last. Null counts as empty."""
         whole = [t is not None and any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
         words = [[] if t is None or w else t.split() for t, w in zip(texts, whole, strict=True)]
-        if len(self.young) > self.max_words:
-            self.young, self.old = {}, self.young
-        parts, wanted, young, old = {}, set(), self.young, self.old
-        for word in set().union(*words):
-            stem = word.rstrip(TAIL)
-            if len(stem) < len(word) and stem and stem[-1].isalpha() and "<" not in word:
-                tail = word[len(stem) :]
-                stem = stem.lower() if stem.isascii() else stem
-            else:
-                stem, tail = (word.lower() if word.isascii() and "<" not in word else word), ""
-            parts[word] = (stem, tail)
+        met = set().union(*words)
+        known, stems = self.words, self.stems
+        if len(known) > self.max_words:
+            self.words = known = {w: known[w] for w in met if w in known}
+        if len(stems) > self.max_words:
+            stems.clear()
+        parts, wanted = [], set()
+        for word in met.difference(known):
+            stem, tail = word.rstrip(TAIL), ""
+            if len(stem) < len(word):
+                if stem and stem[-1].isalpha() and "<" not in word:
+                    tail = word[len(stem) :]
+                else:
+                    stem = word
+            if stem.isascii() and "<" not in stem:
+                stem = stem.lower()
+            parts.append((word, stem, tail))
             wanted.add(stem)
             wanted.add(tail)
         wanted.discard("")
-        missing = []
-        for word in wanted:
-            if word not in young:
-                if (known := old.get(word)) is not None:
-                    young[word] = known
-                else:
-                    missing.append(word)
-        if missing:
+        if missing := list(wanted.difference(stems)):
             self._learn(missing)
-        ids = {word: young[stem] + young[tail] if tail else young[stem] for word, (stem, tail) in parts.items()}
+        for word, stem, tail in parts:
+            known[word] = stems[stem] + stems[tail] if tail else stems[stem]
         end = self.end
-        out = [b"".join([ids[w] for w in ws]) + end for ws in words]
+        out = [b"".join([known[w] for w in ws]) + end for ws in words]
         for k, is_whole in enumerate(whole):
             if is_whole:
                 found = self.tokenizer.encode(texts[k], add_special_tokens=False).ids
@@ -189,7 +188,7 @@ class TokenFile:
         return self.ids(int(self.starts[k]), int(self.starts[k] + self.counts[k]))
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int | None = 2, block: int = 65_536, file_ids: int = 8_000_000) -> DataFrame:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int | None = 2, block: int = 65_536, file_ids: int = 4_000_000) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write them to ``path`` in ascending ``doc_id`` order; return the manifest.
 
     One shuffle by ranges of ``doc_id``; every task writes files of about ``file_ids`` ids (a longer single document
@@ -214,8 +213,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "seq": pa.array([seq], pa.int64()), "file": [name], "n_docs": pa.array([len(keys)], pa.int64()), "n_tokens": pa.array([size], pa.int64())})
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1_024):
+                some = batch.slice(at, 1_024)
                 for key, raw in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist()), strict=True):
                     keys.append(key)
                     held.append(raw)
