@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import language, ngram_join, packing, quality, sharding, tokens
+from gristmill.llm import embedding_dedup, language, ngram_join, packing, quality, sharding, tokens
 from gristmill.llm._shared import documents
 
 
@@ -33,15 +32,12 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = tokens.token_output(documents(spark, sf_dir).select("doc_id", "text"), word_bpe(), end_id=2)
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.93)
 
-    def digest(batches):
-        for b in batches:
-            crc = pa.array([tokens.crc(x) for x in b.column(3).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), crc], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return back.mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_output(documents(spark, sf_dir).select("doc_id", "text"), word_bpe(), end_id=2, with_ids=False)
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +51,7 @@ def op9_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_profiles": op1_language_profiles,
     "op2_best_fit_shards": op2_best_fit_shards,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_token_files": op5_token_files,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op9_sum_of_squares_packing": op9_sum_of_squares_packing,

@@ -245,10 +245,11 @@ def file_starts(manifest: DataFrame) -> DataFrame:
     return own.join(totals.select("part", "base"), "part").withColumn("start", F.col("base") + F.col("inner")).drop("base", "inner")
 
 
-def read_token_files(path: str, manifest: DataFrame) -> DataFrame:
-    """Read the files back: doc_id, start (ids of all documents before it), n_tokens, ids (packed u32, little endian).
+def read_token_files(path: str, manifest: DataFrame, *, with_ids: bool = True) -> DataFrame:
+    """Read the files back: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of the ids as u32, little
+    endian) and, if ``with_ids``, those ids in that form.
 
-    Files are read as Spark's binary source; a row is one file of bounded size. ``ids`` stays binary.
+    Files are read as Spark's binary source; a row is one file of bounded size.
     """
     spark = manifest.sparkSession
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").load(path)
@@ -264,24 +265,21 @@ def read_token_files(path: str, manifest: DataFrame) -> DataFrame:
                     to = min(at + 512, held.n_docs)
                     some = held.ids(int(held.starts[at]), int(held.starts[to - 1] + held.counts[to - 1]))
                     cut = held.starts[at:to] - held.starts[at]
-                    raw = [some[int(s) : int(s + n)].astype("<u4").tobytes() for s, n in zip(cut, held.counts[at:to], strict=True)]
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "doc_id": pa.array(held.doc_ids[at:to], mask=~held.present[at:to]),
-                            "start": pa.array(held.starts[at:to] + base, pa.int64()),
-                            "n_tokens": pa.array(held.counts[at:to], pa.int64()),
-                            "ids": pa.array(raw, pa.binary()),
-                        }
-                    )
+                    raw = [some[s : s + n].data for s, n in zip(cut.tolist(), held.counts[at:to].tolist(), strict=True)]
+                    columns = {
+                        "doc_id": pa.array(held.doc_ids[at:to], mask=~held.present[at:to]),
+                        "start": pa.array(held.starts[at:to] + base, pa.int64()),
+                        "n_tokens": pa.array(held.counts[at:to], pa.int64()),
+                        "ids_crc32": pa.array([zlib.crc32(r) for r in raw], pa.int64()),
+                    }
+                    if with_ids:
+                        columns["ids"] = pa.array([r.tobytes() for r in raw], pa.binary())
+                    yield pa.RecordBatch.from_pydict(columns)
 
-    return named.join(F.broadcast(starts), "file").select("content", "start").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return named.join(F.broadcast(starts), "file").select("content", "start").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
-def token_output(docs: DataFrame, tokenizer: str, path: str | None = None, **options) -> DataFrame:
+def token_output(docs: DataFrame, tokenizer: str, path: str | None = None, *, with_ids: bool = True, **options) -> DataFrame:
     """Write ``docs`` as packed files under ``path`` (a new folder in the shared one by default) and read them back."""
     path = path or f"{shared_dir(docs.sparkSession)}/gristmill-staged/tokens-{uuid.uuid4().hex}"
-    return read_token_files(path, write_token_files(docs, path, tokenizer, **options))
-
-
-def crc(raw: bytes) -> int:
-    return zlib.crc32(raw)
+    return read_token_files(path, write_token_files(docs, path, tokenizer, **options), with_ids=with_ids)
