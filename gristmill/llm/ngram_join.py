@@ -7,7 +7,7 @@ Two sets that are similar enough share an n-gram among the first few of each (th
 2. a first round compares classes with one leader of each group that shares a minimum under one of a few other
    orders, and joins most copies at a linear cost;
 3. the exact round lists the prefix n-grams that classes of different components share, counts for each pair how many it
-   shares, drops pairs whose sizes or counts rule the similarity out, and compares the rest;
+   shares, drops pairs whose sizes, positions or counts rule the similarity out, and compares the rest;
 4. comparing is done on groups of one probe and at most ``GROUP`` members: the members' ordered sets form a prefix tree, the probe
    walks it once, shared beginnings are counted once, and a subtree is left when what remains of it can't reach the overlap.
 
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.llm._shared import staged
@@ -188,13 +188,13 @@ def common_ngrams(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def _profiles(docs: DataFrame, n: int, percent: int, common) -> DataFrame:
-    """doc_id, size of the set, a digest of it, its prefix, and its minima under the other orders."""
+    """doc_id, size of the set, how many of it aren't common, a digest of it, its prefix, and its minima under the other orders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = Order(common.value)
         seeds = [np.uint64(int.from_bytes(hashlib.blake2b(bytes([k]), digest_size=8).digest(), "little")) for k in range(MINIMA)]
         for batch in batches:
-            size, digest, prefix, minima = [], [], [], []
+            size, digest, prefix, minima, rare = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 keys = ngram_keys(text, n)
                 size.append(len(keys))
@@ -202,14 +202,17 @@ def _profiles(docs: DataFrame, n: int, percent: int, common) -> DataFrame:
                     digest.append(None)
                     prefix.append([])
                     minima.append([])
+                    rare.append(0)
                     continue
                 digest.append(hashlib.blake2b(keys.tobytes(), digest_size=16).digest())
                 minima.append([int(keys[_mix(keys.astype(np.uint64) ^ s).argmin()]) for s in seeds])
-                prefix.append(order.apply(keys)[: prefix_length(len(keys), percent)])
+                ordered = order.apply(keys)
+                rare.append(int(np.searchsorted(ordered, 1 << 62)))
+                prefix.append(ordered[: prefix_length(len(keys), percent)])
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n": pa.array(size, pa.int64()), "digest": pa.array(digest, pa.binary()), "prefix": pa.array(prefix, longs), "minima": pa.array(minima, longs)})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n": pa.array(size, pa.int64()), "rare": pa.array(rare, pa.int64()), "digest": pa.array(digest, pa.binary()), "prefix": pa.array(prefix, longs), "minima": pa.array(minima, longs)})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>, minima array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, rare long, digest binary, prefix array<long>, minima array<long>")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int, common) -> DataFrame:
@@ -270,26 +273,30 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 80) -> Dat
     heads = staged(heads.drop("digest"), "ngram-heads")
     close = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
-    # first round: members against the leader of their group
-    groups = heads.select("doc_id", "n", F.posexplode("minima").alias("k", "key"))
-    leaders = groups.groupBy("k", "key").agg(F.min(F.struct("doc_id", "n")).alias("first"), F.count(F.lit(1)).alias("held")).where("held > 1").select("k", "key", F.col("first.doc_id").alias("probe"), F.col("first.n").alias("m"))
+    # first round: members against the leader of their group, the one with the fewest n-grams of its own: copies that were
+    # changed differ less from their source than from each other
+    groups = heads.select("doc_id", "n", "rare", F.posexplode("minima").alias("k", "key"))
+    leaders = groups.groupBy("k", "key").agg(F.min(F.struct("rare", "doc_id", "n")).alias("first"), F.count(F.lit(1)).alias("held")).where("held > 1").select("k", "key", F.col("first.doc_id").alias("probe"), F.col("first.n").alias("m"))
     star = groups.hint("merge").join(leaders, ["k", "key"]).where((F.col("doc_id") != F.col("probe")) & close(F.col("n"), F.col("m")))
     star = staged(star.select("probe", F.col("doc_id").alias("member")).distinct(), "ngram-star")
     links = staged(copies.unionByName(_verified(docs, star, n, percent, common)), "ngram-links")
     joined = staged(components(links), "ngram-joined")
 
     # exact round: prefix n-grams that different components share
-    entries = heads.join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("component"), F.explode("prefix").alias("key"))
+    entries = heads.join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("component"), F.posexplode("prefix").alias("at", "key"))
     shared = entries.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    entries = staged(entries.hint("merge").join(shared, "key"), "ngram-entries")
-    left, right = (entries.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "component")]) for s in "xy")
+    # before: how many shared n-grams stand before this one in the same set; the others can't be in common
+    before = F.row_number().over(Window.partitionBy("doc_id").orderBy("at")) - 1
+    entries = staged(entries.hint("merge").join(shared, "key").withColumn("before", before), "ngram-entries")
+    left, right = (entries.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "component", "at", "before")]) for s in "xy")
+    need = F.ceil((F.col("n_x") + F.col("n_y")) * percent / (100 + percent) - 1e-9)
+    reach = F.least("before_x", "before_y") + F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
     met = left.hint("merge").join(right, "key").where(
-        (F.struct("n_x", "doc_id_x") < F.struct("n_y", "doc_id_y")) & (F.col("component_x") != F.col("component_y")) & close(F.col("n_x"), F.col("n_y"))
+        (F.struct("n_x", "doc_id_x") < F.struct("n_y", "doc_id_y")) & (F.col("component_x") != F.col("component_y")) & close(F.col("n_x"), F.col("n_y")) & (reach >= need)
     )
     counted = met.groupBy("doc_id_x", "doc_id_y").agg(F.first("n_x").alias("n_x"), F.first("n_y").alias("n_y"), F.count(F.lit(1)).alias("met"))
     # common n-grams up to the end of either prefix were all met; beyond it at most the rest of that set is common
     rest = lambda size: F.ceil(size * percent / 100) - 1
-    need = F.ceil((F.col("n_x") + F.col("n_y")) * percent / (100 + percent) - 1e-9)
     pairs = counted.where(F.col("met") + F.greatest(rest(F.col("n_x")), rest(F.col("n_y"))) >= need)
     pairs = staged(pairs.select(F.col("doc_id_x").alias("probe"), F.col("doc_id_y").alias("member")), "ngram-pairs")
     more = staged(_verified(docs, pairs, n, percent, common), "ngram-links")
