@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import embedding_dedup, language, ngram_join, packing, quality, sharding, tokens
+from gristmill.llm import embedding_dedup, language, line_dedup, ngram_join, packing, quality, sharding, tokens
 from gristmill.llm._shared import documents
 
 
@@ -26,6 +26,10 @@ def op2_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.removed_lines(documents(spark, sf_dir), span=5, percent=80)
+
+
 def word_bpe() -> str:
     import public_tokenizers
 
@@ -49,6 +53,7 @@ def op9_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op10_line_dedup": op10_line_dedup,
     "op1_language_profiles": op1_language_profiles,
     "op2_best_fit_shards": op2_best_fit_shards,
     "op4_embedding_dedup": op4_embedding_dedup,
