@@ -3,16 +3,16 @@
 A line's tokens are its distinct runs of five words (hashed to 64 bits). Tokens stand in a global order of rarity: those outside
 a bounded table of common ones first, by hash, then the common ones by how often they were met. Two lines with Jaccard >= 0.8
 share a token among the first few of each (prefix filter), are of similar size (length filter), and have enough tokens left after
-the first one they share (positional filter). What passes is verified on the full sets. A line goes if an earlier line - by
+the first one they share (positional filter). Pairs that share too few tokens of their prefixes go; the rest is verified on the full sets. A line goes if an earlier line - by
 document id, then line number - is that similar, kept or not.
 
-Lines with equal token sets are one class, so copies are never paired. Classes meet the earliest of each token's group first;
-only those that find no match there go on to meet all earlier ones.
+Lines with equal token sets are one class, so copies are never paired. Classes first meet two lines of each token's group, the
+earliest and the one with most copies; only those that find no match there go on to meet all earlier ones.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.llm._shared import let, staged
@@ -98,48 +98,61 @@ def line_decisions(docs: DataFrame, *, span: int = 5, percent: int = 80) -> Data
         least = level
     common = counts.where((F.col("met") >= COMMON_COUNT) & (F.floor(F.log2("met") * 8) >= (least if least is not None else 1 << 20)))
 
-    entries = classes.select(*LINE, "n", F.posexplode("prefix").alias("at", "token"))
-    entries = staged(flagged(entries, flags(counts, "token"), "token"), "line-entries")
-    sets = staged(_sets(source, flags(entries, "doc_id", "line"), span), "line-keys")
+    tokens = classes.select(*LINE, "n", "copies", F.posexplode("prefix").alias("at", "token"))
+    wanted = counts.select("token")
     if least is not None:
         # classes with a common token in the prefix: their prefixes in the order of rarity
-        again = entries.join(F.broadcast(common.select("token")), "token", "left_semi").select(*LINE).distinct()
-        tokens = sets.hint("merge").join(again, LINE).select(*LINE, F.size("keys").alias("n"), F.explode("keys").alias("key")).withColumn("token", token(F.col("key")))
-        ranked = tokens.join(F.broadcast(common), "token", "left").groupBy(*LINE, "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("met", F.lit(0)).alias("met"), "key", "token"))).alias("ordered"))
-        renewed = ranked.select(*LINE, "n", F.posexplode(F.transform(F.slice("ordered", F.lit(1), _prefix(F.col("n"), percent)), lambda t: t["token"])).alias("at", "token"))
+        again = staged(tokens.join(F.broadcast(common.select("token")), "token", "left_semi").select(*LINE, "copies").distinct(), "line-again")
+        full = _sets(source, again, span).select(*LINE, "copies", F.size("keys").alias("n"), F.explode("keys").alias("key")).withColumn("token", token(F.col("key")))
+        ranked = full.join(F.broadcast(common), "token", "left").groupBy(*LINE, "n", "copies").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("met", F.lit(0)).alias("met"), "key", "token"))).alias("ordered"))
+        renewed = ranked.select(*LINE, "n", "copies", F.posexplode(F.transform(F.slice("ordered", F.lit(1), _prefix(F.col("n"), percent)), lambda t: t["token"])).alias("at", "token"))
         renewed = staged(renewed, "line-renewed")
-        # their new tokens may be the only ones that others share with them
-        others = flagged(classes.select(*LINE, "n", F.posexplode("prefix").alias("at", "token")), flags(counts.select("token").unionByName(renewed.select("token")), "token"), "token")
-        entries = staged(others.hint("merge").join(again, LINE, "left_anti").unionByName(renewed), "line-entries")
-    groups = entries.groupBy("token").agg(F.min(F.struct(*LINE, "n", "at")).alias("lead"), F.count(F.lit(1)).alias("held")).where("held > 1")
-    met = staged(entries.hint("merge").join(groups, "token"), "line-met")
-    missing = met.select(*LINE).distinct().join(sets.select(*LINE), LINE, "left_anti")
-    if missing.limit(1).count():
-        sets = sets.unionByName(staged(_sets(source, flags(missing, "doc_id", "line"), span).join(missing, LINE, "left_semi"), "line-keys"))
-
-    def fits(nx: Column, ny: Column, ax: Column, ay: Column) -> Column:
-        """Length filter, and the positional one for two lines that share tokens ``ax`` and ``ay`` of theirs."""
-        return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (1 + F.least(nx - ax - 1, ny - ay - 1) + F.least(ax, ay) >= _needed(nx, ny, percent))
+        wanted = wanted.unionByName(renewed.select("token"))  # others may share a token with these alone
+        entries = flagged(tokens, flags(wanted, "token"), "token").hint("merge").join(again, LINE, "left_anti").unionByName(renewed)
+    else:
+        entries = flagged(tokens, flags(wanted, "token"), "token")
+    entries = staged(entries, "line-entries")
+
+    c = F.col
+    one = F.struct(*LINE, "n", "at", "before")
+    # before: how many tokens that others share stand before this one in the same line
+    shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("token")
+    met = entries.hint("merge").join(shared, "token").withColumn("before", F.row_number().over(Window.partitionBy(*LINE).orderBy("at")) - 1)
+    met = staged(met, "line-met")
+    # the lines that lead a token's group: the earliest, and the one with most copies, the likely source of the others
+    leads = met.groupBy("token").agg(F.array_distinct(F.array(F.min(one), F.max_by(one, F.struct("copies", -c("doc_id"))))).alias("leads"))
+    leads = leads.select("token", F.explode("leads").alias("lead")).select("token", *[c(f"lead.{k}").alias(f"{k}_x") for k in (*LINE, "n", "at", "before")])
+
+    def pairs_of(mine: DataFrame, earlier: DataFrame) -> DataFrame:
+        """Lines of ``mine`` with those of ``earlier`` (named _x) that length and position allow."""
+        ahead = F.least("before", "before_x") + F.least(c("n") - c("at"), c("n_x") - c("at_x"))
+        fits = (F.least("n", "n_x") * 100 >= F.greatest("n", "n_x") * percent) & (ahead >= _needed(c("n"), c("n_x"), percent))
+        return mine.hint("merge").join(earlier, "token").where((F.struct("doc_id_x", "line_x") < F.struct("doc_id", "line")) & fits)
+
+    both = [*LINE, *[f"{k}_x" for k in LINE]]
+    rest = lambda n: F.ceil(n * percent / 100) - 1  # noqa: E731  tokens beyond the prefix
+
+    def enough(pairs: DataFrame) -> DataFrame:
+        """Pairs that share so many tokens of their prefixes that they can be similar."""
+        counted = pairs.groupBy(*both).agg(F.first("n").alias("n"), F.first("n_x").alias("n_x"), F.count(F.lit(1)).alias("shared"))
+        return counted.where(c("shared") + F.greatest(rest(c("n")), rest(c("n_x"))) >= _needed(c("n"), c("n_x"), percent)).select(*both)
 
     def similar(pairs: DataFrame) -> DataFrame:
-        """The later lines of those pairs (x earlier) whose sets are similar."""
-        mine = sets.select(*[F.col(c).alias(f"{c}_x") for c in LINE], F.col("keys").alias("keys_x"))
-        other = sets.select(*LINE, F.col("keys").alias("keys_y"))
-        both = pairs.hint("merge").join(other, LINE).hint("merge").join(mine, [f"{c}_x" for c in LINE])
+        """The later lines of those pairs whose sets are similar."""
+        pairs = staged(pairs, "line-pairs")
+        sets = staged(_sets(source, pairs.select(*LINE).unionByName(pairs.select(*[c(f"{k}_x").alias(k) for k in LINE])).distinct(), span), "line-keys")
+        mine = sets.select(*[c(k).alias(f"{k}_x") for k in LINE], c("keys").alias("keys_x"))
+        other = sets.select(*LINE, c("keys").alias("keys_y"))
+        held = pairs.hint("merge").join(other, LINE).hint("merge").join(mine, [f"{k}_x" for k in LINE])
         inter = F.size(F.array_intersect("keys_x", "keys_y"))
-        return both.where(inter * (100 + percent) >= (F.size("keys_x") + F.size("keys_y")) * percent).select(*LINE).distinct()
+        return held.where(inter * (100 + percent) >= (F.size("keys_x") + F.size("keys_y")) * percent).select(*LINE).distinct()
 
-    c = F.col
-    later = F.struct("doc_id", "line") > F.struct("lead.doc_id", "lead.line")
-    star = met.where(later & fits(c("lead.n"), c("n"), c("lead.at"), c("at"))).select(*[c(f"lead.{k}").alias(f"{k}_x") for k in LINE], *LINE).distinct()
-    gone = staged(similar(star), "line-gone")
-    open_ = met.select("token", *LINE, "n", "at").hint("merge").join(gone, LINE, "left_anti")
-    earlier = met.select("token", *[c(k).alias(f"{k}_x") for k in [*LINE, "n", "at"]])
-    pairs = open_.hint("merge").join(earlier, "token").where((F.struct("doc_id_x", "line_x") < F.struct("doc_id", "line")) & fits(c("n_x"), c("n"), c("at_x"), c("at")))
-    pairs = pairs.groupBy(*LINE, *[f"{k}_x" for k in LINE]).agg(F.first("n").alias("n"), F.first("n_x").alias("n_x"), F.count(F.lit(1)).alias("shared"))
-    rest = lambda n: F.ceil(n * percent / 100) - 1  # noqa: E731  tokens beyond the prefix
-    pairs = pairs.where(c("shared") + F.greatest(rest(c("n")), rest(c("n_x"))) >= _needed(c("n"), c("n_x"), percent))
-    gone = gone.unionByName(similar(pairs.select(*LINE, *[f"{k}_x" for k in LINE]))).distinct().withColumn("gone", F.lit(True))
+    named = met.select("token", *[c(k).alias(f"{k}_x") for k in (*LINE, "n", "at", "before")])
+    star = pairs_of(met, leads).select(*both).distinct()
+    full_star = star.hint("merge").join(met.select(*LINE, "n", "token"), LINE).hint("merge").join(named.select("token", *[f"{k}_x" for k in (*LINE, "n")]), ["token", *[f"{k}_x" for k in LINE]])
+    gone = staged(similar(enough(full_star)), "line-gone")
+    open_ = met.hint("merge").join(gone, LINE, "left_anti")
+    gone = gone.unionByName(similar(enough(pairs_of(open_, named)))).distinct().withColumn("gone", F.lit(True))
 
     marked = classes.select(*LINE, "h2", "copies").join(gone, LINE, "left").where("copies > 1 OR gone").select("h1", "h2", F.struct("doc_id", "line").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
     judged = lines.select("doc_id", "line", "h1", "h2", "n").hint("merge").join(marked, ["h1", "h2"], "left")
@@ -147,10 +160,16 @@ def line_decisions(docs: DataFrame, *, span: int = 5, percent: int = 80) -> Data
     return out.toDF("doc_id", "line", "gone").select(F.when(c("doc_id") != FIRST_ID, c("doc_id")).alias("doc_id"), "line", F.coalesce("gone", F.lit(False)).alias("gone"))
 
 
-def _sets(source: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
-    """Full token sets of the lines whose (doc_id, line) were flagged, and of a few others; once each."""
-    some = flagged(lines_of(source), wanted, "doc_id", "line").withColumn("keys", tokens_of(F.col("body"), span)).where(F.size("keys") > 0)
-    return some.select("doc_id", "line", F.xxhash64("keys").alias("h1"), "keys").dropDuplicates(LINE)
+def _sets(source: DataFrame, lines: DataFrame, span: int) -> DataFrame:
+    """All columns of ``lines`` (doc_id, line, h1, ...) with the full token set of each as ``keys``.
+
+    The texts are read again, but only flagged documents are parted into lines and only flagged lines into tokens.
+    """
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID))
+    some = flagged(source.withColumn("doc_id", own), flags(lines, "doc_id"), "doc_id")
+    some = flagged(lines_of(some), flags(lines, "doc_id", "line"), "doc_id", "line")
+    sets = some.withColumn("keys", tokens_of(F.col("body"), span)).select("doc_id", "line", F.xxhash64("keys").alias("h1"), "keys")
+    return lines.hint("merge").join(sets, LINE).dropDuplicates(LINE)
 
 
 def removed_lines(docs: DataFrame, **rules) -> DataFrame:
