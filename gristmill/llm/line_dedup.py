@@ -50,12 +50,18 @@ def flags(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.select(F.shiftright(bit, 6).alias("__word"), one.alias("one")).groupBy("__word").agg(F.bit_or("one").alias("bits"))
 
 
-def flagged(rows: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
-    """``rows`` whose bit is set in ``table``: all that were flagged, and a few others."""
+def with_flag(rows: DataFrame, table: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """``rows`` and a boolean ``name``: whether its bit is set in ``table`` - true for all that were flagged, and a few others."""
     bit = F.pmod(F.xxhash64(*columns), F.lit(FLAGS))
     probe = rows.withColumn("__bit", bit).withColumn("__at", F.shiftright("__bit", 6))
-    met = probe.join(F.broadcast(table), probe["__at"] == table["__word"])
-    return met.where(F.call_function("getbit", F.col("bits"), F.pmod("__bit", F.lit(64)).cast("int")) == 1).select(*rows.columns)
+    met = probe.join(F.broadcast(table), probe["__at"] == table["__word"], "left")
+    known = F.coalesce(F.call_function("getbit", F.col("bits"), F.pmod("__bit", F.lit(64)).cast("int")) == 1, F.lit(False))
+    return met.select(*rows.columns, known.alias(name))
+
+
+def flagged(rows: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` whose bit is set in ``table``."""
+    return with_flag(rows, table, list(columns), "__met").where("__met").drop("__met")
 
 
 def _needed(nx: Column, ny: Column, percent: int) -> Column:

@@ -30,9 +30,9 @@ from gristmill.llm.components import components
 #: Members of a probe that one prefix tree holds.
 GROUP = 256
 #: n-grams in the table of common ones, at most.
-COMMON = 100_000
+COMMON = 400_000
 #: Documents counted at a time, and the share of them that must hold an n-gram for it to be listed.
-CHUNK_DOCS, COMMON_SHARE = 4_000, 0.001
+CHUNK_DOCS, COMMON_SHARE = 8_000, 0.00025
 #: Orders other than the global one whose minima name leaders.
 MINIMA = 4
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -166,7 +166,7 @@ def common_ngrams(docs: DataFrame, n: int) -> np.ndarray:
                 seen.add(mark)
                 parts.append(ngram_keys(text, n))
                 held += len(parts[-1])
-                if len(parts) >= CHUNK_DOCS or held > 4_000_000:
+                if len(parts) >= CHUNK_DOCS or held > 5_000_000:
                     yield listed(parts)
                     parts, seen, held = [], set(), 0
         if parts:

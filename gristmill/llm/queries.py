@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import embedding_dedup, language, line_dedup, ngram_join, packing, quality, sharding, tokens
+from gristmill.llm import embedding_dedup, language, line_dedup, ngram_join, packing, pieces, private_data, quality, sharding, tokens
 from gristmill.llm._shared import documents
 
 
@@ -44,6 +44,17 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_output(documents(spark, sf_dir).select("doc_id", "text"), word_bpe(), end_id=2, with_ids=False)
 
 
+def op6_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), n_best=3)
+
+
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replaced = private_data.replace_private(documents(spark, sf_dir).select("doc_id", "text"))
+    return replaced.select("doc_id", "text", "private_found", F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(documents(spark, sf_dir), n=3, percent=90)
 
@@ -58,7 +69,9 @@ QUERIES = {
     "op2_best_fit_shards": op2_best_fit_shards,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_token_files": op5_token_files,
+    "op6_nbest_pieces": op6_nbest_pieces,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_surrogates": op8_surrogates,
     "op9_sum_of_squares_packing": op9_sum_of_squares_packing,
     "op3_quality_rules": op3_quality_rules,
 }
