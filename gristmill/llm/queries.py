@@ -77,3 +77,12 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {}
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
