@@ -184,7 +184,7 @@ def encode_nbest(docs: DataFrame, model: str, *, n_best: int = 3) -> DataFrame:
 def decode_ids(encoded: DataFrame, model: str, ids: str = "ids") -> DataFrame:
     """All columns of ``encoded`` and the ``text`` of its column of ids (an existing ``text`` goes); null stays null."""
     kept = encoded.drop("text")
-    at, schema = kept.columns.index(ids), kept.withColumn("text", F.lit("")).schema
+    at, schema = kept.columns.index(ids), kept.withColumn("text", F.lit(None).cast("string")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattice(model, 1)
