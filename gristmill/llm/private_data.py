@@ -37,7 +37,7 @@ PATTERNS = [
     ("ip", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)")),
     ("id", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
-    ("phone", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w|[.-]\d)|(?<!\w)\+\d{8,15}(?!\w)")),
+    ("phone", re.compile(r"(?<!\w)\+\d(?:[ .()-]{0,2}\d){7,14}(?!\w|[.-]\d)|(?<![\w.])(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w|[.-]\d)")),
     ("card", re.compile(r"(?<!\w)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w)")),
     ("secret", re.compile(r"(?<!\w)(?=[A-Za-z_-]{0,200}\d)(?=[\d_-]{0,200}[A-Za-z])(?:[A-Fa-f0-9]{32,}|(?:sk|pk|ghp|gho|xox[abp]|AKIA|AIza|glpat)[A-Za-z0-9_-]{12,})(?!\w)")),
     ("name", re.compile(r"(?<!\w)(" + "|".join(t.capitalize() for t in TITLES) + r")(\.?[  ]+)((?:[^\W\d_a-z][^\W\d_]*['’-]?[^\W\d_]*[  ]?){1,3})")),
