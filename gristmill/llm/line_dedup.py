@@ -3,8 +3,8 @@
 A line's tokens are its distinct runs of five words (hashed to 64 bits). Tokens stand in a global order of rarity: those outside
 a bounded table of common ones first, by hash, then the common ones by how often they were met. Two lines with Jaccard >= 0.8
 share a token among the first few of each (prefix filter), are of similar size (length filter), and have enough tokens left after
-the first one they share (positional filter). Pairs that share too few tokens of their prefixes go; the rest is verified on the full sets. A line goes if an earlier line - by
-document id, then line number - is that similar, kept or not.
+the first one they share (positional filter). Pairs that share too few tokens of their prefixes go; the rest is verified on
+the full sets. A line goes if an earlier line - by document id, then line number - is that similar, kept or not.
 
 Lines with equal token sets are one class, so copies are never paired. Classes first meet two lines of each token's group, the
 earliest and the one with most copies; only those that find no match there go on to meet all earlier ones.
@@ -64,6 +64,17 @@ def flagged(rows: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
     return with_flag(rows, table, list(columns), "__met").where("__met").drop("__met")
 
 
+def _commonest(counts: DataFrame) -> DataFrame | None:
+    """The rows of ``counts`` (token, met) that were met most, at most ``COMMON``; null if none was met ``COMMON_COUNT`` times."""
+    level, often = F.floor(F.log2("met") * 8), counts.where(F.col("met") >= COMMON_COUNT)
+    kept, least = 0, None
+    for at, size in sorted(((r["level"], r["n"]) for r in often.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True):
+        if (kept := kept + size) > COMMON:
+            break
+        least = at
+    return None if least is None else often.where(level >= least)
+
+
 def _needed(nx: Column, ny: Column, percent: int) -> Column:
     """Least overlap of sets of these sizes with Jaccard >= percent / 100."""
     return F.ceil((nx + ny) * percent / (100 + percent) - 1e-9)
@@ -96,20 +107,21 @@ def line_decisions(docs: DataFrame, *, span: int = 5, percent: int = 80) -> Data
 
     # tokens that several classes have in their prefixes, and the common ones among them
     counts = staged(classes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("met")).where("met > 1"), "line-tokens")
-    levels = counts.where(F.col("met") >= COMMON_COUNT).groupBy(F.floor(F.log2("met") * 8).alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()
-    kept, least = 0, None
-    for level, size in sorted(((r["level"], r["n"]) for r in levels), reverse=True):
-        if (kept := kept + size) > COMMON:
-            break
-        least = level
-    common = counts.where((F.col("met") >= COMMON_COUNT) & (F.floor(F.log2("met") * 8) >= (least if least is not None else 1 << 20)))
+    common = _commonest(counts)
 
     tokens = classes.select(*LINE, "n", "copies", F.posexplode("prefix").alias("at", "token"))
     wanted = counts.select("token")
-    if least is not None:
+    if common is not None:
         # classes with a common token in the prefix: their prefixes in the order of rarity
-        again = staged(tokens.join(F.broadcast(common.select("token")), "token", "left_semi").select(*LINE, "copies").distinct(), "line-again")
-        full = _sets(source, again, span).select(*LINE, "copies", F.size("keys").alias("n"), F.explode("keys").alias("key")).withColumn("token", token(F.col("key")))
+        holding = lambda table: tokens.join(F.broadcast(table.select("token")), "token", "left_semi").select(*LINE, "copies").distinct()
+        again = staged(holding(common), "line-again")
+        sets = staged(_sets(source, again, span).select(*LINE, "copies", "keys"), "line-full")
+        # prefixes hide most tokens of a passage that many lines share: the whole sets show how common those are
+        held = sets.select(F.explode(F.transform("keys", token)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("met"))
+        common = staged(_commonest(counts.unionByName(held).groupBy("token").agg(F.max("met").alias("met"))), "line-common")
+        more = staged(holding(common).join(again, LINE, "left_anti"), "line-more")
+        sets, again = sets.unionByName(_sets(source, more, span).select(*LINE, "copies", "keys")), again.unionByName(more)
+        full = sets.select(*LINE, "copies", F.size("keys").alias("n"), F.explode("keys").alias("key")).withColumn("token", token(F.col("key")))
         ranked = full.join(F.broadcast(common), "token", "left").groupBy(*LINE, "n", "copies").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("met", F.lit(0)).alias("met"), "key", "token"))).alias("ordered"))
         renewed = ranked.select(*LINE, "n", "copies", F.posexplode(F.transform(F.slice("ordered", F.lit(1), _prefix(F.col("n"), percent)), lambda t: t["token"])).alias("at", "token"))
         renewed = staged(renewed, "line-renewed")
