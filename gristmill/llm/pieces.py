@@ -45,7 +45,15 @@ class Lattice:
         self.inside = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}
         self.n_best, self.max_parts = n_best, max_parts
         self.known: dict[str, tuple] = {}
-        self.parts = re.compile(rf"{BLANK}*[^{BLANK}\s]+|{BLANK}+|\s")
+        self.parts = self._cutter()
+
+    def _cutter(self) -> re.Pattern:
+        """Parts end before blanks and around white space, but never within a pair that a piece holds."""
+        bare = "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and not any(chr(c) in pair for pair in self.inside))
+        before = "".join(re.escape(pair[0]) for pair in self.inside if pair[1] == BLANK != pair[0])
+        word = f"[^{BLANK}{re.escape(bare)}]"
+        on = f"(?:(?<=[{before}]){BLANK}+{word}*)*" if before else ""
+        return re.compile(rf"{BLANK}*{word}+{on}|{BLANK}+|[{re.escape(bare)}]" if bare else rf"{BLANK}*{word}+{on}|{BLANK}+")
 
     def normal(self, text: str) -> str:
         """``text`` as the model sees it: a blank before it, and blanks as their sign."""
@@ -115,7 +123,7 @@ class Lattice:
         return out
 
     def part(self, text: str) -> tuple:
-        """(best score, its ids, what the second choice loses, n-best list) of a text without a blank inside."""
+        """(best score, its ids, what the second choice loses, n-best list) of a part of a text; it is cut further where no piece reaches across."""
         if (known := self.known.get(text)) is None:
             inside = self.inside
             cuts = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in inside]

@@ -2,6 +2,7 @@
 
 import itertools
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -204,6 +205,24 @@ def test_nbest_against_every_segmentation(text):
     assert all(own.decode(i) == text for _, i in got)
 
 
+@pytest.mark.parametrize("text", ["a;\r\n", "x();\r\ny\r\n", "a\r\rb", " \r\n {\r\n\t}", "\r", "a \r\r\n\r"])
+def test_nbest_of_carriage_returns(text):
+    """Pieces of the model hold '\\r' behind other characters: no text may be cut there."""
+    test_nbest_against_every_segmentation(text)
+
+
+def test_parts_are_never_cut_within_a_piece():
+    own, text = lattice(), "int x;\r\ny();\r\n"
+    ids = [i for (i,) in struct.iter_unpack("<I", own.encode(text)[0][1])]
+    assert ";\r" in {own.model.id_to_piece(i) for i in ids}
+    for text in (text, "if (a) {\r\n\treturn  b;\r\r\n}\x0b\x0c\u2028 c\u3000d \r e\n\n f"):
+        parts = own.parts.findall(own.normal(text))
+        assert "".join(parts) == own.normal(text)
+        assert not any(a[-1] + b[0] in own.inside for a, b in itertools.pairwise(parts))
+    own.inside = own.inside | {"x▁", "\n\n"}  # a model whose pieces reach over blanks and line ends
+    assert own._cutter().findall("▁x▁▁y▁ax▁\n\nb\tc") == ["▁x▁▁y", "▁ax▁\n\nb", "\t", "c"]
+
+
 def test_nbest_of_odd_texts(spark, odd):
     rows = pieces.encode_nbest(odd, public_tokenizers.path("piece_bpe_32k.model")).collect()
     by = dict(ODD)
