@@ -1,7 +1,7 @@
 """Near-duplicate lines across all documents by an exact set-similarity join, built-in Spark expressions only.
 
-A line's tokens are its distinct runs of five words (hashed to 64 bits). Tokens stand in a global order of rarity: those outside
-a bounded table of common ones first, by hash, then the common ones by how often they were met. Two lines with Jaccard >= 0.8
+A line's tokens are its distinct runs of five words (hashed to 64 bits); a line of fewer words that is long in
+characters is one token. Tokens stand in a global order of rarity: those outside a bounded table of common ones first, by hash, then the common ones by how often they were met. Two lines with Jaccard >= 0.8
 share a token among the first few of each (prefix filter), are of similar size (length filter), and have enough tokens left after
 the first one they share (positional filter). Pairs that share too few tokens of their prefixes go; the rest is verified on
 the full sets. A line goes if an earlier line - by document id, then line number - is that similar, kept or not.
@@ -23,16 +23,25 @@ FLAGS = 1 << 26
 #: Rows of the table of common tokens, at most, and the count from which a token can be common.
 COMMON, COMMON_COUNT = 50_000, 64
 FIRST_ID = -(1 << 63)
+#: Characters that count as a word in a line of few words, and one character of the scripts written without blanks.
+LONG_WORD, UNSPACED = 8, r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 LINE = ["doc_id", "line", "h1"]
 
 
 def tokens_of(line: Column, span: int) -> Column:
-    """Sorted distinct hashes of the runs of ``span`` words in ``line``; none if it has fewer words."""
+    """Sorted distinct hashes of the runs of ``span`` words in ``line``.
+
+    A line of fewer words has its whole word sequence as its one token if it is long in characters: ``LONG_WORD`` for each of
+    ``span`` words, or ``span`` characters of a script written without blanks. Other short lines and blank ones have none.
+    """
+    unspaced = line.rlike(f"(?:{UNSPACED}[^\\n]*?){{{span}}}")
 
     def runs(words: Column) -> Column:
         last = F.size(words) - span
         made = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(span)]))
-        return F.when(last >= 0, F.sort_array(F.array_distinct(made))).otherwise(F.array().cast("array<bigint>"))
+        long = (F.length(F.array_join(words, " ")) >= LONG_WORD * span) | unspaced
+        whole = F.when((F.size(words) > 0) & long, F.array(F.xxhash64(words)))
+        return F.when(last >= 0, F.sort_array(F.array_distinct(made))).otherwise(F.coalesce(whole, F.array().cast("array<bigint>")))
 
     return let(words_of(line), runs)
 
@@ -87,8 +96,8 @@ def _prefix(n: Column, percent: int) -> Column:
 def line_decisions(docs: DataFrame, *, span: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id``, ``line``, and ``gone``: whether an earlier line is at least ``percent`` % similar to it.
 
-    Lines of fewer than ``span`` words have no token and stay, blank ones too. Null and empty texts are one blank line. Rows
-    of one doc_id with equal texts count as one document; null ids come out as null and stand before all others. Other
+    Lines of fewer than ``span`` words stay if they are short in characters too, as blank ones do (:func:`tokens_of`). Null
+    and empty texts are one blank line. Rows of one doc_id with equal texts count as one document; null ids come out as null and stand before all others. Other
     columns of ``docs`` aren't read; an empty table gives an empty result.
     """
     source = docs.select("doc_id", "text")

@@ -147,6 +147,16 @@ def test_line_dedup_orders_tokens_of_common_passages(spark):
     assert not any(r["gone"] for r in line_dedup.line_decisions(frame(spark, rows)).collect())
 
 
+def test_line_dedup_of_long_lines_of_few_words(spark):
+    """Text without blanks is one word a line: copies of it go all the same; bare short lines stay."""
+    han, thai, kana = "本文经授权转载自公众号，未经许可不得转载。", "สงวนลิขสิทธิ์ทุกประการ", "すべての 権利を 保有します"
+    url = "https://example.org/" + "a/" * 20
+    lines = [han, thai, kana, url, f"see {url}", "All rights reserved.", "日本", "}", " "]
+    rows = [(d, "\n".join(lines)) for d in range(3)] + [(3, f"  {han}\t"), (4, han[:-1]), (5, f"see  {url}\r")]
+    got = {(r["doc_id"], r["line"]) for r in line_dedup.line_decisions(frame(spark, rows)).collect() if r["gone"]}
+    assert got == {(d, k) for d in (1, 2) for k in range(5)} | {(3, 0), (5, 0)}
+
+
 def test_line_dedup_of_odd_rows(spark):
     line = "one two three four five six"
     got = line_dedup.line_decisions(frame(spark, [(1, line), (1, line), (None, line), (2, line + "\n" + line)])).collect()
