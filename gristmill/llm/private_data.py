@@ -30,6 +30,8 @@ GIVEN = {
 }
 SURNAMES = ["Abel", "Berg", "Castro", "Dumas", "Ebert", "Fabre", "Garner", "Hale", "Ibanez", "Jensen", "Keller", "Lambert", "Marsh", "Navarro", "Olsen", "Perrin", "Quill", "Rossi", "Sander", "Torres", "Ullman", "Vidal", "Weber", "Young"]
 SYLLABLES = ["ba", "bel", "cor", "da", "den", "el", "fa", "gar", "hal", "i", "jo", "kan", "la", "lin", "mar", "mo", "na", "nor", "o", "pel", "ra", "ros", "sa", "tan", "ter", "u", "val", "vin", "wel", "za"]
+#: Attempts after which surrogates grow.
+WIDER = 3
 
 _D = r"(?<![\w.])"
 PATTERNS = [
@@ -107,15 +109,21 @@ def _like(char: str, s: Stream) -> str:
 
 
 def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
-    """The canonical surrogate of an entity: of the same kind, length class and script as ``value``."""
+    """The canonical surrogate of an entity: of the same kind, length class and script as ``value``.
+
+    From the attempt ``WIDER`` on it is longer by one character more every ``WIDER`` attempts, so that a free one always exists.
+    """
     s = Stream(key, kind, value, attempt)
+    more = attempt // WIDER
+    if kind == "ip" and more:  # any address, then octets of a wider range than real ones have
+        return ".".join(str(s.below(256 if more == 1 else 10 ** min(more + 2, 9))) for _ in range(4))
     if kind == "ip":
         return ".".join(str({1: lambda: s.below(10), 2: lambda: 10 + s.below(90), 3: lambda: 100 + s.below(156)}[len(o)]()) for o in value.split("."))
     if kind in ("phone", "id"):
         keep = 1 if kind == "phone" and len(value) > 10 else 0  # the country code
-        return value[:keep] + "".join(str(s.below(10)) for _ in value[keep:])
+        return value[:keep] + "".join(str(s.below(10)) for _ in value[keep:] + "0" * more)
     if kind == "card":
-        made = value[0] + "".join(str(s.below(10)) for _ in value[1:])
+        made = value[0] + "".join(str(s.below(10)) for _ in value[1:] + "0" * more)
         if _luhn(value) == 0:  # a valid number gets a valid one
             made = made[:-1] + "0"
             made = made[:-1] + str(-_luhn(made) % 10)
@@ -123,21 +131,21 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     if kind == "email":
         local, _, domain = value.rpartition("@")
         *names, top = domain.split(".")
-        return "".join(_like(c, s) for c in local) + "@" + ".".join("".join(_like(c, s) for c in n) for n in names) + "." + top
+        return "".join(_like(c, s) for c in local + "a" * more) + "@" + ".".join("".join(_like(c, s) for c in n) for n in names) + "." + top
     if kind == "iban":
-        return value[:2] + "".join(_like(c, s) for c in value[2:])
+        return value[:2] + "".join(_like(c, s) for c in value[2:] + "0" * more)
     if kind == "secret" and re.fullmatch(r"[A-Fa-f0-9]+", value):
-        return "".join(("ABCDEF0123456789" if value.upper() == value else "abcdef0123456789")[s.below(16)] for _ in value)
+        return "".join(("ABCDEF0123456789" if value.upper() == value else "abcdef0123456789")[s.below(16)] for _ in value + "0" * more)
     if kind.startswith("given_") or kind == "surname":
         latin = all(unicodedata.name(c, "").startswith("LATIN") for c in value if c.isalpha())
         if not latin:
-            return "".join(_like(c, s) for c in value)
+            return "".join(_like(c, s) for c in value + value[-1] * more)
         names = SURNAMES if kind == "surname" else GIVEN[kind[-1]]
         made = names[s.below(len(names))]
         if attempt:  # the lists are short: longer names once one is taken
             made += "".join(SYLLABLES[s.below(len(SYLLABLES))] for _ in range(1 + attempt))
         return made.upper() if value.isupper() and len(value) > 1 else made
-    return "".join(_like(c, s) for c in value)
+    return "".join(_like(c, s) for c in value + "a" * more)
 
 
 def _luhn(digits: str) -> int:
@@ -152,13 +160,13 @@ def _formatted(mention: str, canonical: str, kind: str) -> str:
     """``canonical`` in the writing of ``mention``: its separators, and its upper case for an address."""
     if kind in ("phone", "card", "id", "iban"):
         left = iter(canonical)
-        return "".join(next(left, "") if c.isalnum() else c for c in mention)
+        return "".join(next(left, "") if c.isalnum() else c for c in mention) + "".join(left)
     if kind == "email":
         return canonical.upper() if mention.isupper() else canonical
     return canonical
 
 
-def _surrogates(entities: DataFrame, key: bytes, max_rounds: int = 20) -> DataFrame:
+def _surrogates(entities: DataFrame, key: bytes) -> DataFrame:
     """kind, value, surrogate: one to one within a kind, and no surrogate is an entity of the corpus."""
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +177,7 @@ def _surrogates(entities: DataFrame, key: bytes, max_rounds: int = 20) -> DataFr
 
     schema = "kind string, value string, attempt int, surrogate string"
     drawn = staged(entities.withColumn("attempt", F.lit(0)).mapInArrow(draw, schema), "surrogates")
-    for _ in range(max_rounds):
+    while True:
         owner = drawn.groupBy("kind", F.lower("surrogate").alias("low")).agg(F.min(F.struct("attempt", "value")).alias("first"))
         real = entities.select("kind", F.lower("value").alias("low")).distinct().withColumn("real", F.lit(True))
         judged = drawn.withColumn("low", F.lower("surrogate")).join(owner, ["kind", "low"]).join(real, ["kind", "low"], "left")
@@ -179,8 +187,6 @@ def _surrogates(entities: DataFrame, key: bytes, max_rounds: int = 20) -> DataFr
             break
         anew = judged.where("again").select("kind", "value", (F.col("attempt") + 1).alias("attempt")).mapInArrow(draw, schema)
         drawn = staged(judged.where("NOT again").drop("again").unionByName(anew), "surrogates")
-    else:
-        raise RuntimeError(f"surrogates still collide after {max_rounds} rounds")
     return drawn.select("kind", "value", "surrogate")
 
 

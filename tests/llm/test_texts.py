@@ -262,6 +262,19 @@ def test_surrogates_stay_distinct(spark):
     assert not hosts & {f"10.0.0.{k}" for k in range(200)}
 
 
+def test_surrogates_where_no_form_is_free(spark):
+    """Addresses without a letter, and a form of which most is taken by real ones: each still gets a surrogate of its own."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    real = ["_@_._", "--@--.x", *[f"{a}@{b}.com" for a in letters for b in letters][:670]]
+    got = private_data.replace_private(spark.createDataFrame(list(enumerate(real)), "doc_id long, text string")).collect()
+    made = {r["text"] for r in got}
+    assert len(got) == len(made) == len(real) and not made & set(real)
+    assert all(r["private_found"] == 1 for r in got)
+    for kind, value, mention in (("phone", "5551234", "555-1234"), ("card", "4111111111111111", "4111 1111 1111 1111"), ("id", "123456789", "123-45-6789"), ("ip", "1.2.3.4", "1.2.3.4"), ("surname", "李", "李")):
+        drawn = {private_data._formatted(mention, private_data.surrogate(b"k", kind, value, a), kind) for a in range(30, 330)}
+        assert len(drawn) == 300, kind
+
+
 def test_private_data_of_no_rows(spark, odd):
     assert private_data.replace_private(odd.limit(0)).count() == 0
     assert private_data.replace_private(odd).count() == len(ODD)
