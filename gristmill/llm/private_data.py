@@ -1,6 +1,6 @@
 """Private data replaced by surrogates that keep their kind, format, script and gender.
 
-Mentions of e-mail and network addresses, phone, card and identity numbers, secrets and titled names are detected in whole
+Mentions of e-mail and network addresses (IPv4 and IPv6), phone, card and identity numbers, secrets and titled names are detected in whole
 texts. Each distinct entity (kind and canonical value, so that two ways to write one number meet) gets one surrogate from a
 keyed hash, the same everywhere: coreference holds within and across documents. A surrogate that two entities drew,
 or that is a real entity of the corpus, is drawn again by all but one, until none is left: distinct entities stay distinct.
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -34,32 +35,41 @@ SYLLABLES = ["ba", "bel", "cor", "da", "den", "el", "fa", "gar", "hal", "i", "jo
 WIDER = 3
 
 _D = r"(?<![\w.])"
+_LOWER = "".join(c for c in map(chr, range(0x80, 0x2000)) if c.islower() and c.isalpha())
 PATTERNS = [
     ("email", re.compile(r"[^\s@<>()\[\]\"',;:]{1,64}@[\w-]+(?:\.[\w-]+)+")),
     ("ip", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)")),
+    ("ipv6", re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}(?:(?:\d{1,3}\.){3}\d{1,3}|[0-9A-Fa-f]{1,4}|(?<=::))(?![\w:]|\.\d)")),
     ("id", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
     ("phone", re.compile(r"(?<!\w)\+\d(?:[ .()-]{0,2}\d){7,14}(?!\w|[.-]\d)|(?<![\w.])(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w|[.-]\d)")),
     ("card", re.compile(r"(?<!\w)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w)")),
     ("secret", re.compile(r"(?<!\w)(?=[A-Za-z_-]{0,200}\d)(?=[\d_-]{0,200}[A-Za-z])(?:[A-Fa-f0-9]{32,}|(?:sk|pk|ghp|gho|xox[abp]|AKIA|AIza|glpat)[A-Za-z0-9_-]{12,})(?!\w)")),
-    ("name", re.compile(r"(?<!\w)(" + "|".join(t.capitalize() for t in TITLES) + r")(\.?[  ]+)((?:[^\W\d_a-z][^\W\d_]*['’-]?[^\W\d_]*[  ]?){1,3})")),
+    ("name", re.compile(r"(?<!\w)((?i:" + "|".join(TITLES) + r"))(\.?[  ]+)((?:(?!(?i:" + "|".join(TITLES) + r")(?!\w))[^\W\d_a-z" + _LOWER + r"][^\W\d_]*['’-]?[^\W\d_]*[  ]?)+)")),
 ]
 
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, canonical value) of the mentions in ``text``, in order, none within another."""
+    """(start, end, kind, canonical value) of the mentions in ``text``, in order, none within another.
+
+    Names found after a title are looked up in the rest of the text, but for words that it also writes in lower case.
+    """
     found: list[tuple[int, int, str, str]] = []
     digits = any(c in text for c in "0123456789")
     for kind, pattern in PATTERNS:
-        if kind == "email" and "@" not in text or kind in ("ip", "id", "iban", "phone", "card", "secret") and not digits:
+        if kind == "email" and "@" not in text or kind in ("ip", "ipv6", "id", "iban", "phone", "card", "secret") and not digits:
             continue
         for m in pattern.finditer(text):
             if kind == "name":
                 found += _names(m)
+            elif kind == "ipv6":
+                if (value := _ipv6(m.group())) is not None:
+                    found.append((*m.span(), kind, value))
             else:
                 value = m.group().rstrip(".-") if kind == "email" else m.group()
                 canonical = re.sub(r"\D", "", value) if kind in ("phone", "card", "id") else value.replace(" ", "") if kind == "iban" else value.lower() if kind == "email" else value
                 found.append((m.start(), m.start() + len(value), kind, canonical))
+    found += _again(text, {value: kind for _, _, kind, value in reversed(found) if kind.startswith("given_") or kind == "surname"})
     out, end = [], 0
     for one in sorted(found, key=lambda x: (x[0], -x[1])):
         if one[0] >= end:
@@ -68,16 +78,36 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
+def _ipv6(text: str) -> str | None:
+    """The canonical form of an IPv6 address; null if ``text`` is none, or has no digit (``a::b`` in source code)."""
+    try:
+        return str(ipaddress.IPv6Address(text)) if any(c.isdigit() for c in text) else None
+    except ValueError:
+        return None
+
+
 def _names(m: re.Match) -> list[tuple[int, int, str, str]]:
+    """The capitalised words after a title, the last one as the surname; equal names in other case are one entity."""
     gender, at, words = TITLES[m.group(1).lower()], m.start(3), m.group(3).split()
     out = []
     for k, word in enumerate(words):
         start = m.string.index(word, at)
         at = start + len(word)
-        out.append((start, at, f"given_{gender}" if k < len(words) - 1 else "surname", word))
+        word = re.sub(r"['’][sS]?$|-$", "", word)
+        if word:
+            out.append((start, start + len(word), f"given_{gender}" if k < len(words) - 1 else "surname", word.lower()))
     return out
 
 
+def _again(text: str, names: dict[str, str]) -> list[tuple[int, int, str, str]]:
+    """All mentions of ``names`` (in lower case, with their kinds) in ``text``, with a title or without."""
+    if not names:
+        return []
+    said = [(m.start(), m.end(), m.group()) for m in re.finditer(r"(?<!\w)(?i:" + "|".join(map(re.escape, sorted(names, key=len, reverse=True))) + r")(?!\w)", text)]
+    common = {word.lower() for _, _, word in said if word[0].islower()}
+    return [(start, end, names[word.lower()], word.lower()) for start, end, word in said if word.lower() in names and word.lower() not in common]
+
+
 class Stream:
     """Numbers from a keyed hash of an entity and the attempt."""
 
@@ -119,6 +149,10 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         return ".".join(str(s.below(256 if more == 1 else 10 ** min(more + 2, 9))) for _ in range(4))
     if kind == "ip":
         return ".".join(str({1: lambda: s.below(10), 2: lambda: 10 + s.below(90), 3: lambda: 100 + s.below(156)}[len(o)]()) for o in value.split("."))
+    if kind == "ipv6":
+        groups = value.split(":") if more < 2 else ["0000"] * 8
+        drawn = ["".join("0123456789abcdef"[s.below(16)] for _ in g + "0" * (more and 4 - len(g))) if g else "" for g in groups]
+        return str(ipaddress.IPv6Address(":".join(drawn)))
     if kind in ("phone", "id"):
         keep = 1 if kind == "phone" and len(value) > 10 else 0  # the country code
         return value[:keep] + "".join(str(s.below(10)) for _ in value[keep:] + "0" * more)
@@ -144,7 +178,7 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         made = names[s.below(len(names))]
         if attempt:  # the lists are short: longer names once one is taken
             made += "".join(SYLLABLES[s.below(len(SYLLABLES))] for _ in range(1 + attempt))
-        return made.upper() if value.isupper() and len(value) > 1 else made
+        return made
     return "".join(_like(c, s) for c in value + "a" * more)
 
 
@@ -161,8 +195,10 @@ def _formatted(mention: str, canonical: str, kind: str) -> str:
     if kind in ("phone", "card", "id", "iban"):
         left = iter(canonical)
         return "".join(next(left, "") if c.isalnum() else c for c in mention) + "".join(left)
-    if kind == "email":
+    if kind in ("email", "ipv6"):
         return canonical.upper() if mention.isupper() else canonical
+    if kind.startswith("given_") or kind == "surname":
+        return canonical.upper() if mention.isupper() and len(mention) > 1 else canonical[:1].upper() + canonical[1:]
     return canonical
 
 

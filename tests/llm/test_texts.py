@@ -262,6 +262,22 @@ def test_surrogates_stay_distinct(spark):
     assert not hosts & {f"10.0.0.{k}" for k in range(200)}
 
 
+def test_names_of_any_length_and_their_other_mentions(spark):
+    long = "Mr Juan Carlos Garcia Lopez came. MR SMITH and prof Weiss met Mrs Clark; Clark said CLARK's dog and Smith agreed. Lopez left."
+    common = "Mrs Baker came, said Baker. The baker met Miss Rose’s cat."
+    hosts = "At 2001:DB8:0:0:0:0:0:5a1 and 2001:db8::5a1, fe80::1, std::a::b at 12:30:45, a::b"
+    rows = [(1, long), (2, common), (3, hosts), (4, "господин Иванов пришел домой, Иванов устал и господин Петров")]
+    by = {r["doc_id"]: r for r in private_data.replace_private(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not re.search(r"juan|carlos g|garcia|lopez|smith|weiss|clark", by[1]["text"].lower()) and by[1]["private_found"] == 11
+    m = re.fullmatch(r"Mr \w+ \w+ \w+ (\w+) came\. MR ([A-Z]+) and prof \w+ met Mrs (\w+); (\w+) said ([A-Z]+)'s dog and (\w+) agreed\. (\w+) left\.", by[1]["text"])
+    assert m[1] == m[7] and m[2] == m[6].upper() and m[3] == m[4] and m[3].upper() == m[5]
+    assert "The baker met" in by[2]["text"] and "Mrs Baker" not in by[2]["text"] and "Rose" not in by[2]["text"]
+    assert not re.search("5a1|fe80", by[3]["text"].lower()) and by[3]["text"].endswith("std::a::b at 12:30:45, a::b") and by[3]["private_found"] == 3
+    assert "Иванов" not in by[4]["text"] and "пришел домой" in by[4]["text"] and "Петров" not in by[4]["text"] and by[4]["private_found"] == 3
+    first, second = re.search(r"At (\S+) and (\S+),", by[3]["text"]).groups()
+    assert first.lower() == second.lower()
+
+
 def test_surrogates_where_no_form_is_free(spark):
     """Addresses without a letter, and a form of which most is taken by real ones: each still gets a surrogate of its own."""
     letters = "abcdefghijklmnopqrstuvwxyz"
