@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,13 +65,22 @@ def rates(events: DataFrame, width: str, seconds: int) -> DataFrame:
 def accepted_deliveries(deliveries: DataFrame, ttl_seconds: int) -> DataFrame:
     """key, at of the deliveries (key, at in whole seconds) that aren't repeats within the time to live of the last accepted one.
 
-    A fold over each key's sorted times inside one expression; a key with a very long history belongs into
-    :func:`gristmill.streaming.deliveries.dedupe`, which holds one time for each.
+    Keys are dealt out and sorted by time; a pass over the rows holds the last accepted time of one key, never a key's history.
     """
-    held = deliveries.groupBy("key").agg(F.sort_array(F.collect_list("at")).alias("ts"))
-    start = F.array().cast("array<bigint>")
-    fold = F.aggregate("ts", start, lambda kept, t: F.when((F.size(kept) == 0) | (t - F.element_at(kept, -1) > ttl_seconds), F.concat(kept, F.array(t))).otherwise(kept))
-    return held.select("key", F.explode(fold).alias("at"))
+    kind = deliveries.schema["key"].dataType.simpleString()
+    dealt = deliveries.where("at IS NOT NULL").select("key", F.col("at").cast("long").alias("at")).repartition("key").sortWithinPartitions("key", "at")
+
+    def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, of, last = False, None, 0
+        for batch in batches:
+            kept = []
+            for key, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                kept.append(not begun or key != of or at - last > ttl_seconds)
+                if kept[-1]:
+                    begun, of, last = True, key, at
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return dealt.mapInArrow(accept, f"key {kind}, at long")
 
 
 def transcript(messages: DataFrame) -> DataFrame:

@@ -78,6 +78,21 @@ def test_widened_question(spark):
     assert got[2].startswith("and expiry? src/auth.ts checkToken") and got[2].endswith("login")
 
 
+def test_accepted_deliveries_hold_no_history(spark):
+    """One key with most of the rows, over many batches: no array of its history is built."""
+    rows = spark.range(60_000).selectExpr("CASE WHEN id % 3 = 0 THEN id % 7 ELSE -1 END AS key", "id AS at")
+    found = activity.accepted_deliveries(rows, 10)
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got, want = {tuple(r) for r in found.collect()}, set()
+    last = {}
+    for i in range(60_000):
+        key = i % 7 if i % 3 == 0 else -1
+        if key not in last or i - last[key] > 10:
+            last[key] = i
+            want.add((key, i))
+    assert got == want
+
+
 def test_accepted_deliveries_stream_as_in_batch(spark, tmp_path):
     for k, rows in enumerate([[("a", 0), ("a", 10), ("b", 5)], [("a", 3700), ("b", 3605), ("b", 3606)]]):
         spark.createDataFrame(rows, "key string, at long").coalesce(1).write.mode("append").parquet(str(tmp_path / f"in{k}"))
