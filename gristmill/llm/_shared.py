@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: ASCII white space as the contracts define it; everything else belongs to a word.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+#: Spark's setting to remove the shuffle files of an execution when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,27 +24,55 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="gristmill-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there.
 
-    A lost executor loses nothing of it, and later stages read only the columns they need.
+    A lost executor loses nothing of it, and later stages read only the columns they need. The shuffle files of the write
+    go with it, as nothing reads them again.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gristmill-staged/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{folder or shared_dir(spark) + '/gristmill-staged'}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(spark: SparkSession) -> None:
-    """Delete every staged table under the shared folder; call it once results are written."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    path = hadoop.Path(f"{shared_dir(spark)}/gristmill-staged")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+class Scratch:
+    """The staged tables of one run of an operator, in a folder of their own.
+
+    An operator drops each table once no later step reads it; what its lazy result reads stays (small tables of
+    decisions, as a rule) until :meth:`close` or the end of the shared folder.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, f"{shared_dir(spark)}/gristmill-staged/{name}-{uuid.uuid4().hex}"
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` as a staged table; a name may be used again."""
+        return staged(df, name, f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Delete all tables of these names."""
+        for name in names:
+            self._delete(f"{self.folder}/{name}")
+
+    def close(self) -> None:
+        self._delete(self.folder)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def let(value: Column, body) -> Column:
@@ -50,5 +80,13 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def free_name(columns: list[str], wish: str) -> str:
+    """``wish`` with underscores before it until no column of ``columns`` has that name, in any case."""
+    taken = {c.lower() for c in columns}
+    while wish.lower() in taken:
+        wish = "_" + wish
+    return wish
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm._shared import staged
+from gristmill.llm._shared import Scratch
 
 #: Links that a task contracts at a time before anything is shuffled.
 CONTRACT_ROWS = 200_000
@@ -50,10 +50,11 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     smallest one, first the larger neighbours, then the smaller, and is written to the shared folder. Minima are
     aggregated before they are shuffled, and joins on an id with very many links are split by Spark.
     """
+    scratch = Scratch(links.sparkSession, "components")
     edges = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").mapInArrow(_contract, "a long, b long")
-    edges = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    edges = scratch.put(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "round0")
     before = None
-    for _ in range(max_rounds):
+    for k in range(max_rounds):
         mark = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31))).alias("h")).first()
         if mark == before or not mark["n"]:
             break
@@ -63,7 +64,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.hint("merge").join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         lower = large.hint("merge").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = staged(lower.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+        edges = scratch.put(lower.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), f"round{k + 1}")
+        scratch.drop(f"round{k}")
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = edges.select(F.col("a").alias("id"), F.col("b").alias("component_id"))

@@ -1,7 +1,7 @@
 """Near-duplicate lines across all documents by an exact set-similarity join, built-in Spark expressions only.
 
-A line's tokens are its distinct runs of five words (hashed to 64 bits); a line of fewer words that is long in
-characters is one token. Tokens stand in a global order of rarity: those outside a bounded table of common ones first, by hash, then the common ones by how often they were met. Two lines with Jaccard >= 0.8
+A line's tokens are its distinct runs of five words (hashed to 64 bits); a line of fewer words is one token, so that its
+copies go too. Tokens stand in a global order of rarity: those outside a bounded table of common ones first, by hash, then the common ones by how often they were met. Two lines with Jaccard >= 0.8
 share a token among the first few of each (prefix filter), are of similar size (length filter), and have enough tokens left after
 the first one they share (positional filter). Pairs that share too few tokens of their prefixes go; the rest is verified on
 the full sets. A line goes if an earlier line - by document id, then line number - is that similar, kept or not.
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm._shared import let, staged
+from gristmill.llm._shared import Scratch, free_name, let
 from gristmill.llm.quality import words_of
 
 #: Bits of the flag tables that thin out rows before a shuffle; broadcast, at most FLAGS / 64 rows of two longs.
@@ -23,24 +23,23 @@ FLAGS = 1 << 26
 #: Rows of the table of common tokens, at most, and the count from which a token can be common.
 COMMON, COMMON_COUNT = 50_000, 64
 FIRST_ID = -(1 << 63)
-#: Characters that count as a word in a line of few words, and one character of the scripts written without blanks.
-LONG_WORD, UNSPACED = 8, r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+#: What a line of few words must hold to count: a letter or digit. Bare marks (a brace, a rule of dashes) belong to the form of a text.
+SAYS = r"[\p{L}\p{N}]"
 LINE = ["doc_id", "line", "h1"]
 
 
 def tokens_of(line: Column, span: int) -> Column:
     """Sorted distinct hashes of the runs of ``span`` words in ``line``.
 
-    A line of fewer words has its whole word sequence as its one token if it is long in characters: ``LONG_WORD`` for each of
-    ``span`` words, or ``span`` characters of a script written without blanks. Other short lines and blank ones have none.
+    A line of fewer words has its whole word sequence as its one token if it holds a letter or digit. Lines of bare marks
+    and blank ones have none.
     """
-    unspaced = line.rlike(f"(?:{UNSPACED}[^\\n]*?){{{span}}}")
 
     def runs(words: Column) -> Column:
         last = F.size(words) - span
-        made = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(span)]))
-        long = (F.length(F.array_join(words, " ")) >= LONG_WORD * span) | unspaced
-        whole = F.when((F.size(words) > 0) & long, F.array(F.xxhash64(words)))
+        each = lambda hashes: F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(span)]))
+        made = let(F.transform(words, lambda w: F.xxhash64(w)), each)
+        whole = F.when((F.size(words) > 0) & line.rlike(SAYS), F.array(F.xxhash64(words)))
         return F.when(last >= 0, F.sort_array(F.array_distinct(made))).otherwise(F.coalesce(whole, F.array().cast("array<bigint>")))
 
     return let(words_of(line), runs)
@@ -74,14 +73,18 @@ def flagged(rows: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
 
 
 def _commonest(counts: DataFrame) -> DataFrame | None:
-    """The rows of ``counts`` (token, met) that were met most, at most ``COMMON``; null if none was met ``COMMON_COUNT`` times."""
+    """The rows of ``counts`` (token, met) that were met most, about ``COMMON`` at most; null if none was met ``COMMON_COUNT`` times.
+
+    Whole levels of commonness as far as they fit, and of the next one the share that still does, by a hash of the token.
+    """
     level, often = F.floor(F.log2("met") * 8), counts.where(F.col("met") >= COMMON_COUNT)
-    kept, least = 0, None
-    for at, size in sorted(((r["level"], r["n"]) for r in often.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True):
-        if (kept := kept + size) > COMMON:
-            break
-        least = at
-    return None if least is None else often.where(level >= least)
+    sizes = sorted(((r["level"], r["n"]) for r in often.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    room = COMMON
+    for at, size in sizes:
+        if size >= room:
+            return often.where((level > at) | ((level == at) & (F.pmod(F.xxhash64("token"), F.lit(1 << 30)) < (room << 30) // size)))
+        room -= size
+    return often if sizes else None
 
 
 def _needed(nx: Column, ny: Column, percent: int) -> Column:
@@ -96,10 +99,12 @@ def _prefix(n: Column, percent: int) -> Column:
 def line_decisions(docs: DataFrame, *, span: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id``, ``line``, and ``gone``: whether an earlier line is at least ``percent`` % similar to it.
 
-    Lines of fewer than ``span`` words stay if they are short in characters too, as blank ones do (:func:`tokens_of`). Null
-    and empty texts are one blank line. Rows of one doc_id with equal texts count as one document; null ids come out as null and stand before all others. Other
+    A line of fewer than ``span`` words is compared as a whole; blank lines and lines of bare marks stay (:func:`tokens_of`). Of
+    equal lines the first stays. Texts and lines of any length are taken whole. Null and empty texts are one blank line. Rows of one doc_id with equal texts count as one document; null ids come out as null and stand before all others. Other
     columns of ``docs`` aren't read; an empty table gives an empty result.
     """
+    scratch = Scratch(docs.sparkSession, "line-dedup")
+    staged = scratch.put
     source = docs.select("doc_id", "text")
     token = lambda k: F.hash(k)  # noqa: E731  32 bits are enough to meet on; verification uses the full hashes
     whole = lines_of(source).withColumn("keys", tokens_of(F.col("body"), span)).drop("body").withColumn("n", F.size("keys"))
@@ -114,11 +119,12 @@ def line_decisions(docs: DataFrame, *, span: int = 5, percent: int = 80) -> Data
     classes = lines.where("n > 0").groupBy("h1", "h2").agg(first.alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("copies"))
     classes = staged(classes.select("h1", "h2", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"), "n", "prefix", "copies"), "line-classes")
 
-    # tokens that several classes have in their prefixes, and the common ones among them
-    counts = staged(classes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("met")).where("met > 1"), "line-tokens")
+    # tokens that several classes have in their prefixes, and the common ones among them; sets so small that only equal ones are similar need none
+    classes_met = classes.where(F.col("n") * 100 >= (F.col("n") + 1) * percent)
+    counts = staged(classes_met.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("met")).where("met > 1"), "line-tokens")
     common = _commonest(counts)
 
-    tokens = classes.select(*LINE, "n", "copies", F.posexplode("prefix").alias("at", "token"))
+    tokens = classes_met.select(*LINE, "n", "copies", F.posexplode("prefix").alias("at", "token"))
     wanted = counts.select("token")
     if common is not None:
         # classes with a common token in the prefix: their prefixes in the order of rarity
@@ -139,6 +145,7 @@ def line_decisions(docs: DataFrame, *, span: int = 5, percent: int = 80) -> Data
     else:
         entries = flagged(tokens, flags(wanted, "token"), "token")
     entries = staged(entries, "line-entries")
+    scratch.drop("line-tokens", "line-again", "line-full", "line-common", "line-more", "line-renewed")
 
     c = F.col
     one = F.struct(*LINE, "n", "at", "before")
@@ -146,6 +153,7 @@ def line_decisions(docs: DataFrame, *, span: int = 5, percent: int = 80) -> Data
     shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("token")
     met = entries.hint("merge").join(shared, "token").withColumn("before", F.row_number().over(Window.partitionBy(*LINE).orderBy("at")) - 1)
     met = staged(met, "line-met")
+    scratch.drop("line-entries")
     # the lines that lead a token's group: the earliest, and the one with most copies, the likely source of the others
     leads = met.groupBy("token").agg(F.array_distinct(F.array(F.min(one), F.max_by(one, F.struct("copies", -c("doc_id"))))).alias("leads"))
     leads = leads.select("token", F.explode("leads").alias("lead")).select("token", *[c(f"lead.{k}").alias(f"{k}_x") for k in (*LINE, "n", "at", "before")])
@@ -165,23 +173,27 @@ def line_decisions(docs: DataFrame, *, span: int = 5, percent: int = 80) -> Data
         return counted.where(c("shared") + F.greatest(rest(c("n")), rest(c("n_x"))) >= _needed(c("n"), c("n_x"), percent)).select(*both)
 
     def similar(pairs: DataFrame) -> DataFrame:
-        """The later lines of those pairs whose sets are similar."""
+        """The later lines of those pairs whose sets are similar, as a table."""
         pairs = staged(pairs, "line-pairs")
         sets = staged(_sets(source, pairs.select(*LINE).unionByName(pairs.select(*[c(f"{k}_x").alias(k) for k in LINE])).distinct(), span), "line-keys")
         mine = sets.select(*[c(k).alias(f"{k}_x") for k in LINE], c("keys").alias("keys_x"))
         other = sets.select(*LINE, c("keys").alias("keys_y"))
         held = pairs.hint("merge").join(other, LINE).hint("merge").join(mine, [f"{k}_x" for k in LINE])
         inter = F.size(F.array_intersect("keys_x", "keys_y"))
-        return held.where(inter * (100 + percent) >= (F.size("keys_x") + F.size("keys_y")) * percent).select(*LINE).distinct()
+        found = staged(held.where(inter * (100 + percent) >= (F.size("keys_x") + F.size("keys_y")) * percent).select(*LINE).distinct(), "line-gone")
+        scratch.drop("line-pairs", "line-keys")
+        return found
 
     named = met.select("token", *[c(k).alias(f"{k}_x") for k in (*LINE, "n", "at", "before")])
     star = pairs_of(met, leads).select(*both).distinct()
     full_star = star.hint("merge").join(met.select(*LINE, "n", "token"), LINE).hint("merge").join(named.select("token", *[f"{k}_x" for k in (*LINE, "n")]), ["token", *[f"{k}_x" for k in LINE]])
-    gone = staged(similar(enough(full_star)), "line-gone")
+    gone = similar(enough(full_star))
     open_ = met.hint("merge").join(gone, LINE, "left_anti")
     gone = gone.unionByName(similar(enough(pairs_of(open_, named)))).distinct().withColumn("gone", F.lit(True))
 
     marked = classes.select(*LINE, "h2", "copies").join(gone, LINE, "left").where("copies > 1 OR gone").select("h1", "h2", F.struct("doc_id", "line").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
+    marked = staged(marked, "line-marked")
+    scratch.drop("line-met", "line-gone", "line-classes")
     judged = lines.select("doc_id", "line", "h1", "h2", "n").hint("merge").join(marked, ["h1", "h2"], "left")
     out = judged.select("doc_id", "line", (c("n") > 0) & c("first").isNotNull() & (c("gone") | (F.struct("doc_id", "line") != c("first"))))
     return out.toDF("doc_id", "line", "gone").select(F.when(c("doc_id") != FIRST_ID, c("doc_id")).alias("doc_id"), "line", F.coalesce("gone", F.lit(False)).alias("gone"))
@@ -212,15 +224,17 @@ def removed_lines(docs: DataFrame, **rules) -> DataFrame:
 def dedup_lines(docs: DataFrame, *, drop_emptied: bool = True, **rules) -> DataFrame:
     """``docs`` with later near-duplicate lines taken out of ``text``; all columns stay, ``n_chars`` follows the text if there.
 
-    A document that had words and keeps none is dropped if ``drop_emptied``; others, null texts too, stay as they are.
+    A document that had words and keeps none is dropped if ``drop_emptied``; others, null texts too, stay as they are. No
+    name of a column of ``docs`` can clash.
     """
     own = docs.columns
-    lost = line_decisions(docs, **rules).where("gone").groupBy("doc_id").agg(F.collect_set("line").alias("__lost")).withColumnRenamed("doc_id", "__id")
-    met = docs.join(lost, docs["doc_id"].cast("long").eqNullSafe(lost["__id"]), "left")
-    left = F.array_join(F.filter(F.transform(F.split("text", "\n", -1), lambda t, i: F.when(~F.array_contains("__lost", i), t)), lambda t: t.isNotNull()), "\n")
-    met = met.withColumn("text", F.when(F.col("__lost").isNotNull(), left).otherwise(F.col("text")))
+    lost, gone_id = free_name(own, "lost"), free_name(own, "gone_id")
+    found = line_decisions(docs, **rules).where("gone").groupBy("doc_id").agg(F.collect_set("line").alias(lost)).withColumnRenamed("doc_id", gone_id)
+    met = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found[gone_id]), "left")
+    left = F.array_join(F.filter(F.transform(F.split("text", "\n", -1), lambda t, i: F.when(~F.array_contains(lost, i), t)), lambda t: t.isNotNull()), "\n")
+    met = met.withColumn("text", F.when(F.col(lost).isNotNull(), left).otherwise(F.col("text")))
     if drop_emptied:
-        met = met.where(F.col("__lost").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+        met = met.where(F.col(lost).isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in own:
-        met = met.withColumn("n_chars", F.when(F.col("__lost").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
+        met = met.withColumn("n_chars", F.when(F.col(lost).isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
     return met.select(*own)

@@ -8,8 +8,9 @@ Two sets that are similar enough share an n-gram among the first few of each (th
    orders, and joins most copies at a linear cost;
 3. the exact round lists the prefix n-grams that classes of different components share, counts for each pair how many it
    shares, drops pairs whose sizes, positions or counts rule the similarity out, and compares the rest;
-4. comparing is done on groups of one probe and at most ``GROUP`` members: the members' ordered sets form a prefix tree, the probe
-   walks it once, shared beginnings are counted once, and a subtree is left when what remains of it can't reach the overlap.
+4. comparing is done in groups of pairs that share one n-gram, in blocks of about ``GROUP`` members: the members' ordered sets
+   form one prefix tree, all probes of the block walk it, shared beginnings are counted once for each probe, and a
+   subtree is skipped as a whole when what remains of the sets in it can't reach the overlap.
 
 Pairs already in one component by other links are not compared: the components are the same.
 """
@@ -24,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm._shared import staged
+from gristmill.llm._shared import Scratch, free_name
 from gristmill.llm.components import components
 
-#: Members of a probe that one prefix tree holds.
+#: Members that one prefix tree holds, about.
 GROUP = 256
 #: n-grams in the table of common ones, at most.
 COMMON = 400_000
@@ -116,33 +117,45 @@ class PrefixTree:
 
     def __init__(self, members: list[tuple[int, np.ndarray]]):
         self.members = sorted(members, key=lambda m: m[1].astype(">i8").tobytes())
-        self.shared = [0]
+        self.sizes = np.array([len(own) for _, own in self.members], np.int64)
+        shared = [0]
         for (_, a), (_, b) in zip(self.members, self.members[1:], strict=False):
             n = min(len(a), len(b))
             apart = np.flatnonzero(a[:n] != b[:n])
-            self.shared.append(int(apart[0]) if len(apart) else n)
+            shared.append(int(apart[0]) if len(apart) else n)
+        self.shared = np.array(shared, np.int64)
 
     def similar(self, probe: np.ndarray, percent: int, step: int = 128) -> Iterator[int]:
         """Ids of the members with 100 * intersection >= percent * union with ``probe``."""
+        n, at = len(probe), 0
         path = np.zeros(0, np.int64)  # overlap after each n-gram of the current branch, as far as it was counted
-        for (key, own), shared in zip(self.members, self.shared, strict=True):
-            path = path[:shared]
-            need = required(len(probe), len(own), percent)
+        while at < len(self.members):
+            path = path[: self.shared[at]]
+            key, own = self.members[at]
             while True:
                 depth = len(path)
-                have = int(path[-1]) if depth else 0
-                ahead = len(probe) - (int(np.searchsorted(probe, own[depth - 1], "right")) if depth else 0)
-                if have + min(len(own) - depth, ahead) < need:
-                    break  # what remains of this branch can't reach the overlap
+                have, ahead = (int(path[-1]), n - int(np.searchsorted(probe, own[depth - 1], "right"))) if depth else (0, n)
+                if have + min(len(own) - depth, ahead) < required(n, len(own), percent):
+                    at = self._next(at, depth, have, ahead, n, percent)
+                    break
                 if depth == len(own):
                     yield key
+                    at += 1
                     break
                 some = own[depth : depth + step]
-                at = np.minimum(np.searchsorted(probe, some), len(probe) - 1)
-                path = np.concatenate([path, have + np.cumsum(probe[at] == some)])
+                found = np.minimum(np.searchsorted(probe, some), n - 1)
+                path = np.concatenate([path, have + np.cumsum(probe[found] == some)])
+
+    def _next(self, at: int, depth: int, have: int, ahead: int, n: int, percent: int) -> int:
+        """The branch after ``at`` to walk: the first of its subtree from ``depth`` on that can still reach the overlap, or else the one after that subtree."""
+        outside = np.flatnonzero(self.shared[at + 1 :] < depth)
+        end = at + 1 + int(outside[0]) if len(outside) else len(self.members)
+        sizes = self.sizes[at + 1 : end]
+        able = np.flatnonzero(have + np.minimum(sizes - depth, ahead) >= required(n, sizes, percent))
+        return at + 1 + int(able[0]) if len(able) else end
 
 
-def common_ngrams(docs: DataFrame, n: int) -> np.ndarray:
+def common_ngrams(docs: DataFrame, n: int, scratch: Scratch) -> np.ndarray:
     """Hashes of the n-grams that most documents share, the most common last; at most ``COMMON``.
 
     Every task lists those that a share of a chunk of its documents hold (equal documents of a chunk counted once); the
@@ -173,7 +186,7 @@ def common_ngrams(docs: DataFrame, n: int) -> np.ndarray:
             yield listed(parts)
 
     counted = docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    counted = staged(counted, "common")
+    counted = scratch.put(counted, "ngram-common")
     sizes = counted.groupBy(F.floor(F.log2("n") * 16).alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()
     kept, least = 0, None
     for level, size in sorted(((r["level"], r["n"]) for r in sizes), reverse=True):
@@ -183,6 +196,7 @@ def common_ngrams(docs: DataFrame, n: int) -> np.ndarray:
     if least is None:
         return np.zeros(0, np.int64)
     found = counted.where(F.floor(F.log2("n") * 16) >= least).toArrow()
+    scratch.drop("ngram-common")
     keys, counts = found["key"].to_numpy(), found["n"].to_numpy()
     return keys[np.lexsort((keys, counts))].astype(np.int64)
 
@@ -216,39 +230,36 @@ def _profiles(docs: DataFrame, n: int, percent: int, common) -> DataFrame:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int, common) -> DataFrame:
-    """The rows (probe, member) of ``pairs`` that are similar, as links (a, b).
+    """The rows (probe, member, key) of ``pairs`` that are similar, and others found on the way, as links (a, b).
 
-    Members are dealt over parts of at most about ``GROUP`` for each probe, and the probe goes to each part, so that
-    a probe with very many members doesn't meet them in one task.
+    ``key`` is an n-gram that both share; a pair has one. The members of a key are dealt over blocks of about ``GROUP``, so
+    that a key of very many members is spread over tasks; a block holds one prefix tree, and each probe that has a
+    pair in it walks it once, however many pairs those are. A text is sent once to each block it belongs to.
     """
-    parts = pairs.groupBy("probe").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)), F.lit(1)).cast("int").alias("parts"))
-    dealt = pairs.hint("merge").join(parts, "probe").select("probe", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"), F.col("member").alias("doc_id"), F.lit(1).alias("role"))
-    own = parts.select("probe", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("probe").alias("doc_id"), F.lit(0).alias("role"))
-    texts = docs.select("doc_id", "text").hint("merge").join(dealt.unionByName(own), "doc_id")
-    grouped = texts.select("probe", "part", "role", "doc_id", "text").repartition("probe", "part").sortWithinPartitions("probe", "part", "role", "doc_id")
+    members = pairs.select("key", "member").distinct()
+    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block")
+    placed = members.hint("merge").join(sizes, "key").select("key", block, F.col("member").alias("doc_id"), F.lit(0).alias("role"))
+    probes = pairs.hint("merge").join(sizes, "key").select("key", block, F.col("probe").alias("doc_id"), F.lit(1).alias("role")).distinct()
+    texts = docs.select("doc_id", "text").hint("merge").join(placed.unionByName(probes), "doc_id")
+    grouped = texts.select("key", "block", "role", "doc_id", "text").repartition("key", "block").sortWithinPartitions("key", "block", "role", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = Order(common.value)
-        at, probes, members = None, [], []
-
-        def links() -> pa.RecordBatch:
-            tree = PrefixTree(members)
-            found = sorted({m for p in probes for m in tree.similar(p, percent)})
-            return pa.RecordBatch.from_pydict({"a": pa.array([at[0]] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
-
+        order, at, members, tree = Order(common.value), None, [], None
         for batch in batches:
-            for probe, part, role, doc, text in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
-                if (probe, part) != at:
-                    if probes and members:
-                        yield links()
-                    at, probes, members = (probe, part), [], []
-                keys = order.apply(ngram_keys(text, n))
+            probes, found = [], []
+            for key, block, role, doc, text in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
+                if (key, block) != at:
+                    at, members, tree = (key, block), [], None
+                own = order.apply(ngram_keys(text, n))
                 if role == 0:
-                    probes.append(keys)
-                else:
-                    members.append((doc, keys))
-        if probes and members:
-            yield links()
+                    members.append((doc, own))
+                    continue
+                tree = tree or PrefixTree(members)
+                met = [m for m in tree.similar(own, percent) if m != doc]
+                probes += [doc] * len(met)
+                found += met
+            yield pa.RecordBatch.from_pydict({"a": pa.array(probes, pa.int64()), "b": pa.array(found, pa.int64())})
 
     return grouped.mapInArrow(run, "a long, b long")
 
@@ -262,15 +273,20 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 80) -> Dat
     id has its count and no component. Other columns aren't read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark, "ngram-join")
+    staged = scratch.put
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    common = spark.sparkContext.broadcast(common_ngrams(docs, n))
+    common = spark.sparkContext.broadcast(common_ngrams(docs, n, scratch))
     profiles = staged(_profiles(docs, n, percent, common), "ngram-profiles")
+    counts = staged(profiles.select("doc_id", "n"), "ngram-counts")
 
     with_set = profiles.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     classes = with_set.groupBy("digest").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("copies"))
     copies = with_set.select("doc_id", "digest").hint("merge").join(classes.where("copies > 1"), "digest").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
     heads = with_set.join(classes.select("digest", F.col("head").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["digest"])
     heads = staged(heads.drop("digest"), "ngram-heads")
+    copies = staged(copies, "ngram-copies")
+    scratch.drop("ngram-profiles")
     close = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
     # first round: members against the leader of their group, the one with the fewest n-grams of its own: copies that were
@@ -278,9 +294,10 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 80) -> Dat
     groups = heads.select("doc_id", "n", "rare", F.posexplode("minima").alias("k", "key"))
     leaders = groups.groupBy("k", "key").agg(F.min(F.struct("rare", "doc_id", "n")).alias("first"), F.count(F.lit(1)).alias("held")).where("held > 1").select("k", "key", F.col("first.doc_id").alias("probe"), F.col("first.n").alias("m"))
     star = groups.hint("merge").join(leaders, ["k", "key"]).where((F.col("doc_id") != F.col("probe")) & close(F.col("n"), F.col("m")))
-    star = staged(star.select("probe", F.col("doc_id").alias("member")).distinct(), "ngram-star")
+    star = staged(star.groupBy("probe", F.col("doc_id").alias("member")).agg(F.min("key").alias("key")), "ngram-star")
     links = staged(copies.unionByName(_verified(docs, star, n, percent, common)), "ngram-links")
     joined = staged(components(links), "ngram-joined")
+    scratch.drop("ngram-star", "ngram-copies", "ngram-links")
 
     # exact round: prefix n-grams that different components share
     entries = heads.join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("component"), F.posexplode("prefix").alias("at", "key"))
@@ -288,28 +305,31 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 80) -> Dat
     # before: how many shared n-grams stand before this one in the same set; the others can't be in common
     before = F.row_number().over(Window.partitionBy("doc_id").orderBy("at")) - 1
     entries = staged(entries.hint("merge").join(shared, "key").withColumn("before", before), "ngram-entries")
+    scratch.drop("ngram-heads")
     left, right = (entries.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "component", "at", "before")]) for s in "xy")
     need = F.ceil((F.col("n_x") + F.col("n_y")) * percent / (100 + percent) - 1e-9)
     reach = F.least("before_x", "before_y") + F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
     met = left.hint("merge").join(right, "key").where(
         (F.struct("n_x", "doc_id_x") < F.struct("n_y", "doc_id_y")) & (F.col("component_x") != F.col("component_y")) & close(F.col("n_x"), F.col("n_y")) & (reach >= need)
     )
-    counted = met.groupBy("doc_id_x", "doc_id_y").agg(F.first("n_x").alias("n_x"), F.first("n_y").alias("n_y"), F.count(F.lit(1)).alias("met"))
+    counted = met.groupBy("doc_id_x", "doc_id_y").agg(F.first("n_x").alias("n_x"), F.first("n_y").alias("n_y"), F.count(F.lit(1)).alias("met"), F.min("key").alias("key"))
     # common n-grams up to the end of either prefix were all met; beyond it at most the rest of that set is common
     rest = lambda size: F.ceil(size * percent / 100) - 1
     pairs = counted.where(F.col("met") + F.greatest(rest(F.col("n_x")), rest(F.col("n_y"))) >= need)
-    pairs = staged(pairs.select(F.col("doc_id_x").alias("probe"), F.col("doc_id_y").alias("member")), "ngram-pairs")
+    pairs = staged(pairs.select(F.col("doc_id_x").alias("probe"), F.col("doc_id_y").alias("member"), "key"), "ngram-pairs")
+    scratch.drop("ngram-entries")
     more = staged(_verified(docs, pairs, n, percent, common), "ngram-links")
-    whole = components(joined.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(more))
-    found = profiles.select("doc_id", F.col("n").alias("n_shingles")).join(whole.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    whole = staged(components(joined.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(more)), "ngram-components")
+    scratch.drop("ngram-pairs", "ngram-links", "ngram-joined")
+    found = counts.select("doc_id", F.col("n").alias("n_shingles")).join(whole.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` without those whose component holds a smaller doc_id; all columns stay.
 
-    Documents that link with nothing stay, and so do rows without id.
+    Documents that link with nothing stay, and so do rows without id. No name of a column of ``docs`` can clash.
     """
-    own = docs.columns
-    found = jaccard_components(docs, n=n, percent=percent).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(found, docs["doc_id"] == found["__gone"], "left_anti").select(*own)
+    own, gone = docs.columns, free_name(docs.columns, "gone")
+    found = jaccard_components(docs, n=n, percent=percent).where("component_id <> doc_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(found, docs["doc_id"].cast("long") == found[gone], "left_anti").select(*own)

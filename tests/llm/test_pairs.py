@@ -105,6 +105,8 @@ def lines_gone(rows):
         for k, line in enumerate((text or "").split("\n")):
             words = WORDS.findall(line)
             tokens = {tuple(words[j : j + 5]) for j in range(len(words) - 4)}
+            if 0 < len(words) < 5 and any(c.isalnum() for c in line):
+                tokens = {tuple(words)}
             if tokens:
                 gone[d, k] = any(len(tokens & s) * 100 >= 80 * len(tokens | s) for s in seen)
                 seen.append(tokens)
@@ -147,14 +149,29 @@ def test_line_dedup_orders_tokens_of_common_passages(spark):
     assert not any(r["gone"] for r in line_dedup.line_decisions(frame(spark, rows)).collect())
 
 
-def test_line_dedup_of_long_lines_of_few_words(spark):
-    """Text without blanks is one word a line: copies of it go all the same; bare short lines stay."""
+def test_line_dedup_of_lines_of_few_words(spark):
+    """A line of fewer than five words is compared as a whole, so its copies go; bare marks and blank lines stay."""
     han, thai, kana = "本文经授权转载自公众号，未经许可不得转载。", "สงวนลิขสิทธิ์ทุกประการ", "すべての 権利を 保有します"
-    url = "https://example.org/" + "a/" * 20
-    lines = [han, thai, kana, url, f"see {url}", "All rights reserved.", "日本", "}", " "]
-    rows = [(d, "\n".join(lines)) for d in range(3)] + [(3, f"  {han}\t"), (4, han[:-1]), (5, f"see  {url}\r")]
+    lines = [han, thai, kana, "https://example.org/" + "a/" * 20, "All rights reserved.", "日本", "Home", "}", "--- --", " ", ""]
+    rows = [(d, "\n".join(lines)) for d in range(3)] + [(3, f"  {han}\t"), (4, han[:-1]), (5, "All  rights reserved.\r"), (6, "all rights reserved."), (7, "rights All reserved.")]
     got = {(r["doc_id"], r["line"]) for r in line_dedup.line_decisions(frame(spark, rows)).collect() if r["gone"]}
-    assert got == {(d, k) for d in (1, 2) for k in range(5)} | {(3, 0), (5, 0)}
+    assert got == {(d, k) for d in (1, 2) for k in range(7)} | {(3, 0), (5, 0)}
+
+
+def test_line_dedup_with_more_common_tokens_than_its_table_holds(spark, monkeypatch):
+    """Where the topmost level of commonness alone overflows the table, a share of it orders the tokens; no row is lost."""
+    monkeypatch.setattr(line_dedup, "COMMON", 100)
+    passage = " ".join(f"p{k}" for k in range(300))
+    rows = [(d, f"{passage} d{d}a d{d}b d{d}c") for d in range(80)] + [(d, f"{passage} " + " ".join(f"e{d}x{k}" for k in range(400))) for d in range(80, 160)]
+    got = {(r["doc_id"], r["line"]): r["gone"] for r in line_dedup.line_decisions(frame(spark, rows)).collect()}
+    assert got == lines_gone(rows)
+
+
+def test_line_dedup_keeps_columns_whatever_their_names(spark):
+    given = frame(spark, [(1, "one two three four five"), (2, "one two three four five\nsix seven eight nine ten")])
+    named = given.selectExpr("*", "1 AS lost", "2 AS gone_id", "3 AS __lost", "4 AS line", "5 AS gone")
+    left = line_dedup.dedup_lines(named)
+    assert left.columns == named.columns and [(r["text"], r["lost"], r["gone"]) for r in left.orderBy("doc_id").collect()] == [("one two three four five", 1, 5), ("six seven eight nine ten", 1, 5)]
 
 
 def test_line_dedup_of_odd_rows(spark):
