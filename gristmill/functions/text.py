@@ -30,6 +30,11 @@ MIN_TOKEN, MIN_IDENTIFIER = 2, 3
 WORD, IDENTIFIER, INDEX_TOKEN = r"[A-Za-z0-9_]+", r"[A-Za-z_][A-Za-z0-9_]*", r"[\p{L}\p{N}_]+"
 
 
+def once(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` names it, within lambdas too."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def squeezed(text: Column) -> Column:
     """``text`` without white space at its ends, every run inside as one blank."""
     return F.regexp_replace(stripped(text), r"\s+", " ")

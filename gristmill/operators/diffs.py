@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.functions.text import once
+
 HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 # Signals of risk with their weights.
 SIGNALS = [
@@ -16,15 +18,29 @@ SIGNALS = [
 ]
 
 
+def assessed(text: Column) -> Column:
+    """Struct of ``score`` and ``signals`` of ``text``: the weights and names of the signals in it; 1 and ``execution`` if it has none but isn't blank.
+
+    Each pattern is tried once.
+    """
+    hits = F.array(*[text.rlike(p) for _, p, _ in SIGNALS])
+
+    def of(met: Column) -> Column:
+        total = F.aggregate(F.zip_with(met, F.array(*[F.lit(w) for *_, w in SIGNALS]), lambda hit, w: F.when(hit, w).otherwise(0)), F.lit(0), lambda a, x: a + x)
+        names = F.array_compact(F.zip_with(met, F.array(*[F.lit(name) for name, *_ in SIGNALS]), lambda hit, name: F.when(hit, name)))
+        none = F.when(text.rlike(r"\S"), F.struct(F.lit(1).alias("score"), F.array(F.lit("execution")).alias("signals"))).otherwise(F.struct(F.lit(0).alias("score"), F.array().cast("array<string>").alias("signals")))
+        return F.when(F.exists(met, lambda hit: hit), F.struct(total.alias("score"), names.alias("signals"))).otherwise(none)
+
+    return once(hits, of)
+
+
 def signals(text: Column) -> Column:
     """Names of the signals in ``text``; ``execution`` if it has none but isn't blank."""
-    found = F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(name)) for name, p, _ in SIGNALS]))
-    return F.when(F.size(found) > 0, found).when(text.rlike(r"\S"), F.array(F.lit("execution"))).otherwise(found)
+    return assessed(text)["signals"]
 
 
 def risk(text: Column) -> Column:
-    total = sum((F.when(text.rlike(p), F.lit(w)).otherwise(0) for _, p, w in SIGNALS), F.lit(0))
-    return F.when(total > 0, total).when(text.rlike(r"\S"), F.lit(1)).otherwise(F.lit(0))
+    return assessed(text)["score"]
 
 
 def stripped_path(raw: Column) -> Column:
@@ -109,5 +125,32 @@ def hunk_risks(lines: DataFrame, paths: DataFrame) -> DataFrame:
     body = F.array_join(F.transform("ls", lambda x: x["content"]), "\n")
     whole = changed.join(paths.select("diff_id", "file", F.coalesce("new_path", "old_path", F.lit("")).alias("path")), ["diff_id", "file"])
     text = F.concat("path", F.lit("\n"), body)
-    scored = whole.select("diff_id", "file", "hunk", risk(text).alias("score"), signals(text).alias("signals"))
+    scored = whole.select("diff_id", "file", "hunk", assessed(text).alias("a")).select("diff_id", "file", "hunk", "a.score", "a.signals")
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("diff_id", "file").orderBy(F.col("score").desc(), "hunk")))
+
+
+def allowed_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """diff_id, file, lines, body_only: where a finding of a file may stand - its added lines, or the old lines of a file that is deleted or has none."""
+    met = lines.groupBy("diff_id", "file").agg(F.sort_array(F.collect_set(F.when(F.col("type") == "add", F.col("new_line")))).alias("added"), F.sort_array(F.collect_set("old_line")).alias("old"))
+    body_only = (F.col("status") == "deleted") | (F.size("added") == 0)
+    held = files.select("diff_id", "file", "status").join(met, ["diff_id", "file"], "left")
+    none = F.array().cast("array<int>")
+    held = held.withColumns({"added": F.coalesce("added", none), "old": F.coalesce("old", none)})
+    return held.select("diff_id", "file", F.when(body_only, F.col("old")).otherwise(F.col("added")).alias("lines"), body_only.alias("body_only"))
+
+
+def numbered_hunks(diffs: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """diff_id, file, text: the hunks of each file with line numbers, five wide: the new one, for a removed line the old one.
+
+    Rows are taken up to the first that overflows ``max_chars``, and a marker says that it was cut. A row costs its length and one more.
+    """
+    c = F.col
+    number = F.when(c("sign") == "-", c("old_start") + c("old_at")).otherwise(c("new_start") + c("new_at")).cast("string")
+    sign = F.when(c("sign").isin("+", "-"), c("sign")).otherwise(" ")
+    shown = F.when(c("is_hunk"), c("line")).otherwise(F.concat(F.lpad(number, F.greatest(F.length(number), F.lit(5)), F.lit(" ")), F.lit(" "), sign, F.lit(" "), F.substr("line", F.lit(2))))
+    rows = _marked(diffs).where("inside OR is_hunk").select("diff_id", "file", "at", shown.alias("row"))
+    w = Window.partitionBy("diff_id", "file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("used", F.sum(F.length("row") + 1).over(w)).withColumn("cut", c("used") > (max_chars or (1 << 60)))
+    kept = F.filter(F.sort_array(F.collect_list(F.struct("at", "cut", "row"))), lambda r: ~r["cut"])
+    text = F.array_join(F.concat(F.transform(kept, lambda r: r["row"]), F.when(F.bool_or("cut"), F.array(F.lit("... (truncated)"))).otherwise(F.array().cast("array<string>"))), "\n")
+    return rows.groupBy("diff_id", "file").agg(text.alias("text"))

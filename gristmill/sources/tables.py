@@ -51,7 +51,7 @@ CHUNKS = View("documents", {
     "start_line": "1", "content": "text",
 })
 VECTORS = View("embeddings", {"chunk_id": "vec_id", "repo_id": "concat('repo', cast(label AS string))", "embedding": "embedding"})
-SEARCHES = View("benchmark", {"query_id": "item_id", "query": "substr(text, 1, 120)"})
+SEARCHES = View("benchmark", {"query_id": "item_id", "query": "text"})
 USAGE = View("events", {
     "id": "event_id", "ts": "ts",
     "role": "CASE event_type WHEN 'click' THEN 'review' WHEN 'view' THEN 'chat' WHEN 'signup' THEN 'chat' WHEN 'purchase' THEN 'embed' ELSE 'review' END",
@@ -66,7 +66,7 @@ PRICES = View("part", {
     "prompt": "p_retailprice / cast(1000000000 AS double)", "completion": "p_retailprice / cast(250000000 AS double)",
     "cache_read": "CASE WHEN p_partkey % 2 = 0 THEN p_retailprice / cast(10000000000 AS double) ELSE p_retailprice / cast(1000000000 AS double) END",
     "cache_write": "p_retailprice / cast(800000000 AS double)",
-}, where="p_partkey < 5")
+})
 REVIEWS = View("orders", {
     "review_id": "o_orderkey", "repo_id": "concat('repo', cast(o_custkey % 20 AS string))", "pr_number": "o_custkey % 50",
     "head_sha": "concat('sha', cast(o_orderkey % 7 AS string))",
@@ -84,11 +84,22 @@ FINDINGS = View("lineitem", {
     "title": "concat('title ', cast(l_suppkey % 10 AS string))",
     "root_cause": "CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE concat('  Cause   ', cast(l_partkey % 20 AS string), ' ') END",
 })
+CODE = View("documents", {
+    "file_id": "doc_id", "pull_id": "doc_id % 20",
+    "path": "CASE WHEN doc_id % 5 = 0 THEN concat('tests/f', cast(doc_id AS string), '.test.ts') ELSE concat('src/f', cast(doc_id AS string), '.ts') END",
+    "content": "concat('export function fn', cast(doc_id % 40 AS string), '(a) {', chr(10), '}', chr(10), 'export { x as y', cast(doc_id % 23 AS string), ', z', cast(doc_id % 7 AS string), ' };', chr(10), 'call(fn', cast((doc_id + 20) % 40 AS string), ')')",
+})
+CHANGES = View("documents", {
+    "file_id": "doc_id", "pull_id": "doc_id % 20",
+    "path": "CASE WHEN doc_id % 5 = 0 THEN concat('tests/f', cast(doc_id AS string), '.test.ts') ELSE concat('src/f', cast(doc_id AS string), '.ts') END",
+    "text": "concat('export function fn', cast(doc_id % 40 AS string), '(a) {', chr(10), CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat('class K', cast(doc_id % 9 AS string), ' {', chr(10)) END, "
+            "'const ar', cast(doc_id % 13 AS string), ' = (x) => y', cast(doc_id % 23 AS string), '.get(z', cast(doc_id % 5 AS string), ')')",
+})
 MESSAGES = View("conversations", {"conv_id": "conv_id", "turn": "turn", "role": "role", "content": "text"})
 OLD_FILES = View("part", {"path": "p_name || cast(p_partkey AS string)", "key": "p_partkey", "blob_hash": "p_brand"}, where="p_partkey % 10 <> 0")
 NEW_FILES = View("part", {"path": "p_name || cast(p_partkey AS string)", "key": "p_partkey", "blob_hash": "CASE WHEN p_partkey % 5 = 0 THEN concat(p_brand, 'x') ELSE p_brand END"}, where="p_partkey % 7 <> 0")
 
-VIEWS = {"v_files": FILES, "v_chunks": CHUNKS, "v_vec": VECTORS, "v_queries": SEARCHES, "v_usage": USAGE, "v_prices": PRICES, "v_reviews": REVIEWS, "v_findings": FINDINGS, "v_messages": MESSAGES, "v_old": OLD_FILES, "v_new": NEW_FILES}
+VIEWS = {"v_files": FILES, "v_chunks": CHUNKS, "v_vec": VECTORS, "v_queries": SEARCHES, "v_usage": USAGE, "v_prices": PRICES, "v_reviews": REVIEWS, "v_findings": FINDINGS, "v_messages": MESSAGES, "v_old": OLD_FILES, "v_new": NEW_FILES, "v_code": CODE, "v_changes": CHANGES}
 
 
 def over(names: str, body: str) -> str:
