@@ -141,3 +141,31 @@ def classified_events(events: DataFrame) -> DataFrame:
     other = F.struct(F.lit("ignored").alias("action"), F.lit("event").alias("reason"))
     told = F.when(c("event") == "pull_request", pull).when(c("event") == "push", push).when(c("event") == "issue_comment", comment).otherwise(other)
     return events.withColumn("told", told).withColumn("outcome", F.col("told.action")).withColumn("reason", F.col("told.reason")).drop("told")
+
+
+def resume_stages(checkpoints: DataFrame, stages: list[str]) -> DataFrame:
+    """job_id, stage: the last of ``stages`` of which a job has a valid checkpoint (job_id, stage, valid); null where it must begin anew."""
+    place = F.array_position(F.array(*map(F.lit, stages)), F.col("stage"))
+    last = checkpoints.groupBy("job_id").agg(F.max(F.when(F.col("valid") & (place > 0), place)).alias("at"))
+    return last.select("job_id", F.when(F.col("at").isNotNull(), F.element_at(F.array(*map(F.lit, stages)), F.col("at").cast("int"))).alias("stage"))
+
+
+def scheduled_once(triggers: DataFrame, delay_seconds: int) -> DataFrame:
+    """key, at of triggers (key, at in seconds) that start a timer; those that come while one of their key runs don't restart it."""
+    return accepted_deliveries(triggers, delay_seconds)
+
+
+def repo_reference(url: Column) -> Column:
+    """``owner:name`` in lower case of a web address; null for others."""
+    part = lambda k: F.lower(F.regexp_extract(url, r"^https?://([^/]+)/([^/?#]+)", k))
+    return F.when(url.rlike("^https?://"), F.concat(part(1), F.lit(":"), part(2)))
+
+
+def redacted(text: Column) -> Column:
+    """``text`` without the user and password of the addresses in it."""
+    return F.regexp_replace(text, r"(https?://)[^@\s/]+:[^@\s/]+@", "$1***:***@")
+
+
+def since_last(rows: DataFrame, key: str, order: str, matching: Column) -> DataFrame:
+    """``key`` and ``since``: how far ``order`` went on after the last row that matches; 0 if none does."""
+    return rows.groupBy(key).agg(F.coalesce(F.max(order) - F.max(F.when(matching, F.col(order))), F.lit(0).cast("long")).alias("since"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import text
+from gristmill.operators.steps import settled
 
 # Severities by rank, and other names for them.
 SEVERITIES = ["critical", "warning", "nit"]
@@ -92,13 +93,20 @@ def verified(findings: DataFrame, decisions: DataFrame) -> DataFrame:
     return held.withColumn("severity", F.when(F.col("severity") == "nit", "warning").otherwise(F.col("severity")))
 
 
-def roots(links: DataFrame, rounds: int = 20) -> DataFrame:
-    """id, root: where the chain of links (id, target) from each id ends. Each round doubles the length of chains
-    followed, so ``rounds`` serves chains of up to 2 ** rounds; ids on a cycle have a null root."""
-    jump = links.select("id", F.col("target").alias("root"))
-    for _ in range(rounds):
+def roots(links: DataFrame) -> DataFrame:
+    """id, root: where the chain of links (id, target) from each id ends; ids that lead to a cycle have a null root.
+
+    Each round doubles the length of the chains followed and is settled before the next. Rounds end when nothing changes, or when
+    they have followed chains as long as there are links: what still moves then is on a cycle.
+    """
+    jump, followed = settled(links.select("id", F.col("target").alias("root"))), 1
+    n = jump.count()
+    while followed < n:
         onward = jump.select(F.col("id").alias("root"), F.col("root").alias("beyond"))
-        jump = jump.join(onward, "root", "left").select("id", F.coalesce("beyond", "root").alias("root"))
+        jump = settled(jump.join(onward, "root", "left").select("id", F.coalesce("beyond", "root").alias("root"), (F.col("beyond") != F.col("root")).alias("moved")))
+        followed *= 2
+        if not jump.where("moved").limit(1).count():
+            break
     return jump.join(links.select(F.col("id").alias("root"), F.lit(True).alias("cycle")), "root", "left").select("id", F.when(F.col("cycle").isNull(), F.col("root")).alias("root"))
 
 
@@ -114,6 +122,55 @@ def near_evidence(evidence: DataFrame, findings: DataFrame, within: int = 10) ->
     return met.select("review_id", "path", "line").distinct()
 
 
+def allowed_citations(findings: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Findings that stand on a line of ``evidence`` (review_id, path, line)."""
+    return findings.join(evidence.select("review_id", "path", "line"), ["review_id", "path", "line"], "left_semi")
+
+
+def hunk_bounds(lines: DataFrame, is_new: Column) -> DataFrame:
+    """review_id, path, first_line, last_line of the hunk that ``lines`` (review_id, path, line) make: of the lines of the new side, or without any the least line, 1 at least."""
+    new, anchor = F.when(is_new, F.col("line")), F.greatest(F.lit(1), F.min("line"))
+    return lines.groupBy("review_id", "path").agg(F.coalesce(F.min(new), anchor).alias("first_line"), F.coalesce(F.max(new), anchor).alias("last_line"))
+
+
+def lines_in_hunks(findings: DataFrame, hunks: DataFrame) -> DataFrame:
+    """Findings within a hunk (review_id, path, first_line, last_line) of their path, once each."""
+    met = findings.join(hunks, ["review_id", "path"]).where(F.col("line").between(F.col("first_line"), F.col("last_line")))
+    return met.select(*findings.columns).dropDuplicates(["review_id", "ordinal"])
+
+
+def distinct_lines(rows: DataFrame) -> DataFrame:
+    """review_id, path, lines: ascending distinct lines."""
+    return rows.groupBy("review_id", "path").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+
+
+def matched_findings(previous: DataFrame, current: DataFrame) -> DataFrame:
+    """Findings of ``previous`` that one of ``current`` (same review_id and path) equals by title or by cause, once each."""
+    now = current.select("review_id", "path", F.col("title").alias("title_now"), F.col("root_cause").alias("cause_now"))
+    met = previous.join(now, ["review_id", "path"]).where((F.col("title") == F.col("title_now")) | (F.col("root_cause") == F.col("cause_now")))
+    return met.select(*previous.columns).dropDuplicates(["review_id", "ordinal"])
+
+
+def escalated(findings: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Findings that go on: supported ones, and uncertain ones unless a finding of the same place was rejected."""
+    judged = findings.join(decisions.select("review_id", "ordinal", "decision"), ["review_id", "ordinal"])
+    bad = judged.where("decision = 'rejected'").select("review_id", "path", "line")
+    kept, open_ = judged.where("decision = 'supported'"), judged.where("decision = 'uncertain'").join(bad, ["review_id", "path", "line"], "left_anti")
+    return kept.select(*findings.columns).unionByName(open_.select(*findings.columns))
+
+
+def merged_history(older: DataFrame, newer: DataFrame, keys: list[str]) -> DataFrame:
+    """The distinct ``keys`` of both lists, with ``first``: in which (0, 1) and at which ordinal each first stands."""
+    both = older.withColumn("side", F.lit(0)).unionByName(newer.withColumn("side", F.lit(1)))
+    return both.groupBy(*keys).agg(F.min(F.struct("side", "ordinal")).alias("first"))
+
+
+def exact_ids(rows: DataFrame) -> DataFrame:
+    """review_id, exact: whether the ordinals of a review are 1, 2, ... without gap or repeat."""
+    n = F.count(F.lit(1))
+    return rows.groupBy("review_id").agg(((F.min("ordinal") == 1) & (F.max("ordinal") == n) & (F.count_distinct("ordinal") == n)).alias("exact"))
+
+
 def ordered(findings: DataFrame) -> DataFrame:
     """``place`` of each finding of a review: by severity, path (binary order), line."""
     w = Window.partitionBy("review_id").orderBy(severity_rank(F.col("severity")), "path", "line", "ordinal")

@@ -10,10 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import paths, text
+from gristmill.operators.steps import settled
 
 #: Published defaults of BM25, and the weight of a term in the path.
 K1, B, PATH_WEIGHT = 1.2, 0.75, 2.0
 LEAST_IDF = 1e-6
+#: Stands for a term in the one posting of a chunk that carries its length; no token is empty.
+LENGTH = ""
 LIMIT, CANDIDATES, RRF_K = 12, 3, 60
 
 
@@ -43,17 +46,20 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, chunk_id, repo_id, score of every chunk that holds a term of the query.
 
-    Only postings of terms that some query names are kept, before anything is aggregated; document frequencies and lengths
-    cover all chunks and repositories, as scopes are applied to rows that were found.
+    Chunks are tokenised once: of their postings those of terms that some query names are kept, before anything is
+    aggregated, and one more for each chunk that carries its length. What is kept is settled, and frequencies, lengths and scores are
+    worked out from it. Frequencies and lengths cover all chunks and repositories, as scopes are applied to rows that were found.
     """
     terms = query_terms(queries)
-    wanted = terms.select("term").distinct()
+    wanted = terms.select("term").unionByName(queries.sparkSession.createDataFrame([(LENGTH,)], "term string")).distinct()
     own = F.transform(text.index_tokens(F.col("content")), lambda t: F.struct(t.alias("term"), F.lit(1.0).alias("w")))
     named = F.transform(text.index_tokens(F.col("path")), lambda t: F.struct(t.alias("term"), F.lit(PATH_WEIGHT).alias("w")))
     every = chunks.select("chunk_id", "repo_id", F.concat(own, named).alias("tokens")).withColumn("dl", F.size("tokens").cast("double"))
+    every = every.withColumn("tokens", F.concat("tokens", F.array(F.struct(F.lit(LENGTH).alias("term"), F.lit(0.0).alias("w")))))
     held = every.select("chunk_id", "repo_id", "dl", F.explode("tokens").alias("t")).select("chunk_id", "repo_id", "dl", "t.term", "t.w").join(wanted, "term", "left_semi")
-    found = held.groupBy("term", "chunk_id", "repo_id", "dl").agg(F.sum("w").alias("tf"))
-    n, avg = corpus_size(chunks).select("n_chunks").scalar(), corpus_size(chunks).select("avg_dl").scalar()
+    whole = settled(held.groupBy("term", "chunk_id", "repo_id", "dl").agg(F.sum("w").alias("tf")))
+    found, stats = whole.where(F.col("term") != LENGTH), whole.where(F.col("term") == LENGTH).agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avg")).first()
+    n, avg = F.lit(stats["n"]), F.lit(stats["avg"])
     df = found.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
     idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avg))

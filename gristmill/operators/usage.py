@@ -83,3 +83,15 @@ def report(days: DataFrame, prices: DataFrame) -> DataFrame:
 def poisoned_total(usage: DataFrame, *keys: str) -> DataFrame:
     """Cost of each group, null as soon as one of its calls has none."""
     return usage.groupBy(*keys).agg(F.when(F.count_if(F.col("cost_usd").isNull()) == 0, F.sum("cost_usd")).alias("total_cost_usd"))
+
+
+def retryable(status: Column) -> Column:
+    """Whether a failed call with this status may be tried again: time-outs, too many requests, faults of the server."""
+    return F.coalesce(status.isin(408, 429) | (status >= 500), F.lit(False))
+
+
+def price_decision(fetched: Column, failed: Column, now: Column, *, ttl_hours: int = 24, retry_minutes: int = 5) -> Column:
+    """What to do with a price list fetched at ``fetched`` whose last refresh failed at ``failed`` (either may be null): ``fresh``, ``stale`` (used, as the last failure is recent), or ``refresh``."""
+    young = F.coalesce(now < fetched + F.make_dt_interval(hours=F.lit(ttl_hours)), F.lit(False))
+    cooling = F.coalesce(now < failed + F.make_dt_interval(mins=F.lit(retry_minutes)), F.lit(False))
+    return F.when(young, "fresh").when(cooling, "stale").otherwise("refresh")

@@ -133,31 +133,38 @@ def usage_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return USAGE.frame(spark, sf_dir).select("id", *TOKENS).unpivot(["id"], TOKENS, "kind", "tokens").where("tokens > 0")
 
 
-@query("o262_usage_journal", over("v_usage", "SELECT DISTINCT output_tokens AS attempt, id // 20 AS seq FROM v_usage"))
+@query("o262_usage_journal", over("v_usage", "WITH k AS (SELECT output_tokens AS attempt, id // 20 AS seq, bool_or(id % 3 = 0) AS held FROM v_usage GROUP BY 1, 2) SELECT attempt, seq, CASE WHEN held THEN 'journal' ELSE 'new' END AS origin FROM k"))
 def usage_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gristmill.operators.writes import insert_new
 
-    rows = USAGE.frame(spark, sf_dir).select(F.col("output_tokens").alias("attempt"), F.floor(F.col("id") / 20).alias("seq"))
-    return insert_new(rows.limit(0), rows, ["attempt", "seq"])
+    rows = USAGE.frame(spark, sf_dir).select(F.col("output_tokens").alias("attempt"), F.floor(F.col("id") / 20).alias("seq"), "id")
+    journal = rows.where("id % 3 = 0").select("attempt", "seq").distinct().withColumn("origin", F.lit("journal"))
+    return insert_new(journal, rows.select("attempt", "seq", F.lit("new").alias("origin")), ["attempt", "seq"])
 
 
 @query("o260_price_refresh", "SELECT event_id, CASE WHEN event_id % 30 < 24 THEN 'fresh' WHEN event_type = 'error' AND event_id % 10 < 5 THEN 'stale' ELSE 'refresh' END AS decision FROM events")
 def price_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    age, failed, since = F.col("event_id") % 30, F.col("event_type") == "error", F.col("event_id") % 10
-    return table(spark, sf_dir, "events").select("event_id", F.when(age < 24, "fresh").when(failed & (since < 5), "stale").otherwise("refresh").alias("decision"))
+    from gristmill.operators.usage import price_decision
+
+    now = F.lit("2024-01-02 03:04:05").cast("timestamp")
+    fetched = now - F.make_dt_interval(hours=(F.col("event_id") % 30).cast("int"))
+    failed = F.when(F.col("event_type") == "error", now - F.make_dt_interval(mins=(F.col("event_id") % 10).cast("int")))
+    return table(spark, sf_dir, "events").select("event_id", price_decision(fetched, failed, now).alias("decision"))
 
 
 @query("o261_resume_stage", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'reconciliation' WHEN event_id % 3 = 0 THEN 'verification' WHEN event_id % 2 = 0 THEN 'discovery' END AS stage FROM events")
 def resume_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("event_id")
-    done = [F.when(i % 5 == 0, "reconciliation"), F.when(i % 3 == 0, "verification"), F.when(i % 2 == 0, "discovery")]
-    return table(spark, sf_dir, "events").select("event_id", F.coalesce(*done).alias("stage"))
+    i, stages = F.col("event_id"), ["discovery", "verification", "reconciliation"]
+    valid = F.array(*[F.struct(F.lit(s).alias("stage"), (i % n == 0).alias("valid")) for s, n in zip(stages, (2, 3, 5), strict=True)])
+    checkpoints = table(spark, sf_dir, "events").select(i.alias("job_id"), F.explode(valid).alias("c")).select("job_id", "c.*")
+    return ops.resume_stages(checkpoints, stages).withColumnRenamed("job_id", "event_id")
 
 
 @query("o053_retryable", "SELECT event_id, event_id % 600 IN (408, 429) OR event_id % 600 >= 500 AS retryable FROM events")
 def retryable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    status = F.col("event_id") % 600
-    return table(spark, sf_dir, "events").select("event_id", (status.isin(408, 429) | (status >= 500)).alias("retryable"))
+    from gristmill.operators.usage import retryable as may_retry
+
+    return table(spark, sf_dir, "events").select("event_id", may_retry(F.col("event_id") % 600).alias("retryable"))
 
 
 @query("o005_json_props", "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS bigint) AS k FROM events")
@@ -200,25 +207,29 @@ def cited(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("o130_turns_since", over("v_messages", "SELECT conv_id, coalesce(max(turn) - max(CASE WHEN role = 'user' THEN turn END), 0) AS since FROM v_messages GROUP BY 1"))
 def turns_since(spark: SparkSession, sf_dir: str) -> DataFrame:
-    user = F.when(F.col("role") == "user", F.col("turn"))
-    return MESSAGES.frame(spark, sf_dir).groupBy("conv_id").agg(F.coalesce(F.max("turn") - F.max(user), F.lit(0).cast("long")).alias("since"))
+    return ops.since_last(MESSAGES.frame(spark, sf_dir), "conv_id", "turn", F.col("role") == "user")
 
 
 @query("o010_reassembled_lines", "SELECT conv_id, cast(sum(len(list_filter(string_split(t, chr(10)), lambda l: trim(l) <> ''))) AS bigint) AS n_lines FROM (SELECT conv_id, string_agg(text, '' ORDER BY turn, text) AS t FROM conversations GROUP BY 1) GROUP BY 1")
 def reassembled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("p"))
-    whole = F.array_join(F.transform("p", lambda x: x["text"]), "")
-    return held.select("conv_id", F.size(F.filter(text.lines(whole), lambda line: F.trim(line) != "")).cast("long").alias("n_lines"))
+    from gristmill.operators.corpus import joined_text
+
+    held = joined_text(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+    return held.select("conv_id", F.size(F.filter(text.lines(F.col("whole")), lambda line: F.trim(line) != "")).cast("long").alias("n_lines"))
 
 
 @query("o204_repo_references", "SELECT page_id, CASE WHEN regexp_matches(url, '^https?://') THEN lower(regexp_extract(url, '^https?://([^/]+)/([^/?#]+)', 1)) || ':' || lower(regexp_extract(url, '^https?://([^/]+)/([^/?#]+)', 2)) END AS reference FROM pages")
 def repo_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = lambda k: F.lower(F.regexp_extract("url", r"^https?://([^/]+)/([^/?#]+)", k))
-    return table(spark, sf_dir, "pages").select("page_id", F.when(F.col("url").rlike("^https?://"), F.concat(part(1), F.lit(":"), part(2))).alias("reference"))
+    return table(spark, sf_dir, "pages").select("page_id", ops.repo_reference(F.col("url")).alias("reference"))
 
 
 @query("o206_redacted_urls", "SELECT page_id, url AS redacted FROM pages")
 def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = F.regexp_replace("url", "^(https?://)", "$1me:secret@")
-    masked = F.regexp_replace(given, r"(https?://)[^@\s/]+:[^@\s/]+@", "$1***:***@")
-    return table(spark, sf_dir, "pages").select("page_id", F.replace(masked, F.lit("***:***@"), F.lit("")).alias("redacted"))
+    return table(spark, sf_dir, "pages").select("page_id", F.replace(ops.redacted(given), F.lit("***:***@"), F.lit("")).alias("redacted"))
+
+
+@query("o251_scheduled_once", "WITH RECURSIVE e AS (SELECT event_type AS key, cast(floor(epoch(ts)) AS bigint) AS t FROM events), r AS (SELECT key, min(t) AS t FROM e GROUP BY 1 UNION ALL SELECT r.key, min(e.t) AS t FROM r JOIN e ON e.key = r.key AND e.t > r.t + 30 * 3600 GROUP BY r.key, r.t) SELECT key, t AS \"at\" FROM r")
+def scheduled_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.floor(F.unix_micros("ts") / 1_000_000)
+    return ops.scheduled_once(table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), at.alias("at")), 30 * 3600)

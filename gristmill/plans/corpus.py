@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gristmill.functions import paths, text
 from gristmill.operators import corpus as ops
 from gristmill.operators import diffs
+from gristmill.operators.steps import numbered, ranges_of, settled
 from gristmill.plans.registry import query
 from gristmill.sources.tables import CHUNKS, FILES, NEW_FILES, OLD_FILES, over, table
 
@@ -67,8 +68,7 @@ def line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = FILES.frame(spark, sf_dir).select("file_id", "path")
-    return held.join(documents(spark, sf_dir).select(F.col("doc_id").alias("file_id"), F.col("text").alias("content")), "file_id")
+    return FILES.frame(spark, sf_dir).select("file_id", "path", "content")
 
 
 @query("o220_chunks")
@@ -97,22 +97,21 @@ RISK = f"risk AS (SELECT doc_id, CASE WHEN {SCORE} > 0 THEN {SCORE} WHEN regexp_
 
 @query("o107_change_risk", f"WITH {RISK} SELECT doc_id, cast(score AS bigint) AS score, signals FROM risk")
 def change_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = F.col("text")
-    return documents(spark, sf_dir).select("doc_id", diffs.risk(body).cast("long").alias("score"), F.array_join(diffs.signals(body), ",").alias("signals"))
+    found = documents(spark, sf_dir).select("doc_id", diffs.assessed(F.col("text")).alias("a"))
+    return found.select("doc_id", F.col("a.score").cast("long").alias("score"), F.array_join("a.signals", ",").alias("signals"))
 
 
 @query("o057_risky_documents", f"WITH {RISK} SELECT doc_id FROM risk WHERE score >= 4")
 def risky(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = documents(spark, sf_dir).select("doc_id", diffs.risk(F.col("text")).alias("score"), diffs.signals(F.col("text")).alias("signals"))
+    scored = documents(spark, sf_dir).select("doc_id", diffs.assessed(F.col("text")).alias("a")).select("doc_id", "a.score", "a.signals")
     return scored.where((F.col("score") >= 4) | F.array_contains("signals", "security")).select("doc_id")
 
 
 @query("o145_riskiest_first", f"WITH {RISK} SELECT d.source, r.doc_id, cast(row_number() OVER (PARTITION BY source ORDER BY score DESC, r.doc_id) AS bigint) AS rank FROM risk r JOIN documents d ON d.doc_id = r.doc_id")
 def riskiest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    scored = documents(spark, sf_dir).select("source", "doc_id", diffs.risk(F.col("text")).alias("score"))
-    return scored.select("source", "doc_id", F.row_number().over(Window.partitionBy("source").orderBy(F.col("score").desc(), "doc_id")).cast("long").alias("rank"))
+    scored = settled(documents(spark, sf_dir).select("source", "doc_id", diffs.risk(F.col("text")).alias("score")))
+    part = F.struct((-F.col("score")).alias("s"), ranges_of(scored, "doc_id").alias("r"))
+    return numbered(scored, "source", part, ["doc_id"], "rank").drop("score")
 
 
 @query("o201_truncated_status", "WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g') AS s FROM documents) SELECT doc_id, CASE WHEN length(s) <= 140 THEN s ELSE substr(s, 1, 139) || '…' END AS status FROM s")
@@ -164,9 +163,8 @@ def import_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("o112_focus_text", "SELECT doc_id // 20 AS g, cast(length(string_agg(text, chr(10) ORDER BY doc_id)) AS bigint) AS n_chars, sha256(string_agg(text, chr(10) ORDER BY doc_id)) AS digest FROM documents WHERE text <> '' GROUP BY 1")
 def focus_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = documents(spark, sf_dir).where("text <> ''").groupBy(F.floor(F.col("doc_id") / 20).alias("g")).agg(F.sort_array(F.collect_list(F.struct("doc_id", "text"))).alias("t"))
-    whole = F.array_join(F.transform("t", lambda x: x["text"]), "\n")
-    return held.select("g", F.length(whole).cast("long").alias("n_chars"), F.sha2(whole, 256).alias("digest"))
+    held = ops.joined_text(documents(spark, sf_dir).where("text <> ''").withColumn("g", F.floor(F.col("doc_id") / 20)), "g", "doc_id", between="\n")
+    return held.select("g", F.length("whole").cast("long").alias("n_chars"), F.sha2("whole", 256).alias("digest"))
 
 
 @query("o135_clipped_fill", "WITH s AS (SELECT doc_id // 20 AS g, doc_id, n_chars, coalesce(sum(n_chars) OVER (PARTITION BY doc_id // 20 ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used, text FROM documents) SELECT g, doc_id, cast(length(substr(text, 1, cast(12000 - used AS bigint))) AS bigint) AS taken FROM s WHERE used < 12000")
@@ -184,3 +182,29 @@ def matching_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir).select("doc_id", text.lines(F.col("text")).alias("ls"))
     hit = F.filter("ls", lambda line: F.lower(line).rlike(r"(^|[^a-z0-9_$])the($|[^a-z0-9_$])"))
     return rows.select("doc_id", F.size(hit).cast("long").alias("n_matching"))
+
+
+@query("o002_read_with_fallback", "SELECT 'f' || doc_id AS path, CASE WHEN doc_id % 3 = 0 THEN 'own ' || doc_id WHEN doc_id % 5 > 0 THEN 'kept ' || doc_id % 5 END AS content FROM documents")
+def read_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    blob = F.concat(F.lit("b"), (F.col("doc_id") % 5).cast("string"))
+    path = F.concat(F.lit("f"), F.col("doc_id").cast("string"))
+    working = docs.where("doc_id % 3 = 0").select(path.alias("path"), F.concat(F.lit("own "), F.col("doc_id").cast("string")).alias("content"))
+    stored = docs.select(blob.alias("blob_hash"), F.concat(F.lit("kept "), (F.col("doc_id") % 5).cast("string")).alias("content")).where("blob_hash <> 'b0'").distinct()
+    return ops.with_fallback(docs.select(path.alias("path"), blob.alias("blob_hash")), working, stored)
+
+
+@query("o001_tree_entries", "SELECT source AS repo_id, 'src/f' || doc_id || '.ts' AS path, sha1(cast(doc_id AS string)) AS blob_hash, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE n_chars END AS size FROM documents WHERE source IS NOT NULL AND doc_id % 4 > 1")
+def tree_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("doc_id") % 4 == 0, "160000 commit").when(F.col("doc_id") % 4 == 1, "120000 blob").otherwise("100644 blob")
+    size = F.when(F.col("doc_id") % 7 == 0, "-").otherwise(F.col("n_chars").cast("string"))
+    record = F.concat(kind, F.lit(" "), F.sha1(F.col("doc_id").cast("string").cast("binary")), F.lit("  "), size, F.lit("\tsrc/f"), F.col("doc_id").cast("string"), F.lit(".ts"))
+    listings = documents(spark, sf_dir).where("source IS NOT NULL").groupBy(F.col("source").alias("repo_id")).agg(F.array_join(F.collect_list(record), "\0").alias("raw"))
+    return ops.tree_entries(listings)
+
+
+@query("o022_chunk_ids", "SELECT file_id, count(*) AS n, count(*) AS n_ids FROM (SELECT doc_id AS file_id, unnest([1, 2]) FROM documents) GROUP BY 1")
+def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir).select(F.col("doc_id").alias("file_id"), F.explode(F.array(F.lit(1), F.lit(41))).alias("start_line"), F.col("text").alias("content"))
+    made = ops.with_chunk_ids(rows.withColumn("end_line", F.col("start_line") + 39))
+    return made.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("chunk_id").alias("n_ids"))

@@ -41,7 +41,7 @@ TOKENS = (
     f"{WORDS}, parted AS (SELECT query_id, i, w, {PARTS} AS p FROM words), "
     f"chosen AS (SELECT query_id, i, CASE WHEN len(p) > 1 THEN list_concat([lower(w)], p) WHEN lower(w) IN {_list(text.STOPWORDS)} THEN [] ELSE [lower(w)] END AS ts FROM parted), "
     "each AS (SELECT query_id, i, unnest(ts) AS t, generate_subscripts(ts, 1) AS j FROM chosen), "
-    "first AS (SELECT query_id, t, min(i * 1000 + j) AS pos FROM each WHERE length(t) >= 2 GROUP BY query_id, t)"
+    "first AS (SELECT query_id, t, min(i * 1000000 + j) AS pos FROM each WHERE length(t) >= 2 GROUP BY query_id, t)"
 )
 
 
@@ -91,13 +91,6 @@ def review_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FILES.frame(spark, sf_dir).groupBy(side.alias("side")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("o047_path_weight", over("v_chunks v_queries", f"WITH {TOKENS}, hits AS (SELECT c.chunk_id, f.query_id, sum(CASE WHEN length(t) >= 3 AND contains(lower(c.path), t) THEN 1 ELSE 0 END) AS n FROM v_chunks c JOIN first f ON c.chunk_id % 40 = f.query_id % 40 GROUP BY 1, 2) SELECT h.chunk_id, h.query_id, round(cast({PRIOR} AS double) * (1 + 0.25::double * least(n, 3)), 6) AS weight FROM hits h JOIN v_chunks c ON h.chunk_id = c.chunk_id"))
-def path_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries = SEARCHES.frame(spark, sf_dir).select("query_id", text.query_tokens(F.col("query")).alias("tokens")).where(F.size("tokens") > 0)
-    met = CHUNKS.frame(spark, sf_dir).join(queries, F.col("chunk_id") % 40 == F.col("query_id") % 40)
-    return met.select("chunk_id", "query_id", F.round(paths.path_weight(F.col("path"), F.col("tokens")), 6).alias("weight"))
-
-
 @query("o180_query_tokens", over("v_queries", f"WITH {TOKENS} SELECT query_id, string_agg(t, ' ' ORDER BY pos) AS tokens FROM first GROUP BY query_id"))
 def query_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = SEARCHES.frame(spark, sf_dir).select("query_id", text.query_tokens(F.col("query")).alias("t"))
@@ -258,3 +251,11 @@ def context_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("o187_first_line", "SELECT doc_id, substr(coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda l: regexp_replace(l, '^\\s+|\\s+$', '', 'g')), lambda l: l <> '')[1], ''), 1, 120) AS summary FROM documents")
 def first_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.first_line(F.col("text")).alias("summary"))
+
+
+@query("o047_path_weight", over("v_chunks v_queries v_vec", f"WITH {BM25}, {KNN}, {FUSED}, hit AS (SELECT f.query_id, f.chunk_id, count(*) FILTER (WHERE length(t) >= 3 AND contains(lower(c.path), t)) AS n FROM fus f JOIN v_chunks c ON c.chunk_id = f.chunk_id LEFT JOIN first ON first.query_id = f.query_id GROUP BY 1, 2) SELECT h.query_id, h.chunk_id, round(cast({PRIOR} AS double) * (1 + 0.25::double * least(n, 3)), 6) AS weight FROM hit h JOIN v_chunks c ON c.chunk_id = h.chunk_id"))
+def path_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks, queries = CHUNKS.frame(spark, sf_dir), SEARCHES.frame(spark, sf_dir)
+    hits = search.fused(search.lexical_top(chunks, queries), search.nearest(VECTORS.frame(spark, sf_dir), probes(spark, sf_dir)))
+    named = hits.join(chunks.select("chunk_id", "path"), "chunk_id").join(queries.select("query_id", text.query_tokens(F.col("query")).alias("tokens")), "query_id")
+    return named.select("query_id", "chunk_id", F.round(paths.path_weight(F.col("path"), F.col("tokens")), 6).alias("weight"))

@@ -96,55 +96,49 @@ def verified(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("o081_escalated", over("v_findings", f"WITH {DECISIONS}, bad AS (SELECT f.review_id, f.path, f.line FROM v_findings f JOIN d ON d.review_id = f.review_id AND d.ordinal = f.ordinal WHERE decision = 'rejected') SELECT f.review_id, f.ordinal FROM v_findings f JOIN d ON d.review_id = f.review_id AND d.ordinal = f.ordinal WHERE decision <> 'rejected' AND NOT (decision = 'uncertain' AND EXISTS (SELECT 1 FROM bad b WHERE b.review_id = f.review_id AND b.path = f.path AND b.line = f.line))"))
 def escalated(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = findings(spark, sf_dir)
-    judged = rows.join(decisions(rows), ["review_id", "ordinal"])
-    bad = judged.where("decision = 'rejected'").select("review_id", "path", "line")
-    kept, added = judged.where("decision = 'supported'"), judged.where("decision = 'uncertain'").join(bad, ["review_id", "path", "line"], "left_anti")
-    return kept.select("review_id", "ordinal").unionByName(added.select("review_id", "ordinal"))
+    return ops.escalated(rows, decisions(rows)).select("review_id", "ordinal")
 
 
-@query("o228_duplicate_roots", "WITH RECURSIVE l AS (SELECT p_partkey AS id, p_partkey // 2 AS target FROM part WHERE p_partkey % 3 = 0 AND p_partkey > 0), r AS (SELECT id, target AS root FROM l UNION ALL SELECT r.id, l.target FROM r JOIN l ON l.id = r.root) SELECT id, root FROM r WHERE root NOT IN (SELECT id FROM l)")
+@query("o228_duplicate_roots", "WITH RECURSIVE l AS (SELECT p_partkey AS id, p_partkey // 3 AS target FROM part WHERE p_partkey > 2), r AS (SELECT id, target AS root FROM l UNION ALL SELECT r.id, l.target FROM r JOIN l ON l.id = r.root) SELECT id, root FROM r WHERE root NOT IN (SELECT id FROM l)")
 def duplicate_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = table(spark, sf_dir, "part").where("p_partkey % 3 = 0 AND p_partkey > 0").select(F.col("p_partkey").alias("id"), F.floor(F.col("p_partkey") / 2).alias("target"))
-    return ops.roots(links, rounds=5)
+    links = table(spark, sf_dir, "part").where("p_partkey > 2").select(F.col("p_partkey").alias("id"), F.floor(F.col("p_partkey") / 3).alias("target"))
+    return ops.roots(links)
 
 
-@query("o076_near_evidence", over("v_findings", "SELECT DISTINCT e.review_id, e.path, e.line FROM v_findings e JOIN v_findings f ON f.review_id = e.review_id AND f.path = e.path AND abs(f.line - e.line) <= 2 WHERE f.severity = 'critical'"))
+@query("o076_near_evidence", over("v_findings", "SELECT DISTINCT e.review_id, e.path, e.line FROM v_findings e JOIN v_findings f ON f.review_id = e.review_id AND f.path = e.path AND abs(f.line - e.line) <= 10 WHERE f.severity = 'critical'"))
 def near_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = findings(spark, sf_dir)
-    return ops.near_evidence(rows.select("review_id", "path", "line"), rows.where("severity = 'critical'"), within=2)
+    return ops.near_evidence(rows.select("review_id", "path", "line"), rows.where("severity = 'critical'"), within=10)
 
 
 @query("o075_allowed_citations", over("v_findings", "SELECT review_id, ordinal FROM v_findings f WHERE EXISTS (SELECT 1 FROM v_findings a WHERE a.severity = 'warning' AND a.review_id = f.review_id AND a.path = f.path AND a.line = f.line)"))
 def allowed_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = findings(spark, sf_dir)
-    return rows.join(rows.where("severity = 'warning'").select("review_id", "path", "line"), ["review_id", "path", "line"], "left_semi").select("review_id", "ordinal")
+    return ops.allowed_citations(rows, rows.where("severity = 'warning'")).select("review_id", "ordinal")
 
 
 @query("o077_lines_in_hunks", over("v_findings", "WITH h AS (SELECT review_id, path, min(line) AS a, max(line) AS b FROM v_findings WHERE severity <> 'nit' GROUP BY 1, 2) SELECT f.review_id, f.ordinal FROM v_findings f JOIN h ON h.review_id = f.review_id AND h.path = f.path WHERE f.line BETWEEN a AND b"))
 def lines_in_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = findings(spark, sf_dir)
-    hunks = rows.where("severity <> 'nit'").groupBy("review_id", "path").agg(F.min("line").alias("a"), F.max("line").alias("b"))
-    return rows.join(hunks, ["review_id", "path"]).where("line BETWEEN a AND b").select("review_id", "ordinal")
+    hunks = ops.hunk_bounds(rows.where("severity <> 'nit'"), F.lit(True))
+    return ops.lines_in_hunks(rows, hunks).select("review_id", "ordinal")
 
 
 @query("o078_matched_findings", over("v_findings", "SELECT DISTINCT p.review_id, p.ordinal FROM v_findings p JOIN v_findings c ON c.review_id = p.review_id + 1 AND c.path = p.path AND (c.title = p.title OR c.root_cause = p.root_cause)"))
 def matched_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = findings(spark, sf_dir)
-    now = rows.select((F.col("review_id") - 1).alias("review_id"), "path", F.col("title").alias("title_now"), F.col("root_cause").alias("cause_now"))
-    met = rows.join(now, ["review_id", "path"]).where((F.col("title") == F.col("title_now")) | (F.col("root_cause") == F.col("cause_now")))
-    return met.select("review_id", "ordinal").distinct()
+    return ops.matched_findings(rows, rows.withColumn("review_id", F.col("review_id") - 1)).select("review_id", "ordinal")
 
 
 @query("o109_hunk_bounds", over("v_findings", "SELECT review_id, path, coalesce(min(CASE WHEN severity <> 'nit' THEN line END), greatest(1, min(line))) AS first_line, coalesce(max(CASE WHEN severity <> 'nit' THEN line END), greatest(1, min(line))) AS last_line FROM v_findings GROUP BY 1, 2"))
 def hunk_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new, anchor = F.when(F.col("severity") != "nit", F.col("line")), F.greatest(F.lit(1), F.min("line"))
-    return findings(spark, sf_dir).groupBy("review_id", "path").agg(F.coalesce(F.min(new), anchor).alias("first_line"), F.coalesce(F.max(new), anchor).alias("last_line"))
+    return ops.hunk_bounds(findings(spark, sf_dir), F.col("severity") != "nit")
 
 
 @query("o110_distinct_lines", over("v_findings", "SELECT review_id, path, string_agg(DISTINCT line, ',' ORDER BY line) AS lines FROM v_findings GROUP BY 1, 2"))
 @query("o111_citation_lines", over("v_findings", "SELECT review_id, path, string_agg(DISTINCT line, ',' ORDER BY line) AS lines FROM v_findings GROUP BY 1, 2"))
 def distinct_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings(spark, sf_dir).groupBy("review_id", "path").agg(F.array_join(F.sort_array(F.collect_set("line")), ",").alias("lines"))
+    return ops.distinct_lines(findings(spark, sf_dir)).withColumn("lines", F.array_join("lines", ","))
 
 
 @query("o102_reservations", "WITH a AS (SELECT o_custkey AS review_id, o_orderkey AS ordinal, o_totalprice / 1000000 AS cost FROM orders), s AS (SELECT *, sum(cost) OVER (PARTITION BY review_id ORDER BY ordinal) AS total FROM a) SELECT review_id, ordinal, round(total, 6) <= 0.495::double AS accepted FROM s")
@@ -173,12 +167,10 @@ def kept_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("o167_merged_history", over("v_findings", "WITH u AS (SELECT review_id, path, line, title, ordinal, 0 AS side FROM v_findings UNION ALL SELECT review_id, path, line, title, ordinal, 1 FROM v_findings WHERE severity = 'critical'), r AS (SELECT *, row_number() OVER (PARTITION BY review_id, path, line, title ORDER BY side, ordinal) AS k FROM u) SELECT review_id, path, line, title FROM r WHERE k = 1"))
 def merged_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = findings(spark, sf_dir).select("review_id", "path", "line", "title", "ordinal", "severity")
-    both = rows.withColumn("side", F.lit(0)).unionByName(rows.where("severity = 'critical'").withColumn("side", F.lit(1)))
-    return both.groupBy("review_id", "path", "line", "title").agg(F.min(F.struct("side", "ordinal")).alias("first")).drop("first")
+    rows = findings(spark, sf_dir)
+    return ops.merged_history(rows, rows.where("severity = 'critical'"), ["review_id", "path", "line", "title"]).drop("first")
 
 
 @query("o055_exact_ids", over("v_findings", "SELECT review_id, count(*) = max(ordinal) AND count(DISTINCT ordinal) = count(*) AS exact FROM v_findings WHERE severity <> 'nit' GROUP BY 1"))
 def exact_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = findings(spark, sf_dir).where("severity <> 'nit'").groupBy("review_id").agg(F.sort_array(F.collect_list("ordinal")).alias("ids"))
-    return held.select("review_id", (F.col("ids") == F.sequence(F.lit(1).cast("long"), F.size("ids").cast("long"))).alias("exact"))
+    return ops.exact_ids(findings(spark, sf_dir).where("severity <> 'nit'"))

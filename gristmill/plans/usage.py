@@ -51,11 +51,11 @@ def resolved_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.resolve_prices(USAGE.frame(spark, sf_dir), PRICES.frame(spark, sf_dir)).select("provider", "model", "model_id")
 
 
-@query("o093_row_estimates", over("v_usage v_prices", f"WITH {PAIRS} SELECT u.id, round({ESTIMATE}, 9) AS estimate FROM v_usage u JOIN best b ON b.provider = u.provider AND b.model = u.model"))
+@query("o093_row_estimates", over("v_usage v_prices", f"WITH {PAIRS} SELECT u.id, round({ESTIMATE}, 12) AS estimate FROM v_usage u JOIN best b ON b.provider = u.provider AND b.model = u.model"))
 def row_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = USAGE.frame(spark, sf_dir)
     known = ops.resolve_prices(calls, PRICES.frame(spark, sf_dir)).where("model_id IS NOT NULL")
-    return calls.join(known, ["provider", "model"]).select("id", F.round(ops.estimated(), 9).alias("estimate"))
+    return calls.join(known, ["provider", "model"]).select("id", F.round(ops.estimated(), 12).alias("estimate"))
 
 
 @query("o195_candidate_models", over("v_usage", f"SELECT DISTINCT provider, model, array_to_string(list_filter({IDS}, lambda x, i: list_position({IDS}, x) = i), ' ') AS ids FROM v_usage"))

@@ -66,10 +66,11 @@ def last_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.last_write(rows, ["key"], "vec_id")
 
 
-@query("o027_idempotent_insert", "SELECT DISTINCT user_id AS attempt, event_type AS seq FROM events WHERE event_type <> 'view' UNION ALL SELECT user_id, NULL FROM events WHERE event_type = 'view'")
+@query("o027_idempotent_insert", "WITH k AS (SELECT user_id AS attempt, event_type AS seq, bool_or(event_id % 3 = 0) AS held FROM events WHERE event_type <> 'view' GROUP BY 1, 2) SELECT attempt, seq, CASE WHEN held THEN 'held' ELSE 'new' END AS origin FROM k UNION ALL SELECT user_id, NULL, 'new' FROM events WHERE event_type = 'view'")
 def idempotent_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("attempt"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("seq"))
-    return ops.insert_new(rows.limit(0), rows, ["attempt", "seq"])
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("attempt"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("seq"), "event_id")
+    held = rows.where("event_id % 3 = 0 AND seq IS NOT NULL").select("attempt", "seq").distinct().withColumn("origin", F.lit("held"))
+    return ops.insert_new(held, rows.select("attempt", "seq", F.lit("new").alias("origin")), ["attempt", "seq"])
 
 
 STATE = "st AS (SELECT o_orderkey AS id, o_custkey % 3 AS owner, o_orderkey % 4 AS generation FROM orders), att AS (SELECT o_orderkey AS id, o_custkey % 2 AS owner, o_orderkey % 3 AS generation FROM orders)"

@@ -42,7 +42,7 @@ FILES = View("documents", {
     "path": "concat(CASE doc_id % 6 WHEN 0 THEN 'src/' WHEN 1 THEN 'docs/' WHEN 2 THEN 'tests/' WHEN 3 THEN 'node_modules/' WHEN 4 THEN 'src/generated/' ELSE '' END, "
             "CASE doc_id % 11 WHEN 0 THEN 'CHANGELOG' WHEN 1 THEN 'Dockerfile' ELSE concat('file', cast(doc_id AS string)) END, "
             "CASE doc_id % 8 WHEN 0 THEN '.ts' WHEN 1 THEN '.py' WHEN 2 THEN '.md' WHEN 3 THEN '.min.js' WHEN 4 THEN '.lock' WHEN 5 THEN '.png' WHEN 6 THEN '.test.ts' ELSE '' END)",
-    "size": "n_chars", "doc_lang": "lang",
+    "size": "n_chars", "doc_lang": "lang", "content": "text",
 })
 CHUNKS = View("documents", {
     "chunk_id": "doc_id", "repo_id": "source",
