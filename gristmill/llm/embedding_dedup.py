@@ -6,7 +6,9 @@ multi-sequence traversal, a heap over the two sorted lists - for as many cells a
 double precision with the vectors that live there. How many cells that is, is measured on the sample: its vectors are turned by
 the threshold angle in random directions, and the rank of the cell in which they then live is counted.
 
-Codebooks come from a bounded sample; every vector is indexed, and every one visits.
+Codebooks come from a bounded sample, and grow with the square root of the number of vectors so that cells stay small; every
+vector is indexed, and every one visits. Cells of a row of the grid are put together into blocks, large ones split, and a
+visitor is sent to the blocks that hold cells it visits.
 """
 
 from __future__ import annotations
@@ -16,18 +18,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm._shared import staged
+from gristmill.llm._shared import Scratch
 from gristmill.llm.components import components
 
-#: Vectors that the codebooks are fitted on, at most about so many.
-SAMPLE = 4_096
-CODEWORDS = 16
+#: Vectors that the codebooks are fitted on, at most about so many; and for each codeword, if there are more of those.
+SAMPLE, SAMPLE_EACH = 4_096, 32
+#: Codewords of a half: so that about PER_CELL vectors live in a cell, within these bounds.
+LEAST_CODEWORDS, MOST_CODEWORDS, PER_CELL = 16, 256, 64
 TARGET_RECALL = 0.98
-#: Vectors that live in one block of a row of cells, at most about so many.
+#: Vectors that live in one block of cells, about.
 BLOCK = 512
+#: Ids of classes of which no row has one stand beyond all real ids, from here on.
+NO_ID = 1 << 62
 
 
 def kmeans(points: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -70,7 +75,7 @@ def traverse(first: np.ndarray, second: np.ndarray, count: int) -> list[tuple[in
 class MultiIndex:
     """Two codebooks and the number of cells to visit."""
 
-    def __init__(self, sample: np.ndarray, threshold: float, codewords: int = CODEWORDS, target: float = TARGET_RECALL, seed: int = 7):
+    def __init__(self, sample: np.ndarray, threshold: float, codewords: int = LEAST_CODEWORDS, target: float = TARGET_RECALL, seed: int = 7):
         self.half = sample.shape[1] // 2
         self.codes = [kmeans(sample[:, : self.half], codewords, seed=seed), kmeans(sample[:, self.half :], codewords, seed=seed + 1)]
         rng = np.random.default_rng(seed)
@@ -80,9 +85,8 @@ class MultiIndex:
         noise /= np.maximum(np.linalg.norm(noise, axis=1)[:, None], 1e-300)
         turned = threshold * probes + np.sqrt(1 - threshold**2) * noise
         own, (d1, d2) = self.cells(turned), self.spread(probes)
-        sums = d1[:, :, None] + d2[:, None, :]
-        at = sums[np.arange(len(probes)), own[:, 0], own[:, 1]]
-        ranks = (sums <= at[:, None, None]).sum((1, 2))
+        at = d1[np.arange(len(probes)), own[:, 0]] + d2[np.arange(len(probes)), own[:, 1]]
+        ranks = [int((a[:, None] + b[None, :] <= t).sum()) for a, b, t in zip(d1, d2, at, strict=True)]
         self.visits = int(np.ceil(np.quantile(ranks, target)))
 
     def spread(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,8 +106,13 @@ def _unit(vectors: list, even: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
+def codewords_for(n: int) -> int:
+    """Codewords of a half for ``n`` vectors."""
+    return min(MOST_CODEWORDS, max(LEAST_CODEWORDS, round((n / PER_CELL) ** 0.5)))
+
+
 def _index(classes: DataFrame, index: MultiIndex, even: int) -> DataFrame:
-    """A row (role 0) for the cell row in which each class lives, and one (role 1) for each cell row that it visits."""
+    """A row (role 0) for the cell in which each class lives, with all the cells that it visits, and one (role 1) for each row of the grid that it visits, with the columns of its cells there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         across = len(index.codes[1])
@@ -112,20 +121,19 @@ def _index(classes: DataFrame, index: MultiIndex, even: int) -> DataFrame:
                 some = batch.slice(at, 1_024)
                 unit = _unit(some.column("embedding").to_pylist(), even)
                 own, (d1, d2) = index.cells(unit), index.spread(unit)
-                rows, row_of, role = [], [], []
-                visited = []
+                rows, row_of, role, visits, columns = [], [], [], [], []
                 for k in range(len(unit)):
-                    cells = traverse(d1[k], d2[k], index.visits)
-                    if tuple(own[k]) not in cells:
-                        cells.append(tuple(own[k]))
-                    visited.append(np.array(sorted(i * across + j for i, j in cells), np.int32).tobytes())
-                    for i in sorted({i for i, _ in cells}):
-                        rows.append(k)
-                        row_of.append(i)
-                        role.append(1)
-                    rows.append(k)
-                    row_of.append(int(own[k][0]))
-                    role.append(0)
+                    cells, home = traverse(d1[k], d2[k], index.visits), (int(own[k, 0]), int(own[k, 1]))
+                    if home not in cells:
+                        cells.append(home)
+                    by_row: dict[int, list[int]] = {}
+                    for i, j in cells:
+                        by_row.setdefault(i, []).append(j)
+                    rows += [k] * (1 + len(by_row))
+                    row_of += [home[0], *by_row]
+                    role += [0] + [1] * len(by_row)
+                    visits += [np.array(sorted(i * across + j for i, j in cells), np.int32).tobytes()] + [None] * len(by_row)
+                    columns += [[home[1]], *by_row.values()]
                 home = (own[:, 0] * across + own[:, 1]).astype(np.int32)
                 take = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_pydict(
@@ -136,13 +144,28 @@ def _index(classes: DataFrame, index: MultiIndex, even: int) -> DataFrame:
                         "id": some.column("id").take(take),
                         "copies": some.column("copies").take(take),
                         "home": pa.array(home[rows], pa.int32()),
-                        "visits": pa.array([visited[k] for k in rows], pa.binary()),
+                        "columns": pa.array(columns, pa.list_(pa.int32())),
+                        "visits": pa.array(visits, pa.binary()),
                         "unit": pa.array([unit[k].tobytes() for k in rows], pa.binary()),
                     }
                 )
 
     label = dict(classes.dtypes)["label"]
-    return classes.mapInArrow(run, f"label {label}, cell_row int, role int, id long, copies long, home int, visits binary, unit binary")
+    return classes.mapInArrow(run, f"label {label}, cell_row int, role int, id long, copies long, home int, columns array<int>, visits binary, unit binary")
+
+
+def _dealt(visits: DataFrame) -> DataFrame:
+    """``visits`` with the block in which a class lives (role 0), or once for each block with a cell that it visits (role 1)."""
+    cells = visits.where("role = 0").groupBy("label", "cell_row", F.col("columns")[0].alias("column")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("label", "cell_row").orderBy("column").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = F.greatest(F.ceil(F.col("n") / F.lit(BLOCK)), F.lit(1)).cast("int")
+    placed = cells.select("label", "cell_row", F.struct("column", F.floor(before / F.lit(BLOCK)).cast("int").alias("first"), blocks.alias("blocks")).alias("cell"))
+    rows = placed.groupBy("label", "cell_row").agg(F.collect_list("cell").alias("cells"))  # at most as many as there are codewords
+    met = F.filter("cells", lambda c: F.array_contains("columns", c["column"]))
+    lives = F.transform(met, lambda c: c["first"] + F.pmod(F.xxhash64("id"), c["blocks"]).cast("int"))
+    looks = F.array_distinct(F.flatten(F.transform(met, lambda c: F.sequence(c["first"], c["first"] + c["blocks"] - 1))))
+    known = visits.join(rows, ["label", "cell_row"])
+    return known.withColumn("block", F.explode(F.when(F.col("role") == 0, lives).otherwise(looks))).drop("cells")
 
 
 def _compared(dealt: DataFrame, threshold: float, across: int) -> DataFrame:
@@ -156,20 +179,19 @@ def _compared(dealt: DataFrame, threshold: float, across: int) -> DataFrame:
         key, living, held = None, [], None
 
         def hold() -> tuple:
-            ids, copies, home, visits, unit = zip(*living, strict=True)
+            ids, copies, home, _, visits, unit = zip(*living, strict=True)
             sizes = [len(v) // 4 for v in visits]
             codes = np.repeat(np.arange(len(ids), dtype=np.int64), sizes) * (1 << 32) + np.frombuffer(b"".join(visits), np.int32)
             return np.array(ids), np.array(copies), np.array(home), np.sort(codes), np.frombuffer(b"".join(unit)).reshape(len(ids), -1)
 
         def compare(guests: list[tuple]) -> pa.RecordBatch:
             ids, copies, home, codes, unit = held
-            g_ids, g_copies, g_home, g_visits, g_unit = zip(*guests, strict=True)
+            g_ids, g_copies, g_home, g_columns, _, g_unit = zip(*guests, strict=True)
             g_ids, g_copies, g_home = np.array(g_ids), np.array(g_copies), np.array(g_home)
-            looks = np.zeros((len(guests), int(home.max()) + 1), bool)
-            for k, v in enumerate(g_visits):
-                cells = np.frombuffer(v, np.int32)
-                looks[k, cells[cells < looks.shape[1]]] = True
-            linked = (np.frombuffer(b"".join(g_unit)).reshape(len(guests), -1) @ unit.T >= threshold) & looks[:, home] & (g_ids[:, None] != ids[None])
+            looks = np.zeros((len(guests), across), bool)
+            for k, columns in enumerate(g_columns):
+                looks[k, columns] = True
+            linked = (np.frombuffer(b"".join(g_unit)).reshape(len(guests), -1) @ unit.T >= threshold) & looks[:, home % across] & (g_ids[:, None] != ids[None])
             at_g, at_r = np.nonzero(linked)
             if not len(at_g):
                 return None
@@ -191,7 +213,7 @@ def _compared(dealt: DataFrame, threshold: float, across: int) -> DataFrame:
 
         for batch in batches:
             guests: list[tuple] = []
-            for label, row, block, role, *rest in zip(*[batch.column(k).to_pylist() for k in range(9)], strict=True):
+            for label, row, block, role, *rest in zip(*[batch.column(k).to_pylist() for k in range(10)], strict=True):
                 if (label, row, block) != key:
                     if guests and held and (found := compare(guests)):
                         yield found
@@ -210,44 +232,48 @@ def _compared(dealt: DataFrame, threshold: float, across: int) -> DataFrame:
             if guests and held and (found := compare(guests)):
                 yield found
 
-    ordered = dealt.select("label", "cell_row", "block", "role", "id", "copies", "home", "visits", "unit")
+    ordered = dealt.select("label", "cell_row", "block", "role", "id", "copies", "home", "columns", "visits", "unit")
     return ordered.repartition("label", "cell_row", "block").sortWithinPartitions("label", "cell_row", "block", "role").mapInArrow(run, "id long, other long, links long")
 
 
-def near_duplicates(vectors: DataFrame, *, threshold: float = 0.93, sample: int = SAMPLE, codewords: int = CODEWORDS, target: float = TARGET_RECALL) -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, threshold: float = 0.93, sample: int = SAMPLE, codewords: int | None = None, target: float = TARGET_RECALL) -> DataFrame:
     """``vec_id``, ``n_links``, ``component_id`` and ``kept`` of every row of ``vectors`` (vec_id, embedding, label).
 
     Rows link when their labels are equal and not null, their dimensions are equal, and their cosine in double precision is at least
     ``threshold``; none below it links. Null or empty vectors, zero vectors and those with a null or non-finite component link with
     nothing. Equal vectors are one class with a count, so copies are never paired. ``n_links`` counts other rows;
-    repeated rows count as rows. ``component_id`` is the smallest vec_id that links reach; rows without vec_id have none and
-    aren't kept. Other columns aren't read; an empty table gives an empty result.
+    repeated rows count as rows. ``component_id`` is the smallest vec_id that links reach; rows without vec_id count and link
+    like others, have no component and aren't kept. Other columns aren't read; an empty table gives an empty result.
+
+    ``codewords``: of each half; by default by the number of vectors (:func:`codewords_for`).
     """
+    scratch = Scratch(vectors.sparkSession, "embedding-dedup")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     fit = F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
     rows = rows.withColumn("fit", F.coalesce(fit, F.lit(False)))
-    classes = rows.where("fit").groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies")).where("id IS NOT NULL")
-    classes = staged(classes, "vector-classes")
+    classes = rows.where("fit").groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    beyond = F.lit(NO_ID) + F.pmod(F.xxhash64("label", "embedding"), F.lit(NO_ID))
+    classes = scratch.put(classes.withColumn("id", F.coalesce("id", beyond)), "vector-classes")
     facts = classes.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()
     parts = []
     for d, n in sorted((r["d"], r["n"]) for r in facts):
         own, even = classes.where(F.size("embedding") == d), max(2, d + d % 2)
-        chance = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / n))
-        drawn = own.where(chance).select("embedding").limit(2 * sample).toArrow()["embedding"].to_pylist() or own.select("embedding").limit(1).toArrow()["embedding"].to_pylist()
-        index = MultiIndex(_unit(drawn, even), threshold, codewords, target)
+        wide = codewords or codewords_for(n)
+        wanted = max(sample, SAMPLE_EACH * wide)
+        chance = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, wanted / n))
+        drawn = own.where(chance).select("embedding").limit(2 * wanted).toArrow()["embedding"].to_pylist() or own.select("embedding").limit(1).toArrow()["embedding"].to_pylist()
+        index = MultiIndex(_unit(drawn, even), threshold, wide, target)
         # staged, so that a row's cells are worked out once
-        visits = staged(_index(own, index, even), "vector-visits")
-        blocks = visits.where("role = 0").groupBy("label", "cell_row").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
-        known = visits.join(blocks, ["label", "cell_row"])
-        at = F.when(F.col("role") == 0, F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-        parts.append(_compared(known.withColumn("block", F.explode(at)), threshold, len(index.codes[1])))
+        visits = scratch.put(_index(own, index, even), "vector-visits")
+        parts.append(_compared(_dealt(visits), threshold, len(index.codes[1])))
     own_links = classes.select("id", (F.col("copies") - 1).alias("links"))
     if parts:
         found = parts[0]
         for more in parts[1:]:
             found = found.unionByName(more)
-        found = staged(found, "vector-links")
+        found = scratch.put(found, "vector-links")
+        scratch.drop("vector-visits")
         links = own_links.unionByName(found.select("id", "links")).groupBy("id").agg(F.sum("links").alias("links"))
         joined = components(found.select(F.col("id").alias("a"), F.col("other").alias("b")))
         links = links.join(joined, "id", "left").select("id", "links", F.coalesce("component_id", "id").alias("component"))

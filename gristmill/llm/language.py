@@ -19,18 +19,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of each language that the profiles are learned from, at most about so many.
-SAMPLE_DOCS = 3_000
+#: Rows of each language that the profiles are learned from, at most about so many; and languages that a column may name.
+SAMPLE_DOCS, LANGUAGES = 3_000, 1_000
 PROFILE = 400
 UNKNOWN = "und"
 _LETTERS: list[np.ndarray] = []
 
 
 def _letters() -> np.ndarray:
-    """Whether each code point is a letter or a mark on one; built once a process."""
+    """Whether each code point is a letter: 1, or a mark, which belongs to the letter before it: 2; built once a process.
+
+    Planes 4 to 16 hold no letter and no mark but for the variation selectors of plane 14.
+    """
     if not _LETTERS:
-        category = unicodedata.category
-        _LETTERS.append(np.array([category(chr(c))[0] in "LM" for c in range(0x30000)] + [False] * (sys.maxunicode + 1 - 0x30000), dtype=bool))
+        kinds = {"L": 1, "M": 2}
+        found = np.zeros(sys.maxunicode + 1, dtype=np.uint8)
+        found[:0x40000] = [kinds.get(unicodedata.category(chr(c))[0], 0) for c in range(0x40000)]
+        found[0xE0100:0xE01F0] = 2
+        _LETTERS.append(found)
     return _LETTERS[0]
 
 
@@ -40,9 +46,10 @@ def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     An n-gram is its code points packed 21 bits each. What isn't a letter counts as a space, and runs of spaces as one.
     """
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
-    letter = _letters()[points]
-    if not letter.any():
+    kind = _letters()[points]
+    if not (kind == 1).any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    letter = kind > 0
     points = np.where(letter, points, 32)
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # the first of each run of other characters
@@ -107,16 +114,18 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, size: int = PROFILE) -> Profiles:
     """Profiles of the languages in ``docs`` (doc_id, text, lang), without held-out rows and null languages.
 
-    n-grams are counted on the executors, summed a language, and the ``size`` foremost of each come to the driver.
+    n-grams are counted on the executors, summed a language, and the ``size`` foremost of each come to the driver. A column
+    with more than ``LANGUAGES`` different values is no column of languages and is refused.
     """
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != UNKNOWN))
-    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()}
+    if len(totals) > LANGUAGES:
+        raise ValueError(f"lang has more than {LANGUAGES} different values")
     if not totals:
         return Profiles({}, size)
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    chance = F.lit(0.0)
-    for lang, n in totals.items():
-        chance = F.when(F.col("lang") == lang, F.lit(min(1.0, sample_docs / n))).otherwise(chance)
+    chances = docs.sparkSession.createDataFrame([(lang, min(1.0, sample_docs / n)) for lang, n in totals.items()], "lang string, chance double")
+    drawn = rows.select("text", "lang", place.alias("place")).join(F.broadcast(chances), "lang").where("place < chance")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, list[tuple]] = {}
@@ -129,7 +138,7 @@ def learn(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, size: int = PROFIL
             grams, counts = _merged(parts)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(grams)), "gram": pa.array(grams, pa.int64()), "n": pa.array(counts, pa.int64())})
 
-    counted = rows.where(place < chance).select("text", "lang").mapInArrow(count, "lang string, gram long, n long")
+    counted = drawn.select("text", "lang").mapInArrow(count, "lang string, gram long, n long")
     summed = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     ranked: dict[str, list[int]] = {}
@@ -147,8 +156,9 @@ def _merged(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
 def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
     """All columns of ``docs`` with ``lang_pred`` and ``lang_score`` beside them (existing ones of these names go).
 
-    Nothing but the text is read. Null, empty and letterless texts give ``und`` and 0; of equally near languages the first
-    by name wins; repeated rows get equal answers; an empty table stays empty.
+    Nothing but the text is read, and texts of any length whole. Null, empty and letterless texts (combining marks alone are no
+    letter) give ``und`` and 0; of equally near languages the first by name wins; repeated rows get equal answers; an empty table
+    stays empty.
     """
     kept = docs.drop("lang_pred", "lang_score")
     at = kept.columns.index(text)

@@ -52,24 +52,24 @@ def lines_of(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def flags(rows: DataFrame, *columns: str) -> DataFrame:
-    """A bit for the hash of each row's ``columns``: (at, bits), at most ``FLAGS`` / 64 rows whatever the input."""
+    """A bit for the hash of each row's ``columns``: (word, bits), at most ``FLAGS`` / 64 rows whatever the input."""
     bit = F.pmod(F.xxhash64(*columns), F.lit(FLAGS))
     one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(bit, F.lit(64)).cast("int"))
-    return rows.select(F.shiftright(bit, 6).alias("__word"), one.alias("one")).groupBy("__word").agg(F.bit_or("one").alias("bits"))
+    return rows.select(F.shiftright(bit, 6).alias("word"), one.alias("one")).groupBy("word").agg(F.bit_or("one").alias("bits"))
 
 
 def with_flag(rows: DataFrame, table: DataFrame, columns: list[str], name: str) -> DataFrame:
     """``rows`` and a boolean ``name``: whether its bit is set in ``table`` - true for all that were flagged, and a few others."""
-    bit = F.pmod(F.xxhash64(*columns), F.lit(FLAGS))
-    probe = rows.withColumn("__bit", bit).withColumn("__at", F.shiftright("__bit", 6))
-    met = probe.join(F.broadcast(table), probe["__at"] == table["__word"], "left")
-    known = F.coalesce(F.call_function("getbit", F.col("bits"), F.pmod("__bit", F.lit(64)).cast("int")) == 1, F.lit(False))
+    bit, at, bits = (free_name([*rows.columns, name], n) for n in ("bit", "at_word", "flag_bits"))
+    probe = rows.withColumn(bit, F.pmod(F.xxhash64(*columns), F.lit(FLAGS))).withColumn(at, F.shiftright(bit, 6))
+    met = probe.join(F.broadcast(table.select(F.col("word").alias(at), F.col("bits").alias(bits))), at, "left")
+    known = F.coalesce(F.call_function("getbit", F.col(bits), F.pmod(bit, F.lit(64)).cast("int")) == 1, F.lit(False))
     return met.select(*rows.columns, known.alias(name))
 
 
 def flagged(rows: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
     """``rows`` whose bit is set in ``table``."""
-    return with_flag(rows, table, list(columns), "__met").where("__met").drop("__met")
+    return with_flag(rows, table, list(columns), "flag_met").where("flag_met").drop("flag_met")
 
 
 def _commonest(counts: DataFrame) -> DataFrame | None:

@@ -7,10 +7,17 @@ never opens a way that isn't part of one of them.
 
 A text is cut where no piece can reach across, so that its n-best list follows from those of its parts: the least losses of
 the parts, added up. Parts recur, and their lists are remembered within a bound.
+
+Scores are those of the model file, whatever they are. A unigram model holds log-probabilities; the file that the query
+uses (``piece_bpe_32k.model``) is a BPE model whose scores are its merge ranks, negated, so its best segmentation here is the one
+of the least sum of ranks, which as a rule is not the one that the library's own merging gives. Normalisation is that of a
+model that only turns blanks into their sign and puts one before the text, as this one does.
 """
 
 from __future__ import annotations
 
+import gc
+import operator
 import re
 import struct
 import zlib
@@ -21,7 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLANK = "▁"
-NEVER = float("inf")
+NEVER, NEVER_REACHED = float("inf"), -1e300
+REACHED = operator.itemgetter(0)
+#: A character that begins no piece; and characters of a part that is searched as a whole even where it could be cut further.
+NOTHING, UNCUT = ({}, None), 16
 _LATTICES: dict[tuple, Lattice] = {}
 
 
@@ -42,6 +52,14 @@ class Lattice:
         self.table: dict[str, tuple] = {p[:k]: () for p in self.score for k in range(1, len(p))}
         self.table |= {p: (s, self.ids[p]) for p, s in self.score.items()}
         self.longest = max(map(len, self.score))
+        # the same as a tree: a character leads to the characters that may follow it and the arc that ends with it, if any
+        self.heads: dict[str, tuple] = {}
+        for prefix in sorted(self.table, key=len):
+            after = self.heads
+            for char in prefix[:-1]:
+                after = after[char][0]
+            after[prefix[-1]] = ({}, self.table[prefix] or None)
+        self.raw = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.encode() for i, p in enumerate(map(model.id_to_piece, range(size)))]
         self.inside = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}
         self.n_best, self.max_parts = n_best, max_parts
         self.known: dict[str, tuple] = {}
@@ -61,39 +79,56 @@ class Lattice:
 
     def search(self, part: str) -> list[tuple[float, bytes]]:
         """The ``n_best`` segmentations of ``part`` by score; equal scores in the order in which the search meets them."""
-        n, table = len(part), self.table
-        ends: list[list] = [[] for _ in range(n + 1)]  # arcs by the place where they end: (start, score, ids)
-        best = [0.0] + [-1e300] * n
-        for i in range(n):
-            here = best[i]
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                if (arc := table.get(part[i:j])) is None:
-                    if j > i + 1:
-                        break  # no piece begins so
-                    arc = self._bytes(part[i])
-                elif not arc:
-                    if j > i + 1:
-                        continue
-                    arc = self._bytes(part[i])
-                score, ids = arc
-                ends[j].append((i, score, ids))
-                if here + score > best[j]:
-                    best[j] = here + score
+        n, heads, longest = len(part), self.heads, self.longest
+        ends: list[list] = [[] for _ in range(n + 1)]  # arcs by the place where they end: (best score up to there by it, start, score, ids)
+        best = [0.0] + [NEVER_REACHED] * n
+        for i, char in enumerate(part):
+            here, j = best[i], i + 1
+            after, arc = heads.get(char, NOTHING)
+            if arc is None:
+                arc = self._bytes(char)
+            while True:
+                if arc is not None:
+                    score, ids = arc
+                    reached = here + score
+                    ends[j].append((reached, i, score, ids))
+                    if reached > best[j]:
+                        best[j] = reached
+                if j == n or (node := after.get(part[j])) is None:
+                    break
+                after, arc = node
+                j += 1
         # every open way is worth exactly the best whole segmentation that ends in it, so no more need be open than are wanted
-        left, tick, found = self.n_best, 0, []
-        ways = [(-best[n], 0, n, 0.0, b"")]
-        while ways and left:
-            _, _, at, behind, done = ways.pop(0)
-            if at == 0:
-                found.append((behind, done))
+        left, tick, found, way = self.n_best, 0, [], (best[n], 0, n, 0.0, None)
+        ways: list[tuple] = []  # the others, the best last
+        while left:
+            _, _, at, behind, done = way
+            if at:
+                arcs = ends[at]
+                if len(arcs) == 1 and not ways:  # the only way on
+                    _, i, score, ids = arcs[0]
+                    way = (0.0, 0, i, score + behind, (ids, done))
+                    continue
+                if len(arcs) > left:
+                    arcs.sort(key=REACHED)
+                    arcs = arcs[-left:]
+                for reached, i, score, ids in arcs:
+                    tick -= 1
+                    ways.append((reached + behind, tick, i, score + behind, (ids, done)))
+                if len(ways) > 1:
+                    ways.sort()
+                    if len(ways) > left:
+                        del ways[:-left]
+            else:
+                ids = []
+                while done:
+                    one, done = done
+                    ids.append(one)
+                found.append((behind, b"".join(ids)))
                 left -= 1
-                continue
-            for i, score, ids in ends[at]:
-                tick += 1
-                score += behind
-                ways.append((-(best[i] + score), tick, i, score, ids + done))
-            ways.sort()
-            del ways[left:]
+            if not ways:
+                break
+            way = ways.pop()
         return found
 
     def _bytes(self, char: str) -> tuple[float, bytes]:
@@ -123,25 +158,25 @@ class Lattice:
         return out
 
     def part(self, text: str) -> tuple:
-        """(best score, its ids, what the second choice loses, n-best list) of a part of a text; it is cut further where no piece reaches across."""
+        """(best score, its ids, what the second choice loses, n-best list) of a part of a text; a long one is cut further where no piece reaches across."""
         if (known := self.known.get(text)) is None:
-            inside = self.inside
-            cuts = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in inside]
+            inside, n = self.inside, len(text)
+            cuts = [k for k in range(1, n) if text[k - 1 : k + 1] not in inside] if n > UNCUT else ()
             if not cuts:
                 found = self.search(text)
             else:
-                some = [self.part(text[a:b]) for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+                some = [self.part(text[a:b]) for a, b in zip([0, *cuts], [*cuts, n], strict=True)]
                 open_ = [k for k, one in enumerate(some) if one[2] != NEVER]
                 if len(open_) == 1:  # the usual case: one word and marks around it
                     k = open_[0]
-                    rest = sum(one[0] for one in some) - some[k][0]
+                    rest = sum([one[0] for one in some]) - some[k][0]
                     before, after = b"".join([one[1] for one in some[:k]]), b"".join([one[1] for one in some[k + 1 :]])
                     found = [(s + rest, before + ids + after) for s, ids in some[k][3]]
                 else:
                     found = self.join(some)
             if len(self.known) > self.max_parts:
                 self.known.clear()
-            known = (found[0][0], found[0][1], found[0][0] - found[1][0] if len(found) > 1 else NEVER, found)
+            known = (found[0][0], found[0][1], found[0][0] - found[1][0] if len(found) > 1 else NEVER, tuple(found))
             self.known[text] = known
         return known
 
@@ -155,18 +190,15 @@ class Lattice:
 
     def decode(self, ids: bytes) -> str:
         """The text of a segmentation; byte pieces that aren't UTF-8 come out as replacement characters."""
-        whole = b"".join(self._raw(i) for (i,) in struct.iter_unpack("<I", ids)).decode("utf-8", "replace").replace(BLANK, " ")
+        whole = b"".join(map(self.raw.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace").replace(BLANK, " ")
         return whole.removeprefix(" ")
 
-    def _raw(self, i: int) -> bytes:
-        piece = self.model.id_to_piece(i)
-        return bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.encode()
-
 
 def lattice(path: str, n_best: int) -> Lattice:
     """The worker's own lattice of this model; loaded once a process."""
     if (path, n_best) not in _LATTICES:
         _LATTICES[path, n_best] = Lattice(path, n_best)
+        gc.freeze()  # the tree lives as long as the worker: garbage collection needn't look at it again and again
     return _LATTICES[path, n_best]
 
 
@@ -174,7 +206,7 @@ def encode_nbest(docs: DataFrame, model: str, *, n_best: int = 3) -> DataFrame:
     """``doc_id`` and ``segmentations``: array of (score, n_pieces, ids), best first, of every whole text of ``docs``.
 
     ids: little-endian unsigned 32-bit integers. Null and empty texts have one empty segmentation; a text may have fewer
-    than ``n_best``. Repeated rows get equal results; other columns aren't read; an empty table stays empty. No shuffle.
+    than ``n_best``. Texts of any length are taken whole; equal scores stand in the order in which the search meets them. Repeated rows get equal results; other columns aren't read; an empty table stays empty. No shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,8 +2,10 @@
 
 Mentions of e-mail and network addresses (IPv4 and IPv6), phone, card and identity numbers, secrets and titled names are detected in whole
 texts. Each distinct entity (kind and canonical value, so that two ways to write one number meet) gets one surrogate from a
-keyed hash, the same everywhere: coreference holds within and across documents. A surrogate that two entities drew,
-or that is a real entity of the corpus, is drawn again by all but one, until none is left: distinct entities stay distinct.
+keyed hash, the same everywhere: coreference holds within and across documents. A given name has one gender over the corpus, that
+of most of its mentions after a title that tells one, so "Dr Maria Clark" and "Mrs Maria Clark" are one person. A surrogate that
+two entities drew, or that is a real entity of the corpus, is drawn again by all but one, until none is left: distinct
+entities stay distinct, names of all kinds among each other too.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm._shared import staged
+from gristmill.llm._shared import Scratch, free_name
 from gristmill.llm.line_dedup import flags, with_flag
 
 # Titles by gender, and names to draw from, by gender.
@@ -202,8 +204,17 @@ def _formatted(mention: str, canonical: str, kind: str) -> str:
     return canonical
 
 
-def _surrogates(entities: DataFrame, key: bytes) -> DataFrame:
-    """kind, value, surrogate: one to one within a kind, and no surrogate is an entity of the corpus."""
+def _one_gender(mentions: DataFrame) -> DataFrame:
+    """``mentions`` with each given name under one kind: the gender that most of them have (male before female where equal), or none."""
+    given = mentions.where(F.col("kind").startswith("given_")).groupBy("value").agg(F.count_if(F.col("kind") == "given_m").alias("m"), F.count_if(F.col("kind") == "given_f").alias("f"))
+    one = F.when((F.col("m") == 0) & (F.col("f") == 0), "given_u").when(F.col("m") >= F.col("f"), "given_m").otherwise("given_f")
+    names = given.select("value", F.lit(True).alias("given"), one.alias("one"))
+    met = mentions.withColumn("given", F.col("kind").startswith("given_")).join(names, ["value", "given"], "left")
+    return met.select("digest", "start", "end", F.coalesce("one", "kind").alias("kind"), "value")
+
+
+def _surrogates(entities: DataFrame, key: bytes, scratch: Scratch) -> DataFrame:
+    """kind, value, surrogate: one to one within a kind (names of all kinds count as one), and no surrogate is an entity of the corpus."""
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -212,23 +223,30 @@ def _surrogates(entities: DataFrame, key: bytes) -> DataFrame:
             yield pa.RecordBatch.from_arrays([kind, value, attempt, pa.array(made, pa.string())], ["kind", "value", "attempt", "surrogate"])
 
     schema = "kind string, value string, attempt int, surrogate string"
-    drawn = staged(entities.withColumn("attempt", F.lit(0)).mapInArrow(draw, schema), "surrogates")
+    space = F.when(F.col("kind").startswith("given_") | (F.col("kind") == "surname"), "name").otherwise(F.col("kind")).alias("space")
+    drawn, turn = scratch.put(entities.withColumn("attempt", F.lit(0)).mapInArrow(draw, schema), "drawn0"), 0
+    real = entities.select(space, F.lower("value").alias("low")).distinct().withColumn("real", F.lit(True))
     while True:
-        owner = drawn.groupBy("kind", F.lower("surrogate").alias("low")).agg(F.min(F.struct("attempt", "value")).alias("first"))
-        real = entities.select("kind", F.lower("value").alias("low")).distinct().withColumn("real", F.lit(True))
-        judged = drawn.withColumn("low", F.lower("surrogate")).join(owner, ["kind", "low"]).join(real, ["kind", "low"], "left")
-        judged = judged.withColumn("again", F.col("real").isNotNull() | (F.col("first.value") != F.col("value")))
-        judged = staged(judged.select("kind", "value", "attempt", "surrogate", "again"), "surrogates")
+        owner = drawn.groupBy(space, F.lower("surrogate").alias("low")).agg(F.min(F.struct("attempt", "kind", "value")).alias("first"))
+        judged = drawn.select("*", space, F.lower("surrogate").alias("low")).join(owner, ["space", "low"]).join(real, ["space", "low"], "left")
+        judged = judged.withColumn("again", F.col("real").isNotNull() | (F.col("first.value") != F.col("value")) | (F.col("first.kind") != F.col("kind")))
+        judged = scratch.put(judged.select("kind", "value", "attempt", "surrogate", "again"), f"judged{turn}")
+        scratch.drop(f"drawn{turn}")
         if not judged.where("again").limit(1).count():
             break
         anew = judged.where("again").select("kind", "value", (F.col("attempt") + 1).alias("attempt")).mapInArrow(draw, schema)
-        drawn = staged(judged.where("NOT again").drop("again").unionByName(anew), "surrogates")
-    return drawn.select("kind", "value", "surrogate")
+        drawn = scratch.put(judged.where("NOT again").drop("again").unionByName(anew), f"drawn{turn + 1}")
+        scratch.drop(f"judged{turn}")
+        turn += 1
+    return judged.select("kind", "value", "surrogate")
 
 
-def replace_private(docs: DataFrame, key: bytes = b"gristmill", text: str = "text") -> DataFrame:
+def replace_private(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     """All columns of ``docs`` with surrogates in the text, and ``private_found``: how many mentions were replaced.
 
+    ``key`` is the secret of the hash that surrogates are drawn from: who has it can link surrogates of several runs, so keep it
+    as one keeps a password. Mentions that overlap: the one that begins first counts, then the longest. Texts of any length are taken whole.
+
     ``n_chars`` follows the text where there is one. Null and empty texts and those without a mention stay as they are, with
     0; equal texts get equal results, so repeated rows do too; an empty table stays empty. Columns of the same name
     as ``private_found`` go; no other column is read.
@@ -236,7 +254,8 @@ def replace_private(docs: DataFrame, key: bytes = b"gristmill", text: str = "tex
     Only texts with mentions are shuffled, once each by a digest, and joined back under a flag table of bounded size.
     """
     docs = docs.drop("private_found")
-    own = docs.columns
+    own, scratch = docs.columns, Scratch(docs.sparkSession, "private-data")
+    digest, met_, said_ = (free_name(own, n) for n in ("text_digest", "text_met", "text_said"))
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))
 
     def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,14 +268,15 @@ def replace_private(docs: DataFrame, key: bytes = b"gristmill", text: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(spans, kind)], ["digest", "spans"])
 
     spans = "array<struct<start: int, end: int, kind: string, value: string>>"
-    found = staged(docs.select(text).mapInArrow(detect, f"digest binary, spans {spans}").dropDuplicates(["digest"]), "mentions")
-    mentions = found.select("digest", F.explode("spans").alias("m")).select("digest", "m.*")
-    names = _surrogates(mentions.select("kind", "value").distinct(), key)
-    said = mentions.hint("merge").join(names, ["kind", "value"]).groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind", "surrogate"))).alias("__said"))
-    said = staged(said, "mention-surrogates")
-
-    marked = with_flag(docs.withColumn("__digest", F.unhex(F.md5(F.col(text).cast("binary")))), flags(said, "digest"), ["__digest"], "__met")
-    met = marked.where("__met").hint("merge").join(said, marked["__digest"] == said["digest"], "left").select(*own, "__said")
+    found = scratch.put(docs.select(text).mapInArrow(detect, f"digest binary, spans {spans}").dropDuplicates(["digest"]), "mentions")
+    mentions = _one_gender(found.select("digest", F.explode("spans").alias("m")).select("digest", "m.*"))
+    names = _surrogates(scratch.put(mentions.select("kind", "value").distinct(), "entities"), key, scratch)
+    said = mentions.hint("merge").join(names, ["kind", "value"]).groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind", "surrogate"))).alias("said"))
+    said = scratch.put(said.select(F.col("digest").alias(digest), F.col("said").alias(said_)), "said")
+    scratch.drop("mentions")
+
+    marked = with_flag(docs.withColumn(digest, F.unhex(F.md5(F.col(text).cast("binary")))), flags(said, digest), [digest], met_)
+    met = marked.where(F.col(met_)).hint("merge").join(said, digest, "left").select(*own, said_)
     at = own.index(text)
     n_chars = own.index("n_chars") if "n_chars" in own else None
     schema = docs.withColumn("private_found", F.lit(0).cast("long")).schema
@@ -277,4 +297,4 @@ def replace_private(docs: DataFrame, key: bytes = b"gristmill", text: str = "tex
                 columns[n_chars] = pa.array([None if t is None else len(t) for t in made], columns[n_chars].type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(count, pa.int64())], [*own, "private_found"])
 
-    return marked.where("NOT __met").select(*own, F.lit(0).cast("long").alias("private_found")).unionByName(met.mapInArrow(rewrite, schema))
+    return marked.where(~F.col(met_)).select(*own, F.lit(0).cast("long").alias("private_found")).unionByName(met.mapInArrow(rewrite, schema))

@@ -30,6 +30,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.removed_lines(documents(spark, sf_dir), span=5, percent=80)
 
 
+#: Key of the registered query, which must give the same rows each time; a user takes a secret one.
+KEY = b"key of the registered query"
+
+
 def word_bpe() -> str:
     import public_tokenizers
 
@@ -51,7 +55,7 @@ def op6_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    replaced = private_data.replace_private(documents(spark, sf_dir).select("doc_id", "text"))
+    replaced = private_data.replace_private(documents(spark, sf_dir).select("doc_id", "text"), KEY)
     return replaced.select("doc_id", "text", "private_found", F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
 
 

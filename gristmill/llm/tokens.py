@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from gristmill.llm._shared import shared_dir
 
 MAGIC = b"GRSTTOK1"
+#: Files whose starts are broadcast to the readers, at most.
+BROADCAST_FILES = 1_000_000
 HEAD = struct.Struct("<8sIIQQQ")
 _ENCODERS: dict[tuple, Encoder] = {}
 
@@ -52,7 +54,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.vocabulary = self.tokenizer.get_vocab_size()
+        self.vocabulary = max(self.tokenizer.get_vocab().values()) + 1  # ids may have gaps
         self.end = b"" if end_id is None else struct.pack("<I", end_id)
         self.words: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
@@ -142,12 +144,15 @@ def encoder(path: str, end_id: int | None) -> Encoder:
 
 
 def bits_for(vocabulary: int) -> int:
+    """Bits that every id below ``vocabulary`` fits in."""
     return max(1, int(vocabulary - 1).bit_length())
 
 
 def pack_bits(ids: np.ndarray, bits: int) -> bytes:
-    """Each id in ``bits`` bits, lowest bit first; padded to a whole byte."""
+    """Each id in ``bits`` bits, lowest bit first; padded to a whole byte. An id that needs more bits is an error."""
     ids = np.ascontiguousarray(ids, dtype="<u4")
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"id {int(ids.max())} doesn't fit in {bits} bits")
     if bits % 8 == 0:
         return ids.astype("<u2").tobytes() if bits == 16 else ids.view(np.uint8).reshape(-1, 4)[:, : bits // 8].tobytes()
     flat = np.unpackbits(ids.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :bits]
@@ -210,13 +215,14 @@ class TokenFile:
         return self.ids(int(self.starts[k]), int(self.starts[k] + self.counts[k]))
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int | None = 2, block: int = 65_536, file_ids: int = 2_000_000) -> DataFrame:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int | None = 2, block: int = 65_536, file_ids: int = 4_000_000) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write them to ``path`` in ascending ``doc_id`` order; return the manifest.
 
     One shuffle by ranges of ``doc_id``; every task writes files of about ``file_ids`` ids (a longer single document
     gets a longer file). A file appears under its name only when complete, and a repeated task writes the same bytes,
     so lost executors do no harm. Manifest: part, seq, file, n_docs, n_tokens. Null texts are empty; null ids sort first;
-    rows of equal ``doc_id`` stand in the order of their texts; an empty table gives no file.
+    rows of equal ``doc_id`` stand in the order of their texts; an empty table gives no file. ``path`` must be in a store that
+    both Spark and ``pyarrow.fs`` open (local or shared folders, HDFS, S3, GCS) and where a move replaces a file.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +236,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int
             name = f"part-{part:06d}-{seq:05d}.tok"
             draft = f"{root}/_draft-{name}-{uuid.uuid4().hex}"
             with store.open_output_stream(draft) as out:
-                out.write(file_bytes(keys, held, bits_for(enc.vocabulary), block))
+                out.write(file_bytes(keys, held, bits_for(max(enc.vocabulary, (end_id or 0) + 1)), block))
             store.move(draft, f"{root}/{name}")
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "seq": pa.array([seq], pa.int64()), "file": [name], "n_docs": pa.array([len(keys)], pa.int64()), "n_tokens": pa.array([size], pa.int64())})
 
@@ -271,7 +277,7 @@ def read_token_files(path: str, manifest: DataFrame, *, with_ids: bool = True) -
     """Read the files back: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of the ids as u32, little
     endian) and, if ``with_ids``, those ids in that form.
 
-    Files are read as Spark's binary source; a row is one file of bounded size.
+    Files are read as Spark's binary source; a row is one file of bounded size, but for a single longer document.
     """
     spark = manifest.sparkSession
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").load(path)
@@ -298,7 +304,9 @@ def read_token_files(path: str, manifest: DataFrame, *, with_ids: bool = True) -
                         columns["ids"] = pa.array([r.tobytes() for r in raw], pa.binary())
                     yield pa.RecordBatch.from_pydict(columns)
 
-    return named.join(F.broadcast(starts), "file").select("content", "start").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    # the starts of a million files are some 100 MB in memory; beyond that the files' rows are shuffled instead
+    starts = F.broadcast(starts) if manifest.count() <= BROADCAST_FILES else starts
+    return named.join(starts, "file").select("content", "start").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def token_output(docs: DataFrame, tokenizer: str, path: str | None = None, *, with_ids: bool = True, **options) -> DataFrame:

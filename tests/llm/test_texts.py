@@ -3,6 +3,7 @@
 import itertools
 import re
 import struct
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -18,6 +19,7 @@ ODD = [
     (1, None), (2, ""), (3, " \n\t "), (4, "... 123 !!!"), (5, EN * 3), (5, EN * 3), (6, "word " * 3000), (7, "é" * 40 + " x\x1cy"), (8, "a\n\na\nb b b b b b b b b b b b"),
     (None, "no id at all, but quite some words to look at in here."), (9, "日本語 текст mixed <|endoftext|> don't I'M 3.14,5 x...y"),
 ]
+KEY = b"key of the tests"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -55,6 +57,46 @@ def test_language_of_odd_texts(spark, odd):
     assert language.identify(empty, language.learn(empty)).count() == 0
 
 
+def slow_grams(text):
+    kept = re.sub(" +", " ", " " + "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in text.lower()) + " ")
+    every = [c for c in kept if c != " "] + [kept[k : k + 2] for k in range(len(kept) - 1)] + [kept[k : k + 3] for k in range(len(kept) - 2) if kept[k + 1] != " "]
+    packed = lambda g: sum(ord(c) << (21 * (len(g) - 1 - k)) for k, c in enumerate(g))
+    count = Counter(map(packed, every))
+    return sorted(count, key=lambda g: (-count[g], g))
+
+
+def test_language_distances_against_brute_force(docs, texts):
+    """Ranks, out-of-place distances and the nearest profile, reckoned plainly, for every text."""
+    profiles = language.learn(docs)
+    ranked = {name: [int(g) for g in grams[np.argsort(ranks)]] for name, grams, ranks in zip(profiles.names, profiles.grams, profiles.ranks, strict=True)}
+    assert len(ranked) >= 3
+    for text in texts.values():
+        if not text or not any(c.isalpha() for c in text):
+            continue
+        own = slow_grams(text)[: profiles.size]
+        assert language.top_grams(text, profiles.size).tolist() == own
+        far = {}
+        for name, grams in ranked.items():
+            place = {g: k for k, g in enumerate(grams)}
+            far[name] = sum(abs(place[g] - k) if g in place else profiles.size for k, g in enumerate(own)) / (len(own) * profiles.size)
+        best = min(sorted(far), key=far.get)
+        assert profiles.predict(text) == (best, pytest.approx(1 - far[best]))
+
+
+def test_language_letters_and_languages_without_a_sample(spark):
+    """Letters beyond the basic planes count; marks alone don't. A language whose rows are all held out has no profile."""
+    profiles = language.Profiles({"xx": [ord("a")]})
+    assert profiles.predict("\U00030123\U00030123")[0] == "xx" and profiles.predict("a\u0301")[0] == "xx"
+    assert profiles.predict("\u0301\u0300 12")[0] == "und" and profiles.predict("\U0001F600 !")[0] == "und"
+    held = [k for k in range(200) if zlib.crc32(str(k).encode()) % 4 == 2]
+    rows = [(k, "wort und satz", "yy") for k in held] + [(k, "palabra y frase", "zz") for k in range(200) if k not in held]
+    learned = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert learned.names == ["zz"] and learned.predict("wort und satz")[0] == "zz"
+    many = spark.range(1_600).selectExpr("id AS doc_id", "'some text' AS text", "concat('l', id) AS lang")
+    with pytest.raises(ValueError):
+        language.learn(many)
+
+
 def base_of(text):
     words = WORDS.findall(text or "")
     seen, dup = set(), 0
@@ -79,6 +121,33 @@ def test_quality_base(spark, sf_dir, texts, odd):
     assert quality.clean_lines(odd.limit(0)).count() == 0
 
 
+def fault_of(line):
+    low, n = line.lower(), len([w for w in re.split(r"[\x20\x09-\x0D]+", line)])
+    if any(phrase in low for phrase in quality.BOILERPLATE):
+        return "boilerplate"
+    space = "[ \\t\\n\\x0b\\f\\r]"
+    separators = len(re.findall(quality.SEPARATORS.replace(r"\s", space), line))
+    menu = len(re.findall(r"\b(?:" + "|".join(quality.MENU) + r")\b", low)) if len(line) <= 200 else 0
+    if separators and separators > n * 0.3 or len(line) <= 200 and n <= 12 and menu * 2 > n:
+        return "navigation"
+    if not re.search(quality.SENTENCE_END.replace(r"\s", space).replace("$", r"\Z"), line[-24:]) or len(re.findall(quality.SYMBOLS, line)) > len(line) * 0.08:
+        return "punctuation"
+    return None
+
+
+def test_quality_verdict_against_brute_force(spark, sf_dir, texts):
+    """The method itself: each line's fault by plain rules, what is left, and the verdict."""
+    for r in queries.op3_quality_rules(spark, sf_dir).collect():
+        text = texts[r["doc_id"]] or ""
+        lines = [x for x in text.split("\n") if WORDS.search(x)]
+        faults = Counter(map(fault_of, lines))
+        chars = sum(map(len, WORDS.findall(text)))
+        lost = sum(len(w) for x in lines if fault_of(x) for w in WORDS.findall(x))
+        share = (chars - lost) / chars if chars else 0.0
+        assert [r[f"lines_{k}"] for k in ("boilerplate", "navigation", "punctuation")] == [faults[k] for k in ("boilerplate", "navigation", "punctuation")], r["doc_id"]
+        assert r["kept_share"] == pytest.approx(share) and r["kept"] == (not base_of(text)[5] and share >= 0.5)
+
+
 def test_quality_lines(spark):
     text = EN.strip() + "\nHome | About | Contact | Login\nAll rights reserved. Privacy policy.\nno end of a sentence here\n" + EN.strip()
     (r,) = quality.clean_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
@@ -105,6 +174,24 @@ def test_bit_packing_round_trip(bits):
     assert len(raw) == (1001 * bits + 7) // 8 and (tokens.unpack_bits(raw, 1001, bits) == ids).all()
 
 
+def test_packing_refuses_ids_that_need_more_bits():
+    with pytest.raises(ValueError):
+        tokens.pack_bits(np.array([70_000], "<u4"), 16)
+    with pytest.raises(ValueError):
+        tokens.pack_bits(np.array([3, 128], "<u4"), 7)
+
+
+def test_token_files_beside_a_large_end_id(spark):
+    given = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    got = {r["doc_id"]: np.frombuffer(bytes(r["ids"]), "<u4").tolist() for r in tokens.token_output(given, queries.word_bpe(), end_id=70_000).collect()}
+    assert got[1][-1] == 70_000 and got[2] == [70_000]
+
+
+def test_token_files_without_broadcast(spark, odd, monkeypatch):
+    monkeypatch.setattr(tokens, "BROADCAST_FILES", 0)
+    assert tokens.token_output(odd, queries.word_bpe(), file_ids=50).count() == len(ODD)
+
+
 def test_token_file_random_access():
     held = [np.arange(k, k + n, dtype="<u4").tobytes() for k, n in ((0, 5), (9, 0), (3, 1000), (7, 1))]
     f = tokens.TokenFile(tokens.file_bytes([1, None, 3, 4], held, 16, 64))
@@ -235,11 +322,66 @@ def test_nbest_of_odd_texts(spark, odd):
     assert back["text"] is None
 
 
+def test_pieces_of_the_whole_table(spark, sf_dir, texts):
+    """The query's digests are those of a search of each text; every best segmentation decodes to its text."""
+    own, rows = pieces.Lattice(public_tokenizers.path("piece_bpe_32k.model"), n_best=3), queries.op6_nbest_pieces(spark, sf_dir).collect()
+    assert len(rows) == len(texts) and all(r["round_trip"] for r in rows)
+    for r in rows:
+        text = texts[r["doc_id"]] or ""
+        if len(text) > 1_500:
+            continue
+        # in one piece, uncut: the best score of the plain recursion from left to right
+        whole = own.normal(text)
+        best = [0.0] + [-1e300] * len(whole)
+        for i in range(len(whole)):
+            for j in range(i + 1, min(len(whole), i + own.longest) + 1):
+                if arc := own.table.get(whole[i:j]):
+                    best[j] = max(best[j], best[i] + arc[0])
+            if not own.table.get(whole[i]):
+                best[i + 1] = max(best[i + 1], best[i] + own._bytes(whole[i])[0])
+        assert r["scores"][0] == pytest.approx(best[-1]) and r["scores"] == sorted(r["scores"], reverse=True)
+
+
+def test_one_person_whatever_the_title(spark):
+    text = "Mr John Clark came. Clark said John was late. Dr Maria Clark and Mrs Maria Clark agreed."
+    got = private_data.replace_private(spark.createDataFrame([(1, text)], "doc_id long, text string"), KEY).first()["text"]
+    m = re.fullmatch(r"Mr (\w+) (\w+) came\. (\w+) said (\w+) was late\. Dr (\w+) (\w+) and Mrs (\w+) (\w+) agreed\.", got)
+    assert m[1] == m[4] and m[2] == m[3] == m[6] == m[8] and m[5] == m[7] and len({m[1], m[2], m[5]}) == 3
+    assert not re.search("john|clark|maria", got.lower())
+    assert m[5].startswith(tuple(private_data.GIVEN["f"]))
+
+
+def test_surrogates_one_to_one_in_a_dense_space(spark):
+    """Every address of four one-digit parts is a real one: each still gets a surrogate of its own that is none of them."""
+    real = [f"{a}.{b}.{c}.{d}" for a in range(10) for b in range(10) for c in range(10) for d in range(10)]
+    got = private_data.replace_private(spark.createDataFrame([(1, " ".join(real))], "doc_id long, text string"), KEY).first()
+    made = got["text"].split()
+    assert got["private_found"] == len(real) == len(set(made)) and not set(made) & set(real)
+
+
+def test_names_of_all_kinds_are_distinct(spark):
+    """Given names of each gender and surnames share one space: no two entities meet in one surrogate, and equal ones always do."""
+    titles = {"Mr": "m", "Mrs": "f", "Dr": "u"}
+    rows = [(k, f"{t} {g}{chr(97 + k % 26)}{chr(97 + k // 26)} Fam{chr(97 + k % 7)} spoke.") for k, (t, g) in enumerate([(t, g) for t in titles for g in ("Jo", "Le", "Mi")] * 8)]
+    mapping = {}
+    for r in private_data.replace_private(spark.createDataFrame(rows * 2, "doc_id long, text string"), KEY).collect():
+        before, after = dict(rows)[r["doc_id"]].split(), r["text"].split()
+        for real, made in zip(before[1:3], after[1:3], strict=True):
+            assert mapping.setdefault(real, made) == made
+    assert len(set(mapping.values())) == len(mapping)
+
+
+def test_private_data_keeps_columns_whatever_their_names(spark):
+    given = spark.createDataFrame([(1, "Mr Smith"), (2, "none")], "doc_id long, text string").selectExpr("*", "7 AS bit", "8 AS text_digest", "9 AS text_met", "1 AS at_word", "2 AS flag_bits", "3 AS said")
+    got = private_data.replace_private(given, KEY)
+    assert got.columns == [*given.columns, "private_found"] and sorted(tuple(r)[2:] for r in got.collect()) == [(7, 8, 9, 1, 2, 3, 0), (7, 8, 9, 1, 2, 3, 1)]
+
+
 def test_surrogates_keep_kind_and_coreference(spark):
     a = "Write to Anna.Meyer@Example.org or call +49 170 1234567; Mrs Clark knows. SSN 123-45-6789."
     b = "anna.meyer@example.org again, +49-170-1234567, and 4111 1111 1111 1111, host 10.20.30.40."
     rows = [(1, a, len(a)), (2, b, len(b)), (3, None, None), (4, "", 0), (5, "clean text, nothing here 12.", 28), (1, a, len(a))]
-    got = private_data.replace_private(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()
+    got = private_data.replace_private(spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), KEY).collect()
     by = {r["doc_id"]: r for r in got}
     assert len(got) == 6 and by[3]["text"] is None and by[4]["text"] == "" and by[5]["text"] == "clean text, nothing here 12."
     assert by[1]["private_found"] == 4 and by[2]["private_found"] == 4 and by[5]["private_found"] == 0
@@ -256,7 +398,7 @@ def test_surrogates_keep_kind_and_coreference(spark):
 
 def test_surrogates_stay_distinct(spark):
     rows = [(k, f"Mr Smith{chr(65 + k % 26)}{chr(97 + k // 26)} wrote from 10.0.0.{k}.") for k in range(200)]
-    got = private_data.replace_private(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = private_data.replace_private(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()
     hosts, names = ({re.search(p, r["text"]).group(1) for r in got} for p in (r"from ([\d.]+)\.$", r"Mr (\w+)"))
     assert len(hosts) == 200 and len(names) == 200
     assert not hosts & {f"10.0.0.{k}" for k in range(200)}
@@ -267,7 +409,7 @@ def test_names_of_any_length_and_their_other_mentions(spark):
     common = "Mrs Baker came, said Baker. The baker met Miss Rose’s cat."
     hosts = "At 2001:DB8:0:0:0:0:0:5a1 and 2001:db8::5a1, fe80::1, std::a::b at 12:30:45, a::b"
     rows = [(1, long), (2, common), (3, hosts), (4, "господин Иванов пришел домой, Иванов устал и господин Петров")]
-    by = {r["doc_id"]: r for r in private_data.replace_private(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    by = {r["doc_id"]: r for r in private_data.replace_private(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()}
     assert not re.search(r"juan|carlos g|garcia|lopez|smith|weiss|clark", by[1]["text"].lower()) and by[1]["private_found"] == 11
     m = re.fullmatch(r"Mr \w+ \w+ \w+ (\w+) came\. MR ([A-Z]+) and prof \w+ met Mrs (\w+); (\w+) said ([A-Z]+)'s dog and (\w+) agreed\. (\w+) left\.", by[1]["text"])
     assert m[1] == m[7] and m[2] == m[6].upper() and m[3] == m[4] and m[3].upper() == m[5]
@@ -282,7 +424,7 @@ def test_surrogates_where_no_form_is_free(spark):
     """Addresses without a letter, and a form of which most is taken by real ones: each still gets a surrogate of its own."""
     letters = "abcdefghijklmnopqrstuvwxyz"
     real = ["_@_._", "--@--.x", *[f"{a}@{b}.com" for a in letters for b in letters][:670]]
-    got = private_data.replace_private(spark.createDataFrame(list(enumerate(real)), "doc_id long, text string")).collect()
+    got = private_data.replace_private(spark.createDataFrame(list(enumerate(real)), "doc_id long, text string"), KEY).collect()
     made = {r["text"] for r in got}
     assert len(got) == len(made) == len(real) and not made & set(real)
     assert all(r["private_found"] == 1 for r in got)
@@ -292,5 +434,5 @@ def test_surrogates_where_no_form_is_free(spark):
 
 
 def test_private_data_of_no_rows(spark, odd):
-    assert private_data.replace_private(odd.limit(0)).count() == 0
-    assert private_data.replace_private(odd).count() == len(ODD)
+    assert private_data.replace_private(odd.limit(0), KEY).count() == 0
+    assert private_data.replace_private(odd, KEY).count() == len(ODD)
