@@ -12,6 +12,10 @@ from gristmill.llm import language, line_dedup, ngram_join, packing, private_dat
 from gristmill.llm._shared import staged
 
 
+#: Key of the registered query's surrogates, which must give the same rows each time; a user takes a secret one.
+KEY = b"key of the registered pipeline"
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the profiles tell; null texts and those without a letter go. ``lang`` is the prediction."""
     found = language.identify(docs, language.learn(docs)).where(f"lang_pred <> '{language.UNKNOWN}'")
@@ -30,7 +34,7 @@ def join_ngrams(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Private data gives way to surrogates."""
-    return private_data.replace_private(docs).select(*docs.columns)
+    return private_data.replace_private(docs, KEY).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
