@@ -169,3 +169,9 @@ def redacted(text: Column) -> Column:
 def since_last(rows: DataFrame, key: str, order: str, matching: Column) -> DataFrame:
     """``key`` and ``since``: how far ``order`` went on after the last row that matches; 0 if none does."""
     return rows.groupBy(key).agg(F.coalesce(F.max(order) - F.max(F.when(matching, F.col(order))), F.lit(0).cast("long")).alias("since"))
+
+
+def histogram(facts: DataFrame, bounds: list[float]) -> DataFrame:
+    """name, bucket, n, total of facts (name, value): how many values lie in each bucket, the least of ``bounds`` that is no less than the value, null beyond the last."""
+    bucket = F.coalesce(*[F.when(F.col("value") <= b, F.lit(float(b))) for b in sorted(bounds)])
+    return facts.where("value IS NOT NULL").groupBy("name", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))

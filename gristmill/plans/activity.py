@@ -233,3 +233,9 @@ def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scheduled_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.floor(F.unix_micros("ts") / 1_000_000)
     return ops.scheduled_once(table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), at.alias("at")), 30 * 3600)
+
+
+@query("o030_histogram", "SELECT event_type AS name, CASE WHEN value <= 10 THEN 10.0::double WHEN value <= 50 THEN 50.0::double WHEN value <= 90.5 THEN 90.5::double END AS bucket, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE value IS NOT NULL GROUP BY 1, 2")
+def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), "value")
+    return ops.histogram(facts, [10, 50, 90.5]).withColumn("total", F.round("total", 4))

@@ -195,3 +195,17 @@ def static_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('function g(a, b = 1) {', chr(10), '// h(1) \"', chr(10), 'await g(', CASE l_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN '1' ELSE '1, [2, 3], \"f(x)\"' END, ')') AS content",
     ).distinct()
     return evidence.static_evidence(files)
+
+
+@query("o234_compact_context", over("v_findings", "WITH f AS (SELECT review_id, path, line, title FROM v_findings WHERE ordinal % 2 = 1), sh AS (SELECT review_id, path AS file, path, ordinal, line + ordinal * 7 AS line, title AS text FROM v_findings UNION ALL SELECT review_id, path, 'lib/' || ordinal || '.ts', ordinal + 10, ordinal, CASE WHEN line % 2 = 0 THEN 'call(Name' || title || ')' ELSE 'see loadOne!' END FROM v_findings), "
+    "own AS (SELECT s.* FROM sh s WHERE s.file = s.path AND EXISTS (SELECT 1 FROM f WHERE f.review_id = s.review_id AND f.path = s.path AND abs(f.line - s.line) <= 10)), rel AS (SELECT s.* FROM sh s WHERE s.file <> s.path AND EXISTS (SELECT 1 FROM f WHERE f.review_id = s.review_id AND f.path = s.file) AND s.text = 'see loadOne!'), "
+    "k AS (SELECT review_id, file, path, min(ordinal) AS first, string_agg(DISTINCT line, ',' ORDER BY line) AS lines, sum(length(text) + length(cast(line AS string)) + 4) AS n FROM (SELECT * FROM own UNION ALL SELECT * FROM rel) GROUP BY 1, 2, 3), i AS (SELECT review_id AS k, file || '>' || path AS id, n, row_number() OVER (PARTITION BY review_id ORDER BY file, CASE WHEN file = path THEN 0 ELSE 1 END, first, path) AS pos, file, path, lines FROM k), "
+    f"{FILL.format(b=60, s=0)} SELECT r.k AS review_id, i.file, i.path, i.lines, cast(i.n AS bigint) AS size, r.taken FROM r JOIN i ON i.k = r.k AND i.pos = r.pos").replace("WITH ", "WITH RECURSIVE ", 1))
+def compact_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, rows = F.col, FINDINGS.frame(spark, sf_dir)
+    findings = rows.where("ordinal % 2 = 1").select("review_id", "path", "line", "title", F.lit("calls loadOne").alias("body"))
+    own = rows.select("review_id", c("path").alias("file"), "path", "ordinal", (c("line") + c("ordinal") * 7).alias("line"), c("title").alias("text"))
+    text = F.when(c("line") % 2 == 0, F.concat(F.lit("call(Name"), "title", F.lit(")"))).otherwise("see loadOne!")
+    other = rows.select("review_id", c("path").alias("file"), F.concat(F.lit("lib/"), c("ordinal").cast("string"), F.lit(".ts")).alias("path"), (c("ordinal") + 10).alias("ordinal"), c("ordinal").alias("line"), text.alias("text"))
+    found = ops.compact_context(findings, own.unionByName(other), budget=60)
+    return found.select("review_id", "file", "path", F.array_join("lines", ",").alias("lines"), "size", "taken")
