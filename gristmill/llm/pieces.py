@@ -6,7 +6,8 @@ end, that score is the exact rest of the way: an A* search pops complete segment
 never opens a way that isn't part of one of them.
 
 A text is cut where no piece can reach across, so that its n-best list follows from those of its parts: the least losses of
-the parts, added up. Parts recur, and their lists are remembered within a bound.
+the parts, added up. The forward pass gives what each part's second choice loses, too, so that the backward search runs only for
+the few parts of a text that lose least. Parts recur, and what is known of them is remembered within a bound.
 
 Scores are those of the model file, whatever they are. A unigram model holds log-probabilities; the file that the query
 uses (``piece_bpe_32k.model``) is a BPE model whose scores are its merge ranks, negated, so its best segmentation here is the one
@@ -30,8 +31,12 @@ from pyspark.sql import functions as F
 BLANK = "▁"
 NEVER, NEVER_REACHED = float("inf"), -1e300
 REACHED = operator.itemgetter(0)
+#: Stands behind the last character of a part; no piece holds it.
+END = "\0\0"
 #: A character that begins no piece; and characters of a part that is searched as a whole even where it could be cut further.
-NOTHING, UNCUT = ({}, None), 16
+NOTHING, UNCUT = ({}, 0.0, None), 16
+#: Marks that begin a part of their own wherever that is safe.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _LATTICES: dict[tuple, Lattice] = {}
 
 
@@ -52,13 +57,13 @@ class Lattice:
         self.table: dict[str, tuple] = {p[:k]: () for p in self.score for k in range(1, len(p))}
         self.table |= {p: (s, self.ids[p]) for p, s in self.score.items()}
         self.longest = max(map(len, self.score))
-        # the same as a tree: a character leads to the characters that may follow it and the arc that ends with it, if any
+        # the same as a tree: a character leads to the characters that may follow it, and the score and ids of the piece that ends with it, if any
         self.heads: dict[str, tuple] = {}
         for prefix in sorted(self.table, key=len):
             after = self.heads
             for char in prefix[:-1]:
                 after = after[char][0]
-            after[prefix[-1]] = ({}, self.table[prefix] or None)
+            after[prefix[-1]] = ({}, *(self.table[prefix] or (0.0, None)))
         self.raw = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.encode() for i, p in enumerate(map(model.id_to_piece, range(size)))]
         self.inside = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}
         self.n_best, self.max_parts = n_best, max_parts
@@ -66,38 +71,79 @@ class Lattice:
         self.parts = self._cutter()
 
     def _cutter(self) -> re.Pattern:
-        """Parts end before blanks and around white space, but never within a pair that a piece holds."""
+        """Parts end before blanks, around white space and before marks, but never within a pair that a piece holds."""
         bare = "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and not any(chr(c) in pair for pair in self.inside))
-        before = "".join(re.escape(pair[0]) for pair in self.inside if pair[1] == BLANK != pair[0])
-        word = f"[^{BLANK}{re.escape(bare)}]"
-        on = f"(?:(?<=[{before}]){BLANK}+{word}*)*" if before else ""
-        return re.compile(rf"{BLANK}*{word}+{on}|{BLANK}+|[{re.escape(bare)}]" if bare else rf"{BLANK}*{word}+{on}|{BLANK}+")
+        firsts: dict[str, str] = {}
+        for one, two in self.inside:
+            firsts[two] = firsts.get(two, "") + one
+        after = lambda char: f"(?<=[{re.escape(firsts[char])}])" if char in firsts else "(?!)"  # noqa: E731  where ``char`` can't be cut off
+        out = re.escape(BLANK + bare)
+        run = f"[^{out}{re.escape(MARKS)}]*"
+        joined = "|".join(f"{re.escape(m)}(?<=[{re.escape(firsts[m])}].)" for m in MARKS if m in firsts)
+        word = f"[^{out}]{run}" + (f"(?:(?:{joined}){run})*" if joined else "")
+        space = f"|[{re.escape(bare)}]" if bare else ""
+        return re.compile(f"{BLANK}*{word}(?:{after(BLANK)}{BLANK}+(?:{word})?)*|{BLANK}+{space}")
 
     def normal(self, text: str) -> str:
         """``text`` as the model sees it: a blank before it, and blanks as their sign."""
         return BLANK + text.replace(" ", BLANK) if text else ""
 
+    def forward(self, part: str) -> tuple[float, bytes, float]:
+        """The best score of ``part`` (Viterbi), its ids, and what the second best loses; ``NEVER`` if there is none."""
+        n, heads, longest = len(part), self.heads, self.longest
+        best, second, back = [0.0] + [NEVER_REACHED] * n, [NEVER_REACHED] * (n + 1), [None] * (n + 1)
+        for i, char in enumerate(part):
+            here, next_, j = best[i], second[i], i + 1
+            after, score, ids = heads.get(char, NOTHING)
+            if ids is None:
+                score, ids = self._bytes(char)
+            for char in part[j : i + longest] + END:
+                if ids is not None:
+                    reached, was = here + score, best[j]
+                    if reached > was:
+                        other = next_ + score
+                        best[j], back[j] = reached, (i, ids)
+                        second[j] = was if was > other else other
+                    elif reached > second[j]:
+                        second[j] = reached
+                node = after.get(char)
+                if node is None:
+                    break
+                j += 1
+                after, score, ids = node
+        made, at = [], n
+        while at:
+            at, ids = back[at]
+            made.append(ids)
+        made.reverse()
+        loss = best[n] - second[n]
+        return best[n], b"".join(made), loss if loss < -NEVER_REACHED / 2 else NEVER
+
     def search(self, part: str) -> list[tuple[float, bytes]]:
         """The ``n_best`` segmentations of ``part`` by score; equal scores in the order in which the search meets them."""
         n, heads, longest = len(part), self.heads, self.longest
         ends: list[list] = [[] for _ in range(n + 1)]  # arcs by the place where they end: (best score up to there by it, start, score, ids)
         best = [0.0] + [NEVER_REACHED] * n
-        for i, char in enumerate(part):
+        for i, char in enumerate(part):  # one arc for each piece that begins here
             here, j = best[i], i + 1
-            after, arc = heads.get(char, NOTHING)
-            if arc is None:
-                arc = self._bytes(char)
-            while True:
-                if arc is not None:
-                    score, ids = arc
+            after, score, ids = heads.get(char, NOTHING)
+            if ids is None:
+                score, ids = self._bytes(char)
+            reached = here + score
+            ends[j].append((reached, i, score, ids))
+            if reached > best[j]:
+                best[j] = reached
+            for char in part[j : i + longest]:
+                node = after.get(char)
+                if node is None:
+                    break
+                j += 1
+                after, score, ids = node
+                if ids is not None:
                     reached = here + score
                     ends[j].append((reached, i, score, ids))
                     if reached > best[j]:
                         best[j] = reached
-                if j == n or (node := after.get(part[j])) is None:
-                    break
-                after, arc = node
-                j += 1
         # every open way is worth exactly the best whole segmentation that ends in it, so no more need be open than are wanted
         left, tick, found, way = self.n_best, 0, [], (best[n], 0, n, 0.0, None)
         ways: list[tuple] = []  # the others, the best last
@@ -137,46 +183,41 @@ class Lattice:
 
     def join(self, lists: list[tuple]) -> list[tuple[float, bytes]]:
         """N-best list of a whole whose parts have these; only the parts that lose least by their second choice can differ."""
-        losses, first = [one[2] for one in lists], [one[1] for one in lists]
-        total = sum([one[0] for one in lists])
+        scores, first, losses, _ = zip(*lists, strict=True)
+        total, whole = sum(scores), b"".join(first)
         ways: list[tuple[float, tuple]] = [(0.0, ())]
+        open_: list[float] | tuple[float, ...] = losses
         for _ in range(self.n_best - 1):
-            least = min(losses, default=NEVER)
+            least = min(open_)
             if least == NEVER:
                 break
-            k = losses.index(least)
-            losses[k] = NEVER
-            top, choices = lists[k][0], lists[k][3]
-            ways = sorted([(loss + top - s, (*picked, (k, ids))) for loss, picked in ways for s, ids in choices], key=lambda way: way[0])[: self.n_best]
+            k = open_.index(least)
+            open_ = [*open_[:k], NEVER, *open_[k + 1 :]]
+            top, choices = scores[k], lists[k][3]
+            if type(choices) is str:  # only here is the list of a part needed
+                choices = self.search(choices)
+            ways = sorted([(loss + top - s, (*picked, (k, ids))) for loss, picked in ways for s, ids in choices], key=REACHED)[: self.n_best]
         out = []
         for loss, picked in ways:
-            for k, ids in picked:
-                first[k] = ids
-            out.append((total - loss, b"".join(first)))
-            for k, _ in picked:
-                first[k] = lists[k][1]
+            made = whole
+            for k, ids in sorted(picked, reverse=True):  # the last part first, so that the places of the others hold
+                if ids != first[k]:
+                    at = sum(map(len, first[:k]))
+                    made = made[:at] + ids + made[at + len(first[k]) :]
+            out.append((total - loss, made))
         return out
 
     def part(self, text: str) -> tuple:
-        """(best score, its ids, what the second choice loses, n-best list) of a part of a text; a long one is cut further where no piece reaches across."""
+        """(best score, its ids, what the second choice loses, n-best list or the text to search for it) of a part of a text; a long one is cut further where no piece reaches across."""
         if (known := self.known.get(text)) is None:
-            inside, n = self.inside, len(text)
-            cuts = [k for k in range(1, n) if text[k - 1 : k + 1] not in inside] if n > UNCUT else ()
+            cuts = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in self.inside] if len(text) > UNCUT else ()
             if not cuts:
-                found = self.search(text)
+                known = (*self.forward(text), text)
             else:
-                some = [self.part(text[a:b]) for a, b in zip([0, *cuts], [*cuts, n], strict=True)]
-                open_ = [k for k, one in enumerate(some) if one[2] != NEVER]
-                if len(open_) == 1:  # the usual case: one word and marks around it
-                    k = open_[0]
-                    rest = sum([one[0] for one in some]) - some[k][0]
-                    before, after = b"".join([one[1] for one in some[:k]]), b"".join([one[1] for one in some[k + 1 :]])
-                    found = [(s + rest, before + ids + after) for s, ids in some[k][3]]
-                else:
-                    found = self.join(some)
+                found = self.join([self.part(text[a:b]) for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)])
+                known = (found[0][0], found[0][1], found[0][0] - found[1][0] if len(found) > 1 else NEVER, tuple(found))
             if len(self.known) > self.max_parts:
                 self.known.clear()
-            known = (found[0][0], found[0][1], found[0][0] - found[1][0] if len(found) > 1 else NEVER, tuple(found))
             self.known[text] = known
         return known
 
@@ -184,9 +225,19 @@ class Lattice:
         """(score, ids as little-endian u32) of the n best segmentations, best first; one empty one for an empty text."""
         if not text:
             return [(0.0, b"")]
-        get = self.known.get
         parts = self.parts.findall(self.normal(text))
-        return self.join([get(p) or self.part(p) for p in parts])
+        found = list(map(self.known.get, parts))
+        return self.join([one or self.part(part) for one, part in zip(found, parts, strict=True)] if None in found else found)
+
+    def encode_all(self, texts: list[str | None]) -> list[list[tuple[float, bytes]]]:
+        """:meth:`encode` of each text. Nothing here makes a cycle, so garbage collection rests meanwhile."""
+        resting = gc.isenabled()
+        gc.disable()
+        try:
+            return [self.encode(t) for t in texts]
+        finally:
+            if resting:
+                gc.enable()
 
     def decode(self, ids: bytes) -> str:
         """The text of a segmentation; byte pieces that aren't UTF-8 come out as replacement characters."""
@@ -215,7 +266,7 @@ def encode_nbest(docs: DataFrame, model: str, *, n_best: int = 3) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                found = [[{"score": s, "n_pieces": len(i) // 4, "ids": i} for s, i in own.encode(t)] for t in some.column(1).to_pylist()]
+                found = [[{"score": s, "n_pieces": len(i) // 4, "ids": i} for s, i in one] for one in own.encode_all(some.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(found, kind)], ["doc_id", "segmentations"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, segmentations array<struct<score: double, n_pieces: long, ids: binary>>")
@@ -243,7 +294,7 @@ def digests(docs: DataFrame, model: str, *, n_best: int = 3) -> DataFrame:
         longs, doubles = pa.list_(pa.int64()), pa.list_(pa.float64())
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            found = [own.encode(t) for t in texts]
+            found = own.encode_all(texts)
             back = [own.decode(f[0][1]) == (t or "").replace(BLANK, " ") for f, t in zip(found, texts, strict=True)]
             columns = [batch.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array([[s for s, _ in f] for f in found], doubles)]
             columns += [pa.array([[len(i) // 4 for _, i in f] for f in found], longs), pa.array([[zlib.crc32(i) for _, i in f] for f in found], longs), pa.array(back, pa.bool_())]
