@@ -136,7 +136,8 @@ def line_decisions(docs: DataFrame, *, span: int = 5, percent: int = 80) -> Data
         common = staged(_commonest(counts.unionByName(held).groupBy("token").agg(F.max("met").alias("met"))), "line-common")
         more = staged(holding(common).join(again, LINE, "left_anti"), "line-more")
         sets, again = sets.unionByName(_sets(source, more, span).select(*LINE, "copies", "keys")), again.unionByName(more)
-        full = sets.select(*LINE, "copies", F.size("keys").alias("n"), F.explode("keys").alias("key")).withColumn("token", token(F.col("key")))
+        # sets are dealt out as arrays, so that their tokens are ordered where they are, without a shuffle of single tokens
+        full = sets.repartition(*LINE).select(*LINE, "copies", F.size("keys").alias("n"), F.explode("keys").alias("key")).withColumn("token", token(F.col("key")))
         ranked = full.join(F.broadcast(common), "token", "left").groupBy(*LINE, "n", "copies").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("met", F.lit(0)).alias("met"), "key", "token"))).alias("ordered"))
         renewed = ranked.select(*LINE, "n", "copies", F.posexplode(F.transform(F.slice("ordered", F.lit(1), _prefix(F.col("n"), percent)), lambda t: t["token"])).alias("at", "token"))
         renewed = staged(renewed, "line-renewed")

@@ -27,7 +27,8 @@ def op2_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.removed_lines(documents(spark, sf_dir), span=5, percent=80)
+    found = line_dedup.removed_lines(documents(spark, sf_dir), span=5, percent=80)
+    return found.withColumn("removed", F.array_join("removed", ","))
 
 
 #: Key of the registered query, which must give the same rows each time; a user takes a secret one.
@@ -80,7 +81,46 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
 }
 
-ORACLE: dict[str, str] = {}
+SPLIT = r"[^\x20\x09-\x0D]+"
+
+
+def _words(column: str) -> str:
+    return f"regexp_extract_all({column}, '{SPLIT}')"
+
+
+def _among(words: tuple[str, ...]) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+QUALITY_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, unnest({_words('text')}) AS w, generate_subscripts({_words('text')}, 1) AS i FROM d),
+g AS (SELECT *, CASE WHEN lead(w, 4) OVER o IS NOT NULL THEN concat_ws(' ', w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o) END AS g FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT *, g IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g) > 1 AS again FROM g),
+r AS (SELECT doc_id, w, max(CASE WHEN again THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS met FROM c),
+b AS (SELECT doc_id, count(*) AS n_words, cast(sum(length(w)) AS bigint) AS chars, cast(sum(met) AS bigint) AS n_repeat FROM r GROUP BY 1),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+n AS (SELECT doc_id, line, lower(line) AS low, len(regexp_split_to_array(line, '[\x20\x09-\x0D]+')) AS n, len(list_filter({_words('line')}, lambda x: regexp_matches(x, '^[|»«›‹>•·→/\\~*=_-]+$'))) AS seps, list_sum(list_transform({_words('line')}, lambda x: length(x))) AS chars,
+  CASE WHEN length(line) <= 200 THEN len(list_filter(regexp_split_to_array(lower(line), '[^\p{{L}}\p{{N}}_]+'), lambda x: x IN {_among(quality.MENU)})) ELSE 0 END AS menu FROM l WHERE regexp_matches(line, '{SPLIT}')),
+f AS (SELECT doc_id, line, chars, CASE WHEN {' OR '.join(f"contains(low, '{phrase}')" for phrase in quality.BOILERPLATE)} THEN 'boilerplate' WHEN (seps > 0 AND seps > n * 0.3) OR (length(line) <= 200 AND n <= 12 AND menu * 2 > n) THEN 'navigation'
+  WHEN NOT regexp_matches(right(line, 24), '[.!?…。！？:;]["''”’»)\]]*\s*$') OR len(regexp_extract_all(line, '[#*$%&|<>{{}}=\\^~]|!!|\?\?')) > length(line) * 0.08 THEN 'punctuation' END AS fault FROM n),
+k AS (SELECT doc_id, count(*) FILTER (WHERE fault = 'boilerplate') AS lines_boilerplate, count(*) FILTER (WHERE fault = 'navigation') AS lines_navigation, count(*) FILTER (WHERE fault = 'punctuation') AS lines_punctuation, count(*) - count(DISTINCT line) AS n_dup, coalesce(sum(chars) FILTER (WHERE fault IS NOT NULL), 0) AS lost FROM f GROUP BY 1),
+j AS (SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(b.chars, 0) AS word_chars, cast(len(regexp_extract_all(text, '[#*$%&|<>]')) AS bigint) AS n_symbols, coalesce(n_dup, 0) AS n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words, coalesce(lines_boilerplate, 0) AS lines_boilerplate, coalesce(lines_navigation, 0) AS lines_navigation, coalesce(lines_punctuation, 0) AS lines_punctuation, CASE WHEN b.chars > 0 THEN cast(b.chars - lost AS double) / b.chars ELSE 0.0::double END AS kept_share FROM d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id),
+v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM j)
+SELECT *, NOT base_failed AND kept_share >= 0.5 AS kept FROM v
+"""
+
+LINES_SQL = rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS k FROM documents),
+w AS (SELECT doc_id, k, {_words('line')} AS ws, regexp_matches(line, '[\p{{L}}\p{{N}}]') AS says FROM l),
+s AS (SELECT doc_id, k, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) WHEN len(ws) > 0 AND says THEN [array_to_string(ws, ' ')] ELSE [] END AS ts FROM w),
+t AS (SELECT doc_id, k, len(ts) AS n, unnest(ts) AS t FROM s),
+met AS (SELECT a.doc_id, a.k, count(*) AS shared, a.n + b.n AS total FROM t a JOIN t b ON a.t = b.t AND (b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.k < a.k)) GROUP BY a.doc_id, a.k, b.doc_id, b.k, a.n, b.n),
+gone AS (SELECT DISTINCT doc_id, k FROM met WHERE shared * 180 >= total * 80)
+SELECT l.doc_id, count(*) AS n_lines, count(g.k) AS n_removed, coalesce(string_agg(g.k, ',' ORDER BY g.k), '') AS removed FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.k = l.k GROUP BY l.doc_id
+"""
+
+ORACLE: dict[str, str] = {"op3_quality_rules": QUALITY_SQL, "op10_line_dedup": LINES_SQL}
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
