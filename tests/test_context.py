@@ -138,6 +138,6 @@ def test_numbered_hunks_and_allowed_lines(spark):
     given = spark.createDataFrame([(1, text)], "diff_id int, text string")
     got = {r["file"]: r["text"] for r in diffs.numbered_hunks(given).collect()}
     assert got == {1: "@@ -1,2 +1,2 @@\n    1 - old\n    1 + new\n    2   keep", 2: "@@ -1 +0,0 @@\n    1 - gone"}
-    assert diffs.numbered_hunks(given, 28).where("file = 1").first()["text"] == "@@ -1,2 +1,2 @@\n... (truncated)"
+    assert diffs.numbered_hunks(given, 27).where("file = 1").first()["text"] == "@@ -1,2 +1,2 @@\n... (truncated)"
     allowed = {r["file"]: (r["lines"], r["body_only"]) for r in diffs.allowed_lines(diffs.diff_lines(given), diffs.diff_files(given)).collect()}
     assert allowed == {1: ([1], False), 2: ([1], True)}

@@ -54,7 +54,7 @@ def test_context_keeps_the_first_block(spark):
 
 def test_duplicate_roots(spark):
     links = spark.createDataFrame([(1, 0), (2, 1), (3, 2), (8, 9), (9, 8)], "id long, target long")
-    assert {r["id"]: r["root"] for r in reviews.roots(links, 4).collect()} == {1: 0, 2: 0, 3: 0, 8: None, 9: None}
+    assert {r["id"]: r["root"] for r in reviews.roots(links).collect()} == {1: 0, 2: 0, 3: 0, 8: None, 9: None}
 
 
 def test_upsert_keeps_and_fills(spark):
