@@ -156,7 +156,7 @@ def line_decisions(docs: DataFrame, *, span: int = 5, percent: int = 80) -> Data
     met = staged(met, "line-met")
     scratch.drop("line-entries")
     # the lines that lead a token's group: the earliest, and the one with most copies, the likely source of the others
-    leads = met.groupBy("token").agg(F.array_distinct(F.array(F.min(one), F.max_by(one, F.struct("copies", -c("doc_id"))))).alias("leads"))
+    leads = met.groupBy("token").agg(F.array_distinct(F.array(F.min(one), F.max_by(one, F.struct("copies", F.bitwise_not("doc_id"))))).alias("leads"))
     leads = leads.select("token", F.explode("leads").alias("lead")).select("token", *[c(f"lead.{k}").alias(f"{k}_x") for k in (*LINE, "n", "at", "before")])
 
     def pairs_of(mine: DataFrame, earlier: DataFrame) -> DataFrame:
