@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from gristmill.operators import activity
 
+#: Parts of a journal by a hash of its keys.
+BUCKETS = 256
+
 
 def event_stream(spark: SparkSession, folder: str, pattern: str = "*.parquet", files_per_trigger: int = 1) -> DataFrame:
     """Files of events that appear in ``folder`` as a stream, with ``ts`` as an instant."""
@@ -30,14 +33,23 @@ def metric_rates(events: DataFrame, width: str = "1 hour", seconds: int = 3600,
 
 
 def journal(usage: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = ("attempt", "seq")):
-    """Append each (attempt, seq) of a stream once to the Parquet table at ``path``; a batch that runs again adds nothing."""
+    """Append each (attempt, seq) of a stream once to the Parquet table at ``path``; a batch that runs again adds nothing.
+
+    The table is parted by ``bucket``, a hash of the keys, and a batch is held against its own buckets alone, so that a small batch doesn't
+    read the whole history.
+    """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
 
     def add(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(list(keys))
+        fresh = batch.dropDuplicates(list(keys)).withColumn("bucket", bucket).persist()
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        new = fresh
         if hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop.Path(path)):
-            fresh = fresh.join(spark.read.schema(batch.schema).parquet(path).select(*keys), list(keys), "left_anti")
-        fresh.write.mode("append").parquet(path)
+            met = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]
+            known = spark.read.schema(fresh.schema).parquet(path).where(F.col("bucket").isin(met)).select("bucket", *keys)
+            new = fresh.join(known, ["bucket", *keys], "left_anti")
+        new.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
+        fresh.unpersist()
 
     return usage.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
