@@ -295,18 +295,6 @@ def test_odd_shards(spark):
     assert sharding.assign_shards(given.limit(0), 3).count() == 0
 
 
-def test_pipeline_stages(spark, sf_dir, docs):
-    now, before = docs, docs.count()
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        now = corpus_pipeline.staged(stage(spark, now, sf_dir), f"test-{name}")
-        assert now.columns == docs.columns
-        after = now.count()
-        assert 0.5 * before < after <= before, name
-        before = after
-    pieces = corpus_pipeline.STAGES[-1][1](spark, now, sf_dir).collect()
-    assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in now.collect()}
-
-
 def test_pipeline_stages_are_their_operators(spark, sf_dir, docs):
     """Each stage against a plain reckoning of what it does, on what its predecessor kept."""
     stages = dict(corpus_pipeline.STAGES)
@@ -328,6 +316,10 @@ def test_pipeline_stages_are_their_operators(spark, sf_dir, docs):
         found = private_data.find(r["text"])
         assert (private[r["doc_id"]] == r["text"]) == (not found)
         assert not any(kind in ("email", "phone", "ip") and r["text"][a:b] in private[r["doc_id"]] for a, b, kind, _ in found)
+    assert told.columns == cleaned.columns == one.columns == docs.columns
+    assert 0.5 * docs.count() < len(private) <= len(want) <= len(lettered)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, one, sf_dir).collect()
+    assert {r["doc_id"] for r in pieces} == set(private)
 
 
 def test_pipeline_of_odd_rows(spark, sf_dir):
