@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import embedding_dedup, language, line_dedup, ngram_join, packing, pieces, private_data, quality, sharding, tokens
+from gristmill.llm import collocations, embedding_dedup, hnsw, language, line_dedup, lloyd, ngram_join, packing, pieces, private_data, quality, sharding, tokens
 from gristmill.llm._shared import documents
 
 
@@ -68,7 +68,22 @@ def op9_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), word_bpe(), length=4096, end_id=2, with_ids=False)
 
 
+def op11_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.lloyd(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=16, rounds=3, dimension=64, scale=64, seed="1")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir), max_words=3, min_count=10, percent=50, limit=2_000)
+
+
+def op13_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=50, k=5)
+
+
 QUERIES = {
+    "op11_lloyd": op11_lloyd,
+    "op12_collocations": op12_collocations,
+    "op13_hnsw": op13_hnsw,
     "op10_line_dedup": op10_line_dedup,
     "op1_language_profiles": op1_language_profiles,
     "op2_best_fit_shards": op2_best_fit_shards,
@@ -120,7 +135,45 @@ gone AS (SELECT DISTINCT doc_id, k FROM met WHERE shared * 180 >= total * 80)
 SELECT l.doc_id, count(*) AS n_lines, count(g.k) AS n_removed, coalesce(string_agg(g.k, ',' ORDER BY g.k), '') AS removed FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.k = l.k GROUP BY l.doc_id
 """
 
-ORACLE: dict[str, str] = {"op3_quality_rules": QUALITY_SQL, "op10_line_dedup": LINES_SQL}
+
+def _lloyd_sql(k: int, rounds: int, dimension: int, scale: int, seed: str) -> str:
+    """Every round assigns all vectors to all centroids, and takes the exact floor of each component's mean."""
+    vector = f"list_transform(embedding, lambda x: cast(floor({scale} * cast(x AS double)) AS bigint))"
+    fits = f"len(embedding) = {dimension} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+    apart = "cast(list_sum(list_transform(range(1, len(v.q) + 1), lambda i: (v.q[i] - c.q[i]) * (v.q[i] - c.q[i]))) AS bigint)"
+    parts = [f"kept AS (SELECT row_number() OVER () AS v, vec_id, {vector} AS q FROM embeddings WHERE {fits})", f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) - 1 AS c, q FROM kept ORDER BY sha256('{seed}:' || vec_id) LIMIT {k})"]
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS (SELECT * FROM (SELECT v.v, v.vec_id, v.q, c.c, {apart} AS d FROM kept v, c{r} c) QUALIFY row_number() OVER (PARTITION BY v ORDER BY d, c) = 1)")
+        if r < rounds:
+            parts.append(f"s{r} AS (SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM a{r}) GROUP BY c, i)")
+            parts.append(f"m{r} AS (SELECT c, list(cast((s - ((s % n) + n) % n) // n AS bigint) ORDER BY i) AS q FROM s{r} GROUP BY c)")
+            parts.append(f"c{r + 1} AS (SELECT c.c, coalesce(m.q, c.q) AS q FROM c{r} c LEFT JOIN m{r} m ON m.c = c.c)")
+    return (
+        f"WITH {', '.join(parts)} SELECT vec_id, cast(a.c AS integer) AS cluster, d AS distance, cast(sum(d) OVER (PARTITION BY a.c) AS bigint) AS cluster_inertia, cast(sum(d) OVER () AS bigint) AS inertia, "
+        f"sha256(array_to_string(c.q, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON c.c = a.c"
+    )
+
+
+COLLOCATIONS_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-
+]')) AS piece FROM documents),
+q AS (SELECT row_number() OVER () AS id, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+w AS (SELECT id, lang, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM q),
+n AS (SELECT lang, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM w WINDOW o AS (PARTITION BY id ORDER BY i)),
+g AS (SELECT lang, 1 AS m, w AS phrase FROM n UNION ALL SELECT lang, 2, w || ' ' || w2 FROM n WHERE w2 IS NOT NULL UNION ALL SELECT lang, 3, w || ' ' || w2 || ' ' || w3 FROM n WHERE w3 IS NOT NULL),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY 1, 2, 3), t AS (SELECT lang, cast(sum(a) AS bigint) AS n FROM f WHERE m = 1 GROUP BY 1),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE m > 1 AND a >= 10),
+k AS (SELECT *, array_to_string(ws[1:k], ' ') AS head, array_to_string(ws[k + 1:], ' ') AS tail FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+s AS (SELECT k.lang, k.phrase, k.m, k.a, k.ws, k.k, l.a AS l, r.a AS r, cast(1000000::hugeint * k.a * k.a // (l.a::hugeint * r.a) AS bigint) AS score
+  FROM k JOIN f l ON l.lang = k.lang AND l.phrase = k.head JOIN f r ON r.lang = k.lang AND r.phrase = k.tail),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+h AS (SELECT lang, part, max(a) AS longer FROM (SELECT lang, a, unnest([ws[1] || ' ' || ws[2], ws[2] || ' ' || ws[3]]) AS part FROM c WHERE m = 3) GROUP BY 1, 2),
+o AS (SELECT b.* FROM b LEFT JOIN h ON h.lang = b.lang AND h.part = b.phrase AND b.m = 2 WHERE h.longer IS NULL OR 100 * h.longer < 50 * b.a)
+SELECT o.lang, row_number() OVER (PARTITION BY o.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, t.n, score FROM o JOIN t ON t.lang = o.lang QUALIFY rank <= 2000
+"""
+
+ORACLE: dict[str, str] = {"op3_quality_rules": QUALITY_SQL, "op10_line_dedup": LINES_SQL, "op11_lloyd": _lloyd_sql(16, 3, 64, 64, "1"), "op12_collocations": COLLOCATIONS_SQL}
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
