@@ -83,6 +83,71 @@ def accepted_deliveries(deliveries: DataFrame, ttl_seconds: int) -> DataFrame:
     return dealt.mapInArrow(accept, f"key {kind}, at long")
 
 
+class Remembered:
+    """Keys accepted within a time to live, at most ``capacity`` of them: the one accepted longest ago makes way."""
+
+    def __init__(self, ttl: int, capacity: int, held: list[tuple] = ()):
+        self.ttl, self.capacity, self.held = ttl, capacity, dict(held)
+
+    def accepts(self, key, at: int) -> bool:
+        """Whether a delivery is new; accepted ones are remembered, in their order."""
+        while self.held and at - next(iter(self.held.values())) > self.ttl:
+            del self.held[next(iter(self.held))]
+        if key in self.held:
+            return False
+        if len(self.held) >= self.capacity:
+            del self.held[next(iter(self.held))]
+        self.held[key] = at
+        return True
+
+
+def remembered_deliveries(deliveries: DataFrame, ttl_seconds: int = 3600, capacity: int = 1_000) -> DataFrame:
+    """scope, key, at of the deliveries (scope, key, at in whole seconds) that their scope doesn't remember.
+
+    A scope remembers the keys it accepted in the ``ttl_seconds`` before, and no more than ``capacity``: the oldest makes way, so that a repeat
+    of it is taken again. Order: time, then key; rows without key or time go. What a scope forgets depends on all its deliveries, so
+    those are one pass of a task over sorted rows, which holds ``capacity`` keys; scopes are dealt out. A stream of the same:
+    :func:`gristmill.streaming.deliveries.dedupe_remembered`.
+    """
+    rows = deliveries.where("key IS NOT NULL AND at IS NOT NULL").select("scope", "key", F.col("at").cast("long").alias("at"))
+    kinds = rows.schema.simpleString()[7:-1].replace(":", " ")
+
+    def pass_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, memory = None, None
+        for batch in batches:
+            kept = []
+            for scope, key, at in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if memory is None or scope != of:
+                    of, memory = scope, Remembered(ttl_seconds, capacity)
+                kept.append(memory.accepts(key, at))
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return rows.repartition("scope").sortWithinPartitions("scope", "at", "key").mapInArrow(pass_over, kinds)
+
+
+def polled(polls: DataFrame, repos: DataFrame, reviews: DataFrame) -> DataFrame:
+    """repo_id, outcome, pr_number, detail of one round of ``polls`` (repo_id, head, pulls, fault): ``index`` for a moved head, ``review`` for each pull without a posted
+    review of its head, ``fault`` where a repository couldn't be asked.
+
+    repos: repo_id, last_commit, status. reviews: repo_id, pr_number, head_sha (posted ones). ``pulls`` is JSON text, a list of objects with number, head_sha and draft. A fault,
+    or pulls that can't be read, stay with their repository: the others go on. Heads of repositories that are being indexed wait; drafts and
+    pulls without a head are left.
+    """
+    c, shape = F.col, "array<struct<number: bigint, head_sha: string, draft: boolean>>"
+    known = polls.join(repos.select("repo_id", "last_commit", "status"), "repo_id").withColumn("listed", F.from_json("pulls", shape, {"mode": "PERMISSIVE"}))
+    fault = F.coalesce(c("fault"), F.when(c("pulls").isNotNull() & (F.try_parse_json("pulls").isNull() | ~F.coalesce(F.schema_of_variant(F.try_parse_json("pulls")).startswith("ARRAY"), F.lit(False))), F.lit("pulls can't be read")))
+    known = known.withColumn("wrong", fault)
+    right = known.where("wrong IS NULL")
+    row = lambda rows, outcome, number, detail: rows.select("repo_id", F.lit(outcome).alias("outcome"), number.cast("long").alias("pr_number"), detail.alias("detail"))
+    pulls = right.select("repo_id", F.explode("listed").alias("p")).where(~F.coalesce(c("p.draft"), F.lit(False)) & (F.coalesce(c("p.head_sha"), F.lit("")) != "")).select("repo_id", c("p.number").alias("pr_number"), c("p.head_sha").alias("head_sha"))
+    open_ = pulls.join(reviews.select("repo_id", "pr_number", "head_sha"), ["repo_id", "pr_number", "head_sha"], "left_anti")
+    return (
+        row(moved_branches(right.select("repo_id", "last_commit", "status"), right.select("repo_id", F.nullif("head", F.lit("")).alias("head"))), "index", F.lit(None), c("head"))
+        .unionByName(row(open_, "review", c("pr_number"), c("head_sha")))
+        .unionByName(row(known.where("wrong IS NOT NULL"), "fault", F.lit(None), c("wrong")))
+    )
+
+
 def transcript(messages: DataFrame) -> DataFrame:
     """conv_id, prompt: a lone user turn as it is; anything else with a label for each turn and a cue at the end."""
     label = F.when(F.col("role") == "assistant", "Assistant").when(F.col("role") == "system", "System").otherwise("User")
@@ -161,6 +226,34 @@ def repo_reference(url: Column) -> Column:
     return F.when(url.rlike("^https?://"), F.concat(part(1), F.lit(":"), part(2)))
 
 
+# The spellings of a remote that are understood - with or without a scheme and user, a slash or a colon before the owner - and the shorthand.
+REMOTE = r"^(?:(?:https?|ssh|git)://)?(?:[^@/\s]+@)?github\.com[/:]([A-Za-z0-9._-]+)/([A-Za-z0-9._-]+?)(?:\.git)?$"
+SHORTHAND = r"^([A-Za-z0-9._-]+)/([A-Za-z0-9._-]+?)(?:\.git)?$"
+LOCAL = r"^(?:/|\.\.?/|~/)"
+
+
+def remote(spelled: Column) -> Column:
+    """Struct of ``reference``, ``url`` and ``fault`` of a remote's spelling: https, ssh, git or scp form, shorthand, or a local path.
+
+    Blanks and slashes at the end go, owner and name are in lower case. A local path is ``local:name``; whether it holds a repository is for the
+    caller to see. Anything else, an owner or name of one dot, and null have a fault and no reference.
+    """
+    said = F.regexp_replace(text.stripped(F.coalesce(spelled, F.lit(""))), "/+$", "")
+
+    def told(s: Column) -> Column:
+        part = lambda k: F.lower(F.coalesce(F.nullif(F.regexp_extract(s, REMOTE, k), F.lit("")), F.regexp_extract(s, SHORTHAND, k)))
+        local = s.rlike(LOCAL)
+        name = F.lower(F.regexp_replace(F.regexp_extract(s, r"([^/]+)$", 1), r"\.git$", ""))
+        whole = ~local & (part(1) != "") & (part(2) != "") & (part(1) != ".") & (part(2) != ".")
+        return F.struct(
+            F.when(local & (name != ""), F.concat(F.lit("local:"), name)).when(whole, F.concat(F.lit("github:"), part(1), F.lit("/"), part(2))).alias("reference"),
+            F.when(local & (name != ""), s).when(whole, F.concat(F.lit("https://github.com/"), part(1), F.lit("/"), part(2), F.lit(".git"))).alias("url"),
+            F.when(~(local & (name != "")) & ~whole, F.concat(F.lit("Unsupported remote: "), F.coalesce(spelled, F.lit("")))).alias("fault"),
+        )
+
+    return text.once(said, told)
+
+
 def redacted(text: Column) -> Column:
     """``text`` without the user and password of the addresses in it."""
     return F.regexp_replace(text, r"(https?://)[^@\s/]+:[^@\s/]+@", "$1***:***@")

@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gristmill.functions import text
 
@@ -20,20 +22,74 @@ PROPERTY = r"(?i)\b(?:response|res|result|body|payload)\s*(?:\?\.)?\.\s*[A-Za-z_
 CALL = r"(?<![.$?\]\w])(\b(?:await|return|void|new|function)\s+)?\b([A-Za-z_$][\w$]*)\s*\(([^()]*)\)"
 NO_CALLS = ["if", "for", "while", "switch", "catch", "function"]
 
-_HIDDEN = r"(?P<quote>['\"`])(?:\\[\s\S]|(?!(?P=quote))[^\\])*(?:(?P=quote)|\Z)|/\*[\s\S]*?(?:\*/|\Z)|//[^\r\n]*"
-_HIDDEN_HASH = r"(?P<triple>\"\"\"|''')[\s\S]*?(?:(?P=triple)|\Z)|^=begin\b[\s\S]*?(?:^=end\b|\Z)|#[^\r\n]*|" + _HIDDEN
+BRACKETED = r"(?i)\b(?:response|res|result|body|payload)\s*\[\s*(['\"])([^'\"]+)\1\s*\]"
+BEFORE_PATTERN, WORDS_BEFORE_PATTERN = "=(:,!&|?{}[;]~", ["return", "throw", "case", "delete", "void", "typeof", "instanceof", "in", "of"]
 
+_SLASH = re.compile(r"//[^\r\n]*|/\*[\s\S]*?(?:\*/|\Z)")
+_PATTERN = re.compile(r"/(?:\\(?:[\s\S]|\Z)|\[(?:\\(?:[\s\S]|\Z)|[^\]\\])*\]?|[^/\\\[])*/?")
+_QUOTED = {q: re.compile(rf"{q}(?:\\(?:[\s\S]|\Z)|[^{q}\\])*({q}?)") for q in "\"'`"}
+_TRIPLE = re.compile(r"(\"\"\"|\'\'\')[\s\S]*?(?:\1|\Z)")
+_HASH = re.compile(r"#[^\r\n]*")
+_RUBY = re.compile(r"(?<![^\r\n])=begin(?=[\r\n]|\Z)[\s\S]*?(?:(?<![^\r\n])=end(?=[\r\n]|\Z)|\Z)")
+_NEXT = {False: re.compile(r"[/\"'`]"), True: re.compile(r"[/\"'`#]|(?<![^\r\n])=begin(?=[\r\n]|\Z)")}
+_WORD_END, _BLANK = re.compile(r"[A-Za-z_$][\w$]*\Z"), re.compile(r"[^\r\n]")
 
-def masked(source: str, hashed: bool) -> str:
-    """``source`` with comments and what stands in quotes as blanks; lines and columns stay."""
 
-    def blank(m: re.Match) -> str:
-        whole = m.group()
-        quote = m.group("quote")
-        inner = re.sub(r"[^\r\n]", " ", whole)
-        return quote + inner[1:-1] + whole[-1] if quote and len(whole) > 1 and whole.endswith(quote) else inner
+def _may_open_pattern(before: str) -> bool:
+    """Whether a slash after ``before`` (the masked line so far, without blanks at its end) begins a pattern and doesn't divide."""
+    if not before or before.endswith("=>") or before[-1] in BEFORE_PATTERN:
+        return True
+    word = _WORD_END.search(before)
+    return bool(word) and word.group() in WORDS_BEFORE_PATTERN
+
 
-    return re.sub(_HIDDEN_HASH if hashed else _HIDDEN, blank, source, flags=re.MULTILINE)
+def masked(source: str, hashed: bool) -> str:
+    """``source`` with comments, patterns and what stands in quotes as blanks; lines and columns stay.
+
+    ``hashed``: comments begin with a hash as well, and three quotes or ``=begin`` hold whole blocks.
+    """
+    out, at, line = [], 0, ""
+    while found := _NEXT[hashed].search(source, at):
+        start, mark = found.start(), found.group()
+        plain = source[at:start]
+        line = (re.split(r"[\r\n]", plain)[-1] if re.search(r"[\r\n]", plain) else line + plain).rstrip()[-64:]
+        hidden = _SLASH.match(source, start) if mark == "/" else _HASH.match(source, start) if mark == "#" else _RUBY.match(source, start) if mark == "=begin" else _TRIPLE.match(source, start) if hashed else None
+        quoted = _QUOTED[mark].match(source, start) if not hidden and mark in _QUOTED else None
+        hidden = hidden or quoted or (_PATTERN.match(source, start) if _may_open_pattern(line) else None)
+        if not hidden:
+            out.append(plain + mark)
+            at, line = start + 1, line + mark
+            continue
+        blank = _BLANK.sub(" ", hidden.group())
+        if quoted:
+            blank = mark + (blank[1:-1] + mark if quoted.group(1) else blank[1:])
+        out += [plain, blank]
+        line = (re.split(r"[\r\n]", blank)[-1] if re.search(r"[\r\n]", blank) else line + blank).rstrip()[-64:]
+        at = hidden.end()
+    return "".join(out) + source[at:]
+
+
+def listed(signature: str, generic: bool) -> list[str]:
+    """Parts of a list at its commas outside brackets of any depth; with ``generic``, angles count as brackets before a default begins."""
+    if not signature.strip():
+        return []
+    depth, angles, counted, part, parts = [0, 0, 0], 0, generic, "", []
+    for mark in re.findall(r"[(){}\[\]<>=,]|[^(){}\[\]<>=,]+", signature):
+        kind = "({[".find(mark) if mark in "({[" else ")}]".find(mark)
+        if len(mark) == 1 and kind >= 0:
+            depth[kind] += 1 if mark in "({[" else -1
+        elif counted and mark == "<":
+            angles += 1
+        elif counted and mark == ">" and angles > 0:
+            angles -= 1
+        elif counted and mark == "=" and not any(depth):
+            counted = False
+        elif mark == "," and not any(depth) and not angles:
+            parts.append(part.strip())
+            part, counted = "", generic
+            continue
+        part += mark
+    return [*parts, part.strip()] if part.strip() else parts
 
 
 def masked_files(files: DataFrame) -> DataFrame:
@@ -49,15 +105,19 @@ def masked_files(files: DataFrame) -> DataFrame:
     return read.mapInArrow(run, "path string, content string, masked string")
 
 
-def _parts(signature: Column) -> Column:
-    """Parts of a list at its commas, those within brackets of any kind left together."""
-    flat = F.regexp_replace(F.regexp_replace(signature, r"\{[^{}]*\}|\[[^\[\]]*\]|<[^<>]*>|\([^()]*\)", "_"), r"\{[^{}]*\}|\[[^\[\]]*\]|<[^<>]*>|\([^()]*\)", "_")
-    return F.filter(F.transform(F.split(flat, ","), text.stripped), lambda p: p != "")
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _parameters(signatures: pd.Series) -> pd.Series:
+    return signatures.map(lambda one: None if one is None else listed(one, True))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _arguments(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda one: None if one is None else listed(one, False))
 
 
 def parameter_bounds(signature: Column) -> Column:
     """Struct of the least and most arguments (most: null without bound) that a parameter list takes; null if it can't be told."""
-    parts = _parts(signature)
+    parts = F.filter(_parameters(signature), lambda p: p != "")
     rest = lambda p: p.startswith("...")
     free = lambda p: rest(p) | p.rlike(r"\?\s*(:|$)|(^|[^=!<>])=(?![=>])")
     needed = F.size(F.filter(parts, lambda p: ~free(p)))
@@ -73,7 +133,7 @@ def _bounds_said(b: Column) -> Column:
 def static_evidence(files: DataFrame) -> DataFrame:
     """path, place, line, kind, detail: at most 40 facts of each of ``files`` (path, content), in order.
 
-    Kinds: declared-parameters, response-property, awaited-call and unawaited-call (of script files), local-api-arity - calls of a
+    Kinds: runtime-version (first, of files of the known names), declared-parameters, response-property, awaited-call and unawaited-call (of script files), local-api-arity - calls of a
     function declared in the same file with too few or too many arguments. Lines with a slash are passed over where a slash may begin a pattern.
     """
     c, ext = F.col, F.lower(F.element_at(F.split("path", r"\."), -1))
@@ -91,18 +151,19 @@ def static_evidence(files: DataFrame) -> DataFrame:
     calls = said.select("path", "line", "k", "d.*").where(~c("name").isin(NO_CALLS) & (c("before") != "function"))
     shown = F.concat("name", F.lit("("), text.stripped(c("args")), F.lit(")"))
     fact = lambda rows, step, kind, detail: rows.select("path", "line", F.lit(step).alias("step"), "k", kind.alias("kind"), detail.alias("detail"))
-    properties = lines.select("path", "line", F.posexplode(every(PROPERTY, 0)).alias("k", "detail"))
+    properties = lines.select("path", "line", F.posexplode(F.concat(every(PROPERTY, 0), every(BRACKETED, 0))).alias("k", "detail"))
     script = calls.where(ext.isin(SLASHED) & ~c("before").isin("return", "void", "new"))
     last = made.groupBy("path", "name").agg(F.max_by("bounds", F.struct("line", "k")).alias("bounds"))
-    n = F.size(_parts(c("args")))
-    wrong = calls.join(last, ["path", "name"]).where((n < c("bounds.least")) | (n > c("bounds.most")))
+    n = c("n_args")
+    wrong = calls.withColumn("n_args", F.size(_arguments("args"))).join(last, ["path", "name"]).where((n < c("bounds.least")) | (n > c("bounds.most")))
     whole = (
-        fact(made, 0, F.lit("declared-parameters"), F.concat("name", F.lit(" declares "), _bounds_said(c("bounds")), F.lit(" parameters")))
+        fact(runtime_versions(files.withColumn("content", F.substr("content", F.lit(1), F.lit(MAX_SOURCE)))).withColumn("k", c("line").cast("int")), -1, F.lit("runtime-version"), c("detail"))
+        .unionByName(fact(made, 0, F.lit("declared-parameters"), F.concat("name", F.lit(" declares "), _bounds_said(c("bounds")), F.lit(" parameters"))))
         .unionByName(fact(properties, 1, F.lit("response-property"), c("detail")))
         .unionByName(fact(script, 2, F.when(c("before") == "await", "awaited-call").otherwise("unawaited-call"), shown))
         .unionByName(fact(wrong, 3, F.lit("local-api-arity"), F.concat("name", F.lit(" expects "), _bounds_said(c("bounds")), F.lit(" arguments but receives "), n.cast("string"))))
     )
-    order = Window.partitionBy("path").orderBy((c("step") == 3).cast("int"), "line", "step", "k")
+    order = Window.partitionBy("path").orderBy(F.when(c("step") == 3, 1).when(c("step") == -1, -1).otherwise(0), "line", "step", "k")
     placed = whole.withColumn("place", F.row_number().over(order)).where(c("place") <= MAX_FACTS)
     return placed.select("path", "place", "line", "kind", text.clipped(c("detail"), MAX_DETAIL).alias("detail"))
 

@@ -88,7 +88,6 @@ HEADS = "r AS (SELECT repo_id, CASE WHEN count(*) % 3 = 0 THEN NULL ELSE arg_max
 
 
 @query("o069_moved_branches", over("v_reviews", f"WITH {HEADS} SELECT repo_id FROM r WHERE head IS DISTINCT FROM last_commit AND status NOT IN ('queued', 'indexing')"))
-@query("o255_change_poll", over("v_reviews", f"WITH {HEADS} SELECT repo_id FROM r WHERE head IS DISTINCT FROM last_commit AND status NOT IN ('queued', 'indexing')"))
 def moved(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = reviews(spark, sf_dir).groupBy("repo_id").agg(
         F.when(F.count(F.lit(1)) % 3 == 0, None).otherwise(F.max_by("head_sha", "review_id")).alias("last_commit"), F.min_by("status", "review_id").alias("status"),
@@ -120,7 +119,6 @@ RATES = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_
 
 
 @query("o256_counter_rates", RATES)
-@query("o257_average_durations", RATES)
 def counter_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = ops.rates(table(spark, sf_dir, "events").select("ts", F.col("event_type").alias("name"), "value"), "1 hour", 3600)
     return w.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "name", "n", F.round("per_second", 9).alias("per_second"), F.round("average", 6).alias("average"))

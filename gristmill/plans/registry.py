@@ -30,7 +30,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load_all() -> None:
     """Import every module of queries; each registers its own."""
-    from gristmill.plans import activity, context, corpus, publishing, retrieval, reviews, usage, writes  # noqa: F401
+    from gristmill.plans import activity, context, corpus, publishing, records, retrieval, reviews, usage, writes  # noqa: F401
 
 
 load_all()

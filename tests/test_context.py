@@ -3,6 +3,7 @@
 import hashlib
 import hmac
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,3 +142,74 @@ def test_numbered_hunks_and_allowed_lines(spark):
     assert diffs.numbered_hunks(given, 27).where("file = 1").first()["text"] == "@@ -1,2 +1,2 @@\n... (truncated)"
     allowed = {r["file"]: (r["lines"], r["body_only"]) for r in diffs.allowed_lines(diffs.diff_lines(given), diffs.diff_files(given)).collect()}
     assert allowed == {1: ([1], False), 2: ([1], True)}
+
+
+def masked_by_steps(source, hashed):
+    """A plain reckoning, one character at a time."""
+    out, mode, quote, k = "", "code", "", 0
+    blank = lambda c: c if c in "\r\n" else " "
+    begins = lambda at: at == 0 or source[at - 1] in "\r\n"
+    while k < len(source):
+        c, two = source[k], source[k : k + 2]
+        if mode == "code":
+            line = re.split(r"[\r\n]", out)[-1].rstrip()
+            word = re.search(r"[A-Za-z_$][\w$]*$", line)
+            if hashed and begins(k) and re.match(r"=begin([\r\n]|$)", source[k:].split("\n")[0] + "\n"):
+                mode, step = "ruby", 6
+            elif two in ("//", "/*"):
+                mode, step = {"//": "line", "/*": "block"}[two], 2
+            elif hashed and c == "#":
+                mode, step = "line", 1
+            elif hashed and c in "\"'" and source[k : k + 3] == c * 3:
+                mode, quote, step = "triple", c * 3, 3
+            elif c in "\"'`":
+                mode, quote, out, k = "quote", c, out + c, k + 1
+                continue
+            elif c == "/" and (not line or line.endswith("=>") or line[-1] in "=(:,!&|?{}[;]~" or (word and word.group() in "return throw case delete void typeof instanceof in of".split())):
+                mode, step = "pattern", 1
+            else:
+                out, k = out + c, k + 1
+                continue
+            out, k = out + " " * step, k + step
+        elif mode == "line":
+            if c in "\r\n":
+                mode = "code"
+            out, k = out + blank(c), k + 1
+        elif mode == "block" and two == "*/":
+            mode, out, k = "code", out + "  ", k + 2
+        elif mode == "triple" and source.startswith(quote, k):
+            mode, out, k = "code", out + "   ", k + 3
+        elif mode == "ruby" and begins(k) and re.match(r"=end([\r\n]|$)", source[k:].split("\n")[0] + "\n"):
+            mode, out, k = "code", out + "    ", k + 4
+        elif mode in ("quote", "pattern", "class") and c == "\\":
+            out, k = out + " " + "".join(map(blank, source[k + 1 : k + 2])), k + 2
+        elif mode == "quote" and c == quote:
+            mode, out, k = "code", out + c, k + 1
+        else:
+            mode = {("pattern", "["): "class", ("class", "]"): "pattern", ("pattern", "/"): "code"}.get((mode, c), mode)
+            out, k = out + blank(c), k + 1
+    return out
+
+
+def test_masks_of_random_sources():
+    rng = random.Random(3)
+    bits = ["/", "//", "/*", "*/", "'", '"', "`", "\\", "\n", "\r\n", " ", "a", "return", "=", "=>", "[", "]", "#", "=begin", "=end", '"""', "'''", "x(", ")", ",", "8"]
+    for _ in range(6_000):
+        source = "".join(rng.choice(bits) for _ in range(rng.randint(0, 25)))
+        for hashed in (False, True):
+            assert evidence.masked(source, hashed) == masked_by_steps(source, hashed), repr(source)
+
+
+def test_static_evidence_of_patterns_brackets_and_runtimes(spark):
+    source = "\n".join(["s = s.replace(/'/g, x)", "const f = (a: Map<string, Map<number, [string, number]>>, b = { c: [1, { d: [2, 3] }] }) => a", 'use(body["name"], res.ok)', "f([[1, [2, {a: [3, 4]}]], 5], 6, 7)", "n = a / b", "late(1)"])
+    files = [("src/a.ts", source), (".nvmrc", "v18\n"), ("Dockerfile", "FROM node:20\n" * 50), ("n.ts", None), ("e.ts", "")]
+    got = {}
+    for r in evidence.static_evidence(spark.createDataFrame(files, "path string, content string")).orderBy("path", "place").collect():
+        got.setdefault(r["path"], []).append((r["line"], r["kind"], r["detail"]))
+    assert got["src/a.ts"] == [
+        (2, "declared-parameters", "f declares 1-2 parameters"), (3, "response-property", "res.ok"), (3, "response-property", 'body["    "]'), (3, "unawaited-call", 'use(body["    "], res.ok)'),
+        (4, "unawaited-call", "f([[1, [2, {a: [3, 4]}]], 5], 6, 7)"), (6, "unawaited-call", "late(1)"), (4, "local-api-arity", "f expects 1-2 arguments but receives 3"),
+    ]
+    assert got[".nvmrc"] == [(1, "runtime-version", "node v18")] and len(got["Dockerfile"]) == 40 and "n.ts" not in got and "e.ts" not in got
+    assert evidence.listed("a, [b, [c, {d: (e, f)}]], g<h, i>, j", False) == ["a", "[b, [c, {d: (e, f)}]]", "g<h", "i>", "j"]
+    assert evidence.listed("a: M<b, N<c, d>>, e = f < g, h", True) == ["a: M<b, N<c, d>>", "e = f < g", "h"] and evidence.listed("a,,b,", True) == ["a", "", "b"] and evidence.listed(" ", True) == []
