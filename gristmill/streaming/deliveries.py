@@ -1,62 +1,52 @@
 """Stateful streams: deliveries accepted once within a time to live, bounded memories of keys, steps of counters.
 
-State goes when it can't matter any more: each key has a timer in event time. Streams must carry a watermark on ``ts``; what comes
-later than it is dropped by Spark before it gets here.
+State goes when it can't matter any more: by a timer in event time, or by a bound on what is held. What comes later than the watermark
+may be dropped. :func:`dedupe_remembered` and :func:`counter_steps` need the state store of RocksDB
+(``spark.sql.streaming.stateStore.providerClass``), as Spark's ``transformWithState`` does.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gristmill.operators.activity import Remembered
 
 ACCEPTED = "key string, at long"
 
 
-class Accepting(StatefulProcessor):
-    """Holds when a key was last accepted, until no later delivery can be a repeat of that."""
-
-    def __init__(self, ttl_seconds: int):
-        self.ttl = ttl_seconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.last = handle, handle.getValueState("last", "at long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last, kept = self.last.get()[0] if self.last.exists() else None, []
-        for at in sorted(x for part in rows for x in part["at"].dropna().astype("int64").tolist()):
-            if last is None or at - last > self.ttl:
+def _accepting(ttl_seconds: int):
+    def fold(key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        (last,) = state.get if state.exists else (None,)
+        kept = []
+        for at in sorted(x for part in parts for x in part["at"].tolist()):
+            if last is None or at - last > ttl_seconds:
                 kept.append(at)
                 last = at
-        if kept:
-            self.last.update((last,))
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer((last + self.ttl + 1) * 1_000)
+        state.update((last,))
+        state.setTimeoutTimestamp(max((last + ttl_seconds + 1) * 1_000, state.getCurrentWatermarkMs() + 1))
         if kept:
             yield pd.DataFrame({"key": [key[0]] * len(kept), "at": kept})
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.last.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
+    return fold
 
 
 def dedupe(deliveries: DataFrame, ttl_seconds: int = 3600, lateness: str = "0 seconds") -> DataFrame:
     """Deliveries (key string, at in whole seconds) that aren't repeats of one accepted in the ``ttl_seconds`` before.
 
-    The time to live runs from the last accepted delivery, and a key's one number of state goes when it has run out. Within a micro-batch
-    deliveries are sorted; over micro-batches those of one key come in order but for ``lateness``.
+    The time to live runs from the last accepted delivery, and a key's one number of state goes when the watermark has passed it. Within a
+    micro-batch deliveries are sorted; over micro-batches those of one key come in order but for ``lateness``. Rows without a time go.
     """
-    timed = deliveries.where("at IS NOT NULL").withColumn("ts", F.timestamp_seconds("at")).withWatermark("ts", lateness)
-    return timed.groupBy("key").transformWithStateInPandas(Accepting(ttl_seconds), ACCEPTED, "append", "EventTime")
+    timed = deliveries.where("at IS NOT NULL").select("key", "at").withColumn("ts", F.timestamp_seconds(F.col("at") + 1)).withWatermark("ts", lateness)  # a watermark begins at 0
+    return timed.groupBy("key").applyInPandasWithState(_accepting(ttl_seconds), ACCEPTED, "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def scheduled_once(triggers: DataFrame, delay_seconds: int = 30) -> DataFrame:
