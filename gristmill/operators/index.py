@@ -19,6 +19,8 @@ from gristmill.operators.search import B, CANDIDATES, K1, LEAST_IDF, LIMIT, PATH
 BLOCK, BUCKETS = 32, 64
 #: Blocks of a query that are scored first, to learn what its k-th score is at least.
 FIRST_BLOCKS = 8
+#: Chunks of an index from which on a search looks at bounds before it reads postings.
+SKIP_CHUNKS = 1_000_000
 #: Up to so many different terms of all queries are handed to the scan as a filter; beyond, they are joined alone.
 PUSHED_TERMS = 1_000
 POSTINGS = f"term string, block bigint, n bigint, max_tf double, min_dl double, held array<struct<chunk_id: bigint, repo_id: string, tf: double, dl: double>>, gen int, bucket int"
@@ -47,7 +49,7 @@ class SearchIndex:
     """The index in ``folder``, which driver and executors must share."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+        self.spark, self.folder, self._known = spark, folder.rstrip("/"), None
 
     def _path(self, part: str):
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{part}")
@@ -108,32 +110,47 @@ class SearchIndex:
             met = F.col("bucket").isin(sorted({r["bucket"] for r in few})) & F.col("term").isin(sorted(r["term"] for r in few))
         else:
             met = F.col("bucket").isin([r["bucket"] for r in wanted.select("bucket").distinct().collect()])
-        rows = self.postings().where(met).join(wanted, ["bucket", "term"], "left_semi")
-        return rows.join(self.blocks().select("block", "gen"), ["block", "gen"])
-
-    def top(self, queries: DataFrame, limit: int = LIMIT * CANDIDATES, *, repos: list[str] | None = None) -> DataFrame:
+        rows = self.postings().where(met)
+        if len(few) > PUSHED_TERMS:
+            rows = rows.join(wanted, ["bucket", "term"], "left_semi")
+        # a lone generation holds no block that was written again
+        return rows if len(self.generations()) == 1 else rows.join(self.blocks().select("block", "gen"), ["block", "gen"])
+
+    def statistics(self) -> tuple[float, float]:
+        """Chunks and their mean length; asked once for each state of the index."""
+        key = tuple(self.generations())
+        if self._known is None or self._known[0] != key:
+            stats = self.blocks().agg(F.sum("n_chunks").alias("n"), (F.sum("sum_dl") / F.sum("n_chunks")).alias("avg")).first()
+            self._known = key, (float(stats["n"] or 0), stats["avg"] or 1.0)
+        return self._known[1]
+
+    def top(self, queries: DataFrame, limit: int = LIMIT * CANDIDATES, *, repos: list[str] | None = None, skip: bool | None = None) -> DataFrame:
         """query_id, chunk_id, repo_id, score, rank: the best ``limit`` chunks of each of ``queries`` (query_id, query) by BM25.
 
         Frequencies and lengths cover all repositories; ``repos`` restricts what is found. Equal scores (to nine places) go by id. Exact:
-        a block is passed over only if the sum of its terms' bounds is below a score that ``limit`` chunks of the query reach.
+        a block is passed over only if the sum of its terms' bounds is below a score that ``limit`` chunks of the query reach. To learn that score takes a pass of its
+        own, which pays on large indexes alone: ``skip`` says whether to, by default from :data:`SKIP_CHUNKS` chunks on. The rows are the same either way.
         """
-        stats = self.blocks().agg(F.sum("n_chunks").alias("n"), (F.sum("sum_dl") / F.sum("n_chunks")).alias("avg")).first()
-        n, avg = F.lit(float(stats["n"] or 0)), F.lit(stats["avg"] or 1.0)
+        n_chunks, mean = self.statistics()
+        n, avg = F.lit(n_chunks), F.lit(mean)
         part = lambda tf, dl: F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avg))
         terms = query_terms(queries)
         rows = self.rows_for(terms)
         df = rows.groupBy("term").agg(F.sum("n").cast("double").alias("df"))
         known = terms.join(df, "term").withColumn("idf", F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))).select("query_id", "term", "idf")
-        bounds = rows.select("term", "block", "max_tf", "min_dl").join(known, "term").groupBy("query_id", "block").agg(F.sum(part(F.col("max_tf"), F.col("min_dl"))).alias("bound"))
-        bounds = bounds.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")))
-
-        def scores(blocks: DataFrame) -> DataFrame:
-            met = rows.select("term", "block", "held").join(known, "term").join(blocks.select("query_id", "block"), ["query_id", "block"])
-            one = met.select("query_id", "idf", F.explode("held").alias("p")).select("query_id", "p.chunk_id", "p.repo_id", part(F.col("p.tf"), F.col("p.dl")).alias("part"))
+        def scores(blocks: DataFrame | None) -> DataFrame:
+            met = rows.select("term", "block", "held").join(known, "term").select("query_id", "block", "idf", "held")
+            met = met if blocks is None else met.join(blocks.select("query_id", "block"), ["query_id", "block"])
+            # whole blocks are dealt out, so that the sums of their chunks need no further exchange
+            one = met.repartition("query_id", "block").select("query_id", "block", "idf", F.explode("held").alias("p")).select("query_id", "block", "p.chunk_id", "p.repo_id", part(F.col("p.tf"), F.col("p.dl")).alias("part"))
             one = one.where(F.col("repo_id").isin(repos)) if repos is not None else one
-            return one.groupBy("query_id", "chunk_id", "repo_id").agg(F.sum("part").alias("score"))
+            return one.groupBy("query_id", "block", "chunk_id", "repo_id").agg(F.sum("part").alias("score")).drop("block")
 
         order = [F.round("score", 9).desc(), F.col("chunk_id")]
+        if not (n_chunks > SKIP_CHUNKS if skip is None else skip):
+            return ranked(scores(None), order, limit)
+        bounds = rows.select("term", "block", "max_tf", "min_dl").join(known, "term").groupBy("query_id", "block").agg(F.sum(part(F.col("max_tf"), F.col("min_dl"))).alias("bound"))
+        bounds = bounds.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")))
         reached = ranked(scores(bounds.where(F.col("place") <= FIRST_BLOCKS)), order, limit).where(F.col("rank") == limit).select("query_id", F.col("score").alias("reached"))
         # a little below, as sums in another order may differ in their last digits
         open_ = bounds.join(reached, "query_id", "left").where(F.coalesce(F.col("bound") >= F.col("reached") * (1 - 1e-9) - 1e-8, F.lit(True)))

@@ -213,3 +213,39 @@ def test_static_evidence_of_patterns_brackets_and_runtimes(spark):
     assert got[".nvmrc"] == [(1, "runtime-version", "node v18")] and len(got["Dockerfile"]) == 40 and "n.ts" not in got and "e.ts" not in got
     assert evidence.listed("a, [b, [c, {d: (e, f)}]], g<h, i>, j", False) == ["a", "[b, [c, {d: (e, f)}]]", "g<h", "i>", "j"]
     assert evidence.listed("a: M<b, N<c, d>>, e = f < g, h", True) == ["a: M<b, N<c, d>>", "e = f < g", "h"] and evidence.listed("a,,b,", True) == ["a", "", "b"] and evidence.listed(" ", True) == []
+
+
+def code_like_by_patterns(term, changed):
+    t = re.escape(term)
+    marks = r"(?=\s*[.$({\[=,:;)]|\Z)"
+    return bool(re.search("[A-Z_$]", term) or re.search(rf"\.{t}\b", changed, re.A) or re.search(rf"[.$({{\[]\s*{t}{marks}", changed, re.A) or re.search(rf"\b{t}{marks}", changed, re.A) or re.search(rf"`[^`]*\b{t}\b`", changed, re.A))
+
+
+def test_names_used_as_code(spark):
+    rng = random.Random(8)
+    bits = ["foo", "bar", "Foo", "x1", "a_b", ".", " ", "`", "(", ")", "=", "\n", "$", "9", ",", "é", "?"]
+    rows = [("".join(rng.choice(bits) for _ in range(rng.randint(0, 14))),) for _ in range(1_500)]
+    terms = ["foo", "bar", "Foo", "x1", "a_b", "foobar"]
+    given = spark.createDataFrame(rows, "changed string")
+    got = given.select("changed", *[context.code_like(F.lit(t), context.used_as_code(F.col("changed"))).alias(t) for t in terms]).collect()
+    for r in got:
+        for t in terms:
+            assert r[t] == code_like_by_patterns(t, r["changed"]), (t, r["changed"])
+
+
+def test_whole_words_without_patterns_made_of_columns(spark):
+    rng = random.Random(9)
+    bits = ["foo", "Bar", "a.b", "-", " ", "\n", "$", "_", "9", "é", "."]
+    terms = ["foo", "bar", "a.b", "foo-bar", "$", "é", "x"]
+    chunks = [(1, k, k, f"p{k}/{rng.choice(bits)}.ts", "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))) for k in range(400)]
+    wanted = spark.createDataFrame([(1, terms, "src/bar.ts")], "query_id int, terms array<string>, changed_path string")
+    found = context.relevant_chunks(spark.createDataFrame(chunks, "query_id int, ordinal int, chunk_id int, path string, content string"), wanted, limit=1_000)
+    known = [t for t in dict.fromkeys(terms) if len(t) >= 2 and t not in context.CONTEXT_KEYWORDS]
+    says = lambda hay, t: bool(re.search(rf"(?:^|[^a-z0-9_$]){re.escape(t)}(?:\Z|[^a-z0-9_$])", hay.lower()))
+    want = {}
+    for _, _, c, path, content in chunks:
+        score = sum((2.0 if i < 3 else 1.0) for i, t in enumerate(known) if says(f"{path}\n{content}", t)) + (0.25 if says(path, "bar") else 0)
+        if score > 0:
+            want[c] = score
+    got = {r["chunk_id"]: r["score"] for r in found.collect()}
+    assert [(chunks[c][3:], got.get(c), want.get(c)) for c in range(400) if got.get(c) != want.get(c)] == []

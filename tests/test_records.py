@@ -144,11 +144,11 @@ def test_index_over_generations(spark, tmp_path):
     top = lambda ix, **more: {(r["query_id"], r["rank"]): (r["chunk_id"], round(r["score"], 9)) for r in ix.top(queries, 20, **more).collect()}
     brute = lambda rows: {(r["query_id"], r["rank"]): (r["chunk_id"], round(r["score"], 9)) for r in search.lexical_top(spark.createDataFrame([(a, b, c, d or "") for a, b, c, d in rows], CHUNK), queries, 20).collect()}
     ix = index.SearchIndex(spark, f"file://{tmp_path}/ix").build(spark.createDataFrame(rows, CHUNK))
-    assert top(ix) == brute(rows)
+    assert top(ix) == top(ix, skip=True) == brute(rows)
     new = [(a, b, c, "alpha alpha zeta" if a % 50 == 7 else d) for a, b, c, d in rows if not 64 <= a < 96] + [(1_000, "r1", "src/new.ts", "gamma gamma")]
     changed = spark.createDataFrame([(a,) for a in [*range(64, 96), *range(7, 300, 50), 1_000]], "chunk_id long")
     ix.update(spark.createDataFrame(new, CHUNK), changed)
-    assert ix.generations() == [0, 1] and top(ix) == brute(new)
+    assert ix.generations() == [0, 1] and top(ix) == top(ix, skip=True) == brute(new)
     # a generation that wasn't finished is not read
     ix.postings().drop("gen").limit(5).write.partitionBy("bucket").parquet(f"file://{tmp_path}/ix/postings/gen=7")
     assert top(ix) == brute(new)
