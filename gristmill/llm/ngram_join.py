@@ -37,7 +37,8 @@ CHUNK_DOCS, COMMON_SHARE = 8_000, 0.00025
 #: Orders other than the global one whose minima name leaders.
 MINIMA = 4
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Words of more bytes than that are hashed one by one.
+LONG_WORD = 1_024
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -47,14 +48,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the odd base and of its inverse, modulo 2**64; kept for the longest text so far."""
-    if len(_POWERS[0]) < n:
-        inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
-        with np.errstate(over="ignore"):
-            for k, base in enumerate((_ODD, inverse)):
-                _POWERS[k] = np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(n, 1 << 16), base, np.uint64))])
-    return _POWERS[0], _POWERS[1]
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of ``words``: eight bytes at a time through the finaliser, all words at once; very long ones by BLAKE2."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    joined = b"".join(words) + bytes(8)
+    eights = np.ndarray(len(joined) - 7, "<u8", joined, strides=(1,))
+    hashes = _mix(sizes.astype(np.uint64) * _ODD)
+    for at in range(0, min(int(sizes.max(initial=0)), LONG_WORD), 8):
+        left = np.flatnonzero(sizes > at)
+        keep = np.minimum(sizes[left] - at, 8).astype(np.uint64)
+        some = eights[starts[left] + at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> ((np.uint64(8) - keep) * np.uint64(8)))
+        hashes[left] = _mix((hashes[left] ^ some) * _ODD + np.uint64(at + 1))
+    for k in np.flatnonzero(sizes > LONG_WORD):
+        hashes[k] = int.from_bytes(hashlib.blake2b(words[k], digest_size=8).digest(), "little")
+    return hashes
 
 
 def ngram_keys(text: str | None, n: int) -> np.ndarray:
@@ -73,16 +82,13 @@ def ngram_keys(text: str | None, n: int) -> np.ndarray:
 
 
 def _keys(words: list[bytes], n: int) -> np.ndarray:
-    joined = np.frombuffer(b" ".join(words), np.uint8)
-    up, down = _powers(len(joined) + 1)
     with np.errstate(over="ignore"):
-        sums = np.concatenate([[np.uint64(0)], np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * up[: len(joined)])])
-        gaps = np.flatnonzero(joined == 32)
-        starts, ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(joined)]])
-        n = min(n, len(starts))
-        first, last = starts[: len(starts) - n + 1], ends[n - 1 :]
-        keys = _mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64)) >> np.uint64(2)
-    return np.unique(keys.astype(np.int64))
+        hashes, n = _word_hashes(words), min(n, len(words))
+        many = len(words) - n + 1
+        keys = _mix(hashes[:many] + np.uint64(n))
+        for k in range(1, n):
+            keys = _mix(keys * _ODD ^ hashes[k : k + many])
+    return np.unique((keys >> np.uint64(2)).astype(np.int64))
 
 
 class Order:
@@ -268,7 +274,8 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 80) -> Dat
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row of ``docs`` (doc_id long, text).
 
     Documents link when 100 * intersection >= ``percent`` * union of their n-gram sets; ``component_id`` is the smallest
-    doc_id that links reach, the own one included. Exact but for collisions of 62-bit hashes. Null texts and texts without
+    doc_id that links reach, the own one included. n-grams are compared by 62-bit hashes of their words, in which no
+    text is known to collide. Null texts and texts without
     words have no n-gram and link with nothing. Rows of one doc_id count as one document, so they share a component; a row without
     id has its count and no component. Other columns aren't read. An empty table gives an empty result.
     """

@@ -347,3 +347,45 @@ def test_oracle(spark, sf_dir, name):
     rows = lambda table: sorted((tuple(r[n] for n in sorted(table.column_names)) for r in table.to_pylist()), key=repr)
     ours, theirs = queries.QUERIES[name](spark, sf_dir).toArrow(), con.execute(queries.ORACLE[name]).to_arrow_table()
     assert sorted(ours.column_names) == sorted(theirs.column_names) and rows(ours) == rows(theirs)
+
+
+def test_ngram_keys_of_texts_that_collide_in_polynomials(spark):
+    """Thue-Morse words and their complements have one polynomial modulo 2**64, whatever the odd base."""
+    for size in (10, 11, 12):
+        bits = [bin(k).count("1") % 2 for k in range(1 << size)]
+        one, other = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+        got = ngram_join.jaccard_components(frame(spark, [(1, one), (2, other), (3, one)]), n=3, percent=90).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 2, 3: 1}
+
+
+def test_ngram_keys_tell_words_apart():
+    words = sorted({b"a" * k for k in range(1, 40)} | {b"a" * k + b"\0" * j for k in range(9) for j in range(9)} | {bytes([k]) for k in range(256)} | {b"x" * k for k in (1_023, 1_024, 1_025, 5_000)} | {str(k).encode() for k in range(20_000)})
+    assert len(set(ngram_join._word_hashes(words).tolist())) == len(words)
+    assert (ngram_join._word_hashes(words) == np.array([ngram_join._word_hashes([w])[0] for w in words])).all()
+    assert len({ngram_join.ngram_keys(t, 3).tobytes() for t in ("a b c", "b a c", "a bc", "ab c", "abc", "c b a", "a b", "a a a", "a a")}) == 9
+    assert ngram_join.ngram_keys("A  b\tC", 3).tolist() == ngram_join.ngram_keys("a b c", 3).tolist()
+
+
+@pytest.mark.parametrize("n", [2, 4, 10, 20, 50, 100, 400, 700, 1_500])
+@pytest.mark.parametrize("cosine", [0.935, 0.999])
+def test_recall_of_planted_pairs_at_every_size(n, cosine):
+    rng = np.random.default_rng(n)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    one = unit(rng.normal(size=(n // 2, 64)))
+    away = rng.normal(size=one.shape)
+    away = unit(away - (away * one).sum(1)[:, None] * one)
+    both = np.concatenate([one, cosine * one + math.sqrt(1 - cosine**2) * away])
+    index = embedding_dedup.MultiIndex(both[: embedding_dedup.SAMPLE], 0.93, embedding_dedup.codewords_for(n))
+    homes, (d1, d2) = index.cells(both), index.spread(both)
+    visits = [set(embedding_dedup.traverse(a, b, index.visits)) | {tuple(h)} for a, b, h in zip(d1, d2, homes.tolist())]
+    half = n // 2
+    met = np.mean([tuple(homes[k + half]) in visits[k] or tuple(homes[k]) in visits[k + half] for k in range(half)])
+    assert met == 1 if n <= embedding_dedup.BLOCK else met >= 0.95
+
+
+def test_few_vectors_and_a_rare_dimension_link(spark):
+    rng = np.random.default_rng(3)
+    rows = [(1, [1.0, 0.0, 0.001], 1), (2, [1.0, 0.0, 0.0], 1), (3, [0.0, 1.0], 1), (4, [0.01, 1.0], 1)] + [(10 + k, v.tolist(), 1) for k, v in enumerate(rng.normal(size=(900, 16)))]
+    for table in (rows[:2], rows[:4], rows):
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(spark.createDataFrame(table, "vec_id long, embedding array<double>, label int")).collect()}
+        assert got[1] == (1, 1) and got[2] == (1, 1) and (len(table) < 4 or got[3] == got[4] == (1, 3))
