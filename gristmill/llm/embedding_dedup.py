@@ -26,8 +26,8 @@ from gristmill.llm.components import components
 
 #: Vectors that the codebooks are fitted on, at most about so many; and for each codeword, if there are more of those.
 SAMPLE, SAMPLE_EACH = 4_096, 32
-#: Codewords of a half: so that about PER_CELL vectors live in a cell, within these bounds.
-LEAST_CODEWORDS, MOST_CODEWORDS, PER_CELL = 16, 256, 64
+#: Codewords of a half, at most: as many as let about PER_CELL vectors live in a cell.
+MOST_CODEWORDS, PER_CELL = 256, 64
 TARGET_RECALL = 0.98
 #: Vectors that live in one block of cells, about.
 BLOCK = 512
@@ -75,11 +75,17 @@ def traverse(first: np.ndarray, second: np.ndarray, count: int) -> list[tuple[in
 class MultiIndex:
     """Two codebooks and the number of cells to visit."""
 
-    def __init__(self, sample: np.ndarray, threshold: float, codewords: int = LEAST_CODEWORDS, target: float = TARGET_RECALL, seed: int = 7):
+    def __init__(self, sample: np.ndarray, threshold: float, codewords: int = 16, target: float = TARGET_RECALL, seed: int = 7):
         self.half = sample.shape[1] // 2
-        self.codes = [kmeans(sample[:, : self.half], codewords, seed=seed), kmeans(sample[:, self.half :], codewords, seed=seed + 1)]
+        # what is visited is measured on vectors that the codewords weren't fitted on
         rng = np.random.default_rng(seed)
-        probes = sample[rng.choice(len(sample), min(len(sample), 1_024), replace=False)]
+        order = rng.permutation(len(sample))
+        apart = min(1_024, len(sample) // 2) if codewords > 1 else 0
+        probes, fitted = sample[order[:apart]], sample[order[apart:]]
+        self.codes = [kmeans(fitted[:, : self.half], codewords, seed=seed), kmeans(fitted[:, self.half :], codewords, seed=seed + 1)]
+        if not apart:
+            self.visits = len(self.codes[0]) * len(self.codes[1])
+            return
         noise = rng.normal(size=probes.shape)
         noise -= (noise * probes).sum(1)[:, None] * probes
         noise /= np.maximum(np.linalg.norm(noise, axis=1)[:, None], 1e-300)
@@ -107,8 +113,8 @@ def _unit(vectors: list, even: int) -> np.ndarray:
 
 
 def codewords_for(n: int) -> int:
-    """Codewords of a half for ``n`` vectors."""
-    return min(MOST_CODEWORDS, max(LEAST_CODEWORDS, round((n / PER_CELL) ** 0.5)))
+    """Codewords of a half for ``n`` vectors: one, and so a single cell in which all are compared, while they fit in a block."""
+    return 1 if n <= BLOCK else min(MOST_CODEWORDS, round((n / PER_CELL) ** 0.5))
 
 
 def _index(classes: DataFrame, index: MultiIndex, even: int) -> DataFrame:
