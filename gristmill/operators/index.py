@@ -49,7 +49,7 @@ class SearchIndex:
     """The index in ``folder``, which driver and executors must share."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self._known = spark, folder.rstrip("/"), None
+        self.spark, self.folder, self._stats = spark, folder.rstrip("/"), None
 
     def _path(self, part: str):
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{part}")
@@ -119,10 +119,28 @@ class SearchIndex:
     def statistics(self) -> tuple[float, float]:
         """Chunks and their mean length; asked once for each state of the index."""
         key = tuple(self.generations())
-        if self._known is None or self._known[0] != key:
+        if self._stats is None or self._stats[0] != key:
             stats = self.blocks().agg(F.sum("n_chunks").alias("n"), (F.sum("sum_dl") / F.sum("n_chunks")).alias("avg")).first()
-            self._known = key, (float(stats["n"] or 0), stats["avg"] or 1.0)
-        return self._known[1]
+            self._stats = key, (float(stats["n"] or 0), stats["avg"] or 1.0)
+        return self._stats[1]
+
+    def _known(self, terms: DataFrame, rows: DataFrame) -> DataFrame:
+        """query_id, term, idf of the ``terms`` that the index holds."""
+        n = F.lit(self.statistics()[0])
+        df = rows.groupBy("term").agg(F.sum("n").cast("double").alias("df"))
+        return terms.join(df, "term").withColumn("idf", F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))).select("query_id", "term", "idf")
+
+    def _part(self, tf: Column, dl: Column) -> Column:
+        return F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(self.statistics()[1])))
+
+    def parts(self, queries: DataFrame, hits: DataFrame) -> DataFrame:
+        """query_id, chunk_id, term, tf, dl, idf, part: what each term of ``queries`` adds to the score of ``hits`` (query_id, chunk_id)."""
+        terms = query_terms(queries)
+        rows = self.rows_for(terms)
+        wanted = hits.select("query_id", "chunk_id", block_of(F.col("chunk_id")).alias("block")).join(self._known(terms, rows), "query_id")
+        met = rows.select("term", "block", "held").join(wanted, ["term", "block"])
+        one = met.withColumn("p", F.explode(F.filter("held", lambda p: p["chunk_id"] == F.col("chunk_id"))))
+        return one.select("query_id", "chunk_id", "term", F.col("p.tf").alias("tf"), F.col("p.dl").alias("dl"), "idf", self._part(F.col("p.tf"), F.col("p.dl")).alias("part"))
 
     def top(self, queries: DataFrame, limit: int = LIMIT * CANDIDATES, *, repos: list[str] | None = None, skip: bool | None = None) -> DataFrame:
         """query_id, chunk_id, repo_id, score, rank: the best ``limit`` chunks of each of ``queries`` (query_id, query) by BM25.
@@ -131,13 +149,10 @@ class SearchIndex:
         a block is passed over only if the sum of its terms' bounds is below a score that ``limit`` chunks of the query reach. To learn that score takes a pass of its
         own, which pays on large indexes alone: ``skip`` says whether to, by default from :data:`SKIP_CHUNKS` chunks on. The rows are the same either way.
         """
-        n_chunks, mean = self.statistics()
-        n, avg = F.lit(n_chunks), F.lit(mean)
-        part = lambda tf, dl: F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avg))
-        terms = query_terms(queries)
+        part, terms = self._part, query_terms(queries)
         rows = self.rows_for(terms)
-        df = rows.groupBy("term").agg(F.sum("n").cast("double").alias("df"))
-        known = terms.join(df, "term").withColumn("idf", F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))).select("query_id", "term", "idf")
+        known = self._known(terms, rows)
+
         def scores(blocks: DataFrame | None) -> DataFrame:
             met = rows.select("term", "block", "held").join(known, "term").select("query_id", "block", "idf", "held")
             met = met if blocks is None else met.join(blocks.select("query_id", "block"), ["query_id", "block"])
@@ -147,7 +162,7 @@ class SearchIndex:
             return one.groupBy("query_id", "block", "chunk_id", "repo_id").agg(F.sum("part").alias("score")).drop("block")
 
         order = [F.round("score", 9).desc(), F.col("chunk_id")]
-        if not (n_chunks > SKIP_CHUNKS if skip is None else skip):
+        if not (self.statistics()[0] > SKIP_CHUNKS if skip is None else skip):
             return ranked(scores(None), order, limit)
         bounds = rows.select("term", "block", "max_tf", "min_dl").join(known, "term").groupBy("query_id", "block").agg(F.sum(part(F.col("max_tf"), F.col("min_dl"))).alias("bound"))
         bounds = bounds.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")))

@@ -110,14 +110,15 @@ def fused(lexical: DataFrame, semantic: DataFrame, k: int = RRF_K) -> DataFrame:
     return both.withColumn("rrf", share("lexical_rank") + share("semantic_rank"))
 
 
-def search(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, probes: DataFrame, *, excluded: list[str] = (), limit: int = LIMIT) -> DataFrame:
+def search(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, probes: DataFrame, *, excluded: list[str] = (), limit: int = LIMIT, lexical: DataFrame | None = None, semantic: DataFrame | None = None) -> DataFrame:
     """Hybrid search: both rankings cut to ``limit`` * 3, fused, weighed by path, then exclusions, then ``limit``.
 
     Exclusions come after the candidate pools are cut, so a query may end with fewer than ``limit`` results. Vectors
-    without a chunk are dropped after their pool is cut, too.
+    without a chunk are dropped after their pool is cut, too. ``lexical`` and ``semantic``: rankings that stored
+    indexes give already.
     """
     pool = limit * CANDIDATES
-    hits = fused(lexical_top(chunks, queries, pool), nearest(vectors, probes, pool))
+    hits = fused(lexical_top(chunks, queries, pool) if lexical is None else lexical, nearest(vectors, probes, pool) if semantic is None else semantic)
     named = hits.join(chunks.select("chunk_id", "path"), "chunk_id").join(queries.select("query_id", text.query_tokens(F.col("query")).alias("tokens")), "query_id")
     weighed = named.withColumn("score", F.col("rrf") * paths.path_weight(F.col("path"), F.col("tokens"))).drop("tokens")
     kept = weighed.where(~F.col("path").isin(list(excluded))) if excluded else weighed

@@ -2,12 +2,35 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it; one of our own only for a local master that names none."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="gristmill-")
+        context.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def source_mark(spark: SparkSession, path: str) -> str:
+    """A name for a table as it is now: a hash of its path and of its files' names, sizes and times."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files, seen = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True), []
+    while files.hasNext():
+        f = files.next()
+        seen.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join([path, *sorted(seen)]).encode()).hexdigest()[:32]
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` by a reliable checkpoint: computed once, and safe when executors are lost.
 

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import paths, text
 from gristmill.operators import search
+from gristmill.operators.index import SearchIndex
+from gristmill.operators.vectors import VectorIndex
+from gristmill.operators.steps import shared_folder, source_mark
 from gristmill.plans.registry import query
 from gristmill.sources.tables import CHUNKS, FILES, SEARCHES, VECTORS, over, table
 
@@ -146,6 +149,25 @@ WEIGHED = (
 )
 
 
+def index_of(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    """The index of the chunks of ``sf_dir`` in the shared folder: built by the first search that asks for it, as long as the table stays as it is."""
+    index = SearchIndex(spark, f"{shared_folder(spark)}/gristmill-index/{source_mark(spark, f'{sf_dir}/documents.parquet')}")
+    return index if index.generations() else index.build(CHUNKS.frame(spark, sf_dir))
+
+
+def lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index_of(spark, sf_dir).top(SEARCHES.frame(spark, sf_dir))
+
+
+def vectors_of(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    index = VectorIndex(spark, f"{shared_folder(spark)}/gristmill-index/{source_mark(spark, f'{sf_dir}/embeddings.parquet')}", 64)
+    return index if index.exists() else index.build(VECTORS.frame(spark, sf_dir))
+
+
+def semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors_of(spark, sf_dir).nearest(probes(spark, sf_dir))
+
+
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vector of a query is the one with its id; it is searched in that vector's repository."""
     return SEARCHES.frame(spark, sf_dir).join(VECTORS.frame(spark, sf_dir), F.col("query_id") == F.col("chunk_id")).select("query_id", "repo_id", F.col("embedding").alias("probe"))
@@ -165,10 +187,16 @@ def corpus_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("o140_bm25_top", over("v_chunks v_queries", f"WITH {BM25} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM lex"))
-@query("o184_bm25", over("v_chunks v_queries", f"WITH {BM25} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM lex"))
 def bm25_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = search.lexical_top(CHUNKS.frame(spark, sf_dir), SEARCHES.frame(spark, sf_dir))
-    return top.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+    return lexical(spark, sf_dir).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query("o184_bm25", over("v_chunks v_queries", f"WITH {BM25} SELECT f.query_id, lex.chunk_id, tf.term, tf.tf, dl.dl, round(greatest(ln((st.n - df.df + 0.5::double) / (df.df + 0.5::double)), 1e-6::double), 9) AS idf, round(greatest(ln((st.n - df.df + 0.5::double) / (df.df + 0.5::double)), 1e-6::double) * tf.tf * 2.2::double / (tf.tf + 1.2::double * (0.25::double + 0.75::double * dl.dl / st.avg_dl)), 6) AS part FROM lex JOIN first f ON f.query_id = lex.query_id JOIN tf ON tf.term = f.t AND tf.chunk_id = lex.chunk_id JOIN df ON df.term = tf.term JOIN dl ON dl.chunk_id = tf.chunk_id, st"))
+def bm25_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each term adds to the score of the chunks that were found."""
+    index, queries = index_of(spark, sf_dir), SEARCHES.frame(spark, sf_dir)
+    parts = index.parts(queries, lexical(spark, sf_dir).select("query_id", "chunk_id"))
+    return parts.select("query_id", "chunk_id", "term", "tf", "dl", F.round("idf", 9).alias("idf"), F.round("part", 6).alias("part"))
 
 
 @query("o052_valid_vectors", over("v_vec", "SELECT chunk_id, coalesce(len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0, false) AS valid FROM v_vec"))
@@ -177,15 +205,23 @@ def valid_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("o141_nearest", over("v_queries v_vec", f"WITH {KNN} SELECT query_id, chunk_id, rank, round(1 / (1 + d), 6) AS score FROM sem"))
-@query("o185_vector_similarity", over("v_queries v_vec", f"WITH {KNN} SELECT query_id, chunk_id, rank, round(1 / (1 + d), 6) AS score FROM sem"))
 def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = search.nearest(VECTORS.frame(spark, sf_dir), probes(spark, sf_dir))
+    near = semantic(spark, sf_dir)
     return near.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
+@query("o185_vector_similarity", over("v_vec", "WITH f AS (SELECT repo_id, embedding AS head FROM v_vec QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY chunk_id) = 1) SELECT chunk_id, round(list_distance(cast(v.embedding AS double[]), cast(f.head AS double[])), 6) AS distance, round(1 / (1 + list_distance(cast(v.embedding AS double[]), cast(f.head AS double[]))), 6) AS score FROM v_vec v JOIN f ON f.repo_id = v.repo_id"))
+def vector_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector against the first one of its repository."""
+    vectors = VECTORS.frame(spark, sf_dir)
+    heads = vectors.groupBy("repo_id").agg(F.min_by("embedding", "chunk_id").alias("head"))
+    met = vectors.join(heads, "repo_id").select("chunk_id", search.l2(F.col("embedding"), F.col("head")).alias("d"))
+    return met.select("chunk_id", F.round("d", 6).alias("distance"), F.round(1 / (1 + F.col("d")), 6).alias("score"))
+
+
 @query("o061_nearest_chunks", over("v_queries v_vec v_chunks", f"WITH {KNN} SELECT s.query_id, s.chunk_id, c.path, s.rank FROM sem s JOIN v_chunks c ON c.chunk_id = s.chunk_id"))
 def nearest_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = search.nearest(VECTORS.frame(spark, sf_dir), probes(spark, sf_dir))
+    near = semantic(spark, sf_dir)
     return near.drop("repo_id").join(CHUNKS.frame(spark, sf_dir).select("chunk_id", "path"), "chunk_id").select("query_id", "chunk_id", "path", "rank")
 
 
@@ -201,15 +237,20 @@ def scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("o064_lexical_semantic", over("v_chunks v_queries v_vec", f"WITH {BM25}, {KNN}, {FUSED} SELECT query_id, chunk_id, lexical_rank, semantic_rank FROM fus"))
 def lexical_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lexical, semantic = search.lexical_top(CHUNKS.frame(spark, sf_dir), SEARCHES.frame(spark, sf_dir)), search.nearest(VECTORS.frame(spark, sf_dir), probes(spark, sf_dir))
-    return search.fused(lexical, semantic).select("query_id", "chunk_id", "lexical_rank", "semantic_rank")
+    return search.fused(lexical(spark, sf_dir), semantic(spark, sf_dir)).select("query_id", "chunk_id", "lexical_rank", "semantic_rank")
 
 
 @query("o100_rank_fusion", over("v_chunks v_queries v_vec", f"WITH {BM25}, {KNN}, {FUSED} SELECT query_id, chunk_id, round(rrf, 9) AS rrf FROM fus"))
-@query("o122_fusion_ranks", over("v_chunks v_queries v_vec", f"WITH {BM25}, {KNN}, {FUSED} SELECT query_id, chunk_id, round(rrf, 9) AS rrf FROM fus"))
 def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lexical, semantic = search.lexical_top(CHUNKS.frame(spark, sf_dir), SEARCHES.frame(spark, sf_dir)), search.nearest(VECTORS.frame(spark, sf_dir), probes(spark, sf_dir))
-    return search.fused(lexical, semantic).select("query_id", "chunk_id", F.round("rrf", 9).alias("rrf"))
+    return search.fused(lexical(spark, sf_dir), semantic(spark, sf_dir)).select("query_id", "chunk_id", F.round("rrf", 9).alias("rrf"))
+
+
+@query("o122_fusion_ranks", over("v_chunks v_queries v_vec", f"WITH {BM25}, {KNN}, {FUSED} SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 9) DESC, chunk_id) AS rank, lexical_rank IS NOT NULL AS by_words, semantic_rank IS NOT NULL AS by_vector FROM fus"))
+def fusion_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places in the fused order, from 1, and which rankings a hit comes from."""
+    hits = search.fused(lexical(spark, sf_dir), semantic(spark, sf_dir))
+    placed = search.ranked(hits, [F.round("rrf", 9).desc(), F.col("chunk_id")], 2 * search.LIMIT * search.CANDIDATES)
+    return placed.select("query_id", "chunk_id", "rank", F.col("lexical_rank").isNotNull().alias("by_words"), F.col("semantic_rank").isNotNull().alias("by_vector"))
 
 
 ORDER = "row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, lexical_rank ASC NULLS LAST, semantic_rank ASC NULLS LAST, chunk_id)"
@@ -217,13 +258,13 @@ ORDER = "row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC,
 
 @query("o142_hybrid_search", over("v_chunks v_queries v_vec", f"WITH {BM25}, {KNN}, {FUSED}, {WEIGHED} SELECT query_id, chunk_id, path, rank, round(score, 9) AS score FROM (SELECT *, {ORDER} AS rank FROM wei) WHERE rank <= 12"))
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.search(CHUNKS.frame(spark, sf_dir), VECTORS.frame(spark, sf_dir), SEARCHES.frame(spark, sf_dir), probes(spark, sf_dir))
+    found = search.search(CHUNKS.frame(spark, sf_dir), VECTORS.frame(spark, sf_dir), SEARCHES.frame(spark, sf_dir), probes(spark, sf_dir), lexical=lexical(spark, sf_dir), semantic=semantic(spark, sf_dir))
     return found.select("query_id", "chunk_id", "path", "rank", F.round("score", 9).alias("score"))
 
 
 @query("o048_search_excluding", over("v_chunks v_queries v_vec", f"WITH {BM25}, {KNN}, {FUSED}, {WEIGHED} SELECT query_id, chunk_id, path, rank FROM (SELECT *, {ORDER} AS rank FROM wei WHERE path NOT IN ('src/file0.ts', 'lib/file7.md')) WHERE rank <= 12"))
 def excluding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.search(CHUNKS.frame(spark, sf_dir), VECTORS.frame(spark, sf_dir), SEARCHES.frame(spark, sf_dir), probes(spark, sf_dir), excluded=["src/file0.ts", "lib/file7.md"])
+    found = search.search(CHUNKS.frame(spark, sf_dir), VECTORS.frame(spark, sf_dir), SEARCHES.frame(spark, sf_dir), probes(spark, sf_dir), excluded=["src/file0.ts", "lib/file7.md"], lexical=lexical(spark, sf_dir), semantic=semantic(spark, sf_dir))
     return found.select("query_id", "chunk_id", "path", "rank")
 
 
@@ -256,6 +297,6 @@ def first_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("o047_path_weight", over("v_chunks v_queries v_vec", f"WITH {BM25}, {KNN}, {FUSED}, hit AS (SELECT f.query_id, f.chunk_id, count(*) FILTER (WHERE length(t) >= 3 AND contains(lower(c.path), t)) AS n FROM fus f JOIN v_chunks c ON c.chunk_id = f.chunk_id LEFT JOIN first ON first.query_id = f.query_id GROUP BY 1, 2) SELECT h.query_id, h.chunk_id, round(cast({PRIOR} AS double) * (1 + 0.25::double * least(n, 3)), 6) AS weight FROM hit h JOIN v_chunks c ON c.chunk_id = h.chunk_id"))
 def path_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, queries = CHUNKS.frame(spark, sf_dir), SEARCHES.frame(spark, sf_dir)
-    hits = search.fused(search.lexical_top(chunks, queries), search.nearest(VECTORS.frame(spark, sf_dir), probes(spark, sf_dir)))
+    hits = search.fused(lexical(spark, sf_dir), semantic(spark, sf_dir))
     named = hits.join(chunks.select("chunk_id", "path"), "chunk_id").join(queries.select("query_id", text.query_tokens(F.col("query")).alias("tokens")), "query_id")
     return named.select("query_id", "chunk_id", F.round(paths.path_weight(F.col("path"), F.col("tokens")), 6).alias("weight"))

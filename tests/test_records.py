@@ -3,10 +3,11 @@
 import datetime
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gristmill.operators import activity, counters, imports, index, records, search
+from gristmill.operators import activity, counters, imports, index, records, search, vectors
 from gristmill.streaming import deliveries, polls
 
 GOOD = {"version": 1, "phase": "final", "completedUnits": [], "activeProviderIndex": 0, "retryAttemptsUsed": 2, "followupRetryAttemptsUsed": 0, "followupReserve": 0.1, "usedUsd": 1, "reservedUsd": 0, "warnings": ["w"]}
@@ -167,3 +168,23 @@ def test_index_reads_the_buckets_of_its_terms(spark, tmp_path):
     assert found.count() == 5
     empty = index.SearchIndex(spark, f"file://{tmp_path}/none").build(rows.limit(0))
     assert empty.top(spark.createDataFrame([(1, "w13")], "query_id long, query string")).count() == 0
+
+
+def test_vector_index_is_exact_and_leaves_out_far_cells(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    centres = 20 * rng.normal(size=(12, 8))
+    points = centres[rng.integers(0, 12, 4_000)] + rng.normal(size=(4_000, 8))
+    points[100:400] = points[100]  # a large group of copies
+    rows = [(k, "hot" if k % 3 else f"r{k % 5}", p.tolist()) for k, p in enumerate(points)]
+    odd = [(9_001, "hot", None), (9_002, "hot", [1.0]), (9_003, "hot", [float("nan")] * 8), (None, "hot", [0.0] * 8), (9_004, None, [0.0] * 8), (9_005, "lone", [0.0] * 8)]
+    held = spark.createDataFrame(rows + odd, "chunk_id long, repo_id string, embedding array<double>")
+    probes = spark.createDataFrame([(q, r, points[q].tolist()) for q in range(0, 300, 7) for r in ("hot", "r1")] + [(1_000, "lone", [1.0] * 8), (1_001, "none", [1.0] * 8), (1_002, "hot", None)], "query_id long, repo_id string, probe array<double>")
+    ix = vectors.VectorIndex(spark, f"file://{tmp_path}/v", 8).build(held)
+    got = {(r["query_id"], r["rank"]): (r["chunk_id"], r["repo_id"], round(r["distance"], 9)) for r in ix.nearest(probes, 20).collect()}
+    valid = held.where(search.valid_vector(F.col("embedding"), 8) & F.col("chunk_id").isNotNull())
+    want = {(r["query_id"], r["rank"]): (r["chunk_id"], r["repo_id"], round(r["distance"], 9)) for r in search.nearest(valid, probes.where("probe IS NOT NULL"), 20).collect()}
+    assert got == want and (1_000, 1) in got
+    share = ix.met(probes.where("probe IS NOT NULL"), 20).agg(F.sum("n")).first()[0] / probes.join(valid, "repo_id").count()
+    assert share < 0.35
+    empty = vectors.VectorIndex(spark, f"file://{tmp_path}/e", 8).build(held.limit(0))
+    assert empty.exists() and empty.nearest(probes).count() == 0
