@@ -95,3 +95,8 @@ def price_decision(fetched: Column, failed: Column, now: Column, *, ttl_hours: i
     young = F.coalesce(now < fetched + F.make_dt_interval(hours=F.lit(ttl_hours)), F.lit(False))
     cooling = F.coalesce(now < failed + F.make_dt_interval(mins=F.lit(retry_minutes)), F.lit(False))
     return F.when(young, "fresh").when(cooling, "stale").otherwise("refresh")
+
+
+def distinct_ids(ids: Column) -> Column:
+    """``ids`` once each, in the order in which they are first met; empty ones and nulls go."""
+    return F.array_distinct(F.filter(ids, lambda i: i.isNotNull() & (i != "")))

@@ -74,3 +74,19 @@ def pruned(rows: DataFrame, before: Column) -> DataFrame:
     """Open rows without owner older than ``before`` lose their payload and become invalidated."""
     old = F.col("owner").isNull() & F.col("state").isin("active", "ready") & (F.col("at") < before)
     return rows.withColumn("payload", F.when(~F.coalesce(old, F.lit(False)), F.col("payload"))).withColumn("state", F.when(old, "invalidated").otherwise(F.col("state")))
+
+
+def last_writes(writes: DataFrame, key: str, order: str) -> DataFrame:
+    """The last of the ``writes`` of each ``key`` in the order of ``order``; rows without a key are nobody's and go."""
+    whole = F.struct(*writes.columns)
+    return writes.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.max_by(whole, order).alias("w")).select("w.*")
+
+
+def marked_posted(reviews: DataFrame, marks: DataFrame) -> DataFrame:
+    """``reviews`` (review_id, posted, review_url and more) with those of ``marks`` (review_id, review_url) posted; a mark without an address keeps the one that is there.
+
+    Marks of reviews that don't exist change nothing; of several marks of a review the largest address counts.
+    """
+    told = marks.where("review_id IS NOT NULL").groupBy("review_id").agg(F.max("review_url").alias("__url"), F.lit(True).alias("__marked"))
+    met = reviews.join(told, "review_id", "left")
+    return met.select(*[F.when(F.col("__marked"), F.lit(1)).otherwise(F.col(c)).alias(c) if c == "posted" else F.coalesce("__url", c).alias(c) if c == "review_url" else F.col(c) for c in reviews.columns])

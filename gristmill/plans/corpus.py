@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import paths, text
 from gristmill.operators import corpus as ops
-from gristmill.operators import diffs
+from gristmill.operators import diffs, table_functions
 from gristmill.operators.steps import numbered, ranges_of, settled
 from gristmill.plans.registry import query
 from gristmill.sources.tables import CHUNKS, FILES, NEW_FILES, OLD_FILES, over, table
@@ -72,12 +72,39 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("o220_chunks")
-@query("o222_char_budget")
-@query("o128_merged_segments")
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.chunks(_files(spark, sf_dir))
 
 
+LINES = "t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE regexp_matches(text, '\\S')), l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS k FROM t), z AS (SELECT doc_id, len(ls) AS z FROM t)"
+COMMENT = "regexp_matches(line, '^\\s*(//|#|--|;|%|\\*|/\\*|\"\"\"|\\x27\\x27\\x27|<!--)')"
+SEGMENTS = (
+    f"WITH RECURSIVE {LINES}, c AS (SELECT *, coalesce(max(CASE WHEN NOT {COMMENT} THEN k END) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) + 1 AS lead FROM l), "
+    "b AS (SELECT DISTINCT doc_id, 0 AS s FROM l UNION SELECT c.doc_id, c.lead FROM c LEFT JOIN l p ON p.doc_id = c.doc_id AND p.k = c.lead - 1 WHERE c.k > 0 AND regexp_matches(c.line, '^[A-Za-z_]') AND (c.lead = 0 OR NOT regexp_matches(p.line, '\\S'))), "
+    "g AS (SELECT b.doc_id, s, coalesce(lead(s) OVER (PARTITION BY b.doc_id ORDER BY s), z.z) AS e, row_number() OVER (PARTITION BY b.doc_id ORDER BY s) AS i FROM b JOIN z ON z.doc_id = b.doc_id), "
+    "r AS (SELECT doc_id, i, s AS first, e FROM g WHERE i = 1 UNION ALL SELECT g.doc_id, g.i, CASE WHEN g.e - r.first <= 80 THEN r.first ELSE g.s END, g.e FROM r JOIN g ON g.doc_id = r.doc_id AND g.i = r.i + 1) SELECT doc_id, first + 1 AS start_line, max(e) AS end_line FROM r GROUP BY doc_id, first"
+)
+PARTS = (
+    f"WITH RECURSIVE {LINES}, r AS (SELECT doc_id, k, 0::bigint AS first, length(line) + 1 AS size, length(line) >= 300 AS lone FROM l WHERE k = 0 UNION ALL SELECT l.doc_id, l.k, CASE WHEN length(l.line) >= 300 OR r.lone OR r.size + length(l.line) + 1 > 300 THEN l.k ELSE r.first END, CASE WHEN r.lone OR r.size + length(l.line) + 1 > 300 THEN length(l.line) + 1 ELSE r.size + length(l.line) + 1 END, length(l.line) >= 300 FROM r JOIN l ON l.doc_id = r.doc_id AND l.k = r.k + 1) "
+    "SELECT r.doc_id, first + 1 AS start_line, max(r.k) + 1 AS end_line FROM r JOIN l ON l.doc_id = r.doc_id AND l.k = r.k GROUP BY r.doc_id, first HAVING bool_or(regexp_matches(line, '\\S'))"
+)
+
+
+def _lateral(spark: SparkSession, sf_dir: str, call: str) -> DataFrame:
+    table_functions.register(spark)
+    return spark.sql(f"SELECT d.doc_id, s.* FROM {{docs}} AS d, LATERAL {call} AS s", docs=documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@query("o128_merged_segments", SEGMENTS)
+def merged_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lateral(spark, sf_dir, "merged_segments(d.text, CAST(NULL AS string), 80)")
+
+
+@query("o222_char_budget", PARTS)
+def char_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lateral(spark, sf_dir, "char_parts(d.text, 300)")
+
+
 @query("o221_definition_lines", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, count(*) FILTER (WHERE regexp_matches(line, '^#{1,6}\\s')) AS markdown, count(*) FILTER (WHERE regexp_matches(line, '^[A-Za-z_]')) AS others FROM l GROUP BY 1")
 def definition_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir).select("doc_id", F.explode(text.lines(F.col("text"))).alias("line"))

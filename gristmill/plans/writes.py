@@ -30,7 +30,6 @@ def api_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("o021_upsert_files", over("v_old v_new", "SELECT coalesce(n.path, o.path) AS path, coalesce(n.blob_hash, o.blob_hash) AS blob_hash FROM v_old o FULL JOIN v_new n ON n.path = o.path"))
-@query("o026_upsert_values", over("v_old v_new", "SELECT coalesce(n.path, o.path) AS path, coalesce(n.blob_hash, o.blob_hash) AS blob_hash FROM v_old o FULL JOIN v_new n ON n.path = o.path"))
 def upsert_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.upsert(OLD_FILES.frame(spark, sf_dir).select("path", "blob_hash"), NEW_FILES.frame(spark, sf_dir).select("path", "blob_hash"), ["path"])
 
@@ -46,12 +45,29 @@ def _repos(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 @query("o020_upsert_repos", f"WITH {REPOS} SELECT coalesce(i.id, c.id) AS id, coalesce(i.branch, c.branch) AS branch, coalesce(i.instructions, c.instructions) AS instructions, coalesce(c.status, i.status) AS status FROM cur c FULL JOIN inc i ON i.id = c.id")
-@query("o031_filled_update", f"WITH {REPOS} SELECT coalesce(i.id, c.id) AS id, coalesce(i.branch, c.branch) AS branch, coalesce(i.instructions, c.instructions) AS instructions, coalesce(c.status, i.status) AS status FROM cur c FULL JOIN inc i ON i.id = c.id")
 def upsert_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
     now, new = _repos(spark, sf_dir)
     return ops.upsert(now, new, ["id"], keep=["status"], fill=["instructions"])
 
 
+# settings by name, written several times in an order; the last write of a name stands, names that aren't written keep their value
+@query("o026_upsert_values", "WITH n AS (SELECT event_type || (user_id % 5) AS key, arg_max(props, event_id) AS value FROM events WHERE event_id % 3 = 0 GROUP BY 1), w AS (SELECT event_type || (user_id % 7) AS key, arg_max(props, event_id) AS value FROM events WHERE event_id % 3 > 0 GROUP BY 1) SELECT coalesce(w.key, n.key) AS key, CASE WHEN w.key IS NULL THEN n.value ELSE w.value END AS value FROM n FULL JOIN w ON w.key = n.key")
+def upsert_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    of = lambda rows, n: rows.select(F.concat("event_type", (F.col("user_id") % n).cast("string")).alias("key"), F.col("props").alias("value"), "event_id")
+    now = ops.last_writes(of(events.where("event_id % 3 = 0"), 5), "key", "event_id").drop("event_id")
+    return ops.upsert(now, ops.last_writes(of(events.where("event_id % 3 > 0"), 7), "key", "event_id").drop("event_id"), ["key"])
+
+
+@query("o031_marked_posted", "SELECT o_orderkey AS review_id, CASE WHEN o_orderkey % 3 = 1 THEN 1 ELSE cast(o_orderkey % 2 AS integer) END AS posted, CASE WHEN o_orderkey % 3 = 1 AND o_orderkey % 4 <> 2 THEN 'new/' || o_orderkey WHEN o_orderkey % 5 > 0 THEN 'old/' || o_orderkey END AS review_url FROM orders")
+def marked_posted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders")
+    now = orders.select(k.alias("review_id"), (k % 2).cast("int").alias("posted"), F.when(k % 5 > 0, F.concat(F.lit("old/"), k.cast("string"))).alias("review_url"))
+    marks = orders.where(k % 3 == 1).select(k.alias("review_id"), F.when(k % 4 != 2, F.concat(F.lit("new/"), k.cast("string"))).alias("review_url"))
+    return ops.marked_posted(now, marks)
+
+
 @query("o025_partial_update", f"WITH {REPOS} SELECT c.id, CASE WHEN i.id IS NULL THEN c.branch ELSE coalesce(i.branch, c.branch) END AS branch, CASE WHEN i.id IS NULL THEN c.instructions ELSE i.instructions END AS instructions, c.status FROM cur c LEFT JOIN inc i ON i.id = c.id")
 def partial_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     now, new = _repos(spark, sf_dir)

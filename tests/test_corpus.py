@@ -92,3 +92,15 @@ def test_tree_listing(spark):
     raw = "\0".join([f"100644 blob {'a' * 40}      12\tsrc/a b.ts", f"120000 blob {'b' * 40}       3\tlink", f"160000 commit {'c' * 40}       -\tsub", "junk"]) + "\0"
     found = corpus.tree_entries(spark.createDataFrame([("r", raw)], "repo_id string, raw string")).collect()
     assert [(r["path"], r["size"]) for r in found] == [("src/a b.ts", 12)]
+
+
+def test_table_functions_in_sql(spark):
+    from gristmill.operators import table_functions
+
+    table_functions.register(spark)
+    code = "\n".join(["# head", "x", "", "def a():", "  1", "", "# note", "def b():", "  2", "", "", "def c():", "  3"])
+    spark.createDataFrame([(1, code), (2, None), (3, " \n"), (4, "one"), (5, "\n".join(["l" * 9] * 5 + ["w" * 40, "", "z"]))], "id int, content string").createOrReplaceTempView("given")
+    spans = lambda call: {(r["id"], r["start_line"], r["end_line"]) for r in spark.sql(f"SELECT id, s.* FROM given, LATERAL {call} AS s").collect()}
+    assert spans("merged_segments(content, 'python', 6)") == {(1, 1, 6), (1, 7, 11), (1, 12, 13), (4, 1, 1), (5, 1, 8)}
+    assert {s for s in spans("merged_segments(content, 'python', 3)") if s[0] == 1} == {(1, 1, 3), (1, 4, 6), (1, 7, 11), (1, 12, 13)}
+    assert {s for s in spans("char_parts(content, 30)") if s[0] > 3} == {(4, 1, 1), (5, 1, 3), (5, 4, 5), (5, 6, 6), (5, 7, 8)}
