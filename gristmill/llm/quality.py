@@ -33,7 +33,7 @@ MENU = (
     "previous", "prev", "back", "top", "more", "share", "print", "email", "blog", "news", "shop", "cart", "account",
 )
 SEPARATORS = r"(?:^|(?<=\s))[|»«›‹>•·→/\\~*=_-]+(?=\s|$)"
-SENTENCE_END = r"[.!?…。！？:;][\"'”’»)\]]*\s*$"
+SPACES, ENDS, CLOSERS = " \t\n\x0b\x0c\r", ".!?…。！？:;", "\"'”’»)]"
 SYMBOLS = r"[#*$%&|<>{}=\\^~]|!!|\?\?"
 
 
@@ -52,13 +52,14 @@ def line_fault(line: Column, *, max_menu_words: int = 12, max_separator_share: f
     stock = let(F.lower(line), lambda low: reduce(or_, [F.contains(low, F.lit(phrase)) for phrase in BOILERPLATE]))
     n_words = F.size(F.split(line, SPACE))
     separators = F.when(line.rlike(r"[|»«›‹>•·→/\\~*=_-]"), F.regexp_count(line, F.lit(SEPARATORS))).otherwise(0)
-    menu = F.when(F.length(line) <= 200, F.regexp_count(F.lower(line), F.lit(r"\b(?:" + "|".join(MENU) + r")\b"))).otherwise(0)
-    menu_only = (F.length(line) <= 200) & let(n_words, lambda n: (n <= max_menu_words) & (menu * 2 > n))
+    menu = F.regexp_count(F.lower(line), F.lit(r"\b(?:" + "|".join(MENU) + r")\b"))
+    menu_only = let(n_words, lambda n: F.when(n <= max_menu_words, menu * 2 > n).otherwise(False))
+    last = F.right(F.rtrim(F.rtrim(line, F.lit(SPACES)), F.lit(CLOSERS)), F.lit(1))
     return (
         F.when(stock, F.lit("boilerplate"))
         .when((separators > 0) & (separators > n_words * max_separator_share), F.lit("navigation"))
         .when(menu_only, F.lit("navigation"))
-        .when(~F.substring(line, -24, 24).rlike(SENTENCE_END), F.lit("punctuation"))
+        .when(~last.isin(list(ENDS)), F.lit("punctuation"))
         .when(F.regexp_count(line, F.lit(SYMBOLS)) > F.length(line) * max_symbol_share, F.lit("punctuation"))
     )
 
@@ -96,43 +97,47 @@ def clean_lines(docs: DataFrame, text: str = "text", *, span: int = 5, min_words
     (lines removed), ``kept_share`` (word characters left) and ``kept``.
 
     A null or empty text has no words: every count is 0, ``base_failed`` is true, ``clean_text`` is empty. Repeated
-    rows and ties are judged each on their own; no other column is read, so names in ``docs`` can't clash, save
-    for a column ``quality`` or ``__*``, which is replaced.
+    rows and ties are judged each on their own; no other column is read or lost, whatever its name, save
+    for a column ``quality``, which is replaced.
     """
+    mark = "__"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark += "_"
+    own = lambda name: f"{mark}{name}"
     body = F.coalesce(F.col(text), F.lit(""))
-    step = docs.withColumn("__text", body)
-    step = step.withColumn("__words", words_of(F.col("__text"))).withColumn(
-        "__lines", F.filter(F.split(F.col("__text"), "\n", -1), lambda line: line.rlike(WORD))
+    step = docs.withColumn(own("text"), body)
+    step = step.withColumn(own("words"), words_of(F.col(own("text")))).withColumn(
+        own("lines"), F.filter(F.split(F.col(own("text")), "\n", -1), lambda line: line.rlike(WORD))
     )
-    step = step.withColumn("__n", F.size("__words").cast("bigint")).withColumn(
-        "__judged", F.transform("__lines", lambda line: F.struct(line.alias("line"), line_fault(line, **rules).alias("fault")))
+    step = step.withColumn(own("n"), F.size(own("words")).cast("bigint")).withColumn(
+        own("judged"), F.transform(own("lines"), lambda line: F.struct(line.alias("line"), line_fault(line, **rules).alias("fault")))
     )
-    step = step.withColumn("__repeat", repeated_words(F.col("__words"), span)).withColumn(
-        "__passed", F.transform(F.filter("__judged", lambda j: j["fault"].isNull()), lambda j: j["line"])
+    step = step.withColumn(own("repeat"), repeated_words(F.col(own("words")), span)).withColumn(
+        own("passed"), F.transform(F.filter(own("judged"), lambda j: j["fault"].isNull()), lambda j: j["line"])
     )
-    removed = lambda fault: F.size(F.filter("__judged", lambda j: j["fault"] == fault)).cast("bigint")
+    removed = lambda fault: F.size(F.filter(own("judged"), lambda j: j["fault"] == fault)).cast("bigint")
     letters = lambda words: F.aggregate(words, F.lit(0).cast("bigint"), lambda n, w: n + F.length(w))
     step = step.withColumns(
         {
-            "__chars": letters(F.col("__words")),
-            "__lost": F.aggregate(F.filter("__judged", lambda j: j["fault"].isNotNull()), F.lit(0).cast("bigint"), lambda n, j: n + letters(words_of(j["line"]))),
-            "__clean": F.array_join("__passed", "\n"),
-            "__base": (F.col("__n") < min_words) | (F.col("__repeat") * 100 > F.col("__n") * int(round(max_repeat_share * 100))),
+            own("chars"): letters(F.col(own("words"))),
+            own("lost"): F.aggregate(F.filter(own("judged"), lambda j: j["fault"].isNotNull()), F.lit(0).cast("bigint"), lambda n, j: n + letters(words_of(j["line"]))),
+            own("clean"): F.array_join(own("passed"), "\n"),
+            own("base"): (F.col(own("n")) < min_words) | (F.col(own("repeat")) * 100 > F.col(own("n")) * int(round(max_repeat_share * 100))),
         }
     )
-    share = F.when(F.col("__chars") > 0, (F.col("__chars") - F.col("__lost")) / F.col("__chars")).otherwise(F.lit(0.0))
+    share = F.when(F.col(own("chars")) > 0, (F.col(own("chars")) - F.col(own("lost"))) / F.col(own("chars"))).otherwise(F.lit(0.0))
     quality = F.struct(
-        F.col("__n").alias("n_words"),
-        F.col("__chars").alias("word_chars"),
-        F.regexp_count(F.col("__text"), F.lit(r"[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint").alias("n_dup_lines"),
-        F.col("__repeat").alias("n_repeat_words"),
-        F.col("__base").alias("base_failed"),
-        F.col("__clean").alias("clean_text"),
+        F.col(own("n")).alias("n_words"),
+        F.col(own("chars")).alias("word_chars"),
+        F.regexp_count(F.col(own("text")), F.lit(r"[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
+        (F.size(own("lines")) - F.size(F.array_distinct(own("lines")))).cast("bigint").alias("n_dup_lines"),
+        F.col(own("repeat")).alias("n_repeat_words"),
+        F.col(own("base")).alias("base_failed"),
+        F.col(own("clean")).alias("clean_text"),
         removed("boilerplate").alias("lines_boilerplate"),
         removed("navigation").alias("lines_navigation"),
         removed("punctuation").alias("lines_punctuation"),
         share.alias("kept_share"),
-        (~F.col("__base") & (share >= min_kept_share)).alias("kept"),
+        (~F.col(own("base")) & (share >= min_kept_share)).alias("kept"),
     )
-    return step.withColumn("quality", quality).drop("__text", "__words", "__lines", "__n", "__judged", "__repeat", "__passed", "__chars", "__lost", "__clean", "__base")
+    return step.withColumn("quality", quality).drop(own("text"), own("words"), own("lines"), own("n"), own("judged"), own("repeat"), own("passed"), own("chars"), own("lost"), own("clean"), own("base"))

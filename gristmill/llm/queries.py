@@ -116,9 +116,9 @@ r AS (SELECT doc_id, w, max(CASE WHEN again THEN 1 ELSE 0 END) OVER (PARTITION B
 b AS (SELECT doc_id, count(*) AS n_words, cast(sum(length(w)) AS bigint) AS chars, cast(sum(met) AS bigint) AS n_repeat FROM r GROUP BY 1),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
 n AS (SELECT doc_id, line, lower(line) AS low, len(regexp_split_to_array(line, '[\x20\x09-\x0D]+')) AS n, len(list_filter({_words('line')}, lambda x: regexp_matches(x, '^[|»«›‹>•·→/\\~*=_-]+$'))) AS seps, list_sum(list_transform({_words('line')}, lambda x: length(x))) AS chars,
-  CASE WHEN length(line) <= 200 THEN len(list_filter(regexp_split_to_array(lower(line), '[^\p{{L}}\p{{N}}_]+'), lambda x: x IN {_among(quality.MENU)})) ELSE 0 END AS menu FROM l WHERE regexp_matches(line, '{SPLIT}')),
-f AS (SELECT doc_id, line, chars, CASE WHEN {' OR '.join(f"contains(low, '{phrase}')" for phrase in quality.BOILERPLATE)} THEN 'boilerplate' WHEN (seps > 0 AND seps > n * 0.3) OR (length(line) <= 200 AND n <= 12 AND menu * 2 > n) THEN 'navigation'
-  WHEN NOT regexp_matches(right(line, 24), '[.!?…。！？:;]["''”’»)\]]*\s*$') OR len(regexp_extract_all(line, '[#*$%&|<>{{}}=\\^~]|!!|\?\?')) > length(line) * 0.08 THEN 'punctuation' END AS fault FROM n),
+  len(list_filter(regexp_split_to_array(lower(line), '[^\p{{L}}\p{{N}}_]+'), lambda x: x IN {_among(quality.MENU)})) AS menu FROM l WHERE regexp_matches(line, '{SPLIT}')),
+f AS (SELECT doc_id, line, chars, CASE WHEN {' OR '.join(f"contains(low, '{phrase}')" for phrase in quality.BOILERPLATE)} THEN 'boilerplate' WHEN (seps > 0 AND seps > n * 0.3) OR (n <= 12 AND menu * 2 > n) THEN 'navigation'
+  WHEN NOT regexp_matches(line, '[.!?…。！？:;]["''”’»)\]]*[\x20\x09-\x0D]*$') OR len(regexp_extract_all(line, '[#*$%&|<>{{}}=\\^~]|!!|\?\?')) > length(line) * 0.08 THEN 'punctuation' END AS fault FROM n),
 k AS (SELECT doc_id, count(*) FILTER (WHERE fault = 'boilerplate') AS lines_boilerplate, count(*) FILTER (WHERE fault = 'navigation') AS lines_navigation, count(*) FILTER (WHERE fault = 'punctuation') AS lines_punctuation, count(*) - count(DISTINCT line) AS n_dup, coalesce(sum(chars) FILTER (WHERE fault IS NOT NULL), 0) AS lost FROM f GROUP BY 1),
 j AS (SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(b.chars, 0) AS word_chars, cast(len(regexp_extract_all(text, '[#*$%&|<>]')) AS bigint) AS n_symbols, coalesce(n_dup, 0) AS n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words, coalesce(lines_boilerplate, 0) AS lines_boilerplate, coalesce(lines_navigation, 0) AS lines_navigation, coalesce(lines_punctuation, 0) AS lines_punctuation, CASE WHEN b.chars > 0 THEN cast(b.chars - lost AS double) / b.chars ELSE 0.0::double END AS kept_share FROM d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id),
 v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM j)

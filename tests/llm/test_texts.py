@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gristmill.llm import language, packing, pieces, private_data, quality, queries, tokens
@@ -127,10 +128,10 @@ def fault_of(line):
         return "boilerplate"
     space = "[ \\t\\n\\x0b\\f\\r]"
     separators = len(re.findall(quality.SEPARATORS.replace(r"\s", space), line))
-    menu = len(re.findall(r"\b(?:" + "|".join(quality.MENU) + r")\b", low)) if len(line) <= 200 else 0
-    if separators and separators > n * 0.3 or len(line) <= 200 and n <= 12 and menu * 2 > n:
+    menu = len(re.findall(r"\b(?:" + "|".join(quality.MENU) + r")\b", low))
+    if separators and separators > n * 0.3 or n <= 12 and menu * 2 > n:
         return "navigation"
-    if not re.search(quality.SENTENCE_END.replace(r"\s", space).replace("$", r"\Z"), line[-24:]) or len(re.findall(quality.SYMBOLS, line)) > len(line) * 0.08:
+    if not re.search(r"[.!?…。！？:;][\"'”’»)\]]*" + space + r"*\Z", line) or len(re.findall(quality.SYMBOLS, line)) > len(line) * 0.08:
         return "punctuation"
     return None
 
@@ -436,3 +437,13 @@ def test_surrogates_where_no_form_is_free(spark):
 def test_private_data_of_no_rows(spark, odd):
     assert private_data.replace_private(odd.limit(0), KEY).count() == 0
     assert private_data.replace_private(odd, KEY).count() == len(ODD)
+
+
+def test_quality_of_line_ends_menus_and_names(spark):
+    long_word = "w" * 300
+    lines = {EN.strip(): None, EN.strip() + " " * 30: None, EN.strip() + ")" * 40 + "\t": None, EN.strip() + " x" * 5: "punctuation", f"home about {long_word}": "navigation", "." * 3: None, "no end": "punctuation"}
+    got = spark.createDataFrame([(t,) for t in lines], "line string").select("line", quality.line_fault(F.col("line")).alias("fault")).collect()
+    assert {r["line"]: r["fault"] for r in got} == lines
+    odd = spark.createDataFrame([(1, EN * 3, "a", "b", "c")], "doc_id long, text string, __n string, __text string, ___words string")
+    (r,) = quality.clean_lines(odd).collect()
+    assert r["__n"] == "a" and r["__text"] == "b" and r["___words"] == "c" and r["quality"]["n_words"] > 10
