@@ -14,6 +14,7 @@ from gristmill.plans import registry
 HEADLINE = [
     "o090_usage_by_day", "o196_cost_report", "o140_bm25_top", "o141_nearest", "o142_hybrid_search", "o063_snapshot_changes", "o129_line_windows",
     "o220_chunks", "o107_change_risk", "o098_top_identifiers", "o123_representatives", "o067_pull_statuses", "o250_debounce", "o256_counter_rates", "o190_widened_questions",
+    "o223_diff_lines", "o225_static_evidence", "o146_relevant_chunks", "o072_history", "o234_compact_context", "o194_usage_records", "o070_import_dependants", "o257_average_durations",
 ]
 
 

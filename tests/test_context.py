@@ -249,3 +249,19 @@ def test_whole_words_without_patterns_made_of_columns(spark):
             want[c] = score
     got = {r["chunk_id"]: r["score"] for r in found.collect()}
     assert [(chunks[c][3:], got.get(c), want.get(c)) for c in range(400) if got.get(c) != want.get(c)] == []
+
+
+def test_fills_of_large_keys_walk_only_parts_where_something_fits(spark):
+    rng = random.Random(2)
+    items = [(k, n, rng.choice((1, 5, 30, 80, 200, None)) if k != "b" else 90) for k in ("a", "b", None) for n in range(700)] + [("c", n, 40) for n in range(9)]
+    want, used = {}, {}
+    for k, n, size in items:
+        spent = used.get(k, 3)
+        want[k, n] = size is not None and spent + size <= 500
+        used[k] = spent + (size + 2 if want[k, n] else 0)
+    rng.shuffle(items)
+    given = spark.createDataFrame(items, "k string, n int, size long").withColumn("part", F.lit("x"))
+    for part in (50, 10_000):
+        got = context.skip_fill(given, "k", "n", "size", 500, base=3, part_items=part)
+        assert set(got.columns) == {"k", "n", "size", "part", "taken"}
+        assert {(r["k"], r["n"]): r["taken"] for r in got.collect()} == want
