@@ -100,3 +100,28 @@ def price_decision(fetched: Column, failed: Column, now: Column, *, ttl_hours: i
 def distinct_ids(ids: Column) -> Column:
     """``ids`` once each, in the order in which they are first met; empty ones and nulls go."""
     return F.array_distinct(F.filter(ids, lambda i: i.isNotNull() & (i != "")))
+
+
+def cost_bounds(messages: DataFrame, *, base: int = 1_024, each: int = 32, output: int = 6_000, input_usd: float = 3.0, output_usd: float = 15.0) -> DataFrame:
+    """conv_id, input_bound, upper_bound_usd: what a call with ``messages`` (conv_id, content) can cost at most.
+
+    A token is a byte at least, so bytes bound tokens; ``base`` and ``each`` stand for what surrounds a call and a message. Prices are for a million tokens. Null contents are empty.
+    """
+    bound = F.coalesce(F.sum(F.octet_length("content")), F.lit(0)) + base + each * F.count(F.lit(1))
+    cost = bound * F.lit(input_usd) / 1_000_000 + F.lit(output * output_usd / 1_000_000)
+    return messages.groupBy("conv_id").agg(bound.alias("input_bound"), cost.alias("upper_bound_usd"))
+
+
+def retry_position(attempt: Column, providers: int = 3) -> Column:
+    """Which provider, from 0, a call's ``attempt`` (from 0) goes to: the next one each time, then the last."""
+    return F.least(attempt, F.lit(providers - 1))
+
+
+def retry_wait(attempt: Column, first_ms: int = 15_000, most_ms: int = 60_000) -> Column:
+    """Milliseconds before ``attempt`` is made again: doubled each time, up to a bound."""
+    return F.least(F.lit(float(most_ms)), first_ms * F.pow(F.lit(2.0), attempt)).cast("long")
+
+
+def embedding_retryable(status: Column) -> Column:
+    """Whether a request for embeddings may be sent again: rate limits and faults of the server alone, no timeouts of the request."""
+    return F.coalesce((status == 429) | (status >= 500), F.lit(False))

@@ -196,19 +196,13 @@ def focus_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("o135_clipped_fill", "WITH s AS (SELECT doc_id // 20 AS g, doc_id, n_chars, coalesce(sum(n_chars) OVER (PARTITION BY doc_id // 20 ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used, text FROM documents) SELECT g, doc_id, cast(length(substr(text, 1, cast(12000 - used AS bigint))) AS bigint) AS taken FROM s WHERE used < 12000")
 def clipped_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("g").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = documents(spark, sf_dir).select(F.floor(F.col("doc_id") / 20).alias("g"), "doc_id", "text", F.length("text").alias("n"))
-    rows = rows.withColumn("used", F.coalesce(F.sum("n").over(w), F.lit(0))).where("used < 12000")
-    return rows.select("g", "doc_id", F.length(F.substr("text", F.lit(1), (F.lit(12_000) - F.col("used")).cast("int"))).cast("long").alias("taken"))
+    rows = documents(spark, sf_dir).select(F.floor(F.col("doc_id") / 20).alias("g"), "doc_id", "text")
+    return ops.clipped_fill(rows, "g", "doc_id", "text", 12_000).select("g", "doc_id", F.length("shown").cast("long").alias("taken"))
 
 
 @query("o219_matching_lines", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) SELECT doc_id, count(*) FILTER (WHERE regexp_matches(lower(line), '(^|[^a-z0-9_$])the($|[^a-z0-9_$])')) AS n_matching FROM l GROUP BY 1")
 def matching_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = documents(spark, sf_dir).select("doc_id", text.lines(F.col("text")).alias("ls"))
-    hit = F.filter("ls", lambda line: F.lower(line).rlike(r"(^|[^a-z0-9_$])the($|[^a-z0-9_$])"))
-    return rows.select("doc_id", F.size(hit).cast("long").alias("n_matching"))
+    return documents(spark, sf_dir).select("doc_id", F.size(ops.matching_lines(F.col("text"), ["the"])).cast("long").alias("n_matching"))
 
 
 @query("o002_read_with_fallback", "SELECT 'f' || doc_id AS path, CASE WHEN doc_id % 3 = 0 THEN 'own ' || doc_id WHEN doc_id % 5 > 0 THEN 'kept ' || doc_id % 5 END AS content FROM documents")

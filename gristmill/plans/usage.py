@@ -106,14 +106,19 @@ def fresh_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("o197_cost_bounds", over("v_messages", "SELECT conv_id, cast(sum(octet_length(encode(content))) + 1024 + 32 * count(*) AS bigint) AS input_bound, round((sum(octet_length(encode(content))) + 1024 + 32 * count(*)) * 3::double / 1000000 + 6000 * 15::double / 1000000, 6) AS upper_bound_usd FROM v_messages GROUP BY 1"))
 def cost_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bound = F.sum(F.octet_length("content")) + 1024 + 32 * F.count(F.lit(1))
-    return MESSAGES.frame(spark, sf_dir).groupBy("conv_id").agg(bound.alias("input_bound"), F.round(bound * F.lit(3.0) / 1_000_000 + F.lit(6000 * 15.0 / 1_000_000), 6).alias("upper_bound_usd"))
+    found = ops.cost_bounds(MESSAGES.frame(spark, sf_dir))
+    return found.withColumn("upper_bound_usd", F.round("upper_bound_usd", 6))
 
 
 @query("o134_retry_ladder", "SELECT event_id, cast(least(event_id % 6, 2) AS bigint) AS provider_at, cast(least(60000, 15000 * power(2, event_id % 6)) AS bigint) AS wait_ms FROM events")
 def retry_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("event_id") % 6
-    return table(spark, sf_dir, "events").select("event_id", F.least(n, F.lit(2)).alias("provider_at"), F.least(F.lit(60_000.0), 15_000 * F.pow(F.lit(2.0), n)).cast("long").alias("wait_ms"))
+    return table(spark, sf_dir, "events").select("event_id", ops.retry_position(n).alias("provider_at"), ops.retry_wait(n).alias("wait_ms"))
+
+
+@query("o053_retryable_embeddings", "SELECT event_id, event_id % 700 = 429 OR event_id % 700 >= 500 AS retryable FROM events")
+def retryable_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", ops.embedding_retryable(F.col("event_id") % 700).alias("retryable"))
 
 
 @query("o216_backoff", "SELECT event_id, cast(500 * power(2, event_id % 8) AS bigint) AS wait_ms FROM events")

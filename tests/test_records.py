@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gristmill.operators import activity, counters, imports, index, records, search, vectors
-from gristmill.streaming import deliveries, polls
+from gristmill.streaming import deliveries, polls, triggers
 
 GOOD = {"version": 1, "phase": "final", "completedUnits": [], "activeProviderIndex": 0, "retryAttemptsUsed": 2, "followupRetryAttemptsUsed": 0, "followupReserve": 0.1, "usedUsd": 1, "reservedUsd": 0, "warnings": ["w"]}
 
@@ -188,3 +188,16 @@ def test_vector_index_is_exact_and_leaves_out_far_cells(spark, tmp_path):
     assert share < 0.35
     empty = vectors.VectorIndex(spark, f"file://{tmp_path}/e", 8).build(held.limit(0))
     assert empty.exists() and empty.nearest(probes).count() == 0
+
+
+def test_journal_keeps_null_keys_and_compacts(spark, tmp_path):
+    rows = [(1, 1, "b"), (1, 1, "a"), (1, 2, "c"), (None, 1, "d"), (None, 1, "d"), (2, None, "e")]
+    spark.createDataFrame(rows, "attempt long, seq long, note string").coalesce(1).write.parquet(str(tmp_path / "u"))
+    out = str(tmp_path / "out")
+    for run in range(2):
+        source = spark.readStream.schema("attempt long, seq long, note string").parquet(str(tmp_path / "u"))
+        triggers.journal(source, out, str(tmp_path / f"cp{run}"), order=["note"], buckets=8).trigger(availableNow=True).start().awaitTermination(120)
+        got = sorted((tuple(r) for r in spark.read.parquet(out).select("attempt", "seq", "note").collect()), key=repr)
+        assert got == sorted([(1, 1, "a"), (1, 2, "c"), (None, 1, "d"), (None, 1, "d"), (2, None, "e")], key=repr)
+    triggers.compact_journal(spark, out)
+    assert sorted((tuple(r) for r in spark.read.parquet(out).select("attempt", "seq", "note").collect()), key=repr) == got
