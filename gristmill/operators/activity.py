@@ -12,7 +12,7 @@ from gristmill.functions import text
 
 PENDING = ["queued", "running"]
 CITATION = r"[\w./-]+\.[A-Za-z0-9]+:\d+(?:-\d+)?"
-ANSWER_TERMS, QUESTION_TERMS = 15, 10
+ANSWER_TERMS, QUESTION_TERMS, NAMED_TERMS = 15, 10, 40
 
 
 def latest(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
@@ -166,25 +166,30 @@ def citations(body: Column) -> Column:
     return F.transform(F.regexp_extract_all(body, F.lit(CITATION), F.lit(0)), lambda c: F.element_at(F.split(c, ":"), 1))
 
 
-def _taken(seen: Column, terms: Column, budget: int) -> Column:
-    """The first ``budget`` distinct terms that aren't seen, whatever their case."""
-    fresh = F.aggregate(terms, F.array().cast("array<string>"), lambda kept, t: F.when((t == "") | F.array_contains(seen, F.lower(t)) | F.exists(kept, lambda k: F.lower(k) == F.lower(t)), kept).otherwise(F.concat(kept, F.array(t))))
-    return F.slice(fresh, 1, budget)
+def _fresh(terms: DataFrame, key: list[str], seen: DataFrame, budget: int) -> DataFrame:
+    """The first ``budget`` of ``terms`` (key, source, place, term) of each key that aren't among its ``seen`` (key, low), whatever their case; equal ones once."""
+    low = terms.where("term <> ''").withColumn("low", F.lower("term"))
+    once = low.groupBy(*key, "low").agg(F.min(F.struct("source", "place", "term")).alias("t")).join(seen, [*key, "low"], "left_anti")
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("t.source", "t.place"))
+    return once.withColumn("__n", place).where(F.col("__n") <= budget).select(*key, "low", "t.source", "t.place", "t.term")
 
 
 def widened_questions(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, query of every user turn: the question, widened by what the answer and question before it name."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    """conv_id, turn, query of every user turn: the question, widened by what the answer and question before it name.
+
+    Names of an answer are counted and ranked as rows: citations first, then identifiers by how often they occur, then tokens of the question before.
+    """
+    w, key = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1), ["conv_id", "turn"]
     before = lambda role: F.coalesce(F.last(F.when(F.col("role") == role, F.col("content")), ignorenulls=True).over(w), F.lit(""))
-    asked = messages.withColumn("answer", before("assistant")).withColumn("question", before("user")).where("role = 'user'")
-    named = asked.withColumn("named", F.array_distinct(text.identifiers(F.col("answer")))).withColumn("all_named", text.identifiers(F.col("answer")))
-    most = F.transform(
-        F.sort_array(F.transform("named", lambda x, i: F.struct((-F.size(F.filter("all_named", lambda y: y == x))).alias("n"), i.alias("i"), x.alias("x")))), lambda s: s["x"]
-    )
-    named = named.withColumn("seen", text.query_tokens(F.col("content"))).withColumn("from_answer", _taken(F.col("seen"), F.concat(citations(F.col("answer")), F.slice(most, 1, 40)), ANSWER_TERMS))
-    known = F.concat("seen", F.transform("from_answer", F.lower))
-    extra = F.concat("from_answer", _taken(known, text.query_tokens(F.col("question")), QUESTION_TERMS))
-    return named.select("conv_id", "turn", F.when(F.size(extra) > 0, F.concat("content", F.lit(" "), F.array_join(extra, " "))).otherwise(F.col("content")).alias("query"))
+    asked = messages.withColumn("answer", before("assistant")).withColumn("question", before("user")).where("role = 'user'").select(*key, "content", "answer", "question")
+    listed = lambda terms, source: asked.select(*key, F.lit(source).alias("source"), F.posexplode(terms).alias("place", "term"))
+    seen = asked.select(*key, F.explode(text.query_tokens(F.col("content"))).alias("low")).select(*key, F.lower("low").alias("low")).distinct()
+    named = listed(text.identifiers(F.col("answer")), 1).groupBy(*key, "source", "term").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+    named = named.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("n"), "first"))).where(F.col("place") <= NAMED_TERMS).select(*key, "source", "place", "term")
+    told = _fresh(listed(citations(F.col("answer")), 0).unionByName(named), key, seen, ANSWER_TERMS)
+    more = _fresh(listed(text.query_tokens(F.col("question")), 2), key, seen.unionByName(told.select(*key, "low")), QUESTION_TERMS)
+    extra = told.unionByName(more).groupBy(*key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("source", "place", "term"))), lambda t: t["term"]), " ").alias("extra"))
+    return asked.join(extra, key, "left").select(*key, F.when(F.col("extra").isNotNull(), F.concat("content", F.lit(" "), "extra")).otherwise(F.col("content")).alias("query"))
 
 
 def classified_events(events: DataFrame) -> DataFrame:

@@ -193,7 +193,28 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.transcript(MESSAGES.frame(spark, sf_dir)).select("conv_id", F.sha2("prompt", 256).alias("digest"))
 
 
-@query("o190_widened_questions")
+def _widened_sql() -> str:
+    from gristmill.plans.retrieval import TOKENS
+
+    cites = r"regexp_extract_all(answer, '[\w./-]+\.[A-Za-z0-9]+:\d+(?:-\d+)?')"
+    names = f"regexp_extract_all(answer, '{text.IDENTIFIER}')"
+    keywords = "(" + ", ".join(f"'{k}'" for k in text.KEYWORDS) + ")"
+    return over("v_messages", f"""WITH m AS (SELECT conv_id, turn, role, content, coalesce(last_value(CASE WHEN role = 'assistant' THEN content END IGNORE NULLS) OVER w, '') AS answer, coalesce(last_value(CASE WHEN role = 'user' THEN content END IGNORE NULLS) OVER w, '') AS question
+  FROM v_messages WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), a AS (SELECT * FROM m WHERE role = 'user'),
+v_queries AS (SELECT {{'c': conv_id, 't': turn, 'q': 0}} AS query_id, content AS query FROM a UNION ALL SELECT {{'c': conv_id, 't': turn, 'q': 1}}, question FROM a), {TOKENS},
+seen AS (SELECT query_id.c AS conv_id, query_id.t AS turn, lower(t) AS low FROM first WHERE query_id.q = 0),
+i AS (SELECT conv_id, turn, unnest({names}) AS term, generate_subscripts({names}, 1) AS ip FROM a),
+n AS (SELECT conv_id, turn, term, row_number() OVER (PARTITION BY conv_id, turn ORDER BY count(*) DESC, min(ip)) AS p FROM i WHERE length(term) >= 3 AND lower(term) NOT IN {keywords} GROUP BY 1, 2, 3 QUALIFY p <= 40),
+c AS (SELECT conv_id, turn, 0 AS source, generate_subscripts({cites}, 1) AS p, split_part(unnest({cites}), ':', 1) AS term FROM a UNION ALL SELECT conv_id, turn, 1, p, term FROM n),
+k AS (SELECT * FROM c WHERE term <> '' AND NOT EXISTS (SELECT 1 FROM seen WHERE seen.conv_id = c.conv_id AND seen.turn = c.turn AND seen.low = lower(c.term)) QUALIFY row_number() OVER (PARTITION BY conv_id, turn, lower(term) ORDER BY source, p) = 1),
+told AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY source, p) <= 15),
+q AS (SELECT query_id.c AS conv_id, query_id.t AS turn, 2 AS source, pos AS p, t AS term FROM first WHERE query_id.q = 1),
+r AS (SELECT * FROM q WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.conv_id = q.conv_id AND seen.turn = q.turn AND seen.low = lower(q.term)) AND NOT EXISTS (SELECT 1 FROM told WHERE told.conv_id = q.conv_id AND told.turn = q.turn AND lower(told.term) = lower(q.term)) QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY p) <= 10),
+e AS (SELECT conv_id, turn, string_agg(term, ' ' ORDER BY source, p) AS extra FROM (SELECT * FROM told UNION ALL SELECT * FROM r) GROUP BY 1, 2)
+SELECT a.conv_id, a.turn, CASE WHEN extra IS NULL THEN content ELSE content || ' ' || extra END AS query FROM a LEFT JOIN e ON e.conv_id = a.conv_id AND e.turn = a.turn""")
+
+
+@query("o190_widened_questions", _widened_sql())
 def widened(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.widened_questions(MESSAGES.frame(spark, sf_dir))
 
