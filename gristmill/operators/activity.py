@@ -62,23 +62,49 @@ def rates(events: DataFrame, width: str, seconds: int) -> DataFrame:
     return w.select(F.col("w.start").alias("window_start"), "name", "n", (F.col("n") / F.lit(float(seconds))).alias("per_second"), "average")
 
 
+#: Times to live that a part of a key's time line spans.
+PART_LIVES = 256
+
+
+def _bursts(deliveries: DataFrame, ttl_seconds: int) -> DataFrame:
+    """``deliveries`` (key, at) with ``burst``: when the run of deliveries without a gap of more than the time to live began that each belongs to.
+
+    Gaps are found within parts of a key's time line; only a row for each part meets its neighbours.
+    """
+    parted = deliveries.withColumn("part", F.floor(F.col("at") / F.lit(PART_LIVES * max(1, ttl_seconds))))
+    ends = parted.groupBy("key", "part").agg(F.max("at").alias("end"))
+    ends = ends.select(F.col("key").alias("__k"), F.col("part").alias("__p"), F.lag("end").over(Window.partitionBy("key").orderBy("part")).alias("carried"))
+    alike = F.col("key").eqNullSafe(F.col("__k")) & (F.col("part") == F.col("__p"))
+    inner = Window.partitionBy("key", "part").orderBy("at")
+    met = parted.withColumn("before", F.lag("at").over(inner)).join(ends, alike).drop("__k", "__p")
+    before = F.coalesce("before", "carried")
+    begun = met.withColumn("begins", F.when(before.isNull() | (F.col("at") - before > ttl_seconds), F.col("at")))
+    begun = begun.select("key", "part", "at", F.max("begins").over(inner.rangeBetween(Window.unboundedPreceding, Window.currentRow)).alias("own"))
+    lasts = begun.groupBy("key", "part").agg(F.max("own").alias("last"))
+    open_ = F.max("last").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    lasts = lasts.select(F.col("key").alias("__k"), F.col("part").alias("__p"), open_.alias("open"))
+    return begun.join(lasts, alike).select("key", "at", F.coalesce("own", "open").alias("burst"))
+
+
 def accepted_deliveries(deliveries: DataFrame, ttl_seconds: int) -> DataFrame:
     """key, at of the deliveries (key, at in whole seconds) that aren't repeats within the time to live of the last accepted one.
 
-    Keys are dealt out and sorted by time; a pass over the rows holds the last accepted time of one key, never a key's history.
+    After a gap of more than the time to live a delivery is accepted whatever came before, so the bursts between gaps are dealt out, not whole
+    keys. A pass over the sorted rows of a burst holds the last accepted time; a key whose deliveries never pause is one burst, and one task passes over it.
     """
     kind = deliveries.schema["key"].dataType.simpleString()
-    dealt = deliveries.where("at IS NOT NULL").select("key", F.col("at").cast("long").alias("at")).repartition("key").sortWithinPartitions("key", "at")
+    rows = deliveries.where("at IS NOT NULL").select("key", F.col("at").cast("long").alias("at"))
+    dealt = _bursts(rows, ttl_seconds).select("key", "at", "burst").repartition("key", "burst").sortWithinPartitions("key", "burst", "at")
 
     def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begun, of, last = False, None, 0
         for batch in batches:
             kept = []
-            for key, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                kept.append(not begun or key != of or at - last > ttl_seconds)
+            for key, at, burst in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                kept.append(not begun or (key, burst) != of or at - last > ttl_seconds)
                 if kept[-1]:
-                    begun, of, last = True, key, at
-            yield batch.filter(pa.array(kept, pa.bool_()))
+                    begun, of, last = True, (key, burst), at
+            yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
 
     return dealt.mapInArrow(accept, f"key {kind}, at long")
 

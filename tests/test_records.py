@@ -201,3 +201,34 @@ def test_journal_keeps_null_keys_and_compacts(spark, tmp_path):
         assert got == sorted([(1, 1, "a"), (1, 2, "c"), (None, 1, "d"), (None, 1, "d"), (2, None, "e")], key=repr)
     triggers.compact_journal(spark, out)
     assert sorted((tuple(r) for r in spark.read.parquet(out).select("attempt", "seq", "note").collect()), key=repr) == got
+
+
+def test_remembered_deliveries_of_the_whole_table(spark, sf_dir):
+    from gristmill.plans import registry
+
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_type", "cast(user_id AS string) AS k", "floor(unix_micros(cast(ts AS timestamp)) / 1000000) AS at").collect()
+    want, held = [], {}
+    for scope, key, at in sorted(map(tuple, rows), key=lambda r: (r[0], r[2], r[1])):
+        seen = held.setdefault(scope, [])
+        seen[:] = [(k, t) for k, t in seen if at - t <= 86_400]
+        if key not in {k for k, _ in seen}:
+            want.append((scope, key, at))
+            seen[:] = [*seen, (key, at)][-50:]
+    got = sorted(tuple(r) for r in registry.QUERIES["o252_remembered_deliveries"](spark, sf_dir).collect())
+    assert got == sorted(want) and len(got) < len(rows)
+
+
+def test_accepted_deliveries_by_bursts(spark):
+    rng = np.random.default_rng(12)
+    rows = [(str(k) if k else None, int(t)) for k in range(4) for t in np.cumsum(rng.choice([0, 1, 4, 11, 12, 40, 5_000], 900, p=[0.1, 0.4, 0.2, 0.1, 0.1, 0.09, 0.01]))]
+    given = spark.createDataFrame([*rows, ("1", None)], "key string, at long").repartition(5)
+    for ttl in (0, 11):
+        last, want = {}, []
+        for key, at in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+            if key not in last or at - last[key] > ttl:
+                last[key] = at
+                want.append((key, at))
+        got = [tuple(r) for r in activity.accepted_deliveries(given, ttl).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+    bursts = activity._bursts(given.where("at IS NOT NULL"), 11).where("key = '1'").agg(F.countDistinct("burst")).first()[0]
+    assert bursts > 50
