@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gristmill.functions import text
 from gristmill.operators import context as ops
 from gristmill.operators import diffs, evidence
 from gristmill.plans.registry import query
-from gristmill.sources.tables import CHANGES, CODE, FINDINGS, over, table
+from gristmill.sources.tables import CHANGES, CODE, DRAFTS, FINDINGS, over, table
 
 NAMES = "names AS (SELECT file_id, pull_id, path, unnest(['fn' || file_id % 40, 'y' || file_id % 23, 'z' || file_id % 7]) AS name FROM v_code)"
 SYMBOLS = "syms AS (SELECT file_id, pull_id, path, unnest(CASE WHEN file_id % 3 = 0 THEN ['fn' || file_id % 40, 'ar' || file_id % 13] ELSE ['fn' || file_id % 40, 'K' || file_id % 9] END) AS name FROM v_changes)"
@@ -32,9 +33,46 @@ def changed_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes(spark, sf_dir).select("file_id", F.array_join(F.sort_array(ops.changed_symbols(F.col("path"), F.col("text"))), ",").alias("symbols"))
 
 
-@query("o212_context_terms")
+def _listed(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+#: Telling names of a list in order, each once, and the terms of a change (file_id, path, changed), reckoned over lists of matches.
+TELLING = f"list_filter({{0}}, lambda n, i: length(n) >= 2 AND NOT list_contains({_listed(ops.CONTEXT_KEYWORDS)}, lower(n)) AND list_position({{0}}, n) = i)"
+DECLARED = "list_concat(" + ", ".join(f"regexp_extract_all(changed, '{p}', 1)" for p in (ops.CHANGED_FUNCTION.replace(r"(?=\s*\()", r"\s*\("), ops.CHANGED_CLASS, ops.CHANGED_ARROW)) + ")"
+
+
+def _terms(view: str) -> str:
+    symbols = TELLING.format("declared") + "[1:2]"
+    of = lambda test: f"list_transform(list_filter(kinds, lambda x: {test}), lambda x: x.t)"
+    return (
+        f"m AS (SELECT file_id, path, {DECLARED} AS declared, list_concat(list_filter(regexp_extract_all(changed, '{text.IDENTIFIER}'), lambda w: length(w) >= {text.MIN_IDENTIFIER} AND NOT list_contains({_listed(text.KEYWORDS)}, lower(w))), regexp_extract_all(changed, '{ops.NAME}')) AS found, "
+        f"list_concat(regexp_extract_all(changed, '\\.(\\w+)', 1), regexp_extract_all(changed, '(\\w+)(?:\\s*[.$({{\\[=,:;)]|\\z)', 1), regexp_extract_all(changed, '`[^`]*?\\b(\\w+)`', 1)) AS used FROM {view}), "
+        "q AS (SELECT file_id, path, declared, list_filter(found, lambda t, i: list_position(found, t) = i AND (regexp_matches(t, '[A-Z_$]') OR list_contains(used, t))) AS precise FROM m), "
+        "k AS (SELECT file_id, path, declared, list_transform(precise, lambda t: {'t': t, 'strong': regexp_matches(t, '[a-z][A-Z]|^[A-Z]{2,}$|[_$]'), 'capital': regexp_matches(t, '^[A-Z][a-z]+$')}) AS kinds FROM q), "
+        f"e AS (SELECT file_id, list_concat({symbols}, {of('x.strong')}, {of('NOT x.strong AND NOT x.capital')}, regexp_extract_all(path, '[A-Za-z][A-Za-z0-9_]*'), {of('NOT x.strong AND x.capital')}) AS every FROM k) "
+        f"SELECT file_id, array_to_string({TELLING.format('every')}, ',') AS terms FROM e"
+    )
+
+
+@query("o212_context_terms", over("v_changes", f"WITH c AS (SELECT file_id, path, text AS changed FROM v_changes), {_terms('c')}"))
 def context_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changes(spark, sf_dir).select("file_id", ops.context_terms(F.col("path"), F.col("text")).alias("terms"))
+    return changes(spark, sf_dir).select("file_id", F.array_join(ops.context_terms(F.col("path"), F.col("text")), ",").alias("terms"))
+
+
+@query("o212_terms_of_texts", over("v_drafts", f"WITH {_terms('v_drafts')}"))
+def terms_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return DRAFTS.frame(spark, sf_dir).select("file_id", F.array_join(ops.context_terms(F.col("path"), F.col("changed")), ",").alias("terms"))
+
+
+@query("o211_symbols_of_texts", over("v_drafts", f"WITH d AS (SELECT file_id, {DECLARED} AS declared FROM v_drafts) SELECT file_id, array_to_string({TELLING.format('declared')}[1:2], ',') AS symbols FROM d"))
+def symbols_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return DRAFTS.frame(spark, sf_dir).select("file_id", F.array_join(ops.changed_symbols(F.col("path"), F.col("changed")), ",").alias("symbols"))
+
+
+@query("o210_exports_of_texts", over("v_drafts", f"WITH n AS (SELECT file_id, unnest(regexp_extract_all(content, '{ops.EXPORTED}', 1)) AS name FROM v_drafts UNION SELECT file_id, name FROM (SELECT file_id, string_split_regex(regexp_replace(one, '^\\s+|\\s+$', '', 'g'), '\\s+as\\s+')[-1] AS name FROM (SELECT file_id, unnest(string_split(listed, ',')) AS one FROM (SELECT file_id, unnest(regexp_extract_all(content, '{ops.EXPORT_LIST}', 1)) AS listed FROM v_drafts))) WHERE regexp_matches(name, '^{ops.NAME}$')) SELECT file_id, name FROM n"))
+def exports_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return DRAFTS.frame(spark, sf_dir).select("file_id", F.explode(ops.exported_names(F.col("content"))).alias("name"))
 
 
 @query("o071_export_mentions", over("v_code v_changes", f"WITH {NAMES}, said AS (SELECT DISTINCT pull_id, path, unnest(regexp_extract_all(text, '[A-Za-z_$][A-Za-z0-9_$]*')) AS name FROM v_changes) SELECT DISTINCT s.pull_id, s.path, n.path AS other FROM said s JOIN names n ON n.pull_id = s.pull_id AND n.name = s.name WHERE s.path <> n.path"))
@@ -54,7 +92,9 @@ def spaced_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("g", F.array_join(ops.spaced(F.col("l")), ",").alias("points"))
 
 
-@query("o133_head_windows")
+@query("o133_head_windows", "WITH t AS (SELECT doc_id, string_split_regex(text, '\\r?\\n') AS ls FROM documents WHERE text <> ''), a AS (SELECT DISTINCT doc_id, ls, unnest([doc_id % 30, 1, doc_id % 70]) AS p FROM t), v AS (SELECT *, greatest(80, 12000 // count(*) OVER (PARTITION BY doc_id)) AS share FROM a WHERE p > 0 AND p <= len(ls)), "
+    "l AS (SELECT doc_id, p, share, unnest(range(greatest(1, p - 20), least(len(ls), p + 20) + 1)) AS line, ls FROM v), c AS (SELECT doc_id, p, share, line, CASE WHEN length(ls[line]) > 600 THEN substr(ls[line], 1, 600) || ' ... (line truncated)' ELSE ls[line] END AS text FROM l), "
+    "s AS (SELECT *, sum(length(line || '') + 3 + length(text) + 1) OVER (PARTITION BY doc_id, p ORDER BY abs(line - p), line ROWS UNBOUNDED PRECEDING) AS used FROM c) SELECT DISTINCT doc_id, cast(line AS integer) AS line, text FROM s WHERE used <= share")
 def head_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = F.array(F.col("doc_id") % 30, F.lit(1).cast("long"), F.col("doc_id") % 70)
     files = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), points.alias("points"))

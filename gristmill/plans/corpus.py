@@ -71,13 +71,29 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FILES.frame(spark, sf_dir).select("file_id", "path", "content")
 
 
-@query("o220_chunks")
+LINES = "t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE regexp_matches(text, '\\S')), l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS k FROM t), z AS (SELECT doc_id, len(ls) AS z FROM t)"
+COMMENT = "regexp_matches(line, '^\\s*(//|#|--|;|%|\\*|/\\*|\"\"\"|\\x27\\x27\\x27|<!--)')"
+KIND = "CASE WHEN regexp_matches(path, '(^|/)Dockerfile') THEN '' WHEN path LIKE '%.ts' THEN 'typescript' WHEN path LIKE '%.js' THEN 'javascript' WHEN path LIKE '%.py' THEN 'python' WHEN path LIKE '%.md' THEN 'markdown' ELSE '' END"
+STARTS = "CASE kind " + " ".join(f"WHEN '{k}' THEN regexp_matches(line, '^(?:{ops.DEFINITIONS[k]})')" for k in ("typescript", "javascript", "python", "markdown")) + " ELSE regexp_matches(line, '^[A-Za-z_]') END"
+#: Chunks: as the merged segments below, by each path's own language; then windows of 80 lines every 72, each cut at 6 000 characters.
+CHUNKED = (
+    f"WITH RECURSIVE t AS (SELECT file_id, path, {KIND} AS kind, string_split(content, chr(10)) AS ls FROM v_files WHERE regexp_matches(content, '\\S')), l AS (SELECT file_id, kind, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS k FROM t), "
+    f"c AS (SELECT *, coalesce(max(CASE WHEN NOT {COMMENT} THEN k END) OVER (PARTITION BY file_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) + 1 AS lead FROM l), "
+    f"b AS (SELECT file_id, 0 AS s FROM t UNION SELECT c.file_id, c.lead FROM c LEFT JOIN l p ON p.file_id = c.file_id AND p.k = c.lead - 1 WHERE c.k > 0 AND regexp_matches(c.line, '\\S') AND {STARTS.replace('kind', 'c.kind').replace('line', 'c.line')} AND (c.lead = 0 OR NOT regexp_matches(p.line, '\\S'))), "
+    "g AS (SELECT b.file_id, s, coalesce(lead(s) OVER (PARTITION BY b.file_id ORDER BY s), len(ls)) AS e, row_number() OVER (PARTITION BY b.file_id ORDER BY s) AS i FROM b JOIN t ON t.file_id = b.file_id), "
+    "r AS (SELECT file_id, i, s AS first, e FROM g WHERE i = 1 UNION ALL SELECT g.file_id, g.i, CASE WHEN g.e - r.first <= 80 THEN r.first ELSE g.s END, g.e FROM r JOIN g ON g.file_id = r.file_id AND g.i = r.i + 1), "
+    "sp AS (SELECT file_id, first, max(e) AS e FROM r GROUP BY 1, 2), w AS (SELECT file_id, e, unnest(CASE WHEN e - first <= 80 THEN [first] ELSE range(first, e - 80 + 72, 72) END) AS begun FROM sp), "
+    "wl AS (SELECT w.file_id, begun, l.k, line, length(line) AS n FROM w JOIN l ON l.file_id = w.file_id AND l.k >= begun AND l.k < least(begun + 80, e)), "
+    "q AS (SELECT file_id, begun, k, k AS first, n + 1 AS size, n >= 6000 AS lone FROM wl WHERE k = begun UNION ALL SELECT x.file_id, x.begun, x.k, CASE WHEN x.n >= 6000 OR q.lone OR q.size + x.n + 1 > 6000 THEN x.k ELSE q.first END, CASE WHEN q.lone OR q.size + x.n + 1 > 6000 THEN x.n + 1 ELSE q.size + x.n + 1 END, x.n >= 6000 FROM q JOIN wl x ON x.file_id = q.file_id AND x.begun = q.begun AND x.k = q.k + 1) "
+    "SELECT q.file_id, path, first + 1 AS start_line, max(q.k) + 1 AS end_line, string_agg(substr(line, 1, 6000), chr(10) ORDER BY q.k) AS content FROM q JOIN wl ON wl.file_id = q.file_id AND wl.begun = q.begun AND wl.k = q.k JOIN t ON t.file_id = q.file_id GROUP BY q.file_id, path, q.begun, first HAVING bool_or(regexp_matches(substr(line, 1, 6000), '\\S'))"
+)
+
+
+@query("o220_chunks", over("v_files", CHUNKED))
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.chunks(_files(spark, sf_dir))
 
 
-LINES = "t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE regexp_matches(text, '\\S')), l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS k FROM t), z AS (SELECT doc_id, len(ls) AS z FROM t)"
-COMMENT = "regexp_matches(line, '^\\s*(//|#|--|;|%|\\*|/\\*|\"\"\"|\\x27\\x27\\x27|<!--)')"
 SEGMENTS = (
     f"WITH RECURSIVE {LINES}, c AS (SELECT *, coalesce(max(CASE WHEN NOT {COMMENT} THEN k END) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) + 1 AS lead FROM l), "
     "b AS (SELECT DISTINCT doc_id, 0 AS s FROM l UNION SELECT c.doc_id, c.lead FROM c LEFT JOIN l p ON p.doc_id = c.doc_id AND p.k = c.lead - 1 WHERE c.k > 0 AND regexp_matches(c.line, '^[A-Za-z_]') AND (c.lead = 0 OR NOT regexp_matches(p.line, '\\S'))), "

@@ -95,17 +95,25 @@ CHANGES = View("documents", {
     "text": "concat('export function fn', cast(doc_id % 40 AS string), '(a) {', chr(10), CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat('class K', cast(doc_id % 9 AS string), ' {', chr(10)) END, "
             "'const ar', cast(doc_id % 13 AS string), ' = (x) => y', cast(doc_id % 23 AS string), '.get(z', cast(doc_id % 5 AS string), ')')",
 })
+#: The texts themselves as code: clauses become declarations, sentences export lists; the names are whatever words stand there.
+DRAFTS = View("documents", {
+    "file_id": "doc_id", "path": "CASE WHEN doc_id % 3 = 0 THEN concat('tests/Draft', cast(doc_id AS string), '.test.ts') ELSE concat('src/draft_file', cast(doc_id AS string), '.py') END",
+    "content": "replace(replace(replace(text, 's, ', concat(chr(10), 'export class ')), '. ', concat(' };', chr(10), 'export { ')), 'e, ', concat(chr(10), chr(9), 'export async function '))",
+    "changed": "replace(replace(replace(replace(text, ', ', concat(chr(10), '  function ')), '. ', concat(chr(10), 'export default class ')), ' a', '(a'), ' s', ' = s => .')",
+})
 MESSAGES = View("conversations", {"conv_id": "conv_id", "turn": "turn", "role": "role", "content": "text"})
 OLD_FILES = View("part", {"path": "p_name || cast(p_partkey AS string)", "key": "p_partkey", "blob_hash": "p_brand"}, where="p_partkey % 10 <> 0")
 NEW_FILES = View("part", {"path": "p_name || cast(p_partkey AS string)", "key": "p_partkey", "blob_hash": "CASE WHEN p_partkey % 5 = 0 THEN concat(p_brand, 'x') ELSE p_brand END"}, where="p_partkey % 7 <> 0")
 
-VIEWS = {"v_files": FILES, "v_chunks": CHUNKS, "v_vec": VECTORS, "v_queries": SEARCHES, "v_usage": USAGE, "v_prices": PRICES, "v_reviews": REVIEWS, "v_findings": FINDINGS, "v_messages": MESSAGES, "v_old": OLD_FILES, "v_new": NEW_FILES, "v_code": CODE, "v_changes": CHANGES}
+VIEWS = {"v_files": FILES, "v_chunks": CHUNKS, "v_vec": VECTORS, "v_queries": SEARCHES, "v_usage": USAGE, "v_prices": PRICES, "v_reviews": REVIEWS, "v_findings": FINDINGS, "v_messages": MESSAGES, "v_old": OLD_FILES, "v_new": NEW_FILES, "v_code": CODE, "v_changes": CHANGES, "v_drafts": DRAFTS}
 
 
 def over(names: str, body: str) -> str:
     """SQL of ``body`` with the views ``names`` (blank-separated) and any tables it defines itself: ``WITH`` them all."""
     held = [f"{n} AS ({VIEWS[n].sql()})" for n in names.split()]
     body = body.strip()
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {', '.join([*held, body[15:]])}"
     if body[:5].upper() == "WITH ":
         return f"WITH {', '.join(held)}, {body[5:]}" if held else body
     return f"WITH {', '.join(held)} {body}" if held else body
