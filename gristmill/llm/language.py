@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of each language that the profiles are learned from, at most about so many; and languages that a column may name.
+#: Rows of each language that the profiles are learned from, at most about so many; and languages that are learned at most.
 SAMPLE_DOCS, LANGUAGES = 3_000, 1_000
 PROFILE = 400
 UNKNOWN = "und"
@@ -111,16 +111,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, size: int = PROFILE) -> Profiles:
+def learn(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, languages: int = LANGUAGES, size: int = PROFILE) -> Profiles:
     """Profiles of the languages in ``docs`` (doc_id, text, lang), without held-out rows and null languages.
 
-    n-grams are counted on the executors, summed a language, and the ``size`` foremost of each come to the driver. A column
-    with more than ``LANGUAGES`` different values is no column of languages and is refused.
+    n-grams are counted on the executors, summed a language, and the ``size`` foremost of each come to the driver. Where the
+    column names more than ``languages``, those with most labelled rows are learned (of equal ones the first by name): a column
+    full of stray values costs the rarest of them their profiles, and every text is still told.
     """
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != UNKNOWN))
-    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()}
-    if len(totals) > LANGUAGES:
-        raise ValueError(f"lang has more than {LANGUAGES} different values")
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    totals = {r["lang"]: r["n"] for r in counts.orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not totals:
         return Profiles({}, size)
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)

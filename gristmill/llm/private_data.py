@@ -1,7 +1,8 @@
 """Private data replaced by surrogates that keep their kind, format, script and gender.
 
-Mentions of e-mail and network addresses (IPv4 and IPv6), phone, card and identity numbers, secrets and titled names are detected in whole
-texts. Each distinct entity (kind and canonical value, so that two ways to write one number meet) gets one surrogate from a
+Mentions of e-mail and network addresses (IPv4 and IPv6), phone, card and identity numbers, bank accounts, secrets and names of persons are
+detected in whole texts. A name is known by a title, by a label before it (``Author: Jane Roe``), by words that introduce it, or by an
+e-mail address of the same text that is made of it (``jane.roe@``); then all its mentions in the text count. Each distinct entity (kind and canonical value, so that two ways to write one number meet) gets one surrogate from a
 keyed hash, the same everywhere: coreference holds within and across documents. A given name has one gender over the corpus, that
 of most of its mentions after a title that tells one, so "Dr Maria Clark" and "Mrs Maria Clark" are one person. A surrogate that
 two entities drew, or that is a real entity of the corpus, is drawn again by all but one, until none is left: distinct
@@ -10,6 +11,7 @@ entities stay distinct, names of all kinds among each other too.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
 import ipaddress
@@ -26,6 +28,10 @@ from gristmill.llm.line_dedup import flags, with_flag
 
 # Titles by gender, and names to draw from, by gender.
 TITLES = {"mr": "m", "mister": "m", "sir": "m", "mrs": "f", "ms": "f", "miss": "f", "lady": "f", "dr": "u", "prof": "u", "herr": "m", "frau": "f", "monsieur": "m", "madame": "f", "mme": "f", "mlle": "f", "señor": "m", "señora": "f", "sra": "f", "srta": "f", "господин": "m", "госпожа": "f"}
+#: Labels, with a colon, and phrases that a person's name follows; words after which a number is none of a phone.
+LABELS = ["name", "full name", "author", "contact", "contact person", "signed", "attn", "nombre", "nom", "имя"]
+PHRASES = ["my name is", "signed by", "written by", "yours sincerely,", "kind regards,", "best regards,", "mein name ist", "me llamo", "je m'appelle", "меня зовут"]
+NUMBERED = re.compile(r"(?i)(?<!\w)(?:order|invoice|ticket|case|ref|reference|isbn|id|part|article)[ .:#]{0,3}(?:(?:no|nr|number)[ .:#]{1,3})?$")
 GIVEN = {
     "m": ["Adrian", "Bernard", "Carlos", "Daniel", "Edward", "Felix", "Gabriel", "Hugo", "Ivan", "Julian", "Karl", "Lucas", "Martin", "Nicolas", "Oscar", "Paul"],
     "f": ["Alice", "Beatrice", "Clara", "Diana", "Elena", "Flora", "Greta", "Helen", "Irene", "Julia", "Karin", "Laura", "Maria", "Nina", "Olivia", "Paula"],
@@ -36,8 +42,8 @@ SYLLABLES = ["ba", "bel", "cor", "da", "den", "el", "fa", "gar", "hal", "i", "jo
 #: Attempts after which surrogates grow.
 WIDER = 3
 
-_D = r"(?<![\w.])"
 _LOWER = "".join(c for c in map(chr, range(0x80, 0x2000)) if c.islower() and c.isalpha())
+_CAPITAL = r"[^\W\d_a-z" + _LOWER + r"][^\W\d_]*(?:['’-][^\W\d_]+)*"
 PATTERNS = [
     ("email", re.compile(r"[^\s@<>()\[\]\"',;:]{1,64}@[\w-]+(?:\.[\w-]+)+")),
     ("ip", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)")),
@@ -47,6 +53,7 @@ PATTERNS = [
     ("phone", re.compile(r"(?<!\w)\+\d(?:[ .()-]{0,2}\d){7,14}(?!\w|[.-]\d)|(?<![\w.])(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w|[.-]\d)")),
     ("card", re.compile(r"(?<!\w)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w)")),
     ("secret", re.compile(r"(?<!\w)(?=[A-Za-z_-]{0,200}\d)(?=[\d_-]{0,200}[A-Za-z])(?:[A-Fa-f0-9]{32,}|(?:sk|pk|ghp|gho|xox[abp]|AKIA|AIza|glpat)[A-Za-z0-9_-]{12,})(?!\w)")),
+    ("named", re.compile(r"(?<!\w)(?:(?i:" + "|".join(LABELS) + r")[ \t]{0,4}:[ \t]{0,4}|(?i:" + "|".join(p.replace(" ", r"\s{1,4}") for p in PHRASES) + r")\s{1,4})((?:" + _CAPITAL + r"[ \t]){1,2}" + _CAPITAL + r")(?=[ \t]*(?:[.,;()<\[\r\n]|$))")),
     ("name", re.compile(r"(?<!\w)((?i:" + "|".join(TITLES) + r"))(\.?[  ]+)((?:(?!(?i:" + "|".join(TITLES) + r")(?!\w))[^\W\d_a-z" + _LOWER + r"][^\W\d_]*['’-]?[^\W\d_]*[  ]?)+)")),
 ]
 
@@ -54,7 +61,8 @@ PATTERNS = [
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical value) of the mentions in ``text``, in order, none within another.
 
-    Names found after a title are looked up in the rest of the text, but for words that it also writes in lower case.
+    Names found are looked up in the rest of the text, but for words that it also writes in lower case (other than in an address).
+    A number after a word such as ``order`` or ``invoice`` is no phone unless it begins with a plus.
     """
     found: list[tuple[int, int, str, str]] = []
     digits = any(c in text for c in "0123456789")
@@ -63,7 +71,11 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             continue
         for m in pattern.finditer(text):
             if kind == "name":
-                found += _names(m)
+                found += _names(m, 3, TITLES[m.group(1).lower()])
+            elif kind == "named":
+                found += _names(m, 1, "u")
+            elif kind == "phone" and m.group()[0] != "+" and NUMBERED.search(text, max(0, m.start() - 30), m.start()):
+                continue
             elif kind == "ipv6":
                 if (value := _ipv6(m.group())) is not None:
                     found.append((*m.span(), kind, value))
@@ -71,7 +83,10 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 value = m.group().rstrip(".-") if kind == "email" else m.group()
                 canonical = re.sub(r"\D", "", value) if kind in ("phone", "card", "id") else value.replace(" ", "") if kind == "iban" else value.lower() if kind == "email" else value
                 found.append((m.start(), m.start() + len(value), kind, canonical))
-    found += _again(text, {value: kind for _, _, kind, value in reversed(found) if kind.startswith("given_") or kind == "surname"})
+    addresses = [f for f in found if f[2] == "email"]
+    found += _of_addresses(text, {value for _, _, _, value in addresses})
+    names = {value: kind for _, _, kind, value in reversed(found) if kind.startswith("given_") or kind == "surname"}
+    found += _again(text, names, [f[:2] for f in addresses])
     out, end = [], 0
     for one in sorted(found, key=lambda x: (x[0], -x[1])):
         if one[0] >= end:
@@ -88,9 +103,9 @@ def _ipv6(text: str) -> str | None:
         return None
 
 
-def _names(m: re.Match) -> list[tuple[int, int, str, str]]:
-    """The capitalised words after a title, the last one as the surname; equal names in other case are one entity."""
-    gender, at, words = TITLES[m.group(1).lower()], m.start(3), m.group(3).split()
+def _names(m: re.Match, group: int, gender: str) -> list[tuple[int, int, str, str]]:
+    """The capitalised words of a group of ``m``, the last one as the surname; equal names in other case are one entity."""
+    at, words = m.start(group), m.group(group).split()
     out = []
     for k, word in enumerate(words):
         start = m.string.index(word, at)
@@ -101,11 +116,36 @@ def _names(m: re.Match) -> list[tuple[int, int, str, str]]:
     return out
 
 
-def _again(text: str, names: dict[str, str]) -> list[tuple[int, int, str, str]]:
-    """All mentions of ``names`` (in lower case, with their kinds) in ``text``, with a title or without."""
+def _of_addresses(text: str, addresses: set[str]) -> list[tuple[int, int, str, str]]:
+    """Names in ``text`` that one of the e-mail ``addresses`` is made of, as ``Jane Roe``, ``Jane Q. Roe`` or ``Roe, Jane``; one pass for all addresses."""
+    known = set()
+    for address in addresses:
+        parts = [p for p in re.split(r"[._\d-]+", address.partition("@")[0]) if p]
+        if len(parts) == 2 and all(p.isalpha() and len(p) > 1 for p in parts):
+            known |= {tuple(parts), tuple(reversed(parts))}
+    if not known:
+        return []
+    words = [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"(?<!\w)" + _CAPITAL + r"(?!\w)", text)]
+    out = []
+    for k, (start, end, word) in enumerate(words[:-1]):
+        between = text[end : words[k + 1][0]]
+        after = k + 1
+        if between == " " and len(words[after][2]) == 1 and after + 1 < len(words) and text[words[after][1] : words[after + 1][0]] == ". ":
+            after += 1  # an initial between the names
+        first, last = (start, end, word), words[after]
+        if (word, last[2]) in known and between in (" ", "\u00a0", ", "):
+            given, family = (last, first) if between == ", " else (first, last)
+            out += [(given[0], given[1], "given_u", given[2]), (family[0], family[1], "surname", family[2])]
+    return out
+
+
+def _again(text: str, names: dict[str, str], addresses: list[tuple[int, int]]) -> list[tuple[int, int, str, str]]:
+    """All mentions of ``names`` (in lower case, with their kinds) in ``text``, with a title or without; within ``addresses`` (spans in order) none counts."""
     if not names:
         return []
-    said = [(m.start(), m.end(), m.group()) for m in re.finditer(r"(?<!\w)(?i:" + "|".join(map(re.escape, sorted(names, key=len, reverse=True))) + r")(?!\w)", text)]
+    starts = [a for a, _ in addresses]
+    within = lambda at: (k := bisect.bisect_right(starts, at)) > 0 and at < addresses[k - 1][1]
+    said = [(m.start(), m.end(), m.group()) for m in re.finditer(r"(?<!\w)(?i:" + "|".join(map(re.escape, sorted(names, key=len, reverse=True))) + r")(?!\w)", text) if not within(m.start())]
     common = {word.lower() for _, _, word in said if word[0].islower()}
     return [(start, end, names[word.lower()], word.lower()) for start, end, word in said if word.lower() in names and word.lower() not in common]
 
@@ -169,7 +209,9 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         *names, top = domain.split(".")
         return "".join(_like(c, s) for c in local + "a" * more) + "@" + ".".join("".join(_like(c, s) for c in n) for n in names) + "." + top
     if kind == "iban":
-        return value[:2] + "".join(_like(c, s) for c in value[2:] + "0" * more)
+        account = "".join(_like(c, s) for c in value[4:] + "0" * more)
+        valid = _mod97(value[4:] + value[:4]) == 1  # a valid number gets a valid one
+        return value[:2] + (f"{98 - _mod97(account + value[:2] + '00'):02d}" if valid else "".join(_like(c, s) for c in value[2:4])) + account
     if kind == "secret" and re.fullmatch(r"[A-Fa-f0-9]+", value):
         return "".join(("ABCDEF0123456789" if value.upper() == value else "abcdef0123456789")[s.below(16)] for _ in value + "0" * more)
     if kind.startswith("given_") or kind == "surname":
@@ -192,6 +234,11 @@ def _luhn(digits: str) -> int:
     return total % 10
 
 
+def _mod97(code: str) -> int:
+    """The remainder of an account number whose letters stand for 10 to 35."""
+    return int("".join(str(int(c, 36)) for c in code)) % 97
+
+
 def _formatted(mention: str, canonical: str, kind: str) -> str:
     """``canonical`` in the writing of ``mention``: its separators, and its upper case for an address."""
     if kind in ("phone", "card", "id", "iban"):

@@ -13,6 +13,7 @@ import pytest
 
 import corpus_pipeline
 from gristmill.llm import embedding_dedup, line_dedup, ngram_join, private_data, queries, sharding
+from gristmill.llm._shared import staged
 from gristmill.llm.components import components
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -298,10 +299,10 @@ def test_odd_shards(spark):
 def test_pipeline_stages_are_their_operators(spark, sf_dir, docs):
     """Each stage against a plain reckoning of what it does, on what its predecessor kept."""
     stages = dict(corpus_pipeline.STAGES)
-    told = corpus_pipeline.staged(stages["language_id"](spark, docs, sf_dir), "test-told")
+    told = staged(stages["language_id"](spark, docs, sf_dir), "test-told")
     lettered = {r["doc_id"] for r in docs.collect() if r["text"] and any(unicodedata.category(c)[0] == "L" for c in r["text"])}
     assert {r["doc_id"] for r in told.collect()} == lettered
-    cleaned = corpus_pipeline.staged(stages["line_dedup"](spark, told, sf_dir), "test-cleaned")
+    cleaned = staged(stages["line_dedup"](spark, told, sf_dir), "test-cleaned")
     rows = [(r["doc_id"], r["text"]) for r in told.collect()]
     gone, want = lines_gone(rows), {}
     for d, text in rows:
@@ -309,7 +310,7 @@ def test_pipeline_stages_are_their_operators(spark, sf_dir, docs):
         if not any(gone[d, k] for k in range(text.count("\n") + 1)) or any(WORDS.search(x) for x in left):
             want[d] = "\n".join(left)
     assert {r["doc_id"]: r["text"] for r in cleaned.collect()} == want
-    one = corpus_pipeline.staged(stages["ngram_jaccard"](spark, cleaned, sf_dir), "test-one")
+    one = staged(stages["ngram_jaccard"](spark, cleaned, sf_dir), "test-one")
     assert {r["doc_id"] for r in one.collect()} == set(jaccard_roots(list(want.items()), 5, 80)[1].values())
     private = {r["doc_id"]: r["text"] for r in stages["private_data"](spark, one, sf_dir).collect()}
     for r in one.collect():
@@ -329,7 +330,7 @@ def test_pipeline_of_odd_rows(spark, sf_dir):
     given = frame(spark, rows)
     for now in (given, given.limit(0)):
         for name, stage in corpus_pipeline.STAGES:
-            now = corpus_pipeline.staged(stage(spark, now, sf_dir), f"odd-{name}")
+            now = staged(stage(spark, now, sf_dir), f"odd-{name}")
         ids = {r["doc_id"] for r in now.collect()}
         assert ids in (set(), {None, 3, 4, 5})
 
