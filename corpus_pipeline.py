@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gristmill.llm import language, line_dedup, ngram_join, packing, private_data
-from gristmill.llm._shared import staged
+from gristmill.llm._shared import Scratch
 
 
 #: Key of the registered query's surrogates, which must give the same rows each time; a user takes a secret one.
@@ -57,7 +57,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after another; each stage's table goes once the next one is written, but for the last, which the result reads."""
+    docs, scratch, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline"), None
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        docs = scratch.put(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            scratch.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
