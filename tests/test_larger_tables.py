@@ -43,3 +43,15 @@ def test_symbol_mentions_meet_few_files_of_a_word(spark):
         want |= {(path, m[2], m[3], place) for place, m in enumerate(sorted(met)[:2], 1)}
     assert {(r["path"], r["other"], tuple(r["lines"]), r["place"]) for r in rows} == want and len(rows) == len(want)
     assert records < 12 * (len(files) + len(changes))
+
+
+def test_history_joins_the_first_findings_alone(spark):
+    touched = [(r, 1, "a", 99, "o/r") for r in range(60)]
+    findings = [(7, n, "a", f"t{n}") for n in range(500)]
+    found = publishing.history(
+        spark.createDataFrame(touched, "review_id int, place int, path string, own_pull int, repo string"), spark.createDataFrame([("a", 1, "s")], "path string, turn int, sha string"),
+        spark.createDataFrame([("s", 1, 7, "O/R", True)], "sha string, turn int, pull int, repo string, merged boolean"), spark.createDataFrame(findings, "pull int, ordinal int, path string, title string"),
+    )
+    assert sorted((r["review_id"], r["path"], r["pull"], r["ordinal"], r["title"]) for r in found.collect()) == [(r, "a", 7, n, f"t{n}") for r in range(60) for n in range(8)]
+    # findings are ranked by pull and path before any review comes to them
+    assert not re.search(r"Window \[row_number\(\)[^\n]*\[review_id#\d+, path#\d+, pull#\d+\]", found._jdf.queryExecution().optimizedPlan().toString())
