@@ -309,11 +309,15 @@ def usd(value: Column) -> Column:
 
 def ago(at: Column, now: Column) -> Column:
     """How long before ``now``, in the largest whole unit; ``unknown`` for null."""
-    secs = F.round(now.cast("double") - at.cast("double")).cast("long")
+    return seconds_ago(F.round(now.cast("double") - at.cast("double")).cast("long"))
+
+
+def seconds_ago(secs: Column) -> Column:
+    """``secs`` whole seconds in the past, in the largest whole unit; ``unknown`` for null. Times too far back for a timestamp have an age all the same."""
     unit = lambda seconds, mark: F.concat(F.floor(secs / seconds).cast("string"), F.lit(f"{mark} ago"))
     day = 86_400
     return (
-        F.when(at.isNull(), "unknown").when(secs < 60, "just now").when(secs < 3_600, unit(60, "m")).when(secs < day, unit(3_600, "h"))
+        F.when(secs.isNull(), "unknown").when(secs < 60, "just now").when(secs < 3_600, unit(60, "m")).when(secs < day, unit(3_600, "h"))
         .when(secs < 30 * day, unit(day, "d")).when(secs < 360 * day, unit(30 * day, "mo")).otherwise(unit(365 * day, "y"))
     )
 

@@ -199,9 +199,8 @@ def embedding_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("o198_formats", "SELECT event_id, CASE WHEN value / 10000 > 0 AND value / 10000 < 0.0001 THEN '<$0.0001' ELSE '$' || CASE WHEN value / 10000 < 1 THEN printf('%.4f', value / 10000) ELSE printf('%.2f', value / 10000) END END AS usd, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN s // 60 || 'm ago' WHEN s < 86400 THEN s // 3600 || 'h ago' WHEN s < 2592000 THEN s // 86400 || 'd ago' WHEN s < 31104000 THEN s // 2592000 || 'mo ago' ELSE s // 31536000 || 'y ago' END AS ago FROM (SELECT event_id, value, event_id * event_id * 7 AS s FROM events)")
 def formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    now = F.timestamp_seconds(F.lit(4_000_000_000))
-    at = F.timestamp_seconds(F.lit(4_000_000_000) - C("event_id") * C("event_id") * 7)
-    return table(spark, sf_dir, "events").select("event_id", ops.usd(C("value") / 10_000).alias("usd"), ops.ago(at, now).alias("ago"))
+    ago = ops.seconds_ago(C("event_id") * C("event_id") * 7)
+    return table(spark, sf_dir, "events").select("event_id", ops.usd(C("value") / 10_000).alias("usd"), ago.alias("ago"))
 
 
 def _pads(secret: bytes) -> tuple[str, str]:

@@ -69,3 +69,9 @@ def test_history_joins_the_first_findings_alone(spark):
     assert sorted((r["review_id"], r["path"], r["pull"], r["ordinal"], r["title"]) for r in found.collect()) == [(r, "a", 7, n, f"t{n}") for r in range(60) for n in range(8)]
     # findings are ranked by pull and path before any review comes to them
     assert not re.search(r"Window \[row_number\(\)[^\n]*\[review_id#\d+, path#\d+, pull#\d+\]", found._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_formats_of_large_ids(spark, tmp_path):
+    pq.write_table(pa.table({"event_id": pa.array([3, 6_000_000, 36_000_000], pa.int64()), "value": [0.5, 20_000.0, 5.0]}), str(tmp_path / "events.parquet"))
+    got = {r["event_id"]: (r["usd"], r["ago"]) for r in registry.QUERIES["o198_formats"](spark, str(tmp_path)).collect()}
+    assert got == {3: ("<$0.0001", "1m ago"), 6_000_000: ("$2.00", f"{6_000_000**2 * 7 // 31_536_000}y ago"), 36_000_000: ("$0.0005", f"{36_000_000**2 * 7 // 31_536_000}y ago")}
