@@ -80,3 +80,8 @@ def test_formats_of_large_ids(spark, tmp_path):
 def test_similarity_searches_with_every_query(spark, sf_dir):
     got = {tuple(r) for r in registry.QUERIES["o185_vector_similarity"](spark, sf_dir).select("query_id", "chunk_id", "rank", "score").collect()}
     assert got == {tuple(r) for r in registry.QUERIES["o141_nearest"](spark, sf_dir).select("query_id", "chunk_id", "rank", "score").collect()} and len({r[0] for r in got}) > 1
+
+
+def test_distinct_candidates_are_those_of_the_calls(spark, sf_dir):
+    found = registry.QUERIES["o165_distinct_candidates"](spark, sf_dir)
+    assert sorted(found.columns) == ["ids", "model", "provider"] and found.count() == registry.QUERIES["o195_candidate_models"](spark, sf_dir).count() > 1
