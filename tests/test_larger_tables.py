@@ -6,7 +6,7 @@ import re
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from gristmill.operators import context, publishing
+from gristmill.operators import context, evidence, publishing
 from gristmill.plans import registry
 
 
@@ -85,3 +85,12 @@ def test_similarity_searches_with_every_query(spark, sf_dir):
 def test_distinct_candidates_are_those_of_the_calls(spark, sf_dir):
     found = registry.QUERIES["o165_distinct_candidates"](spark, sf_dir)
     assert sorted(found.columns) == ["ids", "model", "provider"] and found.count() == registry.QUERIES["o195_candidate_models"](spark, sf_dir).count() > 1
+
+
+def test_static_evidence_is_told_within_a_file(spark):
+    content = "function g(a, b = 1) {\n// h(1)\nawait g(1, 2, 3)"
+    files = [(f"src/{k}.ts", content) for k in range(50)] + [("x/Dockerfile", "FROM node:20\n"), ("none.txt", content), ("src/null.ts", None)]
+    rows, records = shuffled(spark, lambda: evidence.static_evidence(spark.createDataFrame(files, "path string, content string")))
+    want = [(1, 1, "declared-parameters", "g declares 1-2 parameters"), (2, 3, "awaited-call", "g(1, 2, 3)"), (3, 3, "local-api-arity", "g expects 1-2 arguments but receives 3")]
+    assert sorted(tuple(r) for r in rows) == sorted([(f"src/{k}.ts", *w) for k in range(50) for w in want] + [("x/Dockerfile", 1, 1, "runtime-version", "node 20")])
+    assert records == 0
