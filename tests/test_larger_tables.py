@@ -94,3 +94,12 @@ def test_static_evidence_is_told_within_a_file(spark):
     want = [(1, 1, "declared-parameters", "g declares 1-2 parameters"), (2, 3, "awaited-call", "g(1, 2, 3)"), (3, 3, "local-api-arity", "g expects 1-2 arguments but receives 3")]
     assert sorted(tuple(r) for r in rows) == sorted([(f"src/{k}.ts", *w) for k in range(50) for w in want] + [("x/Dockerfile", 1, 1, "runtime-version", "node 20")])
     assert records == 0
+
+
+def test_compact_context_is_dealt_out_by_review_once(spark):
+    findings = [(r, f"f{k}", k, f"loadName{k}", "b") for r in range(3) for k in range(20)]
+    shown = [(r, f"f{k}", p, n, n, f"loadName{k} x") for r in range(3) for k in range(20) for n, p in enumerate([f"f{k}", "lib/a", "lib/b"], 1)]
+    build = lambda: context.compact_context(spark.createDataFrame(findings, "review_id int, path string, line int, title string, body string"), spark.createDataFrame(shown, "review_id int, file string, path string, ordinal int, line int, text string"), 60)
+    rows, records = shuffled(spark, build)
+    assert {(r["file"], r["path"]) for r in rows} == {(f"f{k}", p) for k in range(20) for p in (f"f{k}", "lib/a", "lib/b") if p != f"f{k}" or k <= 11}
+    assert records < 3 * (len(findings) + len(shown))
