@@ -64,12 +64,17 @@ def extracted_json(outputs: DataFrame, column: str = "raw") -> DataFrame:
     return marked.where("json IS NOT NULL").unionByName(marked.where("json IS NULL").mapInArrow(search, marked.schema))
 
 
+def _trimmed(value: Column) -> Column:
+    """``value`` without white space at its ends, told without a pattern."""
+    return F.btrim(value, F.lit(" \t\n\x0b\f\r"))
+
+
 def _integer(raw: Column) -> Column:
-    return F.when(text.stripped(raw).rlike(r"^[+-]?\d+(\.0+)?$"), F.try_to_number(F.regexp_replace(text.stripped(raw), r"^\+|\.0+$", ""), F.lit("S999999999999999999")).cast("long"))
+    return F.when(_trimmed(raw).rlike(r"^[+-]?\d+(\.0+)?$"), F.try_to_number(F.regexp_replace(_trimmed(raw), r"^\+|\.0+$", ""), F.lit("S999999999999999999")).cast("long"))
 
 
 def _said(value: Column) -> Column:
-    return F.coalesce(text.stripped(value), F.lit(""))
+    return F.coalesce(_trimmed(value), F.lit(""))
 
 
 def parsed_findings(outputs: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -81,19 +86,23 @@ def parsed_findings(outputs: DataFrame, allowed: DataFrame) -> DataFrame:
     listed = F.from_json(F.when(F.col("json").rlike(r"^\s*\["), F.col("json")).otherwise(F.get_json_object("json", "$.findings")), FINDING)
     rows = outputs.select("review_id", "path", F.posexplode_outer(listed).alias("ordinal", "f")).join(allowed, ["review_id", "path"], "left")
     c, e = (lambda n: F.col(f"f.{n}")), (lambda n: F.col(f"f.evidence.{n}"))
-    line, severity, category, confidence = _integer(c("line")), normal_severity(c("severity")), _said(c("category")), F.lower(_said(c("confidence")))
-    rule, title, body = category == "repository_rule", _said(c("title")), _said(c("body"))
+    # what is asked more than once is read once
+    read = rows.select(
+        "review_id", "path", "ordinal", "lines", "body_only", "f", _integer(c("line")).alias("at"), normal_severity(c("severity")).alias("severity"), _said(c("category")).alias("category"),
+        F.lower(_said(c("confidence"))).alias("confidence"), _said(c("title")).alias("title"), _said(c("body")).alias("body"), _said(c("rootCause")).alias("root_cause"),
+    )
+    line, title, body, rule = F.col("at"), F.col("title"), F.col("body"), F.col("category") == "repository_rule"
     error = (
         F.when(F.col("f").isNull(), "malformed").when(line.isNull() | ~F.coalesce(F.array_contains("lines", line), F.lit(False)), "line").when((title == "") & (body == ""), "empty")
-        .when(severity.isNull(), "severity").when(~category.isin(CATEGORIES), "category").when(~confidence.isin(CONFIDENCES), "confidence").when(_said(c("rootCause")) == "", "root cause")
+        .when(F.col("severity").isNull(), "severity").when(~F.col("category").isin(CATEGORIES), "category").when(~F.col("confidence").isin(CONFIDENCES), "confidence").when(F.col("root_cause") == "", "root cause")
         .when(c("evidence").isNull(), "evidence").when(_said(e("path")) != F.col("path"), "evidence path").when(~F.coalesce(_integer(e("line")) == line, F.lit(False)), "evidence line")
         .when(_said(e("trigger")) == "", "trigger").when(_said(e("consequence")) == "", "consequence")
         .when(rule & (_said(e("rule.path")) == ""), "rule path").when(rule & ~F.coalesce(_integer(e("rule.line")) >= 1, F.lit(False)), "rule line").when(rule & (_said(e("rule.quote")) == ""), "rule quote")
     )
-    return rows.select(
-        "review_id", "path", "ordinal", F.when(F.col("body_only"), F.lit(0).cast("long")).otherwise(line).alias("line"), severity.alias("severity"),
+    return read.select(
+        "review_id", "path", "ordinal", F.when(F.col("body_only"), F.lit(0).cast("long")).otherwise(line).alias("line"), "severity",
         F.when(title != "", title).otherwise(F.substr(body, F.lit(1), F.lit(60))).alias("title"), F.when(body != "", body).otherwise(title).alias("body"),
-        category.alias("category"), confidence.alias("confidence"), _said(c("rootCause")).alias("root_cause"), c("evidence").alias("evidence"), error.alias("error"),
+        "category", "confidence", "root_cause", c("evidence").alias("evidence"), error.alias("error"),
     )
 
 
