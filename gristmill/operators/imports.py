@@ -27,21 +27,22 @@ def edges(files: DataFrame) -> DataFrame:
     the path without a script extension. Bare specifiers are packages and have no edge; paths that repeat are one file.
     """
     folder = F.regexp_extract("path", r"^(.*/)?[^/]*$", 1)
-    wanted = files.select(F.col("path").alias("from_path"), folder.alias("folder"), F.explode(specifiers(F.coalesce("content", F.lit("")))).alias("specifier")).where(F.col("specifier").startswith(".")).distinct()
+    wanted = files.select(F.col("path").alias("from_path"), folder.alias("folder"), F.explode(specifiers(F.coalesce("content", F.lit("")))).alias("specifier")).where(F.col("specifier").startswith("."))
     wanted = wanted.withColumn("base", paths.normalised(F.concat("folder", "specifier"))).where("base <> ''")
-    bare = F.regexp_replace("base", STRIPPED, "")
-    bases = F.array_distinct(F.array("base", bare))
-    tries = F.flatten(F.transform(bases, lambda b: F.transform(F.array(*map(F.lit, SUFFIXES)), lambda s: F.concat(b, s))))
-    tried = wanted.select("from_path", "specifier", F.posexplode(tries).alias("place", "path"))
-    return tried.join(files.select("path").distinct(), "path").groupBy("from_path", "specifier").agg(F.min_by("path", "place").alias("to_path"))
+    bases = F.array_distinct(F.array("base", F.regexp_replace("base", STRIPPED, "")))
+    tried = wanted.select("from_path", "specifier", F.posexplode(bases).alias("turn", "key"))
+    # a file is dealt out under what is left of its path without each suffix that it has, so that nothing is dealt out under a path that no file has
+    without = [F.when(F.endswith("path", F.lit(s)), F.struct(F.lit(k).alias("place"), F.substr("path", F.lit(1), F.length("path") - len(s)).alias("key"))) for k, s in enumerate(SUFFIXES)]
+    named = files.select("path").distinct().select("path", F.explode(F.array_compact(F.array(*without))).alias("n")).select("path", "n.place", "n.key")
+    return tried.join(named, "key").groupBy("from_path", "specifier").agg(F.min_by("path", F.col("turn") * len(SUFFIXES) + F.col("place")).alias("to_path"))
 
 
 def dependants(graph: DataFrame, changed: DataFrame, depth: int = 10) -> DataFrame:
     """path, distance: files that import one of ``changed`` (path), directly or through others, by up to ``depth`` steps; the shortest counts.
 
-    Each step joins the files found last with the edges, and keeps those not met before: cycles end of themselves.
+    Each step joins the files found last with the edges, which are found once, and keeps those not met before: cycles end of themselves.
     """
-    links = graph.where("from_path <> to_path").select("from_path", "to_path").distinct()
+    links = settled(graph.where("from_path <> to_path").select("from_path", "to_path").distinct())
     met = settled(changed.select("path").where("path IS NOT NULL").distinct().withColumn("distance", F.lit(0)))
     for step in range(1, depth + 1):
         rim = met.where(F.col("distance") == step - 1).select(F.col("path").alias("to_path"))

@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from gristmill.functions import text
-from gristmill.operators import context, evidence, publishing, search, wordsearch
+from gristmill.operators import context, evidence, imports, publishing, search, wordsearch
 from gristmill.plans import registry
 from gristmill.sources import tables
 
@@ -142,3 +142,23 @@ def test_words_are_cut_as_in_the_index(spark):
     texts = ["Größe İx ΑΣ a_b-c  \u0660\u2167x\u00b2 \u0e01\u0e34 日本 e\u0301", "", "  "]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.index_tokens(F.col("t")).alias("k")).collect()
     assert [wordsearch._tokens(r["t"]) for r in rows] == [r["k"] for r in rows]
+
+
+def test_imports_are_resolved_once_and_by_few_rows(spark):
+    files = [(f"src/m{k}{['.ts', '/index.ts', '.mjs', ''][k % 4]}", f"import './m{k - 1}{['', '.js'][k % 2]}'\nimport './m{(k * 7) % 40}'") for k in range(400)]
+    graph = lambda: imports.edges(spark.createDataFrame(files, "path string, content string"))
+    rows, records = shuffled(spark, graph)
+    at = {f: f for f, _ in files}
+    want = {(f, s, next((b + x for b in (base, re.sub(imports.STRIPPED, "", base)) for x in imports.SUFFIXES if b + x in at), None)) for f, c in files for s in re.findall("'([^']+)'", c) for base in [f"{f.rsplit('/', 1)[0]}/{s[2:]}"]}
+    assert {tuple(r) for r in rows} == {w for w in want if w[2]} and len(rows) > 300
+    assert records < 12 * len(files)
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            calls.add(batch.num_rows)
+            yield batch
+
+    changed = spark.createDataFrame([("src/m0.ts",)], "path string")
+    found = imports.dependants(graph().mapInArrow(seen, "from_path string, specifier string, to_path string"), changed, depth=6)
+    assert found.count() > 5 and calls.value == len(rows)
