@@ -174,3 +174,30 @@ def test_identifiers_are_counted_where_their_text_lies(spark):
         want |= {(k, w, words.count(w), n) for n, w in enumerate(best, 1)}
     assert {(r["doc_id"], r["word"], r["n"], r["rank"]) for r in rows} == want and len(rows) == len(want)
     assert records == 0
+
+
+def test_followups_are_dealt_out_by_review_once(spark):
+    rng = random.Random(8)
+    one = lambda: (rng.choice(["a", "b", None]), rng.choice(["t1", "t2", None]), rng.choice(["c1", "c2", "", None]))
+    previous = [(r, k, *one()) for r in range(30) for k in range(6)] + [(3, 2, *one()), (None, 1, "a", "t1", "c1")]
+    current = [(r, k, *one()) for r in range(32) for k in range(5)] + [(4, 1, *one())]
+    decisions = [(r, k, rng.choice(["remaining", "remaining", "resolved", "retracted", "odd", None]), rng.choice([None, 0, 1, 2, 3, 9]), rng.choice(["new", "old"]), rng.choice(["a", "b", None]), rng.randrange(3)) for r in range(1, 31) for k in range(6)] + [(5, 3, "resolved", None, "new", "a", 1)]
+    delta = [(r, rng.choice(["new", "old"]), rng.choice(["a", "b", None]), rng.randrange(3)) for r in range(30) for _ in range(4)]
+    head = [(r, rng.choice(["a", "b"]), rng.randrange(3)) for r in range(30) for _ in range(3)]
+    fault = "review_id int, id int, path string, title string, root_cause string"
+    given = [(previous, fault), (current, fault), (decisions, "review_id int, id int, status string, finding_index long, side string, path string, line int"), (delta, "review_id int, side string, path string, line int"), (head, "review_id int, path string, line int")]
+    rows, records = shuffled(spark, lambda: publishing.reconciled(*[spark.createDataFrame(*g) for g in given]))
+    want, used = [], set()
+    for r, k, status, index, side, path, line in sorted(decisions, key=lambda d: d[:2]):
+        matches = {q[1] for p in previous for q in current if p[:2] == (r, k) and q[0] == r and p[2] == q[2] is not None and (p[3] == q[3] is not None or (p[4] and p[4] == q[4]))}
+        stays, cited = status == "remaining", path is not None and (r, side, path, line) in delta
+        shown = path is not None and side == "new" and (r, path, line) in head
+        rules = [
+            (sum(d[:2] == (r, k) for d in decisions) > 1, "id"), (status not in ("remaining", "resolved", "retracted", None), "status"), (stays and index is None, "no finding"), (stays and index not in matches, "no match"),
+            (status not in ("remaining", None) and bool(matches), "match remains"), (status == "resolved" and not cited, "not in delta"), (status not in ("resolved", None) and not shown, "not in head"),
+            (stays and (r, index) in used, "finding used twice"), (status not in ("remaining", None) and index is not None, "finding named"),
+        ]
+        used |= {(r, index)} if stays else set()
+        want.append((r, k, status, index, next((e for broken, e in rules if broken), None)))
+    assert sorted(map(tuple, rows), key=repr) == sorted(want, key=repr) and {w[4] for w in want} >= {None, "id", "status", "no finding", "no match", "match remains", "not in delta", "not in head"}
+    assert records <= sum(len(g[0]) for g in given)
