@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import text
 from gristmill.operators import context, corpus, evidence, imports, publishing, search, wordsearch
+from gristmill.plans import records as record_plans
 from gristmill.plans import registry
 from gristmill.sources import tables
 
@@ -201,3 +202,11 @@ def test_followups_are_dealt_out_by_review_once(spark):
         want.append((r, k, status, index, next((e for broken, e in rules if broken), None)))
     assert sorted(map(tuple, rows), key=repr) == sorted(want, key=repr) and {w[4] for w in want} >= {None, "id", "status", "no finding", "no match", "match remains", "not in delta", "not in head"}
     assert records <= sum(len(g[0]) for g in given)
+
+
+def test_masked_facts_are_dealt_out_by_their_number(spark, sf_dir, monkeypatch):
+    build = registry.QUERIES["o225_masked_facts"]
+    whole = sorted(map(tuple, build(spark, sf_dir).collect()))
+    monkeypatch.setattr(record_plans, "TASK_SOURCES", 100)
+    dealt, n = build(spark, sf_dir), tables.table(spark, sf_dir, "orders").count()
+    assert dealt.rdd.getNumPartitions() == -(-n // 100) > 8 and sorted(map(tuple, dealt.collect())) == whole
