@@ -9,6 +9,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from gristmill.functions import text
+from gristmill.llm import line_dedup, quality
 from gristmill.operators import context, corpus, evidence, imports, publishing, search, wordsearch
 from gristmill.plans import records as record_plans
 from gristmill.plans import registry
@@ -210,3 +211,19 @@ def test_masked_facts_are_dealt_out_by_their_number(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(record_plans, "TASK_SOURCES", 100)
     dealt, n = build(spark, sf_dir), tables.table(spark, sf_dir, "orders").count()
     assert dealt.rdd.getNumPartitions() == -(-n // 100) > 8 and sorted(map(tuple, dealt.collect())) == whole
+
+
+def test_lines_without_a_copy_are_dealt_out_once(spark):
+    """All lines are dealt out to find copies; only those of marked classes are, to be judged."""
+    docs = [(d, "\n".join(f"d{d} l{k} x" if k else "the same line" for k in range(20))) for d in range(200)] + [(200, None), (7, "\n".join(f"d7 l{k} x" if k else "the same line" for k in range(20))), (None, "the same line\nlone one")]
+    rows, records = shuffled(spark, lambda: line_dedup.removed_lines(spark.createDataFrame(docs, "doc_id long, text string")))
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["removed"]) for r in rows}
+    assert got == {d: (20, 1, [0]) for d in range(200)} | {200: (1, 0, []), None: (2, 0, [])} and len(rows) == 202
+    assert records < 2 * 20 * len(docs)
+
+
+def test_words_of_lines_with_odd_blanks(spark):
+    marks = [" ", "  ", "\t", "\n", "\x0b", "\x0c", "\r", "\x85", "\u2028", "\xa0", "a", "é", "b c"]
+    texts = ["", *marks, *[x + y for x in marks for y in marks], *[x + y + z for x in marks for y in marks for z in ("a", " ", "\n")]]
+    got = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string").select("t", quality.words_of(F.col("t")).alias("w")).collect()
+    assert [r["w"] for r in got] == [re.findall(r"[^\x20\x09-\x0D]+", t) for t in texts] + [None]
