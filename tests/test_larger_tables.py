@@ -102,6 +102,21 @@ def test_static_evidence_is_told_within_a_file(spark):
     assert records == 0
 
 
+def test_static_evidence_reads_texts_to_their_ends(spark):
+    blank, many = "\n" * 70_000, "".join(f"function f{k}(a) {{}}\n" for k in range(20_000))
+    files = [
+        ("src/late.ts", f"{blank}function g(a, b) {{}}\ng(1)"), ("src/quoted.py", f"# {'x' * 70_000}\nh('{' ' * 500_000}', 2)\nfunction h(a)"), ("x/Dockerfile", f"{'# y' * 30_000}\nFROM node:20"),
+        ("a/package.json", f'{{"x": "{"y" * 70_000}", "engines": {{"node": "22"}}}}'), ("src/many.py", many.replace("(a)", "()", 1) + "f19999(1)\n" * 20_000 + "f0(1)"),
+    ]
+    got = {}
+    for r in evidence.static_evidence(spark.createDataFrame(files, "path string, content string")).orderBy("path", "place").collect():
+        got.setdefault(r["path"], []).append((r["line"], r["kind"], r["detail"]))
+    assert got["src/late.ts"] == [(70_001, "declared-parameters", "g declares 2 parameters"), (70_002, "unawaited-call", "g(1)"), (70_002, "local-api-arity", "g expects 2 arguments but receives 1")]
+    assert got["src/quoted.py"] == [(3, "declared-parameters", "h declares 1 parameters"), (2, "local-api-arity", "h expects 1 arguments but receives 2")]
+    assert got["x/Dockerfile"] == [(2, "runtime-version", "node 20")] and got["a/package.json"] == [(1, "runtime-version", "node 22")]
+    assert got["src/many.py"] == [(k + 1, "declared-parameters", f"f{k} declares {min(k, 1)} parameters") for k in range(40)]
+
+
 def test_compact_context_is_dealt_out_by_review_once(spark):
     findings = [(r, f"f{k}", k, f"loadName{k}", "b") for r in range(3) for k in range(20)]
     shown = [(r, f"f{k}", p, n, n, f"loadName{k} x") for r in range(3) for k in range(20) for n, p in enumerate([f"f{k}", "lib/a", "lib/b"], 1)]
